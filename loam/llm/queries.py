@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, tokenizing, transport
-from .common import documents
+from . import fm, packing, rlz, rules, secrets, tokenizing, transport
+from .common import documents, labels
 
 
 def word_bpe() -> str:
@@ -24,6 +24,14 @@ def op1_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport.media_features(documents(spark, sf_dir))
 
 
+def op2_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op4_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(documents(spark, sf_dir))
+
+
 def op5_pack_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), word_bpe())
 
@@ -36,6 +44,42 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizing.count_tokens(documents(spark, sf_dir), byte_bpe())
 
 
-QUERIES = {f.__name__: f for f in (op1_transport_stream, op5_pack_ordered, op6_bpe_segment_tree, op7_token_counts)}
-
-ORACLE_SQL: dict[str, str] = {}
+def op9_relative_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlz.kept_words(documents(spark, sf_dir))
+
+
+def op10_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm.quality_scores(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_transport_stream,
+        op2_risk_controlled_rules,
+        op4_secret_novelty,
+        op5_pack_ordered,
+        op6_bpe_segment_tree,
+        op7_token_counts,
+        op9_relative_lempel_ziv,
+        op10_factorisation_machine,
+    )
+}
+
+#: Words of each whole text, as the contract splits them.
+WORDS_SQL = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op9_relative_lempel_ziv": f"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, {WORDS_SQL} AS w FROM documents),
+        p AS (SELECT r, w, unnest(range(1, greatest(1, len(w) - 33)))::BIGINT AS i FROM d),
+        v AS (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM p),
+        t AS (SELECT h FROM v GROUP BY h HAVING count(*) > 1),
+        g AS (SELECT DISTINCT r, i + k AS i FROM v SEMI JOIN t USING (h), range(35) AS s(k)),
+        e AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1))::BIGINT AS i FROM d),
+        k AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM e ANTI JOIN g USING (r, i) GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+               sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN k USING (r)
+    """
+}
