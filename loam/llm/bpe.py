@@ -34,6 +34,19 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+#: Characters beyond Latin-1, and the separators whose classes the short pattern leaves out.
+BEYOND = re.compile("[^\x00-\x1b\x20-\xff]")
+
+
+def latin_words() -> re.Pattern:
+    """The encoder's word pattern over Latin-1, as plain character sets."""
+    chars = list(map(chr, range(256)))
+    letters = re.escape("".join(c for c in chars if unicodedata.category(c)[0] == "L"))
+    digits = re.escape("".join(c for c in chars if unicodedata.category(c)[0] == "N"))
+    spaces = "\t\n\v\f\r \x85\xa0"
+    return re.compile(f"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{digits}]|[^{spaces}{letters}{digits}]+")
+
+
 class Vocabulary:
     """Merges as symbol numbers: pair (left, right) of rank r becomes made[r]."""
 
@@ -161,7 +174,7 @@ class TreeEncoder:
     def __init__(self, path: str):
         self.v = vocabulary(path)
         self.pattern = regex.compile(self.PATTERN)
-        self.units: dict[str, bytes] = {}
+        self.latin = latin_words()
         self.words: dict[str, bytes] = {}
 
     def normalised(self, text: str) -> str:
@@ -170,43 +183,39 @@ class TreeEncoder:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return text.lower()
 
-    def learn(self, units: set[str]) -> dict[str, bytes]:
-        """Identifiers of white-space-free units, remembered where they are short."""
-        found = {u: self.pattern.findall(u) for u in units}
-        new = list({w for words in found.values() for w in words if w not in self.words})
-        fresh = dict(zip(new, merge_by_tree(self.v, [w.encode() for w in new]), strict=True))
-        if len(self.words) > MEMORY:
-            self.words.clear()
-            fresh.update(dict(zip(old := list({w for words in found.values() for w in words if w not in fresh}), merge_by_tree(self.v, [w.encode() for w in old]), strict=True)))
-        known = self.words
-        out = {u: b"".join(fresh[w] if w in fresh else known[w] for w in words) for u, words in found.items()}
-        known.update((w, x) for w, x in fresh.items() if len(w) <= LONGEST)
-        return out
-
     def split(self, text: str) -> list[str]:
         text = self.normalised(text)
-        return regex.split(r"\p{White_Space}+", text) if ODD_SPACE.search(text) else text.split()
+        return (self.latin if text.isascii() or not BEYOND.search(text) else self.pattern).findall(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Identifiers of each text as little-endian 32-bit integers."""
-        pieces = [[p if p in self.v.special else self.split(p) for p in self.v.splitter.split(t) if p] for t in texts]
-        units = self.units
-        wanted = {u for text in pieces for p in text if isinstance(p, list) for u in p}
-        missing = {u for u in wanted if u not in units}
-        learned = self.learn(missing) if missing else {}
-        if len(units) + len(learned) > MEMORY:
-            look = learned | {u: units[u] for u in wanted if u in units}
-            units.clear()
-            units.update((u, x) for u, x in look.items() if len(u) <= LONGEST)
-        else:
-            units.update(learned)
-            look = units
-        out = [b"".join(b"".join(map(look.__getitem__, p)) if isinstance(p, list) else np.array([self.v.special[p]], "<u4").tobytes() for p in text) for text in pieces]
-        if look is units:
-            for u in learned:
-                if len(u) > LONGEST:
-                    del units[u]
-        return out
+        """Identifiers of each text as little-endian 32-bit integers.
+
+        Words not remembered are merged together, a run of texts at a time.
+        """
+        known, special = self.words, self.v.special
+        if len(known) > MEMORY:
+            known.clear()
+        found: list[list[list[bytes | None]]] = []
+        gaps: list[tuple[list, list[str], list[int]]] = []
+        for text in texts:
+            parts: list[list[bytes | None]] = []
+            for p in self.v.splitter.split(text):
+                if p in special:
+                    parts.append([special[p].to_bytes(4, "little")])
+                elif p:
+                    words = self.split(p)
+                    ids = list(map(known.get, words))
+                    if None in ids:
+                        gaps.append((ids, words, [i for i, x in enumerate(ids) if x is None]))
+                    parts.append(ids)
+            found.append(parts)
+        new = list({words[i] for _, words, places in gaps for i in places})
+        learned = dict(zip(new, merge_by_tree(self.v, [w.encode() for w in new]), strict=True))
+        for ids, words, places in gaps:
+            for i in places:
+                ids[i] = learned[words[i]]
+        known.update((w, x) for w, x in learned.items() if len(w) <= LONGEST)
+        return [b"".join(parts[0]) if len(parts) == 1 else b"".join(map(b"".join, parts)) for parts in found]
 
     def decode(self, ids: bytes) -> str:
         """Tokens joined by a space: this vocabulary has no decoder of its own."""

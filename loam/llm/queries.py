@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fm, packing, rlz, rules, secrets, tokenizing, transport
+from . import fm, minhash, packing, rlz, rules, secrets, tokenizing, transport
 from .common import documents, labels
 
 
@@ -28,6 +28,10 @@ def op2_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op3_b_bit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), k=4, percent=80)
+
+
 def op4_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(documents(spark, sf_dir))
 
@@ -57,6 +61,7 @@ QUERIES = {
     for f in (
         op1_transport_stream,
         op2_risk_controlled_rules,
+        op3_b_bit_minhash,
         op4_secret_novelty,
         op5_pack_ordered,
         op6_bpe_segment_tree,
@@ -70,6 +75,22 @@ QUERIES = {
 WORDS_SQL = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_b_bit_minhash": f"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, {WORDS_SQL} AS w
+            FROM (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)
+        ),
+        s AS (
+            SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 3], ' ')) AS g
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1))::BIGINT AS i FROM d WHERE len(w) > 0)
+        ),
+        n AS (SELECT doc_id, count(*)::BIGINT AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+        SELECT doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(b) AS component_id, doc_id = min(b) AS kept
+        FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.a = doc_id GROUP BY doc_id
+    """,
     "op9_relative_lempel_ziv": f"""
         WITH d AS (SELECT doc_id, row_number() OVER () AS r, {WORDS_SQL} AS w FROM documents),
         p AS (SELECT r, w, unnest(range(1, greatest(1, len(w) - 33)))::BIGINT AS i FROM d),
