@@ -1,8 +1,65 @@
-"""Corpus preparation: documents through the stages of STAGES, each over all its predecessor kept."""
+"""Corpus preparation: documents through five stages, each over all that its predecessor kept.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
+last return the columns of docs. run() writes each stage's rows to the shared
+folder as Parquet and reads them again as the next one's docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loam.llm import fm, minhash, packing, queries, rlz, secrets
+from loam.llm.common import documents, labels, stored
+
+#: No SQL states a factorisation machine's or a compressor's decisions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the factorisation machine accepts (score of at least 0.7), unchanged."""
+    machine = fm.train(docs, labels(spark, sf_dir))
+    scored = fm.classify(docs, machine, keep=tuple(docs.columns), out="__score")
+    return scored.where(F.col("__score") >= 0.7).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies (five words, similarity 0.8): that of least doc_id."""
+    groups = minhash.near_duplicates(docs, k=5, percent=80)
+    gone = groups.where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti").dropDuplicates(["doc_id", "text"])
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row, without the words under windows of 35 words that stand elsewhere too.
+
+    A text that loses words becomes the rest joined by one space; n_chars follows.
+    """
+    return rlz.replaced(docs)
+
+
+def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row, its secrets replaced by a mark; n_chars follows."""
+    return secrets.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all texts in sequences of 2048 tokens."""
+    return packing.pack(docs, queries.word_bpe())
+
+
+STAGES = [
+    ("quality_classifier", quality),
+    ("minhash_near_dedup", near_duplicates),
+    ("substring_dedup", repeated_passages),
+    ("secret_scan", secret_spans),
+    ("packing", packed),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -11,11 +11,14 @@ it, and no task holds more than its part.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes
@@ -26,9 +29,6 @@ LEAST_BLOCKS = 32
 MEMORY = 400_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
-_hashes: dict[bytes, int] = {}
-
-
 class WordHashes(dict):
     """64-bit hashes of words; short ones are remembered."""
 
@@ -59,9 +59,51 @@ def part_count(keys: float) -> int:
     return 1 << max(4, math.ceil(math.log2(max(1.0, keys / PART_KEYS))))
 
 
-def with_block(df: DataFrame, n: int, text: str = "text") -> DataFrame:
-    """doc_id, text and the block of each row."""
-    return df.select("doc_id", F.col(text).alias("text"), F.pmod(F.xxhash64("doc_id", F.col(text)), F.lit(n)).cast("int").alias("block"))
+def scattered(df: DataFrame, n: int, text: str = "text", more: tuple[Column, ...] = ()) -> DataFrame:
+    """block and packet: the rows (doc_id, text, more) that one batch of a task holds for a block, compressed.
+
+    A row's block is a hash of its identifier and text, so that it does not
+    hang on how the input is split.
+    """
+    source = df.select("doc_id", F.col(text).alias("text"), *more, F.pmod(F.xxhash64("doc_id", F.col(text)), F.lit(n)).cast("int").alias("block"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            blocks = batch.column(batch.num_columns - 1).to_numpy()
+            order = np.argsort(blocks, kind="stable")
+            edges = np.flatnonzero(np.diff(blocks[order], prepend=-1)).tolist()
+            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns - 1)]
+            numbers, packets = [], []
+            for begin, end in zip(edges, [*edges[1:], len(order)], strict=True):
+                at = order[begin:end].tolist()
+                numbers.append(int(blocks[at[0]]))
+                packets.append(squeeze.compress(pickle.dumps([[c[i] for i in at] for c in columns], 5)))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(packets, pa.binary())], schema=PACKETS)
+
+    return source.mapInArrow(run, "block int, packet binary")
+
+
+PACKETS = pa.schema([("block", pa.int32()), ("packet", pa.binary())])
+
+
+def unpacked(table: pa.Table, columns: int = 2) -> list[list]:
+    """The columns of a block's rows from its packets."""
+    out: list[list] = [[] for _ in range(columns)]
+    expand = zstandard.ZstdDecompressor()
+    for packet in table.column("packet").to_pylist():
+        for mine, new in zip(out, pickle.loads(expand.decompress(packet)), strict=True):
+            mine += new
+    return out
+
+
+def squeezed(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte plane by byte plane: the high planes are nearly all zero."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def expanded(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def mixed(keys: np.ndarray) -> np.ndarray:

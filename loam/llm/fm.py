@@ -163,10 +163,10 @@ def train(df: DataFrame, labelled: DataFrame, sample: int = SAMPLE, text: str =
     return fit(pairs, np.array([wanted[r["doc_id"]] for r in got], dtype=float))
 
 
-def classify(df: DataFrame, machine: Machine, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """keep and score (0 to 1) of each text; null reads as empty. The machine, of fixed size, is broadcast."""
+def classify(df: DataFrame, machine: Machine, keep: tuple[str, ...] = ("doc_id",), text: str = "text", out: str = "score") -> DataFrame:
+    """keep and a score (0 to 1) of each text; null reads as empty. The machine, of fixed size, is broadcast."""
     shared = df.sparkSession.sparkContext.broadcast(machine)
-    return map_texts(df, lambda texts: [list(map(shared.value.score, texts))], "score double", keep, text)
+    return map_texts(df, lambda texts: [list(map(shared.value.score, texts))], f"{out} double", keep, text)
 
 
 def quality_scores(df: DataFrame, labelled: DataFrame, threshold: float = 0.7, text: str = "text") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fm, minhash, packing, rlz, rules, secrets, tokenizing, transport
+from . import fm, katz, minhash, packing, rlz, rules, secrets, tokenizing, transport
 from .common import documents, labels
 
 
@@ -48,6 +48,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizing.count_tokens(documents(spark, sf_dir), byte_bpe())
 
 
+def op8_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(documents(spark, sf_dir))
+
+
 def op9_relative_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz.kept_words(documents(spark, sf_dir))
 
@@ -66,6 +70,7 @@ QUERIES = {
         op5_pack_ordered,
         op6_bpe_segment_tree,
         op7_token_counts,
+        op8_katz_backoff,
         op9_relative_lempel_ziv,
         op10_factorisation_machine,
     )

@@ -19,10 +19,11 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .blocks import block_count, cut, grams, mixed, part_count, sliding, with_block, word_hashes, words_of
+from .blocks import block_count, cut, expanded, grams, mixed, part_count, scattered, sliding, squeezed, unpacked, word_hashes, words_of
 from .common import stored
 
 WINDOW, GRAM = 35, 12
@@ -112,13 +113,13 @@ def table_of(rows: list[tuple], kind: str) -> pa.Table:
 
 
 def send(block: int, keys: np.ndarray, checks: np.ndarray | None, many: np.ndarray, parts: int) -> pa.Table:
-    rows = [(block, p, keys[b:e].tobytes(), b"" if checks is None else checks[b:e].tobytes(), np.packbits(many[b:e]).tobytes()) for p, b, e in cut(keys, parts)]
+    rows = [(block, p, squeezed(keys[b:e]), b"" if checks is None else checks[b:e].tobytes(), np.packbits(many[b:e]).tobytes()) for p, b, e in cut(keys, parts)]
     return table_of(rows, SENT)
 
 
 def gather(table: pa.Table) -> tuple[list, list[int], np.ndarray, np.ndarray, np.ndarray]:
     d = table.to_pydict()
-    keys = [np.frombuffer(x, np.uint64) for x in d["keys"]]
+    keys = [expanded(x) for x in d["keys"]]
     sizes = [len(x) for x in keys]
     checks = np.concatenate([np.frombuffer(x, np.uint64) if x else np.zeros(n, np.uint64) for x, n in zip(d["checks"], sizes, strict=True)])
     many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(d["many"], sizes, strict=True)]).astype(bool)
@@ -158,30 +159,30 @@ def parsed(df: DataFrame, window: int, outputs: str, describe) -> DataFrame:
     block's words, or -1.
     """
     n = block_count(df)
-    docs = with_block(df, n)
+    docs = scattered(df, n)
     words = n * 1_000_000
     parts1, parts2 = part_count(words * ANCHORS), part_count(words / 4)
     first = docs.groupBy("block").applyInArrow(
-        lambda t: send(t.column("block")[0].as_py(), (x := Block(t.column("text").to_pylist(), window)).anchors, None, x.many, parts1), SENT
+        lambda t: send(t.column("block")[0].as_py(), (x := Block(unpacked(t)[1], window)).anchors, None, x.many, parts1), SENT
     )
     anchors = stored(first.groupBy("part").applyInArrow(answer_anchors, ANSWER), "anchors")
 
     def windows(t: pa.Table, answers: pa.Table) -> pa.Table:
         if not t.num_rows:
             return table_of([], SENT)
-        x = Block(t.column("text").to_pylist(), window)
+        x = Block(unpacked(t)[1], window)
         a, b, many, _ = x.fingerprints(x.candidates(flags_of(x, answers.to_pydict(), parts1)))
         return send(t.column("block")[0].as_py(), a, b, many, parts2)
 
     second = docs.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(windows, SENT)
     answers = anchors.unionByName(second.groupBy("part").applyInArrow(answer_windows, ANSWER))
-    schema = StructType([docs.schema["doc_id"], *StructType.fromDDL(outputs).fields])
+    schema = StructType([df.schema["doc_id"], *StructType.fromDDL(outputs).fields])
     arrow = to_arrow_schema(schema)
 
     def parse(t: pa.Table, answers: pa.Table) -> pa.Table:
         if not t.num_rows:
             return pa.Table.from_arrays([pa.array([], type=f.type) for f in arrow], schema=arrow)
-        texts = t.column("text").to_pylist()
+        ids, texts = unpacked(t)
         x = Block(texts, window)
         got = answers.to_pydict()
         places = x.candidates(flags_of(x, got, parts1))
@@ -190,7 +191,7 @@ def parsed(df: DataFrame, window: int, outputs: str, describe) -> DataFrame:
             own = x.fingerprints(places)[3]
             references[places] = np.frombuffer(b"".join(ordered(got, 2)), np.int32)[own]
         columns = list(zip(*(describe(x, i, texts[i], references) for i in range(len(texts))), strict=True))
-        return pa.Table.from_arrays([t.column("doc_id").cast(arrow.field(0).type), *(pa.array(c, type=f.type) for c, f in zip(columns, list(arrow)[1:], strict=True))], schema=arrow)
+        return pa.Table.from_arrays([pa.array(ids, type=arrow.field(0).type), *(pa.array(c, type=f.type) for c, f in zip(columns, list(arrow)[1:], strict=True))], schema=arrow)
 
     return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(parse, schema)
 
@@ -243,14 +244,22 @@ def kept_words(df: DataFrame, window: int = WINDOW) -> DataFrame:
     return parsed(df, window, "n_words long, n_removed long, kept_sha256 string", describe)
 
 
-def cleaned(df: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id and clean_text: the text as it is, or its kept words joined by a space if any word goes.
+def replaced(df: DataFrame, window: int = WINDOW) -> DataFrame:
+    """df with each text that has repeated passages replaced by its kept words, joined by a space.
 
-    Rows come once each; a null text stays null.
+    Other texts stay as they are, null ones null. Rows are neither merged nor
+    dropped: all columns travel with the text. n_chars, where df has it, follows the text.
     """
 
     def describe(x: Block, i: int, text, refs: np.ndarray) -> tuple:
         gone = covered(x, i, refs)
-        return (text if gone is None else b" ".join(compress(x.words[x.starts[i] : x.starts[i + 1]], ~gone)).decode("utf-8", "replace"),)
-
-    return parsed(df, window, "clean_text string", describe)
+        changed = gone is not None
+        return changed, b" ".join(compress(x.words[x.starts[i] : x.starts[i + 1]], ~gone)).decode("utf-8", "replace") if changed else text
+
+    rest = [c for c in df.columns if c not in ("doc_id", "text")]
+    packed = df.select(F.struct("doc_id", *rest).alias("doc_id"), "text")
+    done = parsed(packed, window, "changed boolean, text string", describe)
+    out = done.select("doc_id.*", "text", "changed")
+    if "n_chars" in rest:
+        out = out.withColumn("n_chars", F.when(F.col("changed"), F.length("text").cast(df.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*df.columns)
