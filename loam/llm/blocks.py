@@ -26,7 +26,7 @@ from .common import as_bytes
 #: Characters of text in a block, and keys (about) in a part.
 BLOCK_CHARS, PART_KEYS = 6_000_000, 500_000
 LEAST_BLOCKS = 32
-MEMORY = 400_000
+MEMORY = 200_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 class WordHashes(dict):

@@ -3,7 +3,7 @@
 Steps: signatures of every row; one class per distinct shingle set; buckets of
 classes that share a band; candidate pairs within buckets; packed signatures
 drop pairs that are surely apart; full sets confirm the rest; confirmed links
-become components. Pairs in a bucket are found by a star around one class
+become components. Pairs in a bucket are found by stars around three classes
 first, so that a group of near copies costs its size; only classes that a star
 has not joined are held against the other components of their bucket.
 """
@@ -105,34 +105,39 @@ def likely(percent: int) -> Column:
     return sizes & (estimate(F.col("packed_a"), F.col("packed_b")) >= percent / 100 - SLACK)
 
 
-def star_pairs(members: DataFrame, component: DataFrame | None) -> DataFrame:
-    """(a, b): each member of a bucket with one of its classes.
-
-    With components, buckets of a single one are done; elsewhere those outside
-    the component of the least class meet the largest class in that component.
-    """
-    if component is None:
-        centre = members.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-        return members.join(centre, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    placed = with_component(members, component)
-    first = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").drop("most")
-    inside = placed.join(first, "key")
-    centre = inside.where("component = least").groupBy("key").agg(F.max("node").alias("a"))
-    return inside.where("component <> least").join(centre, "key").select("a", F.col("node").alias("b")).distinct()
+def star_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): each member of a bucket with the bucket's least, greatest and least hashed class."""
+    rank = F.struct(F.xxhash64("node"), "node")
+    centres = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min(rank).alias("any"))
+    centres = centres.select("key", F.array_distinct(F.array("low", "high", "any.node")).alias("centres"))
+    pairs = members.join(centres, "key").select("node", F.explode("centres").alias("centre")).where("node <> centre")
+    return pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
 def with_component(nodes: DataFrame, component: DataFrame) -> DataFrame:
     return nodes.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def rest_pairs(members: DataFrame, component: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of different components in a bucket that their signatures don't tell apart."""
-    placed = with_component(members, component)
-    mixed_keys = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
-    open_ = placed.join(mixed_keys, "key", "left_semi").join(classes.select("node", "n_shingles", "packed"), "node")
-    a = open_.select("key", F.col("node").alias("a"), F.col("component").alias("c_a"), F.col("n_shingles").alias("n_a"), F.col("packed").alias("packed_a"))
-    b = open_.select(F.col("key").alias("k"), F.col("node").alias("b"), F.col("component").alias("c_b"), F.col("n_shingles").alias("n_b"), F.col("packed").alias("packed_b"))
-    return a.join(b, (F.col("key") == F.col("k")) & (F.col("c_a") < F.col("c_b")) & likely(percent)).select("a", "b").distinct()
+def rest_links(members: DataFrame, component: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components that meet in a bucket.
+
+    Components that meet, directly or through others, form a family; only
+    families of several are left. Their classes are held against each other
+    where the components differ: sizes first, then packed signatures, then full
+    sets, all in the join's condition, so that only links come out. A large
+    family is a skewed key, which adaptive execution splits.
+    """
+    placed = with_component(members.select("key", "node"), component)
+    met = placed.join(placed.groupBy("key").agg(F.min("component").alias("least")), "key")
+    family = components(met.select(F.col("component").alias("a"), F.col("least").alias("b")))
+    family = family.select(F.col("node").alias("component"), F.col("component").alias("family"))
+    family = family.union(family.select("family", "family")).distinct()
+    nodes = with_component(members.select("node").distinct(), component).join(family, "component")
+    nodes = stored(nodes.join(classes.select("node", "n_shingles", "packed"), "node").join(sets, "node"), "families")
+    a, b = (nodes.select(F.col("family").alias(f"family_{x}"), F.col("node").alias(x), F.col("component").alias(f"c_{x}"), F.col("n_shingles").alias(f"n_{x}"), F.col("packed").alias(f"packed_{x}"), F.col("items").alias(f"items_{x}")) for x in "ab")
+    common = F.size(F.array_intersect("items_a", "items_b"))
+    linked = common * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+    return a.join(b, (F.col("family_a") == F.col("family_b")) & (F.col("c_a") < F.col("c_b")) & likely(percent) & linked).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -149,10 +154,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def check(pairs: pa.Table, own: pa.Table) -> pa.Table:
         out_a, out_b = [], []
         if pairs.num_rows and own.num_rows:
-            mine = np.frombuffer(own.column("items")[0].as_py(), np.uint64)
-            for a, b, raw in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), pairs.column("items_b").to_pylist(), strict=True):
-                other = np.frombuffer(raw, np.uint64)
-                both = np.concatenate([mine, other])
+            mine = own.column("items").combine_chunks().flatten().to_numpy()
+            lists = pairs.column("items_b").combine_chunks()
+            others, edges = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            for i, (a, b) in enumerate(zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True)):
+                both = np.concatenate([mine, others[edges[i] : edges[i + 1]]])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
                 if 100 * common >= percent * (len(both) - common):
@@ -215,21 +221,14 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, text: str = "t
     members = stored(every.join(shared, "key", "left_semi"), "members")
     wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("row", "node")
     texts = keyed.join(wanted, "row").select("node", F.col(text).alias("text"))
-    sets = stored(map_texts(texts, lambda found: [[shingles(t, k).tobytes() for t in found]], "items binary", ("node",)).dropDuplicates(["node"]), "sets")
-
-    component, links = None, None
-    for step in ("star", "star", "rest"):
-        if step == "star":
-            pairs = star_pairs(members, component)
-            for side in ("a", "b"):
-                pairs = pairs.join(classes.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("packed").alias(f"packed_{side}")), side)
-            pairs = pairs.where(likely(percent)).select("a", "b")
-        else:
-            pairs = rest_pairs(members, component, classes, percent)
-        pairs = stored(pairs, "pairs")
-        found = confirmed(pairs, sets, percent)
-        links = stored(found if links is None else links.union(found), "links")
-        component = components(links)
+    sets = stored(map_texts(texts, lambda found: [[shingles(t, k).view(np.int64) for t in found]], "items array<long>", ("node",)).dropDuplicates(["node"]), "sets")
+
+    pairs = star_pairs(members)
+    for side in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("packed").alias(f"packed_{side}")), side)
+    links = stored(confirmed(stored(pairs.where(likely(percent)).select("a", "b"), "pairs"), sets, percent), "links")
+    rest = stored(rest_links(members, components(links), classes, sets, percent), "links")
+    component = components(links.union(rest))
     placed = with_component(classes.select("set_1", "set_2", "node"), component)
     placed = placed.withColumn("component_id", F.when(F.col("component") < NAMELESS, F.col("component"))).select("set_1", "set_2", "component_id", F.lit(True).alias("placed"))
     out = rows.select("doc_id", "n_shingles", "set_1", "set_2").join(placed, ["set_1", "set_2"], "left")
