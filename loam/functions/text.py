@@ -100,7 +100,7 @@ def two_sentences(text: Column) -> Column:
 def summary(text: Column, most: int = 150) -> Column:
     """First one or two sentences without a leading tag or heading marks, cut at most characters."""
     clean = F.regexp_replace(F.regexp_replace(text, r"^\[[^\n]*?\]\s*", ""), r"(?m)^#{1,6}\s+", "")
-    s = F.transform(sentences(clean), F.trim)
+    s = F.transform(sentences(clean), lambda x: F.trim(x))
     first = F.concat(s[0], F.lit(" "))
     both = F.trim(F.when((F.size(s) < 2) | (F.length(first) >= most), first).otherwise(F.concat(first, s[1])))
     cut = (F.length(text) > F.length(both)) & ~both.endswith("...") & (F.length(both) >= most - 3)
@@ -292,7 +292,7 @@ def coherence(text: Column, titled: Column | None = None, summarised: Column | N
     """0 to 1 from word bands, type-token ratio, title and summary."""
     w = pieces(text)
     n = F.size(w)
-    ratio = F.size(F.array_distinct(F.transform(w, F.lower))) / n
+    ratio = F.size(F.array_distinct(F.transform(w, lambda x: F.lower(x)))) / n
     score = F.lit(0.5) + F.when(n.between(50, 800), 0.2).otherwise(0.0) + F.when(ratio > 0.6, 0.15).when(ratio > 0.3, 0.1).otherwise(0.0)
     for flag, weight in ((titled, 0.1), (summarised, 0.05)):
         if flag is not None:

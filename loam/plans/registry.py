@@ -34,4 +34,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import text_queries  # noqa: E402, F401
+from . import search_queries, text_queries  # noqa: E402, F401

@@ -102,7 +102,7 @@ docs(
 docs(
     "FUN20_decomposed",
     r"len(list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '[^\x00-\x7F]', 'z', 'g'), '(?i)\band\b|;|\balso\b|\bplus\b'), lambda p: trim(p)), lambda p: p <> ''))::BIGINT AS parts",
-    parts=lambda: F.size(F.filter(F.transform(F.split("text", r"(?i)\band\b|;|\balso\b|\bplus\b"), F.trim), lambda p: p != "")).cast("long"),
+    parts=lambda: F.size(F.filter(F.transform(F.split("text", r"(?i)\band\b|;|\balso\b|\bplus\b"), lambda x: F.trim(x)), lambda p: p != "")).cast("long"),
 )
 
 
