@@ -21,10 +21,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import as_bytes, hold, memory, release
 
 #: Characters of text in a block, and keys (about) in a part.
-BLOCK_CHARS, PART_KEYS = 6_000_000, 500_000
+BLOCK_CHARS, PART_KEYS = 4_000_000, 500_000
 LEAST_BLOCKS = 32
 MEMORY = 200_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -41,10 +41,11 @@ class WordHashes(dict):
         return value
 
 
-HASHES = WordHashes()
+HASHES = memory("hashes", WordHashes)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
+    hold("hashes")
     return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
 
 
@@ -89,6 +90,7 @@ PACKETS = pa.schema([("block", pa.int32()), ("packet", pa.binary())])
 
 def unpacked(table: pa.Table, columns: int = 2) -> list[list]:
     """The columns of a block's rows from its packets."""
+    release()
     out: list[list] = [[] for _ in range(columns)]
     expand = zstandard.ZstdDecompressor()
     for packet in table.column("packet").to_pylist():

@@ -14,6 +14,8 @@ from functools import lru_cache
 import numpy as np
 import regex
 
+from .common import hold, memory
+
 #: Entries of a worker's word memory; beyond that it is emptied and fills anew.
 MEMORY = 400_000
 #: Longer words are never remembered.
@@ -175,7 +177,7 @@ class TreeEncoder:
         self.v = vocabulary(path)
         self.pattern = regex.compile(self.PATTERN)
         self.latin = latin_words()
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = memory("tree")
 
     def normalised(self, text: str) -> str:
         """Composed form, then each character's own lower case (no final sigma)."""
@@ -192,6 +194,7 @@ class TreeEncoder:
 
         Words not remembered are merged together, a run of texts at a time.
         """
+        hold("tree")
         known, special = self.words, self.v.special
         if len(known) > MEMORY:
             known.clear()
@@ -236,8 +239,8 @@ class HeapCounter:
         self.first = self.v.first.tolist()
         self.rank = {a * width + b: r for r, (a, b) in enumerate(zip(self.v.left.tolist(), self.v.right.tolist(), strict=True))}
         self.made = self.v.made.tolist()
-        self.units: dict[str, int] = {}
-        self.words: dict[str, int] = {}
+        self.units: dict[str, int] = memory("heap")
+        self.words: dict[str, int] = memory("heap")
 
     def merged(self, word: bytes) -> int:
         """Initial symbols minus merges.
@@ -293,6 +296,7 @@ class HeapCounter:
         return n
 
     def count(self, text: str) -> int:
+        hold("heap")
         total = 0
         if len(self.units) > MEMORY:
             self.units.clear()

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import re
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,41 @@ from pyspark.sql.types import StructType
 #: Characters of text handled at once inside a Python worker; bounds its lists of words.
 SLICE_CHARS = 2_000_000
 
-WORD = re.compile(r"[^ \t-\r]+")
+#: Word memories by operator; a worker keeps those of one operator at a time.
+_memories: dict[str, list[dict]] = {}
+_holder: list[str] = [""]
+
+
+def memory(name: str, kind: type[dict] = dict) -> dict:
+    """A dict that outlives tasks in a reused worker, until another operator holds the worker."""
+    made = kind()
+    _memories.setdefault(name, []).append(made)
+    return made
+
+
+def hold(name: str) -> None:
+    """Empty the memories of all operators but name."""
+    if _holder[0] != name:
+        for other, held in _memories.items():
+            if other != name:
+                for m in held:
+                    m.clear()
+        _holder[0] = name
+
+
+def release() -> None:
+    """Give memory that Python and Arrow have freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+@lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +125,7 @@ def map_texts(
                 made = fn(texts[part])
                 columns += [pa.array(c, type=arrow.field(len(keep) + i).type) for i, c in enumerate(made)]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+            release()
 
     return source.mapInArrow(run, schema)
 

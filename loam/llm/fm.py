@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bucket, map_texts
+from .common import hold, id_bucket, map_texts, memory
 
 #: Buckets of hashed words, steps of each structure statistic, and width of the factors.
 WORD_BUCKETS, STEPS, FACTORS = 1 << 14, 32, 8
@@ -20,7 +20,7 @@ EPOCHS, BATCH, RATE, DECAY, SEED = 8, 128, 0.05, 1e-6, 7
 #: Most words of a text, evenly spaced, that enter the fit; scores use all words.
 FIT_WORDS = 2000
 
-MEMORY = 500_000
+MEMORY = 200_000
 WORD_WEIGHT = 1.0
 
 SYMBOLS = "#*$%&|<>@^~{}[]\\/_=+"
@@ -55,7 +55,7 @@ def statistics(text: str, words: list[bytes]) -> list[float]:
 N_STATISTICS = 14
 SIZE = WORD_BUCKETS + N_STATISTICS * STEPS + 1  # and one feature of texts without words
 
-_buckets: dict[bytes, int] = {}
+_buckets: dict[bytes, int] = memory("buckets")
 
 
 def bucket(word: bytes) -> int:
@@ -71,6 +71,7 @@ def bucket(word: bytes) -> int:
 
 def features(text: str, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Indices, ascending and distinct, and values of a text's features."""
+    hold("buckets")
     words = text.encode("utf-8", "replace").split()
     places = [min(STEPS - 1, int(x * STEPS)) + WORD_BUCKETS + i * STEPS for i, x in enumerate(statistics(text, words))]
     if not words:

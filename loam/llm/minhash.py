@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .blocks import HASHES, grams, mixed
+from .blocks import grams, mixed, word_hashes
 from .common import as_bytes, map_texts, stored
 
 #: Minima, rows in a band, and low bits kept of each minimum.
@@ -43,7 +43,7 @@ def shingles(text: str, k: int) -> np.ndarray:
     words = as_bytes(text).lower().split()  # A-Z only, and the six separators, as bytes are
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
+    h = word_hashes(words)
     # a shorter sequence must not equal a shingle, so its length goes into the base
     return np.unique(mixed(grams(h, k, 0x8CB92BA72F3D8DD7) if len(h) >= k else grams(h, len(h), 0x8CB92BA72F3D8DD7 + 2 * len(h) + 2)))
 

@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .bpe import tree_encoder, vocabulary
-from .common import slices
+from .common import release, slices
 
 #: Cost of a window cut, in tokens of padding: inside a document after a sentence, and anywhere else.
 SENTENCE_CUT, HARD_CUT = 2, 64
@@ -167,6 +167,7 @@ def pack(
                     if packer.end - packer.at[0] > RUN_TOKENS:
                         rows += packer.cut(False)
                 yield batch_of(rows)
+            release()
         yield batch_of(list(packer.cut(True)))
 
     return source.mapInArrow(run, schema)

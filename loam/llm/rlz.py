@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .blocks import block_count, cut, expanded, grams, mixed, part_count, scattered, sliding, squeezed, unpacked, word_hashes, words_of
+from .blocks import BLOCK_CHARS, block_count, cut, expanded, grams, mixed, part_count, scattered, sliding, squeezed, unpacked, word_hashes, words_of
 from .common import stored
 
 WINDOW, GRAM = 35, 12
@@ -160,7 +160,7 @@ def parsed(df: DataFrame, window: int, outputs: str, describe) -> DataFrame:
     """
     n = block_count(df)
     docs = scattered(df, n)
-    words = n * 1_000_000
+    words = n * BLOCK_CHARS / 6
     parts1, parts2 = part_count(words * ANCHORS), part_count(words / 4)
     first = docs.groupBy("block").applyInArrow(
         lambda t: send(t.column("block")[0].as_py(), (x := Block(unpacked(t)[1], window)).anchors, None, x.many, parts1), SENT
