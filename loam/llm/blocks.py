@@ -21,6 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_code
 from .common import as_bytes, hold, memory, release
 
 #: Characters of text in a block, and keys (about) in a part.
@@ -66,6 +67,7 @@ def scattered(df: DataFrame, n: int, text: str = "text", more: tuple[Column, ...
     A row's block is a hash of its identifier and text, so that it does not
     hang on how the input is split.
     """
+    ship_code(df.sparkSession)
     source = df.select("doc_id", F.col(text).alias("text"), *more, F.pmod(F.xxhash64("doc_id", F.col(text)), F.lit(n)).cast("int").alias("block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..session import ship_code
+
 #: Characters of text handled at once inside a Python worker; bounds its lists of words.
 SLICE_CHARS = 2_000_000
 
@@ -109,6 +111,7 @@ def map_texts(
     The result has the columns of keep, untouched, then those of outputs (a DDL
     string).
     """
+    ship_code(df.sparkSession)
     source = df.select(*keep, F.col(text).alias("__text"))
     kept = source.select(*keep).schema
     produced = StructType.fromDDL(outputs)

@@ -14,6 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,6 +56,14 @@ def wide(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
 
 
+def in_order(keys: np.ndarray, slots: np.ndarray, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys sorted, and slots into them where slots led into keys as they were."""
+    order = np.argsort(keys) if order is None else order
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.arange(len(keys))
+    return keys[order], place[slots]
+
+
 class Block:
     """A block's tokens as numbers of its distinct words and pairs."""
 
@@ -73,18 +82,21 @@ class Block:
         tokens = np.insert(hashes, ends, END)
         self.lengths += 1
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64)
-        before = np.empty_like(tokens)
-        before[1:] = tokens[:-1]
-        before[self.starts] = BEGIN
         # distinct keys in the order of their mixed values, which is that of the parts
-        self.words, slots = np.unique(np.concatenate([mixed(tokens), mixed(np.array([BEGIN]))]), return_inverse=True)
+        slots, found = pd.factorize(np.concatenate([tokens, np.array([BEGIN])]))
+        self.words, slots = in_order(mixed(found), slots)
         self.token = slots[:-1]
         self.begin = slots[-1]
         self.history = np.empty_like(self.token)
         self.history[1:] = self.token[:-1]
         self.history[self.starts] = self.begin
-        self.pairs, first, self.pair = np.unique(mixed(mixed(before) * PAIR + mixed(tokens)), return_index=True, return_inverse=True)
-        self.pair_history, self.pair_token = self.history[first], self.token[first]
+        n = len(self.words)
+        slots, found = pd.factorize(self.history * n + self.token)
+        histories, followers = found // n, found % n
+        keys = mixed(self.words[histories] * PAIR + self.words[followers])
+        order = np.argsort(keys)
+        self.pairs, self.pair = in_order(keys, slots, order)
+        self.pair_history, self.pair_token = histories[order], followers[order]
         self.train = ~np.repeat(self.held, self.lengths)
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:

@@ -14,11 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..session import ship_code
 from .bpe import tree_encoder, vocabulary
 from .common import release, slices
 
-#: Cost of a window cut, in tokens of padding: inside a document after a sentence, and anywhere else.
-SENTENCE_CUT, HARD_CUT = 2, 64
+#: Cost of a window cut, in tokens of padding: inside a document after a sentence, and inside a sentence.
+SENTENCE_CUT, HARD_CUT = 2, 24
+#: A sentence may be cut each time so many of its tokens have passed.
+STRETCH = 64
 #: Tokens gathered before windows are cut; the tail is carried on to the next run.
 RUN_TOKENS = 1 << 17
 
@@ -67,7 +70,7 @@ class Packer:
     """One partition's stream of documents, cut into windows as it grows."""
 
     def __init__(self, size: int, first_sequence: int):
-        self.size, self.sequence = size, first_sequence
+        self.size, self.stretch, self.sequence = size, min(size, STRETCH), first_sequence
         self.docs: list[tuple] = []  # (doc_id, ids with the end mark, where it begins in the stream)
         self.at, self.cost = [0], [0.0]
         self.end = 0
@@ -82,8 +85,8 @@ class Packer:
         self.end = stop
 
     def allow(self, place: int, cost: float) -> None:
-        while place - self.at[-1] > self.size:
-            self.at.append(self.at[-1] + self.size)
+        while place - self.at[-1] > self.stretch:
+            self.at.append(self.at[-1] + self.stretch)
             self.cost.append(HARD_CUT)
         self.at.append(place)
         self.cost.append(cost)
@@ -131,9 +134,9 @@ def pack(
     """Pack every text, in the order of its partition, into sequences of size tokens.
 
     A text becomes its identifiers and then end_id. Windows may end behind a
-    document at no cost, behind a sentence for SENTENCE_CUT, and elsewhere, where
-    no sentence ends for size tokens, for HARD_CUT; padding costs 1 a token; the
-    sum is least over runs of RUN_TOKENS. Windows of half and a quarter of size
+    document at no cost, behind a sentence for SENTENCE_CUT, and inside one, each
+    STRETCH tokens, for HARD_CUT; padding costs 1 a token; the sum is least over
+    runs of RUN_TOKENS. Windows of half and a quarter of size
     need no padding, and a partition's last window may be split into powers of
     two. One row per piece: keep, start, length, ids_crc32, doc_tokens,
     sequence_id (partition number << 33 | count), offset.
@@ -142,6 +145,7 @@ def pack(
     an empty table gives no rows; a text longer than any window spans several.
     No shuffle: a task holds one run, and a lost task is redone from its input.
     """
+    ship_code(df.sparkSession)
     source = df.select(keep, df[text].alias("__text"))
     schema = StructType([source.schema[keep], *StructType.fromDDL(PIECE).fields])
     arrow = to_arrow_schema(schema)
