@@ -17,10 +17,13 @@ import regex
 from .common import hold, memory
 
 #: Entries of a worker's word memory; beyond that it is emptied and fills anew.
-MEMORY = 400_000
+MEMORY = 500_000
 #: Longer words are never remembered.
 LONGEST = 48
 
+#: Slots of a table of pairs, as a power of two.
+SLOT_BITS = 18
+
 NONE = np.int64(1) << np.int64(62)
 LOW = (np.int64(1) << np.int64(32)) - 1
 
@@ -36,8 +39,12 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
-#: Characters beyond Latin-1, and the separators whose classes the short pattern leaves out.
-BEYOND = re.compile("[^\x00-\x1b\x20-\xff]")
+def is_latin(text: str) -> bool:
+    """Whether a text stays within Latin-1."""
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
 
 
 def latin_words() -> re.Pattern:
@@ -71,17 +78,34 @@ class Vocabulary:
         self.right = np.array([ids[b] for _, b in pairs], dtype=np.int64)
         self.made = np.array([ids[a + b] for a, b in pairs], dtype=np.int64)
         self.width = np.int64(len(self.tokens))
-        keys = self.left * self.width + self.right
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks = keys[order], order.astype(np.int64)
+        self.probes = self.tables(self.left * self.width + self.right)
+
+    @staticmethod
+    def places(keys: np.ndarray, level: int) -> np.ndarray:
+        """Slots of keys in the table of a level."""
+        factor = np.uint64(0x9E3779B97F4A7C15 + 2 * level * 0xD1B54A32D192ED03 & (1 << 64) - 1)
+        return (keys.astype(np.uint64) * factor >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def tables(self, keys: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Hash tables of (key, rank); what finds its slot taken goes on to the next table."""
+        found, rest = [], np.arange(len(keys))
+        while len(rest):
+            slots, first = np.unique(self.places(keys[rest], len(found)), return_index=True)
+            held, ranks = np.full(1 << SLOT_BITS, -1, np.int64), np.zeros(1 << SLOT_BITS, np.int64)
+            held[slots], ranks[slots] = keys[rest[first]], rest[first]
+            found.append((held, ranks))
+            rest = np.delete(rest, first)
+        return found
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, or NONE >> 32 where it can't merge."""
-        wanted = left * self.width + right
-        at = np.searchsorted(self.keys, wanted)
-        at[at == len(self.keys)] = 0
-        hit = (self.keys[at] == wanted) & (left >= 0) & (right >= 0)
-        return np.where(hit, self.ranks[at], NONE >> 32)
+        wanted = np.where((left < 0) | (right < 0), -2, left * self.width + right)
+        out = np.full(len(wanted), NONE >> 32)
+        for level, (held, ranks) in enumerate(self.probes):
+            at = self.places(wanted, level)
+            hit = held[at] == wanted
+            out[hit] = ranks[at[hit]]
+        return out
 
 
 @lru_cache(maxsize=4)
@@ -187,7 +211,7 @@ class TreeEncoder:
 
     def split(self, text: str) -> list[str]:
         text = self.normalised(text)
-        return (self.latin if text.isascii() or not BEYOND.search(text) else self.pattern).findall(text)
+        return (self.latin if is_latin(text) else self.pattern).findall(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Identifiers of each text as little-endian 32-bit integers.
@@ -202,7 +226,7 @@ class TreeEncoder:
         gaps: list[tuple[list, list[str], list[int]]] = []
         for text in texts:
             parts: list[list[bytes | None]] = []
-            for p in self.v.splitter.split(text):
+            for p in self.v.splitter.split(text) if any(x in text for x in special) else (text,):
                 if p in special:
                     parts.append([special[p].to_bytes(4, "little")])
                 elif p:
