@@ -42,3 +42,28 @@ def embedded(df: DataFrame, encode: Callable[[list[str]], list[list[float]]], te
             yield frame.assign(embedding=vectors)
 
     return df.mapInPandas(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, embedding array<float>")
+
+
+#: JSON Schema types of Python types.
+JSON_TYPES = {str: "string", int: "integer", float: "number", bool: "boolean", list: "array", dict: "object"}
+
+
+def tool(fn: Callable) -> Callable:
+    """Register a function under its name, with a JSON Schema of its parameters from its type hints."""
+    import inspect
+    import typing
+
+    hints = typing.get_type_hints(fn)
+    fields = {n: {"type": JSON_TYPES.get(typing.get_origin(hints.get(n)) or hints.get(n), "string")} for n in inspect.signature(fn).parameters}
+    needed = [n for n, p in inspect.signature(fn).parameters.items() if p.default is p.empty]
+    fn.schema = {"name": fn.__name__, "description": inspect.getdoc(fn) or "", "parameters": {"type": "object", "properties": fields, "required": needed}}
+    return register(fn.__name__, fn)
+
+
+def tools() -> list[dict]:
+    return [fn.schema for fn in _registry.values() if hasattr(fn, "schema")]
+
+
+def chained(search: Transform, rerank: Transform | None = None) -> Transform:
+    """A search and, if given, a reranker as one transform."""
+    return lambda queries: queries.transform(search) if rerank is None else queries.transform(search).transform(rerank)

@@ -221,11 +221,11 @@ def code_chunks(df: DataFrame, language: str, key: str = "doc_id", text: str = "
     return per_document(df, key, text, lambda t: code_units(t, language), "kind string, name string, chunk string")
 
 
-def raptor(df: DataFrame, fan: int = 5, most: int = 2000, levels: int = 10) -> DataFrame:
+def raptor(df: DataFrame, fan: int = 5, most: int = 2000, levels: int = 10, summary: Callable[[Column], Column] | None = None) -> DataFrame:
     """A tree over (doc_id, pos, text): level, node, parent, text.
 
-    Each level joins fan neighbours, cut at most characters, until every
-    document has one node. The loop runs once a level, on the driver only as a plan.
+    Each level joins fan neighbours (with summary, that of their joined texts),
+    cut at most characters, until every document has one node. The loop runs once a level, on the driver only as a plan.
     """
     level = df.select("doc_id", F.col("pos").cast("long").alias("node"), "text")
     out = None
@@ -234,5 +234,6 @@ def raptor(df: DataFrame, fan: int = 5, most: int = 2000, levels: int = 10) -> D
         out = rows if out is None else out.unionByName(rows)
         grown = level.groupBy("doc_id", F.floor(F.col("node") / fan).alias("up")).agg(F.array_sort(F.collect_list(F.struct("node", "text"))).alias("x"))
         many = level.groupBy("doc_id").agg(F.max("node").alias("last")).where("last > 0").select("doc_id")
-        level = grown.join(many, "doc_id", "left_semi").select("doc_id", F.col("up").alias("node"), F.substring(F.array_join(F.transform("x", lambda s: s["text"]), " "), 1, most).alias("text"))
+        joined = F.array_join(F.transform("x", lambda s: s["text"]), " ")
+        level = grown.join(many, "doc_id", "left_semi").select("doc_id", F.col("up").alias("node"), F.substring(summary(joined) if summary else joined, 1, most).alias("text"))
     return out

@@ -34,4 +34,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import chunk_queries, event_queries, search_queries, source_queries, store_queries, text_queries  # noqa: E402, F401
+from . import chunk_queries, event_queries, search_queries, source_queries, store_queries, stream_queries, text_queries  # noqa: E402, F401

@@ -76,7 +76,13 @@ def keywords_sql(least: int, most: int, tie: str) -> str:
 query("FUN12_keywords", keywords_sql(4, 5, "pos"))(lambda t: keywords(t, 4, 5, "pos"))
 query("FUN13_heuristic_keywords", keywords_sql(3, 8, "word"))(lambda t: keywords(t, 3, 8, "word"))
 query("FUN14_entities")(lambda t: t.documents.select("doc_id", T.entities(c("text")).alias("entities")))
-query("FUN15_summary")(lambda t: t.documents.select("doc_id", T.summary(c("text")).alias("summary")))
+query(
+    "FUN15_summary",
+    r"""WITH k AS (SELECT doc_id, text, regexp_replace(regexp_replace(text, '^\[[^\n]*?\]\s*', ''), '(?m)^#{1,6}\s+', '', 'g') AS k FROM documents),
+    s AS (SELECT doc_id, text, list_transform(string_split(regexp_replace(k, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)) AS s FROM k),
+    b AS (SELECT doc_id, text, trim(CASE WHEN len(s) < 2 OR length(s[1]) + 1 >= 150 THEN s[1] ELSE s[1] || ' ' || s[2] END) AS b FROM s)
+    SELECT doc_id, CASE WHEN trim(text) = '' THEN '' WHEN length(text) > length(b) AND NOT ends_with(b, '...') AND length(b) >= 147 THEN rtrim(left(b, 147)) || '...' ELSE b END AS summary FROM b""",
+)(lambda t: t.documents.select("doc_id", T.summary(c("text")).alias("summary")))
 docs(
     "FUN16_two_sentences",
     f"CASE WHEN len({SENTENCES}) <= 2 THEN text ELSE array_to_string(({SENTENCES})[1:2], ' ') || '...' END AS summary",
@@ -277,7 +283,13 @@ query(
     )
 )
 query("FUN51_html_markdown")(lambda t: t.pages.select("page_id", T.html_markdown(c("html")).alias("markdown")))
-query("FUN35_rst_asciidoc")(lambda t: t.documents.select("doc_id", F.sha2(T.rst_text(c("text")), 256).alias("rst"), F.sha2(T.asciidoc_text(c("text")), 256).alias("asciidoc")))
+docs(
+    "FUN35_rst_asciidoc",
+    r"""sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^\.\. .*$', '', 'g'), ':[a-z]+:`([^`]*)`', '\1', 'g'), '(?m)^[=\-~^"''*+#]{3,}\s*$', '', 'g'), '``?([^`]*)``?', '\1', 'g'))) AS rst,
+    sha256(trim(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^:[^:]+:.*$', '', 'g'), '(?m)^(----|====|\.\.\.\.)\s*$', '', 'g'), '(?m)^=+\s+', '', 'g'))) AS asciidoc""",
+    rst=lambda: F.sha2(T.rst_text(c("text")), 256),
+    asciidoc=lambda: F.sha2(T.asciidoc_text(c("text")), 256),
+)
 query("FUN54_status_names", "SELECT n_nationkey, CASE s WHEN 'grounded' THEN 'sufficient' WHEN 'no_knowledge' THEN 'absent' ELSE s END AS status FROM (SELECT n_nationkey, (['grounded', 'no_knowledge', 'partial', 'insufficient'])[(n_nationkey % 4 + 1)::INT] AS s FROM nation)")(
     lambda t: t.nation.select("n_nationkey", F.element_at(F.array(*map(F.lit, ("grounded", "no_knowledge", "partial", "insufficient"))), (c("n_nationkey") % 4 + 1).cast("int")).alias("s")).select(
         "n_nationkey", F.when(c("s") == "grounded", "sufficient").when(c("s") == "no_knowledge", "absent").otherwise(c("s")).alias("status")

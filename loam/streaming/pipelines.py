@@ -68,11 +68,12 @@ def retried(failures: DataFrame, most: int = 3, base: float = 2.0) -> DataFrame:
     return failures.withColumns({"retry_count": n, "status": F.when(n >= most, "dead").otherwise("pending"), "next_retry_at": later})
 
 
-def token_bucket(requests: DataFrame, rate: float, capacity: float, key: str = "user_id") -> DataFrame:
+def token_bucket(requests: DataFrame, rate: float, capacity: float, key: str = "user_id", forget: bool = False) -> DataFrame:
     """key, n, allowed: requests (key, t in seconds) that a bucket of capacity, refilled at rate, lets through.
 
-    The state of a key is its tokens and the time of its last request; an idle
-    key is forgotten after an hour, when its bucket is full again.
+    The state of a key is its tokens and the time of its last request. With
+    forget, a key idle for the time that fills its bucket is dropped; that keeps
+    a query alive, so a run over what is available now goes without.
     """
 
     def consume(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -89,8 +90,9 @@ def token_bucket(requests: DataFrame, rate: float, capacity: float, key: str = "
                 tokens -= 1
                 allowed += 1
         state.update((float(tokens), float(last if last is not None else 0.0)))
-        state.setTimeoutDuration(3_600_000)
+        if forget:
+            state.setTimeoutDuration(max(1, int(1000 * capacity / rate)))
         yield pd.DataFrame({key: [k[0]], "n": [n], "allowed": [allowed]})
 
     kind = dict(requests.dtypes)[key]
-    return requests.groupBy(key).applyInPandasWithState(consume, f"{key} {kind}, n long, allowed long", "tokens double, last double", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return requests.groupBy(key).applyInPandasWithState(consume, f"{key} {kind}, n long, allowed long", "tokens double, last double", "update", GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout)
