@@ -18,19 +18,36 @@ def daily_usage(events: DataFrame) -> DataFrame:
     return events.groupBy(day_of(F.col("ts")).alias("day")).agg(F.count("*").alias("queries"), F.countDistinct("user_id").alias("users"), F.round(F.sum("value"), 4).alias("value"))
 
 
+#: Ranges that a group's values are dealt into before any are put in order.
+RANGES = 1024
+
+
+def ranges_of(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, value, times and range: distinct values with their counts, dealt evenly between the group's extremes."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("times"))
+    ends = counted.groupBy(*by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    place = F.coalesce(F.try_divide((F.col(value) - F.col("_low")) * RANGES, F.col("_high") - F.col("_low")), F.lit(0.0))
+    return counted.join(ends, by).withColumn("range", F.least(F.lit(RANGES - 1), F.floor(place)).cast("int")).drop("_low", "_high")
+
+
 def percentile(df: DataFrame, by: list[str], value: str, qs: dict[str, tuple[float, int]]) -> DataFrame:
     """sorted[min(int(n * q), n - 1)] by group, and 0 up to a number of values (name -> (q, number)).
 
-    Values are counted and numbered within the group, so no list is gathered:
-    a group's rows are sorted on disk where memory does not hold them.
+    Equal values are counted, and the counts dealt into RANGES ranges; only the
+    ranges that hold a wanted place are put in order. So no task orders a whole
+    group, however large one is.
     """
+    spread = ranges_of(df, by, value)
+    sums = spread.groupBy(*by, "range").agg(F.sum("times").alias("rows"))
     w = Window.partitionBy(*by)
-    ranked = df.where(F.col(value).isNotNull()).withColumn("r", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count("*").over(w))
-    aggs = []
-    for name, (q, few) in qs.items():
-        place = F.least(F.floor(F.col("n") * F.lit(q)), F.col("n") - 1)
-        aggs.append(F.coalesce(F.max(F.when((F.col("r") == place) & (F.col("n") > few), F.col(value))), F.lit(0.0)).alias(name))
-    return ranked.groupBy(*by).agg(*aggs)
+    sums = sums.withColumn("upto", F.sum("rows").over(w.orderBy("range"))).withColumn("n", F.sum("rows").over(w))
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(q)).alias("q"), F.lit(few).alias("few")) for name, (q, few) in qs.items()])
+    asked = sums.withColumn("x", F.explode(wanted)).withColumn("place", F.least(F.floor(F.col("n") * F.col("x.q")), F.col("n") - 1))
+    asked = asked.where((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("rows")))
+    asked = asked.select(*by, "range", "x.name", "x.few", "n", (F.col("place") - F.col("upto") + F.col("rows")).alias("inside"))
+    ordered = spread.join(asked, [*by, "range"]).withColumn("end", F.sum("times").over(Window.partitionBy(*by, "range", "name").orderBy(value)))
+    hit = ordered.where((F.col("inside") < F.col("end")) & (F.col("inside") >= F.col("end") - F.col("times")))
+    return hit.groupBy(*by).agg(*[F.max(F.when(F.col("name") == name, F.when(F.col("n") > F.col("few"), F.col(value)).otherwise(F.lit(0.0)))).alias(name) for name in qs])
 
 
 def trend(current: Column, previous: Column) -> Column:

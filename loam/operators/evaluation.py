@@ -84,15 +84,25 @@ def grounding(df: DataFrame, threshold: float = 0.25) -> DataFrame:
 def calibrated(df: DataFrame) -> DataFrame:
     """threshold, f1: the score cutoff of best F1 over (score, label); observed scores beat midpoints, then the lower.
 
-    Candidates are the distinct scores and the midpoints between neighbours;
-    one sort gives true and false positives of each.
+    Candidates are the distinct scores and the midpoints between neighbours.
+    True and false positives are running sums, first over ranges of scores, of
+    which there is a fixed number, and then inside each range.
     """
     from pyspark.sql import Window
 
-    counts = df.groupBy("score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
-    down = Window.orderBy(F.desc("score"))
-    total = df.agg(F.count_if(F.col("label") == 1).alias("all_pos"))
-    steps = counts.select("score", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.lead("score").over(down).alias("next"))
+    from .analytics import ranges_of
+
+    one = df.withColumn("_all", F.lit(1))
+    counts = one.groupBy("_all", "score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
+    counts = counts.join(ranges_of(one, ["_all"], "score").select("score", "range"), "score")
+    coarse = counts.groupBy("range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.max("score").alias("top"))
+    above = Window.orderBy(F.desc("range"))
+    before = above.rowsBetween(Window.unboundedPreceding, -1)
+    coarse = coarse.select("range", F.coalesce(F.sum("p").over(before), F.lit(0)).alias("tp0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("fp0"), F.lead("top").over(above).alias("below"))
+    total = counts.agg(F.sum("pos").alias("all_pos"))
+    down = Window.partitionBy("range").orderBy(F.desc("score"))
+    steps = counts.select("range", "score", F.sum("pos").over(down).alias("tp1"), F.sum("neg").over(down).alias("fp1"), F.lead("score").over(down).alias("near")).join(F.broadcast(coarse), "range")
+    steps = steps.select("score", (F.col("tp0") + F.col("tp1")).alias("tp"), (F.col("fp0") + F.col("fp1")).alias("fp"), F.coalesce("near", "below").alias("next"))
     steps = steps.crossJoin(F.broadcast(total)).withColumn("f1", F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("all_pos")), F.lit(0.0)))
     both = steps.select("score", "f1", F.lit(1).alias("seen")).union(steps.where("next is not null").select((F.col("score") + F.col("next")) / 2, "f1", F.lit(0)))
     return both.agg(F.max_by("score", F.struct("f1", "seen", -F.col("score"))).alias("threshold"), F.max("f1").alias("f1"))
