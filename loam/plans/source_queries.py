@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.plugins import embedded
+from ..session import shared_dir
 from ..sources import readers as R
 from ..sources import sinks as K
 from ..streaming.pipelines import retried
@@ -17,8 +16,7 @@ c = F.col
 
 
 def folder(t: Tables, name: str) -> str:
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/loam-{name}-{uuid.uuid4().hex}"
+    return shared_dir(t.spark, name)
 
 
 def raw(df: DataFrame, **fields) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -43,3 +44,23 @@ def ship_code(spark: SparkSession) -> None:
         shutil.copy(archive, kept)
     context.addPyFile(str(kept))
     context._loam_shipped = True
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new path below spark.checkpoint.dir, which every executor can read; removed when the driver ends.
+
+    Where that setting is absent (tests, a single machine) the session's
+    warehouse serves instead.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/loam-{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back; cuts lineage and survives lost executors."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
