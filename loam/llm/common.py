@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -13,11 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..session import ship_code
+from ..session import ship_code, stored
 
 #: Characters of text handled at once inside a Python worker; bounds its lists of words.
 SLICE_CHARS = 2_000_000
 
+__all__ = ["as_bytes", "documents", "hold", "id_bucket", "labels", "map_texts", "memory", "release", "slices", "stored"]
+
 #: Word memories by operator; a worker keeps those of one operator at a time.
 _memories: dict[str, list[dict]] = {}
 _holder: list[str] = [""]
@@ -68,24 +69,6 @@ def id_bucket(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(n)
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, which every executor can read.
-
-    Where that setting is absent (tests, a single machine) the session's
-    warehouse serves instead.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/loam-{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back; cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[slice]:
     """Cut a list of texts into runs of about limit characters, one text at least."""
     start = size = 0
