@@ -131,7 +131,7 @@ query("FLT14_strips", f"SELECT doc_id, i - 1 AS at, s AS strip FROM (SELECT doc_
 query("AGG25_semantic_groups", "SELECT source || lang AS key, count(*) AS n, round(avg(n_chars), 6) AS score, min(doc_id) AS first, length(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS chars FROM documents GROUP BY 1")(
     lambda t: t.documents.groupBy(F.concat("source", "lang").alias("key")).agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("score"), F.min("doc_id").alias("first"), F.length(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda s: s["text"]), "\n\n")).cast("long").alias("chars"))
 )
-query("AGG26_semantic_packs", "SELECT source AS key, sum(length(text)) + (count(*) - 1) * 7 AS chars, array_to_string(list_sort(list_distinct(list(lang))), ',') AS keywords FROM documents GROUP BY 1")(
+query("AGG26_semantic_packs", "SELECT source AS key, (sum(length(text)) + (count(*) - 1) * 7)::BIGINT AS chars, array_to_string(list_sort(list_distinct(list(lang))), ',') AS keywords FROM documents GROUP BY 1")(
     lambda t: t.documents.groupBy(c("source").alias("key")).agg((F.sum(F.length("text")) + (F.count("*") - 1) * 7).alias("chars"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("keywords"))
 )
 query("CMP07_assembled", f"WITH u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS r FROM documents) WHERE r = 1), b AS (SELECT source, doc_id, sum(length(text) // 4) OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS used FROM u) SELECT source, count(*) AS chunks FROM b WHERE used <= 20000 GROUP BY 1")(
