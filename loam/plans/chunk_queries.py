@@ -103,10 +103,12 @@ query("FUN58_path_text")(lambda t: G.paths(t.nation.select((c("n_nationkey") * 1
 query("SRC19_graph_merge", f"WITH {NODES} SELECT src, dst, max(w) AS w FROM e GROUP BY ALL")(lambda t: edges(t).groupBy("src", "dst").agg(F.max("w").alias("w")))
 query("AGG27_entity_dedup", "SELECT o_custkey AS id, max(o_orderkey) AS last, count(DISTINCT o_orderstatus) AS kinds FROM orders GROUP BY 1")(lambda t: t.orders.groupBy(c("o_custkey").alias("id")).agg(F.max("o_orderkey").alias("last"), F.countDistinct("o_orderstatus").alias("kinds")))
 
-# ---- generation metrics: each document's head against the next one's
+# ---- generation metrics: each document's head, or whole text, against the next one's
 
 heads = lambda t: t.documents.select(c("doc_id").alias("id"), F.lower(F.substring("text", 1, 300)).alias("h")).join(t.documents.select((c("doc_id") - 1).alias("id"), F.lower(F.substring("text", 1, 300)).alias("r")), "id")
 
+whole = lambda t: t.documents.select(c("doc_id").alias("id"), F.lower("text").alias("h")).join(t.documents.select((c("doc_id") - 1).alias("id"), F.lower("text").alias("r")), "id")
+
 
 @query(
     "EVA21_bleu",
@@ -132,13 +134,16 @@ def bleu(t: Tables) -> DataFrame:
 
 
 def common_length(a: list, b: list) -> int:
-    """Length of the longest common subsequence, in one row of memory."""
-    row = [0] * (len(b) + 1)
+    """Length of the longest common subsequence, one bit of a long number for each element of b."""
+    places: dict = {}
+    for j, y in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
     for x in a:
-        corner = 0
-        for j, y in enumerate(b, 1):
-            corner, row[j] = row[j], corner + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+        if at := row & places.get(x, 0):
+            row = (row + at | row - at) & full
+    return len(b) - row.bit_count()
 
 
 @query("EVA22_rouge_l")
@@ -149,7 +154,7 @@ def rouge(t: Tables) -> DataFrame:
     def lcs(h: pd.Series, r: pd.Series) -> pd.Series:
         return pd.Series([common_length(list(x), list(y)) for x, y in zip(h, r, strict=True)])
 
-    p = heads(t).select(T.pieces(c("h")).alias("h"), T.pieces(c("r")).alias("r")).withColumn("n", lcs("h", "r"))
+    p = whole(t).select(T.pieces(c("h")).alias("h"), T.pieces(c("r")).alias("r")).withColumn("n", lcs("h", "r"))
     m = p.agg(F.avg(c("n") / F.greatest(F.lit(1), F.size("h"))).alias("p"), F.avg(c("n") / F.greatest(F.lit(1), F.size("r"))).alias("r"))
     return m.select(F.round("p", 6).alias("precision"), F.round("r", 6).alias("recall"), F.round(2 * c("p") * c("r") / F.greatest(F.lit(1e-10), c("p") + c("r")), 6).alias("f1"))
 
@@ -184,5 +189,5 @@ query("FUN52_code_blocks", r"WITH m AS (SELECT doc_id, 'x' || chr(10) || '----'
 query("TOP14_routes", f"SELECT item_id, CASE WHEN n <= 5 THEN 'direct' WHEN n <= 60 THEN 'single' ELSE 'multi' END AS route FROM (SELECT item_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n FROM benchmark)")(
     lambda t: t.benchmark.select("item_id", F.size(T.pieces(c("text"))).alias("n")).select("item_id", F.when(c("n") <= 5, "direct").when(c("n") <= 60, "single").otherwise("multi").alias("route"))
 )
-query("EVA33_self_critique")(lambda t: heads(t).select("id", F.round(T.support(T.word_set(c("h")), T.word_set(c("r"))), 6).alias("support")))
+query("EVA33_self_critique")(lambda t: whole(t).select("id", F.round(T.support(T.word_set(c("h")), T.word_set(c("r"))), 6).alias("support")))
 query("EVA36_intent_export")(lambda t: t.conversations.where("role = 'user'").select("conv_id", "turn", T.language(c("text")).alias("lang"), T.intent(c("text"), T.language(c("text"))).alias("intent")))
