@@ -16,6 +16,9 @@ c = F.col
 
 MARKED = "CASE WHEN doc_id % 2 = 0 THEN '# Part ' || doc_id || chr(10) || left(text, 200) || chr(10) || '## Rest' || chr(10) || substr(text, 201, 300) ELSE left(text, 100) END"
 marked = lambda t: t.documents.select("doc_id", F.expr(MARKED.replace("substr(", "substring(")).alias("text"))
+FIRST = r"regexp_extract(text, r'(?s)^.{0,200}\S*', 0)"
+WHOLE = f"CASE WHEN doc_id % 2 = 0 THEN '# Part ' || doc_id || chr(10) || {FIRST} || chr(10) || '## Rest' || chr(10) || substring(text, length({FIRST}) + 1) ELSE text END"
+whole_marked = lambda t: t.documents.select("doc_id", F.expr(WHOLE).alias("text"))
 query(
     "CHK01_heading_sections",
     rf"""WITH m AS (SELECT doc_id, {MARKED} AS text FROM documents), p AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '(?m)^(#{{1,3}}\s+\S)', chr(1) || '\1', 'g'), chr(1)), lambda x: regexp_matches(x, '^#{{1,3}}\s+\S')) AS p, text FROM m),
@@ -27,16 +30,16 @@ query("CHK02_packed_paragraphs")(lambda t: C.pack(t.documents, most=400, least=4
 query("CHK03_merged_short")(lambda t: C.pack(t.documents, most=200, least=80, split=r"\n"))
 query("CHK04_html_chunks")(lambda t: C.pack(t.pages.select(c("page_id").alias("doc_id"), T.html_text(c("html")).alias("text")), most=200, least=40, split=r"\n"))
 query("CHK05_heading_index", "WITH d AS (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) SELECT doc_id, 'Part ' || doc_id AS heading, 'Rest' AS children FROM d")(
-    lambda t: C.heading_sections(marked(t)).where("heading <> 'root'").withColumn("parent", F.last(F.when(c("level") == 1, c("heading")), ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1))).groupBy("doc_id").agg(
+    lambda t: C.heading_sections(whole_marked(t)).where("heading <> 'root'").withColumn("parent", F.last(F.when(c("level") == 1, c("heading")), ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1))).groupBy("doc_id").agg(
         F.max(F.when(c("level") == 1, c("heading"))).alias("heading"), F.array_join(F.array_sort(F.collect_list(F.when((c("level") > 1) & c("parent").isNotNull(), c("heading")))), ",").alias("children")
     )
 )
 query("CHK06_document_chunk", "SELECT doc_id, 'doc' || doc_id || chr(10) || left(text, 500) AS chunk FROM documents")(lambda t: t.documents.select("doc_id", F.concat(F.lit("doc"), c("doc_id"), F.lit("\n"), F.substring("text", 1, 500)).alias("chunk")))
-query("CHK07_enriched_chunks")(lambda t: C.heading_sections(marked(t)).select("doc_id", "position", F.concat_ws("\n", F.concat(F.lit("Section: "), c("heading")), T.two_sentences(c("content"))).alias("chunk")))
+query("CHK07_enriched_chunks")(lambda t: C.heading_sections(whole_marked(t)).select("doc_id", "position", F.concat_ws("\n", F.concat(F.lit("Section: "), c("heading")), T.two_sentences(c("content"))).alias("chunk")))
 query("CHK08_adaptive")(lambda t: C.adaptive_chunks(t.documents))
 query("CHK09_code_chunks")(lambda t: C.code_chunks(t.documents.select("doc_id", F.format_string("def f%s():\n    return %s\n\n\nclass C%s:\n    pass\n", c("doc_id"), c("n_chars"), c("doc_id")).alias("text")), "python"))
 query("CHK10_chapters", r"WITH d AS (SELECT doc_id, 'Chapter ' || doc_id || chr(10) || left(text, 50) || chr(10) || 'Section 2' || chr(10) || 'end' AS t FROM documents) SELECT doc_id, unnest(['Chapter ' || doc_id, 'Section 2']) AS title FROM d")(
-    lambda t: t.documents.select("doc_id", F.explode(C.chapters(F.concat(F.lit("Chapter "), c("doc_id"), F.lit("\n"), F.regexp_replace(F.substring("text", 1, 50), r"\n", "\n "), F.lit("\nSection 2\nend")))).alias("s")).select("doc_id", "s.title")
+    lambda t: t.documents.select("doc_id", F.explode(C.chapters(F.concat(F.lit("Chapter "), c("doc_id"), F.lit("\n"), "text", F.lit("\nSection 2\nend")))).alias("s")).select("doc_id", "s.title")
 )
 query("CHK11_full_pipeline")(
     lambda t: C.pack(t.documents, most=300, least=40, split=r"\n").select("doc_id", "position", F.concat(F.lit("Document: doc"), c("doc_id"), F.lit("\n\n"), c("chunk")).alias("chunk"), T.boilerplate_reason(c("chunk")).alias("reason"), T.entities(c("chunk")).alias("entities")).where("reason = ''")
@@ -176,7 +179,7 @@ query("FUN53_json_escapes", r"""SELECT doc_id, regexp_replace(left(text, 50) ||
     lambda t: t.documents.select("doc_id", F.regexp_replace(F.concat(F.substring("text", 1, 50), F.lit(r"\d\n")), r"""\\([^"\\/bfnrtu])""", "$1").alias("fixed"))
 )
 query("FUN34_markdown_links", r"WITH m AS (SELECT doc_id, '[doc' || doc_id || '](http://x/' || doc_id || ') ' || left(text, 100) AS t FROM documents) SELECT doc_id, array_to_string(regexp_extract_all(t, '\[([^\]]+)\]\(([^)]+)\)', 2), ' ') AS links FROM m")(
-    lambda t: t.documents.select("doc_id", F.concat(F.lit("[doc"), "doc_id", F.lit("](http://x/"), "doc_id", F.lit(") "), F.substring("text", 1, 100)).alias("t")).select("doc_id", F.array_join(T.matches(c("t"), r"\[([^\]]+)\]\(([^)]+)\)", 2), " ").alias("links"))
+    lambda t: t.documents.select("doc_id", F.concat(F.lit("[doc"), "doc_id", F.lit("](http://x/"), "doc_id", F.lit(") "), "text").alias("t")).select("doc_id", F.array_join(T.matches(c("t"), r"\[([^\]]+)\]\(([^)]+)\)", 2), " ").alias("links"))
 )
 query("FUN32_html_tables")(
     lambda t: t.nation.select("n_nationkey", F.format_string("<table><tr><th>k</th><th>name</th></tr><tr><td>%s</td><td>%s</td></tr></table>", "n_nationkey", "n_name").alias("html")).select(

@@ -71,7 +71,7 @@ def chats(t: Tables) -> DataFrame:
 
 
 query("SRC10_chat_exports", "SELECT role, count(*) AS n, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY 1")(lambda t: R.conversations(chats(t)).groupBy("role").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")))
-query("SRC11_markup_docs")(lambda t: R.markup_sections(t.documents.select("doc_id", F.concat(F.lit("# T\n"), F.substring("text", 1, 200), F.lit("\n[a](b)")).alias("text")), F.lit("md")).drop("text"))
+query("SRC11_markup_docs")(lambda t: R.markup_sections(t.documents.select("doc_id", F.concat(F.lit("# T\n"), "text", F.lit("\n[a](b)")).alias("text")), F.lit("md")).drop("text"))
 query("SRC13_images", "SELECT page_id, '/i' || page_id || '.png' AS src, 'x' AS alt FROM pages")(lambda t: R.images(t.pages.select("page_id", F.format_string('<p><img src="/i%s.png" alt="x"></p>', "page_id").alias("html"))))
 
 

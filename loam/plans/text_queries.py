@@ -313,10 +313,11 @@ query("FUN60_canary_phase", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discou
     )
 )
 RU = "CASE doc_id % 3 WHEN 0 THEN 'Как работает поиск ' || doc_id || '. Что такое ранг?' WHEN 1 THEN 'Почему ' || left(text, 120) ELSE text END"
+RU_WHOLE = "CASE doc_id % 3 WHEN 0 THEN 'Как работает поиск ' || doc_id || '. Что такое ранг?' WHEN 1 THEN 'Почему ' || text ELSE text END"
 query(
     "FUN61_questions",
     rf"""SELECT doc_id, array_to_string(list_filter(list_transform(regexp_extract_all(q, '(Как|Что такое|Почему|Зачем|Где)([^.!?]+)'), lambda x: trim(x) || '?'), lambda x: length(x) < 100)[1:3], '¦') AS questions FROM (SELECT doc_id, {RU} AS q FROM documents)""",
-)(lambda t: t.documents.select("doc_id", F.array_join(T.questions(F.expr(RU)), "¦").alias("questions")))
+)(lambda t: t.documents.select("doc_id", F.array_join(T.questions(F.expr(RU_WHOLE)), "¦").alias("questions")))
 
 # ---- filters on text
 

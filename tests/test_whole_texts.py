@@ -43,3 +43,28 @@ def test_overlap_of_whole_texts(asked):
     [row] = asked("EVA33_self_critique", a, b)
     # words {x, one, two, three, four} and {y, one, three, four}: half cosine, half containment
     assert row.support == pytest.approx(0.5 * 3 / 20**0.5 + 0.5 * 3 / 5, abs=1e-6)
+
+
+FAR = "word " * 200
+
+
+def test_sections_behind_the_start(asked):
+    text = FAR + "\n## Late\nlast words"
+    assert [(r.doc_id, r.heading, r.children) for r in asked("CHK05_heading_index", text)] == [(0, "Part 0", "Late,Rest")]
+    # a word that the 200th character would cut makes no heading
+    assert [r.children for r in asked("CHK05_heading_index", "x" * 199 + "### y")] == ["Rest"]
+    chunks = [r.chunk for r in sorted(asked("CHK07_enriched_chunks", text, text), key=lambda r: (r.doc_id, r.position))]
+    assert [x.split("\n")[0] for x in chunks] == ["Section: Part 0", "Section: Rest", "Section: Late", "Section: Late"] and chunks[2].endswith("last words")
+    assert [r.title for r in asked("CHK10_chapters", FAR + "\nChapter 77\nmore")] == ["Chapter 0", "Chapter 77", "Section 2"]
+
+
+def test_links_behind_the_start(asked):
+    text = FAR + "[far](http://far)"
+    assert [r.links for r in asked("FUN34_markdown_links", text)] == ["http://x/0 http://far"]
+    [row] = asked("SRC11_markup_docs", text + "\n## Late")
+    assert row.headings == 2 and row.links == ["http://far", "b"]
+
+
+def test_questions_behind_the_start(asked):
+    rows = asked("FUN61_questions", "", "a" * 150 + ". Где лежит ключ?")
+    assert {r.doc_id: r.questions for r in rows}[1] == "Где лежит ключ?"
