@@ -27,6 +27,13 @@ CONTEXT = re.compile(
     re.I | re.A,
 )
 REACH = 48
+#: What may stand between a candidate in such a context and the next, which is then in it too: dots,
+#: short segments between dots, an escape or line breaks.
+JOIN = re.compile(r"(?:\.[A-Za-z0-9+/_=~-]{0,15})*\.|\\|(?:[\x20\t\"',\\]*(?:\r\n?|\n))+[\x20\t\"'>]*")
+#: A private key is in a sensitive context as a whole; its last line may be shorter than a candidate.
+KEY_BEGIN = re.compile(r"-----BEGIN [A-Z0-9\x20]*PRIVATE KEY(?: BLOCK)?-----")
+KEY_END = "-----END"
+KEY_TAIL = re.compile(r"(?:\s|\\[rn])([A-Za-z0-9+/=]{1,15})(?:\s|\\[rn])*\Z")
 #: Characters before and after a candidate that prime the compressor.
 AROUND = 512
 #: Compressed bytes that a candidate adds, per character, from which it is reported.
@@ -107,20 +114,67 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 LONG_HEX = re.compile(HEX.pattern[:-1] + "{%d,}" % LEAST["hex"])
 
 
+def key_blocks(text: str) -> list[tuple[int, int]]:
+    """What stands between the first and last line of each private key."""
+    found, at = [], 0
+    while m := KEY_BEGIN.search(text, at):
+        end = text.find(KEY_END, m.end())
+        if end < 0:
+            break
+        found.append((m.end(), end))
+        at = end
+    return found
+
+
+def without_copies(text: str, word: str, start: int, end: int, places: list[tuple[int, int]], at: int, step: int) -> str:
+    """text[start:end] without the candidates there that share 16 characters with word.
+
+    places are all candidates of text; those from number at on, in direction
+    step, are looked at until one lies outside.
+    """
+    parts = {word[i : i + 16] for i in range(len(word) - 15)}
+    cuts = []
+    while 0 <= at < len(places) and places[at][0] < end and places[at][1] > start:
+        a, b = places[at]
+        if any(text[i : i + 16] in parts for i in range(a, b - 15)):
+            cuts.append((max(a, start), min(b, end)))
+        at += step
+    out, last = [], start
+    for a, b in sorted(cuts):
+        out.append(text[last:a])
+        last = b
+    return "".join([*out, text[last:end]])
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, str]], least: float = NOVEL) -> list[tuple[int, int, str]]:
-    """Candidates in a sensitive context that no base span touches and that do not compress."""
+    """Candidates in a sensitive context that no base span touches and that do not compress.
+
+    Copies of a candidate nearby do not count as surroundings. A candidate that
+    a dot or a line break joins to one in a sensitive context is in it too.
+    """
     found = []
-    for m in CANDIDATE.finditer(text):
-        start, end = m.span()
-        word = m.group()
-        if not any(c.isdigit() for c in word) or not any(c.isalpha() for c in word):
+    places = [m.span() for m in CANDIDATE.finditer(text)]
+    keys = key_blocks(text) if KEY_END in text else []
+    sensitive = -1
+    for at, (start, end) in enumerate(places):
+        joined = sensitive >= 0 and JOIN.fullmatch(text, sensitive, start)
+        if not joined and not CONTEXT.search(text, max(0, start - REACH), start) and not any(a <= start < b for a, b in keys):
+            sensitive = -1
             continue
-        if not CONTEXT.search(text, max(0, start - REACH), start):
+        sensitive = end
+        word = text[start:end]
+        if not any(c.isdigit() for c in word) or not any(c.isalpha() for c in word):
             continue
         if any(a < end and start < b for a, b, _ in taken):
             continue
-        if novelty(word, text[max(0, start - AROUND) : start], text[end : end + AROUND]) >= least:
+        before = without_copies(text, word, max(0, start - AROUND), start, places, at - 1, -1)
+        after = without_copies(text, word, end, min(len(text), end + AROUND), places, at + 1, 1)
+        if novelty(word, before, after) >= least:
             found.append((start, end, "novel"))
+    for a, b in keys:
+        tail = KEY_TAIL.search(text, max(a, b - AROUND), b)
+        if tail and any(x < b and a < y for x, y, _ in found) and not any(x < tail.end(1) and tail.start(1) < y for x, y, _ in taken + found):
+            found.append((*tail.span(1), "novel"))
     return found
 
 
