@@ -92,3 +92,15 @@ def late_interaction(query: Column, document: Column) -> Column:
     """Mean over query vectors of the largest cosine with a document vector, 0 at least."""
     best = F.transform(query, lambda q: F.greatest(F.lit(0.0), F.array_max(F.transform(document, lambda d: cosine(q, d)))))
     return F.coalesce(F.try_divide(F.aggregate(best, F.lit(0.0), lambda s, x: s + x), F.size(query)), F.lit(0.0))
+
+
+def multi_vector_search(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """query_id, doc_id, max_sim, rank: the k rows of corpus with the largest late interaction.
+
+    Both have (id, vectors array<array<float>>). Every query meets every row but
+    its own; scores are rounded, ties by id.
+    """
+    asked = queries.select(F.col("id").cast("long").alias("query_id"), F.col("vectors").alias("q"))
+    pairs = corpus.select(F.col("id").cast("long").alias("doc_id"), F.col("vectors").alias("d")).join(asked, F.col("query_id") != F.col("doc_id"))
+    scored = pairs.select("query_id", "doc_id", F.round(late_interaction(F.col("q"), F.col("d")), digits).alias("max_sim"))
+    return top_k(scored, k, score="max_sim")

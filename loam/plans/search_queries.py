@@ -101,7 +101,8 @@ query(
 )
 query("RET09_hyde_search")(lambda t: dense(t, 5))
 query("RET10_cross_modal")(lambda t: dense(t, 5).where("score > 0"))
-query("RET11_multi_vector")(lambda t: dense(t, 10).withColumnRenamed("score", "max_sim"))
+tokens = lambda t: vectors(t).select("id", F.array(*[part(c("embedding"), i) for i in range(4)]).alias("vectors"))
+query("RET11_multi_vector")(lambda t: V.multi_vector_search(tokens(t).where(c("id") % 20 == 0), tokens(t), 10))
 
 # ---- thresholds, knees, orders: scores shifted so that the fixed cutoffs bite
 

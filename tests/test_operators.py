@@ -3,11 +3,13 @@
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
 from loam.operators import acl, analytics, chunking, compression, evaluation, graph, ranking, vectors, versioning
+from loam.plans import registry
 
 HOLDOUT = [
     ("d1 d2 d4 d5 d7 d9 d12", "d1 d2 d4"),
@@ -88,6 +90,17 @@ def test_dense_search_blocks(spark, monkeypatch):
     assert vectors.dense_search(v.limit(0), v, 3).count() == 0
 
 
+def test_multi_vector_search_against_force(spark, sf):
+    rows = {r.vec_id: np.array(r.embedding, np.float64).reshape(4, 16) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    unit = {i: v / np.linalg.norm(v, axis=1, keepdims=True) for i, v in rows.items()}
+    expected = {}
+    for q in (i for i in rows if i % 20 == 0):
+        scores = [(-round(float(np.maximum(0, (unit[q] @ unit[d].T).max(axis=1)).mean()), 6), d) for d in rows if d != q]
+        expected |= {(q, n): -score for n, (score, _) in enumerate(sorted(scores)[:10], 1)}
+    got = {(r.query_id, r.rank): r.max_sim for r in registry.QUERIES["RET11_multi_vector"](spark, sf).collect()}
+    assert got == pytest.approx(expected, abs=2e-6)
+
+
 def test_percentiles(spark):
     df = spark.createDataFrame([("a", float(x)) for x in (4, 1, 3, 2)] + [("b", 9.0), ("c", None)], "g string, v double")
     out = {r.g: (r.p50, r.p95, r.p99) for r in analytics.percentile(df, ["g"], "v", {"p50": (0.5, 0), "p95": (0.95, 1), "p99": (0.99, 2)}).collect()}
