@@ -26,9 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies (five words, similarity 0.8): that of least doc_id."""
-    groups = minhash.near_duplicates(docs, k=5, percent=80)
-    gone = groups.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti").dropDuplicates(["doc_id", "text"])
+    gone = minhash.judged(docs, k=5, percent=80).where(~F.col("first")).select("row").distinct()
+    return docs.join(gone, minhash.row_key() == gone["row"], "left_anti").dropDuplicates(["doc_id", "text"])
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

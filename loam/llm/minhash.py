@@ -28,8 +28,6 @@ PER_LONG = 64 // BITS
 SLACK = 0.22
 #: Pairs confirmed in one task's group.
 GROUP = 256
-#: Identifiers of rows without one start here.
-NAMELESS = 1 << 62
 
 _rng = np.random.default_rng(20240229)
 FACTORS = _rng.integers(1 << 62, (1 << 63) - 1, MINIMA, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
@@ -190,6 +188,11 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def row_key(text: str = "text") -> Column:
+    """Hash of a row's doc_id and text."""
+    return F.xxhash64("doc_id", F.col(text))
+
+
 def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of df.
 
@@ -197,29 +200,37 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, text: str = "t
     of k-word shingles (words without A-Z case; fewer than k words are one
     shingle). component_id is the least doc_id reachable, kept means that it is
     the row's own. A null or empty text, or one without words, is linked with
-    nothing. Repeated rows are linked and each kept if the first is. A row
-    without doc_id takes part, has no doc_id to give its component, and is not
-    kept if that has one (component_id null: no row there has one, kept).
-    An empty table gives no rows. doc_id must be below 2**62.
+    nothing. Repeated rows are linked and each kept if the first is; texts that
+    only share a doc_id are not. A row without doc_id takes part, has no doc_id
+    to give its component, and is not kept if that has one (component_id null:
+    no row there has one, kept). An empty table gives no rows.
 
     A pair at the threshold shares no band with probability
     (1 - 0.8 ** ROWS) ** BANDS, 3 in a million; candidates are never capped.
     """
-    keyed = df.select("doc_id", text, F.xxhash64("doc_id", F.col(text)).alias("row"))
+    return judged(df, k, percent, text).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def judged(df: DataFrame, k: int, percent: int, text: str = "text") -> DataFrame:
+    """near_duplicates with the row_key of each row, and whether it is the first of its component.
+
+    The first has the least doc_id, rows without one last, then the least key;
+    rows of equal doc_id and text are first together.
+    """
+    keyed = df.select("doc_id", text, row_key(text).alias("row"))
     rows = stored(map_texts(keyed, lambda texts: signatures(texts, k), SIGNATURE, ("doc_id", "row"), text), "signatures")
-    node = F.coalesce(F.col("doc_id").cast(LongType()), F.lit(NAMELESS) + F.xxhash64("set_1", "set_2").bitwiseAND(F.lit((1 << 61) - 1)))
-    one = F.struct(node.alias("node"), "row")
+    one = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").cast(LongType()).alias("doc"), "row")
     classes = (
         rows.where("n_shingles > 0")
         .groupBy("set_1", "set_2")
         .agg(F.min(one).alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("packed").alias("packed"), F.first("bands").alias("bands"))
-        .select("set_1", "set_2", "one.node", "one.row", "n_shingles", "packed", "bands")
+        .select("set_1", "set_2", F.xxhash64("set_1", "set_2").alias("node"), "one", "n_shingles", "packed", "bands")
     )
     classes = stored(classes, "classes")
     every = classes.select("node", F.explode("bands").alias("key"))
     shared = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = stored(every.join(shared, "key", "left_semi"), "members")
-    wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("row", "node")
+    wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("one.row", "node")
     texts = keyed.join(wanted, "row").select("node", F.col(text).alias("text"))
     sets = stored(map_texts(texts, lambda found: [[shingles(t, k).view(np.int64) for t in found]], "items array<long>", ("node",)).dropDuplicates(["node"]), "sets")
 
@@ -229,8 +240,10 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, text: str = "t
     links = stored(confirmed(stored(pairs.where(likely(percent)).select("a", "b"), "pairs"), sets, percent), "links")
     rest = stored(rest_links(members, components(links), classes, sets, percent), "links")
     component = components(links.union(rest))
-    placed = with_component(classes.select("set_1", "set_2", "node"), component)
-    placed = placed.withColumn("component_id", F.when(F.col("component") < NAMELESS, F.col("component"))).select("set_1", "set_2", "component_id", F.lit(True).alias("placed"))
-    out = rows.select("doc_id", "n_shingles", "set_1", "set_2").join(placed, ["set_1", "set_2"], "left")
-    component_id = F.when(F.col("placed") & (F.col("n_shingles") > 0), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept"))
+    placed = with_component(classes.select("set_1", "set_2", "node", "one"), component)
+    least = placed.groupBy("component").agg(F.min("one").alias("least"))
+    placed = placed.join(least, "component").select("set_1", "set_2", F.col("least.doc").alias("component_id"), F.col("least.row").alias("first_row"), F.lit(True).alias("placed"))
+    out = rows.select("doc_id", "row", "n_shingles", "set_1", "set_2").join(placed, ["set_1", "set_2"], "left")
+    linked = F.coalesce(F.col("placed") & (F.col("n_shingles") > 0), F.lit(False))
+    component_id = F.when(linked, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "row", "n_shingles", component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept"), (~linked | (F.col("row") == F.col("first_row"))).alias("first"))

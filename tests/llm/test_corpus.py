@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from loam.llm import blocks, katz, minhash, rlz
 
 
@@ -77,6 +78,24 @@ def test_near_duplicates_edges(spark):
     assert [(r.doc_id, r.component_id, r.kept) for r in got] == [(7, 7, True), (7, 7, True), (9, 9, True), (None, None, True), (None, 7, False)]
 
 
+def test_near_duplicates_judges_each_text_of_a_doc_id(spark):
+    rng = random.Random(6)
+    a, b = (" ".join(str(rng.getrandbits(30)) for _ in range(100)) for _ in "ab")
+    rows = [(5, a), (5, b), (1, a + " more"), (2, b + " more"), (1 << 62, a)]
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
+    assert got == {(5, 97, 1, False), (5, 97, 2, False), (1, 98, 1, True), (2, 98, 2, True), (1 << 62, 97, 1, False)}
+
+
+def test_near_duplicate_stage_drops_only_copies(spark, sf):
+    rng = random.Random(8)
+    a, b, other, lone, twin = (" ".join(str(rng.getrandbits(30)) for _ in range(100)) for _ in range(5))
+    rows = [(1, a), (None, a + " more"), (None, lone), (3, b), (3, other), (2, b + " more"), (None, twin), (None, twin + " more"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, df, sf).collect()]
+    twins = [x for x in got if x[1] and x[1].startswith(twin)]
+    assert len(twins) == 1 and sorted(set(got) - set(twins), key=str) == sorted([(1, a), (None, lone), (3, other), (2, b + " more"), (None, None)], key=str) and len(got) == 6
+
+
 def test_near_duplicates_null_texts_only(spark):
     df = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()} == {(1, 0, 1, True), (2, 0, 2, True)}
