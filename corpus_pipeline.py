@@ -18,16 +18,32 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the factorisation machine accepts (score of at least 0.7), unchanged."""
+    """Rows that the factorisation machine accepts (score of at least 0.7), unchanged.
+
+    A null text is scored as an empty one. Each row is judged by its own text,
+    whatever its doc_id.
+    """
     machine = fm.train(docs, labels(spark, sf_dir))
     scored = fm.classify(docs, machine, keep=tuple(docs.columns), out="__score")
     return scored.where(F.col("__score") >= 0.7).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies (five words, similarity 0.8): that of least doc_id."""
-    gone = minhash.judged(docs, k=5, percent=80).where(~F.col("first")).select("row").distinct()
-    return docs.join(gone, minhash.row_key() == gone["row"], "left_anti").dropDuplicates(["doc_id", "text"])
+    """One row of each group of near copies (five words, similarity 0.8), and every row that copies nothing.
+
+    The one that stays has the least doc_id (rows without one come last). Rows
+    are told apart by doc_id and text, so neither a repeated doc_id nor a
+    missing one takes a row away. Of rows equal in both, the one whose other
+    columns come first as JSON stays. Rows without words are no copies: all stay.
+    """
+    judged = minhash.judged(docs, k=5, percent=80)
+    gone = judged.where(~F.col("first")).select("row").distinct()
+    worded = F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
+    left = docs.where(worded).join(gone, minhash.row_key() == gone["row"], "left_anti")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = left.groupBy("doc_id", "text").agg(F.min_by(F.struct(*rest), F.to_json(F.struct(*rest))).alias("__rest")) if rest else left.distinct()
+    one = one.select("doc_id", "text", *[F.col("__rest")[c].alias(c) for c in rest]).select(*docs.columns)
+    return one.union(docs.where(~worded))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +60,7 @@ def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all texts in sequences of 2048 tokens."""
+    """The pieces of all texts in sequences of 2048 tokens; a null or empty text is its end mark."""
     return packing.pack(docs, queries.word_bpe())
 
 

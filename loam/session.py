@@ -49,18 +49,36 @@ def ship_code(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path below spark.checkpoint.dir, which every executor can read; removed when the driver ends.
 
-    Where that setting is absent (tests, a single machine) the session's
-    warehouse serves instead.
+    Where that setting is absent on a single machine (tests, benchmarks) the
+    session's warehouse serves instead; on a cluster the warehouse must then be
+    more than a folder of one machine.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        if not spark.sparkContext.master.startswith("local") and base.startswith(("file:", "/")):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     path = f"{base.rstrip('/')}/loam-{name}-{uuid.uuid4().hex}"
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    file_system(spark, path)[0].deleteOnExit(file_system(spark, path)[1])
     return path
 
 
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system of a path, and the path as it takes it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back; cuts lineage and survives lost executors."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._loam_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a stored table that no later plan reads."""
+    files, place = file_system(df.sparkSession, df._loam_path)
+    files.delete(place, True)
