@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..session import ship_code, stored
+from ..session import discard, ship_code, stored
 
 #: Characters of text handled at once inside a Python worker; bounds its lists of words.
 SLICE_CHARS = 2_000_000
 
-__all__ = ["as_bytes", "documents", "hold", "id_bucket", "labels", "map_texts", "memory", "release", "slices", "stored"]
+__all__ = ["as_bytes", "discard", "documents", "hold", "id_bucket", "labels", "map_texts", "memory", "release", "slices", "stored"]
 
 #: Word memories by operator; a worker keeps those of one operator at a time.
 _memories: dict[str, list[dict]] = {}

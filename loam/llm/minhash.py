@@ -4,8 +4,8 @@ Steps: signatures of every row; one class per distinct shingle set; buckets of
 classes that share a band; candidate pairs within buckets; packed signatures
 drop pairs that are surely apart; full sets confirm the rest; confirmed links
 become components. Pairs in a bucket are found by stars around three classes
-first, so that a group of near copies costs its size; only classes that a star
-has not joined are held against the other components of their bucket.
+first, so that a group of near copies costs its size; only classes that stars
+have not joined are held against the other components of their own bucket.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from .blocks import grams, mixed, word_hashes
-from .common import as_bytes, map_texts, stored
+from .common import as_bytes, discard, map_texts, stored
 
 #: Minima, rows in a band, and low bits kept of each minimum.
 MINIMA, ROWS, BITS = 96, 4, 4
@@ -26,8 +26,10 @@ BANDS = MINIMA // ROWS
 PER_LONG = 64 // BITS
 #: Pairs whose estimate lies this far below the threshold are dropped: over five deviations of it.
 SLACK = 0.22
-#: Pairs confirmed in one task's group.
-GROUP = 256
+#: Pairs of a centre compared in one cell, and members of a bucket in one cell of the last comparison.
+GROUP, CELL = 256, 512
+#: Most turns of stars, and pairs left for each member up to which all are compared at once.
+ROUNDS, PATIENCE = 4, 16
 
 _rng = np.random.default_rng(20240229)
 FACTORS = _rng.integers(1 << 62, (1 << 63) - 1, MINIMA, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
@@ -97,57 +99,108 @@ def estimate(a: Column, b: Column) -> Column:
     return (matching(a, b) / MINIMA - chance) / (1 - chance)
 
 
-def likely(percent: int) -> Column:
-    """Whether a pair of rows with n_a, n_b, packed_a and packed_b can be linked."""
+def likely(percent: int, slack: float | None) -> Column:
+    """Whether a pair of rows with n_a, n_b, packed_a and packed_b can be linked.
+
+    Sizes decide exactly; low bits drop what lies slack below the threshold.
+    None: no pair is dropped by its estimate.
+    """
     sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    return sizes & (estimate(F.col("packed_a"), F.col("packed_b")) >= percent / 100 - SLACK)
+    if slack is None:
+        return sizes
+    return sizes & (estimate(F.col("packed_a"), F.col("packed_b")) >= percent / 100 - slack)
+
+
+def described(classes: DataFrame, node: str, side: str) -> DataFrame:
+    """Size and packed signature of each class, as columns of one side of a pair."""
+    return classes.select(F.col("node").alias(node), F.col("n_shingles").alias(f"n_{side}"), F.col("packed").alias(f"packed_{side}"))
+
+
+def load_of(n: Column) -> Column:
+    """The power of two from n on: few different values, so that it can be part of a key."""
+    return F.pow(F.lit(2.0), F.ceil(F.log2(n))).cast("long")
+
+
+def cells(load: Column) -> Column:
+    return F.ceil(load / GROUP).cast("int")
+
+
+def dealt(pairs: DataFrame) -> DataFrame:
+    """Pairs with the cell of their centre in which they are compared."""
+    return pairs.withColumn("cell", F.pmod(F.xxhash64("leaf"), cells(F.col("load"))).cast("int"))
+
+
+def centre_copies(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """The rows of table (by centre), once for each cell of a centre that pairs name."""
+    named = pairs.select("centre", "load").distinct().join(table, "centre")
+    return named.withColumn("cell", F.explode(F.sequence(F.lit(0), cells(F.col("load")) - 1)))
+
 
+def star_pairs(members: DataFrame, turn: int) -> DataFrame:
+    """(leaf, centre, load): each member of a bucket with the bucket's three centres of this turn.
+
+    Centres are least or greatest by a hash of the class and the turn, so that
+    buckets of the same classes have the same centres and their pairs fall
+    together. Members with a component are paired with centres of others only.
+    load is the bucket's size, rounded up.
+    """
+    first, second = (F.struct(F.xxhash64("node", F.lit(2 * turn + i)), *[c for c in members.columns if c != "key"]) for i in (0, 1))
+    centres = members.groupBy("key").agg(F.min(first).alias("x"), F.max(first).alias("y"), F.min(second).alias("z"), load_of(F.count("*")).alias("load"))
+    met = [F.struct(F.col(f"{c}.node").alias("centre"), *([F.col(f"{c}.component").alias("other")] if "component" in members.columns else [])) for c in "xyz"]
+    centres = centres.select("key", "load", F.explode(F.array_distinct(F.array(*met))).alias("met")).select("key", "load", "met.*")
+    pairs = members.join(centres, "key").where("component <> other" if "component" in members.columns else "node <> centre")
+    return pairs.groupBy(F.col("node").alias("leaf"), "centre").agg(F.max("load").alias("load"))
 
-def star_pairs(members: DataFrame) -> DataFrame:
-    """(a, b): each member of a bucket with the bucket's least, greatest and least hashed class."""
-    rank = F.struct(F.xxhash64("node"), "node")
-    centres = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min(rank).alias("any"))
-    centres = centres.select("key", F.array_distinct(F.array("low", "high", "any.node")).alias("centres"))
-    pairs = members.join(centres, "key").select("node", F.explode("centres").alias("centre")).where("node <> centre")
-    return pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+
+def near_pairs(pairs: DataFrame, classes: DataFrame, percent: int, slack: float | None) -> DataFrame:
+    """The pairs whose sizes and low bits allow a link."""
+    left = dealt(pairs).join(described(classes, "leaf", "a"), "leaf")
+    right = centre_copies(pairs, described(classes, "centre", "b"))
+    return left.join(right, ["centre", "load", "cell"]).where(likely(percent, slack)).select("leaf", "centre", "load")
 
 
 def with_component(nodes: DataFrame, component: DataFrame) -> DataFrame:
     return nodes.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def rest_links(members: DataFrame, component: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between different components that meet in a bucket.
+def open_members(members: DataFrame, component: DataFrame) -> DataFrame:
+    """key, node, component of the buckets that hold several components."""
+    placed = with_component(members.select("key", "node"), component)
+    apart = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    return placed.join(apart, "key", "left_semi")
 
-    Components that meet, directly or through others, form a family; only
-    families of several are left. Their classes are held against each other
-    where the components differ: sizes first, then packed signatures, then full
-    sets, all in the join's condition, so that only links come out. A large
-    family is a skewed key, which adaptive execution splits.
+
+def cross_pairs(members: DataFrame, classes: DataFrame, percent: int, slack: float | None) -> DataFrame:
+    """(leaf, centre, load): pairs of a bucket in different components whose sizes and low bits allow a link.
+
+    A bucket is split into cells of about CELL members; each cell meets each
+    other one in a task of its own, so no bucket is one task.
     """
-    placed = with_component(members.select("key", "node"), component)
-    met = placed.join(placed.groupBy("key").agg(F.min("component").alias("least")), "key")
-    family = components(met.select(F.col("component").alias("a"), F.col("least").alias("b")))
-    family = family.select(F.col("node").alias("component"), F.col("component").alias("family"))
-    family = family.union(family.select("family", "family")).distinct()
-    nodes = with_component(members.select("node").distinct(), component).join(family, "component")
-    nodes = stored(nodes.join(classes.select("node", "n_shingles", "packed"), "node").join(sets, "node"), "families")
-    a, b = (nodes.select(F.col("family").alias(f"family_{x}"), F.col("node").alias(x), F.col("component").alias(f"c_{x}"), F.col("n_shingles").alias(f"n_{x}"), F.col("packed").alias(f"packed_{x}"), F.col("items").alias(f"items_{x}")) for x in "ab")
-    common = F.size(F.array_intersect("items_a", "items_b"))
-    linked = common * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
-    return a.join(b, (F.col("family_a") == F.col("family_b")) & (F.col("c_a") < F.col("c_b")) & likely(percent) & linked).select("a", "b")
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    sized = members.join(sizes, "key").join(described(classes, "node", "a"), "node")
+    count = F.ceil(F.col("n") / CELL).cast("int")
+    own, every = F.pmod(F.xxhash64("node"), count).cast("int"), F.explode(F.sequence(F.lit(0), count - 1))
+    left = sized.select("key", F.col("node").alias("leaf"), F.col("component").alias("c_a"), "n_a", "packed_a", load_of(F.col("n")).alias("load"), own.alias("row"), every.alias("column"))
+    right = sized.select("key", F.col("node").alias("centre"), F.col("component").alias("c_b"), F.col("n_a").alias("n_b"), F.col("packed_a").alias("packed_b"), own.alias("column"), every.alias("row"))
+    pairs = left.join(right, ["key", "row", "column"]).where((F.col("c_a") < F.col("c_b")) & likely(percent, slack))
+    return pairs.groupBy("leaf", "centre").agg(F.max("load").alias("load"))
+
+
+def pairs_left(members: DataFrame) -> tuple[int, int]:
+    """Members of open buckets, and pairs of them in different components."""
+    parts = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+    buckets = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("same"))
+    row = buckets.agg(F.sum("n").alias("n"), F.sum((F.col("n").cast("double") * F.col("n") - F.col("same")) / 2).alias("pairs")).first()
+    return row["n"] or 0, int(row["pairs"] or 0)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs with 100 * intersection >= percent * union on full sets.
+    """Links (a, b): pairs with 100 * intersection >= percent * union on full sets.
 
-    A class in many pairs has its set copied to groups of about GROUP pairs.
+    A centre of many pairs has its set copied to cells of about GROUP pairs.
     """
-    many = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / GROUP).cast("int").alias("groups"))
-    left = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("g"))
-    left = left.join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b")
-    right = many.join(sets.select(F.col("node").alias("a"), "items"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), "items")
-    right = right.select(F.col("a").alias("own"), F.col("g").alias("own_g"), "items")
+    left = dealt(pairs).join(sets.select(F.col("node").alias("leaf"), F.col("items").alias("items_b")), "leaf")
+    right = centre_copies(pairs, sets.select(F.col("node").alias("centre"), "items")).select(F.col("centre").alias("own"), F.col("load").alias("own_load"), F.col("cell").alias("own_cell"), "items")
 
     def check(pairs: pa.Table, own: pa.Table) -> pa.Table:
         out_a, out_b = [], []
@@ -155,7 +208,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             mine = own.column("items").combine_chunks().flatten().to_numpy()
             lists = pairs.column("items_b").combine_chunks()
             others, edges = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-            for i, (a, b) in enumerate(zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True)):
+            for i, (a, b) in enumerate(zip(pairs.column("leaf").to_pylist(), pairs.column("centre").to_pylist(), strict=True)):
                 both = np.concatenate([mine, others[edges[i] : edges[i + 1]]])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
@@ -164,16 +217,44 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     out_b.append(b)
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    return left.groupBy("a", "g").cogroup(right.groupBy("own", "own_g")).applyInArrow(check, "a long, b long")
+    return left.groupBy("centre", "load", "cell").cogroup(right.groupBy("own", "own_load", "own_cell")).applyInArrow(check, "a long, b long")
+
+
+def linked(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, slack: float | None) -> DataFrame:
+    """node and component of every class that has a link.
+
+    Stars first: each costs a bucket's size. Further stars with other centres
+    take what is still apart, while that would be many pairs; then every pair
+    of a bucket in different components is held against each other, so that no
+    link is lost however many rounds there were.
+    """
+    near = stored(near_pairs(star_pairs(members, 0), classes, percent, slack), "pairs")
+    component = components(confirmed(near, sets, percent))
+    for turn in range(1, ROUNDS + 1):
+        held = stored(open_members(members, component), "open")
+        n, pairs = pairs_left(held)
+        if not pairs:
+            break
+        last = turn == ROUNDS or pairs <= PATIENCE * n
+        found = cross_pairs(held, classes, percent, slack) if last else near_pairs(star_pairs(held, turn), classes, percent, slack)
+        links = stored(confirmed(stored(found, "pairs"), sets, percent), "links")
+        discard(held)
+        if not links.isEmpty():
+            component = components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
+        if last:
+            break
+    return component
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its least node), by alternating large and small stars.
 
     Each star replaces edges by edges to a neighbourhood's least node; the edges
-    are stored after each pair of stars, until nothing changes.
+    are stored after each pair of stars, until nothing changes. A round's table
+    is deleted when the next one is written.
     """
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    edges = stored(edges, "stars")
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -181,7 +262,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u")
-        edges = stored(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "stars")
+        old, edges = edges, stored(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "stars")
+        discard(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -189,11 +271,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def row_key(text: str = "text") -> Column:
-    """Hash of a row's doc_id and text."""
-    return F.xxhash64("doc_id", F.col(text))
+    """128 bits of a row's doc_id and text."""
+    return F.struct(F.xxhash64("doc_id", F.col(text)).alias("x"), F.xxhash64(F.col(text), "doc_id").alias("y"))
 
 
-def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, text: str = "text", slack: float | None = SLACK) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of df.
 
     Rows are linked when 100 * |A and B| >= percent * |A or B| over their sets
@@ -203,15 +285,17 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, text: str = "t
     nothing. Repeated rows are linked and each kept if the first is; texts that
     only share a doc_id are not. A row without doc_id takes part, has no doc_id
     to give its component, and is not kept if that has one (component_id null:
-    no row there has one, kept). An empty table gives no rows.
+    no row there has one, kept). An empty table gives no rows. doc_id is an
+    integer; other columns of df are left out, so none can clash.
 
     A pair at the threshold shares no band with probability
     (1 - 0.8 ** ROWS) ** BANDS, 3 in a million; candidates are never capped.
+    slack None confirms every candidate on full sets, whatever its low bits say.
     """
-    return judged(df, k, percent, text).select("doc_id", "n_shingles", "component_id", "kept")
+    return judged(df, k, percent, text, slack).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def judged(df: DataFrame, k: int, percent: int, text: str = "text") -> DataFrame:
+def judged(df: DataFrame, k: int, percent: int, text: str = "text", slack: float | None = SLACK) -> DataFrame:
     """near_duplicates with the row_key of each row, and whether it is the first of its component.
 
     The first has the least doc_id, rows without one last, then the least key;
@@ -234,16 +318,10 @@ def judged(df: DataFrame, k: int, percent: int, text: str = "text") -> DataFrame
     texts = keyed.join(wanted, "row").select("node", F.col(text).alias("text"))
     sets = stored(map_texts(texts, lambda found: [[shingles(t, k).view(np.int64) for t in found]], "items array<long>", ("node",)).dropDuplicates(["node"]), "sets")
 
-    pairs = star_pairs(members)
-    for side in ("a", "b"):
-        pairs = pairs.join(classes.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("packed").alias(f"packed_{side}")), side)
-    links = stored(confirmed(stored(pairs.where(likely(percent)).select("a", "b"), "pairs"), sets, percent), "links")
-    rest = stored(rest_links(members, components(links), classes, sets, percent), "links")
-    component = components(links.union(rest))
-    placed = with_component(classes.select("set_1", "set_2", "node", "one"), component)
+    placed = with_component(classes.select("set_1", "set_2", "node", "one"), linked(members, classes, sets, percent, slack))
     least = placed.groupBy("component").agg(F.min("one").alias("least"))
     placed = placed.join(least, "component").select("set_1", "set_2", F.col("least.doc").alias("component_id"), F.col("least.row").alias("first_row"), F.lit(True).alias("placed"))
     out = rows.select("doc_id", "row", "n_shingles", "set_1", "set_2").join(placed, ["set_1", "set_2"], "left")
-    linked = F.coalesce(F.col("placed") & (F.col("n_shingles") > 0), F.lit(False))
-    component_id = F.when(linked, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "row", "n_shingles", component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept"), (~linked | (F.col("row") == F.col("first_row"))).alias("first"))
+    joined = F.coalesce(F.col("placed") & (F.col("n_shingles") > 0), F.lit(False))
+    component_id = F.when(joined, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "row", "n_shingles", component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept"), (~joined | (F.col("row") == F.col("first_row"))).alias("first"))
