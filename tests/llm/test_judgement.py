@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -45,25 +46,59 @@ def test_binomial_tail_is_exact():
     assert rules.tail(5, 5, 0.1) == 1.0
 
 
-def test_chosen_cutoff_keeps_its_promise():
+def test_chosen_place_keeps_its_promise():
     risk = rules.Risk(0.01, 0.05)
-    good = [0] * 257
-    good[10], good[50], good[200] = 5000, 20, 1
-    cutoff = rules.choose(good, risk, 4)
-    above = sum(good[cutoff + 1 :])
-    assert rules.tail(above, sum(good), risk.share) <= risk.error / 4
-    assert cutoff >= 10 and rules.choose([5] + [0] * 256, risk, 4) is None and rules.choose([0] * 257, risk, 4) is None
-
-
-def test_false_rejections_stay_bounded(spark):
-    rng = random.Random(7)
-    good = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"]) + str(rng.randrange(999)) for _ in range(60))) for i in range(4000)]
-    bad = [(10_000 + i, " ".join("###" + str(rng.randrange(99)) + "|||" for _ in range(60))) for i in range(50)]
-    df = spark.createDataFrame(good + bad, "doc_id long, text string")
-    labels = spark.createDataFrame([(i, 1) for i, _ in good[:3000]], "doc_id long, quality int")
-    out = {r.doc_id: r.kept for r in rules.quality_rules(df, labels, rules.Risk(0.01)).collect()}
-    assert not any(out[i] for i, _ in bad)
-    assert sum(not out[i] for i, _ in good) < 0.03 * len(good)
+    for good, rejected in ((5000, [0, 3, 10, 15, 12, 400]), (5000, [80]), (100, [0, 0]), (0, [0])):
+        n = rules.choose(rejected, good, risk, 4)
+        for i in range(1, n + 1):
+            assert rules.tail(sum(rejected[:i]), good, 0.01) <= 0.05 / 4
+        assert n == len(rejected) or good == 0 or rules.tail(sum(rejected[: n + 1]), good, 0.01) > 0.05 / 4
+    assert rules.choose([0, 3, 10, 15, 12, 400], 5000, risk, 4) == 4
+
+
+def test_path_takes_what_is_commonest_among_bad_rows():
+    counts = lambda **at: [at.get(f"s{i}", 0) for i in range(rules.STEPS + 1)]
+    every = {"a": counts(s0=900, s9=50, s20=50), "b": counts(s0=980, s5=10, s7=10)}
+    bad = {"a": counts(s0=30, s9=5, s20=45), "b": counts(s0=62, s5=9, s7=9)}
+    assert rules.path_of(every, bad) == [("a", 20), ("b", 7), ("b", 5)]
+    assert rules.path_of(every, {}) == []
+    # as common among bad rows as among all: never tried
+    assert rules.path_of({"a": counts(s0=90, s9=10)}, {"a": counts(s0=9, s9=1)}) == []
+
+
+def noisy(rng, n, first):
+    """Rows of which the good ones have few symbols and marks and the bad ones often many."""
+    rows = []
+    for i in range(n):
+        good = i % 3 > 0
+        words = [f"{rng.choice('abcdefgh')}{rng.randrange(9999)}" for _ in range(rng.choice((20, 60, 60, 300)))]
+        for mark, share in (("#|*", 0.01 if good else rng.choice((0, 0.4))), ("yes!!", 0.01 if good else rng.choice((0, 0.3)))):
+            words = [mark if rng.random() < share else w for w in words]
+        rows.append((first + i, " ".join(words), int(good)))
+    return rows
+
+
+def test_kept_against_force_and_false_rejections_stay_bounded(spark):
+    rows = noisy(random.Random(7), 6000, 0)
+    df = spark.createDataFrame([(i, t, 1) for i, t, _ in rows], "doc_id long, text string, cutoffs int")
+    held = spark.createDataFrame([(i, q) for i, _, q in rows if i % 2], "doc_id long, quality int")
+    out = {r.doc_id: r for r in rules.quality_rules(df, held).collect()}
+    share = {"symbols": lambda w, t: sum(map(t.count, "#*$%&|<>")) / sum(map(len, w)), "marks": lambda w, t: (t.count("!") + t.count("?")) / sum(map(len, w)), "repeated_words": lambda w, t: counts_by_force(t)[4] / len(w)}
+    told, good, rejected = set(), Counter(), Counter()
+    for i, text, quality in rows:
+        words, row = text.split(), out[i]
+        assert row.stratum == sum(len(words) >= x for x in (50, 200, 1000))
+        told.add((row.stratum, row.cutoffs))
+        limits = dict(x.split(">=") for x in row.cutoffs.split(",") if x)
+        assert set(limits) <= set(share)
+        wanted = not row.base_failed and not any(int(share[r](words, text) * 256) >= int(s) for r, s in limits.items())
+        assert row.kept == wanted, i
+        if quality and i % 2 == 0 and not row.base_failed:
+            good[row.stratum] += 1
+            rejected[row.stratum] += not row.kept
+    assert len(told) == 3 and all(cutoffs for _, cutoffs in told)
+    assert all(rejected[s] <= 0.02 * good[s] + 3 * math.sqrt(0.02 * good[s]) for s in good)
+    assert sum(not out[i].kept for i, _, q in rows if not q) > 0.5 * len(rows) / 3
 
 
 def test_quality_rules_edges(spark):
