@@ -65,15 +65,17 @@ def scattered(df: DataFrame, n: int, text: str = "text", more: tuple[Column, ...
     """block and packet: the rows (doc_id, text, more) that one batch of a task holds for a block, compressed.
 
     A row's block is a hash of its identifier and text, so that it does not
-    hang on how the input is split.
+    hang on how the input is split; rows of a batch that are equal in both go
+    to blocks one after the other, so that many of them do not fill one.
     """
     ship_code(df.sparkSession)
-    source = df.select("doc_id", F.col(text).alias("text"), *more, F.pmod(F.xxhash64("doc_id", F.col(text)), F.lit(n)).cast("int").alias("block"))
+    source = df.select("doc_id", F.col(text).alias("text"), *more, F.xxhash64("doc_id", F.col(text)).alias("block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            blocks = batch.column(batch.num_columns - 1).to_numpy()
+            first = batch.column(batch.num_columns - 1).to_numpy()
+            blocks = (first + repetition(first)) % n
             order = np.argsort(blocks, kind="stable")
             edges = np.flatnonzero(np.diff(blocks[order], prepend=-1)).tolist()
             columns = [batch.column(i).to_pylist() for i in range(batch.num_columns - 1)]
@@ -87,6 +89,15 @@ def scattered(df: DataFrame, n: int, text: str = "text", more: tuple[Column, ...
     return source.mapInArrow(run, "block int, packet binary")
 
 
+def repetition(keys: np.ndarray) -> np.ndarray:
+    """How many earlier places hold the same key, for each place."""
+    order = np.argsort(keys, kind="stable")
+    runs = np.flatnonzero(np.diff(keys[order], prepend=keys[order][:1] - 1)) if len(keys) else np.zeros(0, np.int64)
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.arange(len(keys)) - np.repeat(runs, np.diff(runs, append=len(keys)))
+    return out
+
+
 PACKETS = pa.schema([("block", pa.int32()), ("packet", pa.binary())])
 
 
@@ -152,12 +163,11 @@ def sliding(a: np.ndarray, k: int, fn) -> np.ndarray:
 
 def cut(keys: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
     """(part, begin, end) of the parts that sorted keys reach."""
-    bits = parts.bit_length() - 1
-    edges = np.searchsorted(keys, np.arange(1, parts, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, np.int64)
-    edges = [0, *edges.tolist(), len(keys)]
-    for p in range(parts):
-        if edges[p] < edges[p + 1]:
-            yield p, edges[p], edges[p + 1]
+    if not len(keys):
+        return
+    own = (keys >> np.uint64(64 - (parts.bit_length() - 1))).astype(np.int64) if parts > 1 else np.zeros(len(keys), np.int64)
+    begins = np.flatnonzero(np.diff(own, prepend=-1))
+    yield from zip(own[begins].tolist(), begins.tolist(), [*begins[1:].tolist(), len(keys)], strict=True)
 
 
 def words_of(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:

@@ -1,14 +1,19 @@
 """Operator 9: repeated passages by relative Lempel-Ziv parsing against every block.
 
-Every block of documents is a reference. Its index holds the fingerprints of
-its windows of WINDOW words, but only of windows that can recur: those whose
-anchor (the least hash among the GRAM-word phrases in the window) is the anchor
-of another place, here or in any other block. Equal windows have equal anchors,
-so none is lost. A document is parsed from left to right: a factor is the
-longest run of words whose windows one reference block holds; where a block
-stops, the next factor may begin in the words the last one covered, so windows
-across a factor's boundary are looked up like all others. Factors have WINDOW
-words at least; the words they cover are the repeated passages.
+Every block of documents is part of the reference. The reference index holds
+each window of WINDOW words that stands at two places or more, once: at its
+first place, by block and then by place in the block. So the longest match from
+a word on is the only one, and the greedy parse is followed window by window:
+a factor goes on while the next window's indexed place is the next one of the
+same block. Where it stops, the windows across the factor's boundary are looked
+up as well, so the next factor may begin in words that the last one covers. A
+factor has WINDOW words at least, and the words of all factors are the repeated
+passages. The text at an indexed place refers to itself.
+
+Only windows that can recur are sent to the index: those whose anchor (the
+least hash among the GRAM-word phrases in the window) is the anchor of another
+place, here or in any other block. Equal windows have equal anchors, so none is
+lost.
 """
 
 from __future__ import annotations
@@ -31,8 +36,10 @@ BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 #: Share of places that are anchors, for the number of parts: two in each run of WINDOW - GRAM + 2.
 ANCHORS = 2 / (WINDOW - GRAM + 2)
 
-SENT = "block int, part int, keys binary, checks binary, many binary"
+SENT = "block int, part int, keys binary, checks binary, places binary, many binary"
 ANSWER = "block int, kind int, part int, answer binary"
+#: What the index says of a window: block and place of the entry, -1 for a window that stands once.
+ENTRY = np.dtype([("block", "<i4"), ("place", "<i4")])
 
 
 class Block:
@@ -71,11 +78,15 @@ class Block:
         at = np.minimum(np.searchsorted(keys, self.anchor), len(keys) - 1)
         return np.flatnonzero(self.valid & (keys[at] == self.anchor))
 
-    def fingerprints(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """128-bit keys, sorted and distinct, of the windows at places; which are many; each place's key."""
+    def fingerprints(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """128-bit keys, sorted and distinct, of the windows at places (ascending).
+
+        Returns both halves, the first place of each, which are many, and each
+        place's key.
+        """
         if not len(places):
             none = np.zeros(0, np.uint64)
-            return none, none, np.zeros(0, bool), np.zeros(0, np.int64)
+            return none, none, np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
         a = mixed(grams(self.hashes, self.window, BASES[0])[places])
         b = mixed(grams(mixed(self.hashes), self.window, BASES[1])[places])
         order = np.lexsort((b, a))
@@ -84,7 +95,7 @@ class Block:
         slot = np.cumsum(new) - 1
         own = np.empty(len(places), np.int64)
         own[order] = slot
-        return a[new], b[new], np.bincount(slot) > 1, own
+        return a[new], b[new], places[order][new], np.bincount(slot) > 1, own
 
 
 def ordered(answers: dict[str, list], kind: int) -> list[bytes]:
@@ -101,7 +112,7 @@ def flags_of(block: Block, answers: dict[str, list], parts: int) -> np.ndarray:
 
 
 ARROW = {
-    SENT: pa.schema([("block", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("checks", pa.binary()), ("many", pa.binary())]),
+    SENT: pa.schema([("block", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("checks", pa.binary()), ("places", pa.binary()), ("many", pa.binary())]),
     ANSWER: pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("part", pa.int32()), ("answer", pa.binary())]),
 }
 
@@ -112,23 +123,23 @@ def table_of(rows: list[tuple], kind: str) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def send(block: int, keys: np.ndarray, checks: np.ndarray | None, many: np.ndarray, parts: int) -> pa.Table:
-    rows = [(block, p, squeezed(keys[b:e]), b"" if checks is None else checks[b:e].tobytes(), np.packbits(many[b:e]).tobytes()) for p, b, e in cut(keys, parts)]
+def send(block: int, keys: np.ndarray, many: np.ndarray, parts: int, checks: np.ndarray | None = None, places: np.ndarray | None = None) -> pa.Table:
+    raw = lambda x, b, e, kind: b"" if x is None else x[b:e].astype(kind).tobytes()
+    rows = [(block, p, squeezed(keys[b:e]), raw(checks, b, e, np.uint64), raw(places, b, e, np.int32), np.packbits(many[b:e]).tobytes()) for p, b, e in cut(keys, parts)]
     return table_of(rows, SENT)
 
 
-def gather(table: pa.Table) -> tuple[list, list[int], np.ndarray, np.ndarray, np.ndarray]:
+def gather(table: pa.Table) -> tuple[list, list[int], np.ndarray, np.ndarray]:
     d = table.to_pydict()
     keys = [expanded(x) for x in d["keys"]]
     sizes = [len(x) for x in keys]
-    checks = np.concatenate([np.frombuffer(x, np.uint64) if x else np.zeros(n, np.uint64) for x, n in zip(d["checks"], sizes, strict=True)])
     many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(d["many"], sizes, strict=True)]).astype(bool)
-    return d["block"], sizes, np.concatenate(keys), checks, many
+    return d["block"], sizes, np.concatenate(keys), many
 
 
 def answer_anchors(table: pa.Table) -> pa.Table:
     """For each key of each block, whether the anchor stands at two places or more."""
-    blocks, sizes, keys, _, many = gather(table)
+    blocks, sizes, keys, many = gather(table)
     part = table.column("part")[0].as_py()
     _, slot, times = np.unique(keys, return_inverse=True, return_counts=True)
     shared = (times > 1) | (np.bincount(slot, many) > 0)
@@ -137,33 +148,33 @@ def answer_anchors(table: pa.Table) -> pa.Table:
 
 
 def answer_windows(table: pa.Table) -> pa.Table:
-    """For each key of each block, the first block that holds the window, or -1 if it stands once."""
-    blocks, sizes, a, b, many = gather(table)
+    """For each key of each block, the window's index entry, or -1 if it stands once."""
+    blocks, sizes, a, many = gather(table)
     part = table.column("part")[0].as_py()
+    joined = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
+    b, place = joined("checks", np.uint64), joined("places", np.int32)
     owner = np.repeat(np.array(blocks, np.int32), sizes)
     order = np.lexsort((owner, b, a))
     a, b = a[order], b[order]
     new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
     slot = np.cumsum(new) - 1
     repeated = (np.bincount(slot) > 1) | (np.bincount(slot, many[order]) > 0)
-    first = np.where(repeated, owner[order][new], -1).astype(np.int32)
-    out = np.empty(len(a), np.int32)
-    out[order] = first[slot]
+    entries = np.empty(len(repeated), ENTRY)
+    entries["block"] = np.where(repeated, owner[order][new], -1)
+    entries["place"] = np.where(repeated, place[order][new], -1)
+    out = np.empty(len(a), ENTRY)
+    out[order] = entries[slot]
     return table_of([(k, 2, part, x.tobytes()) for k, x in zip(blocks, np.split(out, np.cumsum(sizes)[:-1]), strict=True)], ANSWER)
 
 
 def parsed(df: DataFrame, window: int, outputs: str, describe) -> DataFrame:
-    """Parse every row of df and give doc_id and what describe(block, i, references) returns.
-
-    references[p] is the first block that holds the window at place p of the
-    block's words, or -1.
-    """
+    """Parse every row of df and give doc_id and what describe(block, i, text, factors) returns."""
     n = block_count(df)
     docs = scattered(df, n)
     words = n * BLOCK_CHARS / 6
     parts1, parts2 = part_count(words * ANCHORS), part_count(words / 4)
     first = docs.groupBy("block").applyInArrow(
-        lambda t: send(t.column("block")[0].as_py(), (x := Block(unpacked(t)[1], window)).anchors, None, x.many, parts1), SENT
+        lambda t: send(t.column("block")[0].as_py(), (x := Block(unpacked(t)[1], window)).anchors, x.many, parts1), SENT
     )
     anchors = stored(first.groupBy("part").applyInArrow(answer_anchors, ANSWER), "anchors")
 
@@ -171,8 +182,8 @@ def parsed(df: DataFrame, window: int, outputs: str, describe) -> DataFrame:
         if not t.num_rows:
             return table_of([], SENT)
         x = Block(unpacked(t)[1], window)
-        a, b, many, _ = x.fingerprints(x.candidates(flags_of(x, answers.to_pydict(), parts1)))
-        return send(t.column("block")[0].as_py(), a, b, many, parts2)
+        a, b, places, many, _ = x.fingerprints(x.candidates(flags_of(x, answers.to_pydict(), parts1)))
+        return send(t.column("block")[0].as_py(), a, many, parts2, b, places)
 
     second = docs.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(windows, SENT)
     answers = anchors.unionByName(second.groupBy("part").applyInArrow(answer_windows, ANSWER))
@@ -186,58 +197,77 @@ def parsed(df: DataFrame, window: int, outputs: str, describe) -> DataFrame:
         x = Block(texts, window)
         got = answers.to_pydict()
         places = x.candidates(flags_of(x, got, parts1))
-        references = np.full(x.places, -1, np.int32)
+        entries = np.full(x.places, -1, ENTRY)
         if len(places):
-            own = x.fingerprints(places)[3]
-            references[places] = np.frombuffer(b"".join(ordered(got, 2)), np.int32)[own]
-        columns = list(zip(*(describe(x, i, texts[i], references) for i in range(len(texts))), strict=True))
+            entries[places] = np.frombuffer(b"".join(ordered(got, 2)), ENTRY)[x.fingerprints(places)[4]]
+        found = factors(x, entries)
+        edges = np.searchsorted(found["text"], np.arange(len(texts) + 1)).tolist()
+        columns = list(zip(*(describe(x, i, texts[i], found[edges[i] : edges[i + 1]]) for i in range(len(texts))), strict=True))
         return pa.Table.from_arrays([pa.array(ids, type=arrow.field(0).type), *(pa.array(c, type=f.type) for c, f in zip(columns, list(arrow)[1:], strict=True))], schema=arrow)
 
     return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(parse, schema)
 
 
-def covered(x: Block, i: int, references: np.ndarray) -> np.ndarray | None:
-    """Which words of text i a factor covers; None: none."""
-    begin, end = int(x.starts[i]), int(x.starts[i + 1])
-    hits = np.flatnonzero(references[begin : max(begin, end - x.window + 1)] >= 0)
-    if not len(hits):
-        return None
-    change = np.zeros(end - begin + 1, np.int32)
-    change[hits] += 1
-    change[hits + x.window] -= 1
-    return np.cumsum(change[:-1]) > 0
+#: A factor: number of its text in the block, its first word there, words, and where the reference has it.
+FACTOR = np.dtype([("text", "<i8"), ("first", "<i8"), ("words", "<i8"), ("block", "<i4"), ("place", "<i4")])
 
 
-def factors(x: Block, i: int, references: np.ndarray) -> list[tuple[int, int, int]]:
-    """(first word, words, reference block) of text i's factors, left to right."""
-    begin, end = int(x.starts[i]), int(x.starts[i + 1])
-    own = references[begin : max(begin, end - x.window + 1)]
-    if not len(own):
-        return []
-    edges = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    ends = np.append(edges[1:], len(own))
-    return [(a, b - a + x.window - 1, int(own[a])) for a, b in zip(edges.tolist(), ends.tolist(), strict=True) if own[a] >= 0]
+def factors(x: Block, entries: np.ndarray) -> np.ndarray:
+    """The greedy parse of all texts of a block, left to right.
+
+    entries holds the index entry of the window at each place. A factor begins
+    at an indexed window and goes on while the next window, in the same text,
+    has the next place of the same reference block as its entry.
+    """
+    held = entries["block"] >= 0
+    goes_on = np.zeros(len(entries), bool)
+    goes_on[1:] = held[1:] & (entries["block"][1:] == entries["block"][:-1]) & (entries["place"][1:] == entries["place"][:-1] + 1)
+    owner = np.repeat(np.arange(len(x.counts)), x.counts)[: len(entries)]
+    goes_on[1:] &= owner[1:] == owner[:-1]
+    begins = np.flatnonzero(held & ~goes_on)
+    stops = np.flatnonzero(held & ~np.append(goes_on[1:], False)) if len(entries) else begins
+    out = np.empty(len(begins), FACTOR)
+    out["text"] = owner[begins]
+    out["first"] = begins - x.starts[out["text"]]
+    out["words"] = stops - begins + x.window
+    out["block"], out["place"] = entries["block"][begins], entries["place"][begins]
+    return out
+
+
+def covered(n: int, found: np.ndarray) -> np.ndarray | None:
+    """Which of a text's n words lie in a factor; None: none."""
+    if not len(found):
+        return None
+    change = np.bincount(found["first"], minlength=n + 1) - np.bincount(found["first"] + found["words"], minlength=n + 1)
+    return np.cumsum(change[:-1]) > 0
 
 
 def duplicate_factors(df: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per row of df: doc_id and factors, an array of (first_word, n_words, reference_block).
+    """One row per row of df: doc_id and factors, an array of (first_word, n_words, reference_block, reference_place).
 
-    A null or empty text, or one shorter than window words, has none.
+    A null or empty text, or one shorter than window words, has none. Blocks
+    are numbered by hash of the rows, places count the block's words.
     """
-    return parsed(df, window, "factors array<struct<first_word:int,n_words:int,reference_block:int>>", lambda x, i, text, refs: ([dict(zip(("first_word", "n_words", "reference_block"), f, strict=True)) for f in factors(x, i, refs)],))
+    names = ("first_word", "n_words", "reference_block", "reference_place")
+
+    def describe(x: Block, i: int, text, found: np.ndarray) -> tuple:
+        return ([dict(zip(names, f[1:], strict=True)) for f in found.tolist()],)
+
+    return parsed(df, window, "factors array<struct<first_word:int,n_words:int,reference_block:int,reference_place:int>>", describe)
 
 
 def kept_words(df: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Words left once every word under a repeated window is taken away.
+    """Words left once every word of a factor is taken away.
 
-    Columns: doc_id, n_words long, n_removed long, kept_sha256. A window is
-    repeated if its words also start anywhere else, in the same or another row;
-    repeated rows repeat each other. A null or empty text has no words.
+    Columns: doc_id, n_words long, n_removed long, kept_sha256. Factors cover
+    the windows whose words also start anywhere else, in the same or another
+    row; repeated rows repeat each other. A null or empty text has no words; a
+    null doc_id stays null; other columns of df are left out.
     """
 
-    def describe(x: Block, i: int, text, refs: np.ndarray) -> tuple:
+    def describe(x: Block, i: int, text, found: np.ndarray) -> tuple:
         words = x.words[x.starts[i] : x.starts[i + 1]]
-        gone = covered(x, i, refs)
+        gone = covered(len(words), found)
         left = words if gone is None else list(compress(words, ~gone))
         return len(words), len(words) - len(left), hashlib.sha256(b" ".join(left)).hexdigest()
 
@@ -251,8 +281,8 @@ def replaced(df: DataFrame, window: int = WINDOW) -> DataFrame:
     dropped: all columns travel with the text. n_chars, where df has it, follows the text.
     """
 
-    def describe(x: Block, i: int, text, refs: np.ndarray) -> tuple:
-        gone = covered(x, i, refs)
+    def describe(x: Block, i: int, text, found: np.ndarray) -> tuple:
+        gone = covered(int(x.counts[i]), found)
         changed = gone is not None
         return changed, b" ".join(compress(x.words[x.starts[i] : x.starts[i + 1]], ~gone)).decode("utf-8", "replace") if changed else text
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -96,6 +97,35 @@ def test_near_duplicate_stage_drops_only_copies(spark, sf):
     assert len(twins) == 1 and sorted(set(got) - set(twins), key=str) == sorted([(1, a), (None, lone), (3, other), (2, b + " more"), (None, None)], key=str) and len(got) == 6
 
 
+def test_near_duplicate_stage_on_equal_rows(spark, sf):
+    text = " ".join(f"t{i}" for i in range(30))
+    rows = [(4, text, "b"), (4, text, "a"), (None, text + " more", "c"), (4, "other words of the same row", "d"), (None, None, "e"), (None, None, "f"), (8, " ", "g"), (8, " ", "g"), (4, None, "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, first string")
+    got = sorted(((r.doc_id, r.first) for r in corpus_pipeline.near_duplicates(spark, df, sf).collect()), key=str)
+    assert got == sorted([(4, "a"), (4, "d"), (None, "e"), (None, "f"), (8, "g"), (8, "g"), (4, "h")], key=str)
+    assert corpus_pipeline.near_duplicates(spark, df.limit(0), sf).count() == 0
+
+
+@pytest.mark.parametrize("patience", [0, 10**9])
+def test_links_that_no_first_star_finds(spark, patience, monkeypatch):
+    """A ring of drifting copies: neighbours are linked, most pairs of a bucket are not."""
+    monkeypatch.setattr(minhash, "PATIENCE", patience)
+    monkeypatch.setattr(minhash, "CELL", 3)
+    monkeypatch.setattr(minhash, "GROUP", 2)
+    rng = random.Random(2)
+    rows = []
+    for ring in range(3):
+        w = [f"r{ring}x{rng.randrange(10**6)}" for _ in range(200)]
+        for i in range(14):
+            rows.append((100 * ring + i, " ".join(w)))
+            at = rng.randrange(170)
+            w = w[:at] + [f"n{rng.randrange(10**6)}" for _ in range(14)] + w[at + 14 :]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {slack: {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, 4, slack=slack).collect()} for slack in (minhash.SLACK, None)}
+    assert got[None] == got[minhash.SLACK] == near_by_force(rows, 4, 80)
+
+
 def test_near_duplicates_null_texts_only(spark):
     df = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()} == {(1, 0, 1, True), (2, 0, 2, True)}
@@ -153,6 +183,66 @@ def test_passage_factors_and_replacement(spark):
     assert rlz.kept_words(df.limit(0)).count() == 0
 
 
+def test_factors_are_the_greedy_parse():
+    """Against a quadratic parse that compares words with the reference's words."""
+    rng = random.Random(12)
+    window = 5
+    for _ in range(60):
+        letters = "ab" if rng.random() < 0.3 else "abcdefghijkl"
+        shared = [rng.choice(letters) for _ in range(30)]
+        texts = []
+        for _ in range(rng.randint(2, 7)):
+            w = [rng.choice(letters) for _ in range(rng.randint(0, 12))]
+            for _ in range(rng.randint(0, 3)):
+                a = rng.randrange(25)
+                w += shared[a : a + rng.randint(1, 14)] + [rng.choice(letters)]
+            texts.append(" ".join(w))
+        held = [texts[::2], texts[1::2]]
+        made = [rlz.Block(t, window) for t in held]
+        own = [x.fingerprints(np.flatnonzero(x.valid)) for x in made]
+        sent = [rlz.send(i, a, many, 1, b, places) for i, (a, b, places, many, _) in enumerate(own) if len(a)]
+        if not sent:
+            continue
+        answers = {r["block"]: r["answer"] for r in rlz.answer_windows(pa.concat_tables(sent)).to_pylist()}
+        words = [[w.encode() for t in part for w in t.split()] for part in held]
+        index, times = {}, Counter()
+        for number, x in enumerate(made):
+            for p in np.flatnonzero(x.valid).tolist():
+                key = tuple(words[number][p : p + window])
+                times[key] += 1
+                index.setdefault(key, (number, p))
+        for number, x in enumerate(made):
+            entries = np.full(x.places, -1, rlz.ENTRY)
+            if number in answers:
+                entries[np.flatnonzero(x.valid)] = np.frombuffer(answers[number], rlz.ENTRY)[own[number][4]]
+            got = [f[:5] for f in rlz.factors(x, entries).tolist()]
+            wanted = []
+            for t, text in enumerate(held[number]):
+                w = [y.encode() for y in text.split()]
+                i = 0
+                while i + window <= len(w):
+                    key = tuple(w[i : i + window])
+                    if times[key] < 2:
+                        i += 1
+                        continue
+                    b, place = index[key]
+                    n = window
+                    while i + n < len(w) and words[b][place : place + n + 1] == w[i : i + n + 1] and index.get(tuple(w[i + n + 1 - window : i + n + 1])) == (b, place + n + 1 - window) and times[tuple(w[i + n + 1 - window : i + n + 1])] > 1:
+                        n += 1
+                    wanted.append((t, i, n, b, place))
+                    i += n - window + 1
+            assert got == wanted
+
+
+def test_equal_rows_are_spread_over_blocks(spark):
+    same = " ".join(f"s{i}" for i in range(40))
+    df = spark.createDataFrame([(None, same)] * 300, "doc_id long, text string")
+    packets = blocks.scattered(df, 32).groupBy("block").count().count()
+    assert packets == 32
+    assert {(r.n_words, r.n_removed) for r in rlz.kept_words(df).collect()} == {(40, 40)}
+    assert blocks.repetition(np.array([5, 5, 2, 5, 2])).tolist() == [0, 1, 0, 2, 1]
+
+
 def test_grams_and_sliding():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 1 << 62, 50, dtype=np.uint64)
@@ -165,7 +255,12 @@ def test_grams_and_sliding():
             assert int(out[i]) == value
         assert blocks.sliding(h, k, np.minimum).tolist() == [h[i : i + k].min() for i in range(51 - k)]
     assert len(blocks.grams(h, 51, 3)) == 0
-    keys = np.unique(h)
+    keys = np.unique(blocks.mixed(h))
+    for parts in (1, 2, 64):
+        pieces = list(blocks.cut(keys, parts))
+        assert [b for _, b, _ in pieces] == [0, *(e for _, _, e in pieces[:-1])] and pieces[-1][2] == len(keys)
+        assert all((keys[b:e] * parts >> np.uint64(64) == 0).all() if parts == 1 else {int(x) * parts >> 64 for x in keys[b:e]} == {p} for p, b, e in pieces)
+    assert list(blocks.cut(keys[:0], 8)) == []
     assert (blocks.expanded(blocks.squeezed(keys)) == keys).all()
 
 
