@@ -24,6 +24,9 @@ LONGEST = 48
 #: Slots of a table of pairs, as a power of two.
 SLOT_BITS = 18
 
+#: Fewer words of like length than this are merged one after the other.
+SIDE_BY_SIDE = 48
+
 NONE = np.int64(1) << np.int64(62)
 LOW = (np.int64(1) << np.int64(32)) - 1
 
@@ -78,7 +81,9 @@ class Vocabulary:
         self.right = np.array([ids[b] for _, b in pairs], dtype=np.int64)
         self.made = np.array([ids[a + b] for a, b in pairs], dtype=np.int64)
         self.width = np.int64(len(self.tokens))
-        self.probes = self.tables(self.left * self.width + self.right)
+        keys = self.left * self.width + self.right
+        self.probes = self.tables(keys)
+        self.ranks = dict(zip(keys.tolist(), range(len(keys)), strict=True))
 
     @staticmethod
     def places(keys: np.ndarray, level: int) -> np.ndarray:
@@ -118,8 +123,9 @@ def merge_by_tree(v: Vocabulary, words: list[bytes]) -> list[bytes]:
 
     Leaf i of a word's tree holds rank << 32 | i of the pair that begins at symbol
     i, so that the root is the leftmost pair of lowest rank. A merge changes three
-    leaves and, above each, one node a level. Words of like length are merged side
-    by side: each step works on one column of every tree that still can merge.
+    leaves and, above each, one node a level. Many words of like length are merged
+    side by side: each step works on one column of every tree that still can
+    merge. Few words, as very long ones are, have a tree each.
     """
     out: list[bytes] = [b""] * len(words)
     groups: dict[int, list[int]] = {}
@@ -127,6 +133,10 @@ def merge_by_tree(v: Vocabulary, words: list[bytes]) -> list[bytes]:
         if word:
             groups.setdefault(max(2, 1 << (len(word) - 1).bit_length()), []).append(i)
     for width, members in groups.items():
+        if len(members) < SIDE_BY_SIDE:
+            for i in members:
+                out[i] = _merge_one(v, words[i], width)
+            continue
         step = max(1, 2_000_000 // width)
         for begin in range(0, len(members), step):
             part = members[begin : begin + step]
@@ -135,6 +145,52 @@ def merge_by_tree(v: Vocabulary, words: list[bytes]) -> list[bytes]:
     return out
 
 
+def _merge_one(v: Vocabulary, word: bytes, width: int) -> bytes:
+    """Identifiers of one word of at most width bytes, a power of two."""
+    n, none, low = len(word), int(NONE), int(LOW)
+    rank, made, total = v.ranks.get, v.made, int(v.width)
+    symbols = v.first[np.frombuffer(word, np.uint8)].tolist()
+    symbols[-1] = int(v.last[word[-1]])
+    after, before = list(range(1, n + 1)), list(range(-1, n))
+    tree = [none] * (2 * width)
+    for i in range(n - 1):
+        if (r := rank(symbols[i] * total + symbols[i + 1])) is not None:
+            tree[width + i] = r << 32 | i
+    for k in range(width - 1, 0, -1):
+        a, b = tree[2 * k], tree[2 * k + 1]
+        tree[k] = a if a < b else b
+
+    def put(i: int, value: int) -> None:
+        k = width + i
+        if tree[k] == value:
+            return
+        tree[k] = value
+        while k > 1:
+            other = tree[k ^ 1]
+            k >>= 1
+            if other < value:
+                value = other
+            if tree[k] == value:
+                return
+            tree[k] = value
+
+    while (root := tree[1]) < none:
+        i = root & low
+        gone = after[i]
+        new = symbols[i] = int(made[root >> 32])
+        symbols[gone] = -1
+        far = after[i] = after[gone]
+        before[far] = i
+        put(gone, none)
+        r = rank(new * total + symbols[far]) if far < n else None
+        put(i, none if r is None else r << 32 | i)
+        near = before[i]
+        if near >= 0:
+            r = rank(symbols[near] * total + new)
+            put(near, none if r is None else r << 32 | near)
+    return np.array([x for x in symbols if x >= 0], "<u4").tobytes()
+
+
 def _merge_group(v: Vocabulary, words: list[bytes], width: int) -> list[bytes]:
     n = len(words)
     lengths = np.fromiter(map(len, words), np.int64, n)
