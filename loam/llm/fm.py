@@ -17,8 +17,6 @@ WORD_BUCKETS, STEPS, FACTORS = 1 << 14, 32, 8
 #: Most labelled rows that the fit uses: those of least hash of their identifier.
 SAMPLE = 8192
 EPOCHS, BATCH, RATE, DECAY, SEED = 8, 128, 0.05, 1e-6, 7
-#: Most words of a text, evenly spaced, that enter the fit; scores use all words.
-FIT_WORDS = 2000
 
 MEMORY = 200_000
 WORD_WEIGHT = 1.0
@@ -69,15 +67,14 @@ def bucket(word: bytes) -> int:
     return b
 
 
-def features(text: str, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Indices, ascending and distinct, and values of a text's features."""
+def features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Indices, ascending and distinct, and values of a text's features, at most SIZE however long it is."""
     hold("buckets")
     words = text.encode("utf-8", "replace").split()
     places = [min(STEPS - 1, int(x * STEPS)) + WORD_BUCKETS + i * STEPS for i, x in enumerate(statistics(text, words))]
     if not words:
         places.append(SIZE - 1)
-    used = words[:: max(1, len(words) // most)] if most else words
-    at, times = np.unique(np.fromiter(map(bucket, used), np.int64, len(used)), return_counts=True)
+    at, times = np.unique(np.fromiter(map(bucket, words), np.int64, len(words)), return_counts=True)
     size = np.sqrt(float((times * times).sum())) or 1.0
     return np.concatenate([at, places]), np.concatenate([WORD_WEIGHT * times / size, np.ones(len(places))])
 
@@ -142,9 +139,10 @@ def train(df: DataFrame, labelled: DataFrame, sample: int = SAMPLE, text: str =
 
     labelled has doc_id and quality (0 or 1; other values are left out; the
     first of repeated identifiers by value counts). Chosen are those of least
-    hash of doc_id, so the choice does not hang on partitions. Features are
-    made on the executors; sample * FIT_WORDS of them at most reach the driver.
-    Without usable rows the machine scores every text one half.
+    hash of doc_id, so the choice does not hang on partitions; of rows of df
+    with one doc_id, the least text counts. Features are made on the executors
+    from whole texts; at most sample rows of at most SIZE features reach the
+    driver. Without usable rows the machine scores every text one half.
     """
     usable = labelled.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (id_bucket(F.col("doc_id"), 4) != 2))
     chosen = usable.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64(F.col("doc_id")), "doc_id").limit(sample)
@@ -153,10 +151,10 @@ def train(df: DataFrame, labelled: DataFrame, sample: int = SAMPLE, text: str =
         return Machine(0.0, np.zeros(SIZE, np.float32), np.zeros((SIZE, FACTORS), np.float32))
     spark = df.sparkSession
     ids = spark.createDataFrame([(i,) for i in wanted], chosen.select("doc_id").schema)
-    rows = df.select("doc_id", text).join(F.broadcast(ids), "doc_id", "left_semi")
+    rows = df.select("doc_id", text).join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(text).alias(text))
 
     def run(texts: list[str]) -> list[list]:
-        made = [features(t, FIT_WORDS) for t in texts]
+        made = [features(t) for t in texts]
         return [[a.astype("<u2").tobytes() for a, _ in made], [x.astype("<f2").tobytes() for _, x in made]]
 
     got = sorted(map_texts(rows, run, "at binary, x binary", ("doc_id",), text).collect())
@@ -175,7 +173,9 @@ def quality_scores(df: DataFrame, labelled: DataFrame, threshold: float = 0.7, t
 
     held_out rows (crc32 of doc_id mod 4 is 2) never enter the fit; labels,
     language, source and identifier are no inputs of a score, so equal texts
-    get equal scores. A null or empty text is scored by its lack of words.
+    get equal scores. A null or empty text is scored by its lack of words; a
+    null doc_id counts as empty text for held_out; a score equal to threshold
+    predicts 1. Repeated rows are scored each; other columns are left out.
     """
     machine = train(df, labelled, text=text)
     scored = classify(df, machine, text=text)
