@@ -78,20 +78,50 @@ def test_edges(spark):
     assert sum(r.length for r in twice) == 2 * twice[0].doc_tokens
 
 
-def test_runs_join_up(spark, monkeypatch, sf):
-    monkeypatch.setattr(packing, "RUN_TOKENS", 4096)
-    df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("doc_id < 60").coalesce(1)
-    packer = packing.Packer(2048, 0)
+def test_settled_windows_are_those_of_the_whole_stream():
+    """However often settled windows are given out, the cuts are those of one run over everything."""
     rng = random.Random(1)
-    made, lengths = [], {}
-    for k in range(200):
-        n = rng.randint(1, 900)
-        lengths[k] = n
-        ids = np.full(n, k, "<u4")
-        packer.add(k, ids, np.array(sorted(rng.sample(range(1, n + 1), min(n, 20)))[:-1], dtype=int))
-        if packer.end - packer.at[0] > packing.RUN_TOKENS:
-            made += packer.cut(False)
-    made += packer.cut(True)
-    for k, n in lengths.items():
-        assert sum(r[2] for r in made if r[0] == k) == n
-    assert df.count() > 0
+    for every in (1, 7, 40):
+        docs = []
+        for k in range(300):
+            n = rng.choice((3, 60, 300, 900))
+            ends = [] if rng.random() < 0.2 else sorted(rng.sample(range(1, n + 1), min(n, rng.randint(1, 12))))
+            docs.append((k, np.full(n, k, "<u4"), np.array(ends, dtype=int)))
+        whole, parted = packing.Packer(512, 0), packing.Packer(512, 0)
+        made, held = [], 0
+        for i, (k, ids, ends) in enumerate(docs):
+            whole.add(k, ids, ends)
+            parted.add(k, ids, ends)
+            if i % every == 0:
+                made += parted.cut(False)
+            held = max(held, len(parted.docs))
+        made += parted.cut(True)
+        assert made == list(whole.cut(True))
+        assert held < 60
+
+
+def test_only_sentences_longer_than_a_window_are_cut_inside():
+    rng = random.Random(4)
+    size = 64
+    packer, allowed = packing.Packer(size, 0), {0}
+    for k in range(80):
+        lengths = [rng.choice((1, 5, 20, 63, 64, 65, 200)) for _ in range(rng.randint(1, 6))]
+        ends = np.cumsum(lengths)
+        before = np.concatenate([[0], ends[:-1]])
+        for a, b in zip(before.tolist(), ends.tolist(), strict=True):
+            allowed |= {packer.end + b} | (set(range(packer.end + a, packer.end + b)) if b - a > size else set())
+        packer.add(k, np.full(int(ends[-1]), k, "<u4"), ends[:-1])
+    stops, place = [], 0
+    cut = packer.cuts.rest()
+    assert set(cut) <= allowed and cut[-1] == packer.end
+    for r in packer.cut(True):
+        assert r[6] == 0 or place + r[2] <= size
+        place = r[2] if r[6] == 0 else place + r[2]
+        stops.append(r)
+    assert sum(r[2] for r in stops) == packer.end
+
+
+def test_very_long_texts(spark):
+    texts = {1: "abcdefghij" * 20_000, 2: "many words without an end " * 20_000, None: "lost. " * 500}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    check(packing.pack(df, WORD).collect(), texts, 2048)
