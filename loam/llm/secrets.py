@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from dataclasses import dataclass
 from functools import lru_cache
 
 import zstandard
@@ -19,8 +21,9 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ("assign", "access", "hex", "novel")
 
-#: A candidate of the novelty test: a long unbroken string with a digit and a letter...
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~-]{16,}")
+#: A candidate of the novelty test: a long unbroken string with a digit and a letter (a name and '=' before it
+#: are context)...
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_~-]{16,}={0,2}")
 #: ...behind one of these words, at most REACH characters away.
 CONTEXT = re.compile(
     r"auth|bearer|credential|private|passphrase|passwd|password|pwd|secret|signature|signing|session|token|api.?key|access.?key|client.?id|ssh-|begin|cookie|jwt|salt|hmac|webhook|licen[cs]e.?key",
@@ -36,8 +39,9 @@ KEY_END = "-----END"
 KEY_TAIL = re.compile(r"(?:\s|\\[rn])([A-Za-z0-9+/=]{1,15})(?:\s|\\[rn])*\Z")
 #: Characters before and after a candidate that prime the compressor.
 AROUND = 512
-#: Compressed bytes that a candidate adds, per character, from which it is reported.
-NOVEL = 0.55
+#: Compressed bytes that a candidate adds, per character, from which it is reported: random letters and digits
+#: add 0.8 to 1, strings of known words and counting ones under 0.68.
+NOVEL = 0.68
 
 #: Words of code and identifiers that a compressor should know beforehand, one list of fixed values.
 IDENTIFIERS = """
@@ -84,7 +88,12 @@ def dictionary() -> zstandard.ZstdCompressionDict:
 
 @lru_cache(maxsize=1)
 def compressor() -> zstandard.ZstdCompressor:
-    return zstandard.ZstdCompressor(level=9, dict_data=dictionary(), write_checksum=False, write_content_size=False)
+    """Matches from three bytes on and an optimal parse, so that short known words are found in a short string."""
+    how = zstandard.ZstdCompressionParameters(
+        window_log=16, hash_log=15, chain_log=15, search_log=5, min_match=3, target_length=64,
+        strategy=zstandard.STRATEGY_BTOPT, write_checksum=False, write_content_size=False, write_dict_id=False,
+    )
+    return zstandard.ZstdCompressor(dict_data=dictionary(), compression_params=how)
 
 
 def novelty(candidate: str, before: str, after: str) -> float:
@@ -146,64 +155,105 @@ def without_copies(text: str, word: str, start: int, end: int, places: list[tupl
     return "".join([*out, text[last:end]])
 
 
-def novel_spans(text: str, taken: list[tuple[int, int, str]], least: float = NOVEL) -> list[tuple[int, int, str]]:
-    """Candidates in a sensitive context that no base span touches and that do not compress.
+@dataclass(frozen=True)
+class Novelty:
+    """least: bytes per character from which a candidate is reported; reach: characters before it in which a
+    sensitive word must stand; around: characters on each side that prime the compressor."""
+
+    least: float = NOVEL
+    reach: int = REACH
+    around: int = AROUND
+
+
+class Taken:
+    """Spans joined where they overlap, to be asked in logarithmic time."""
+
+    def __init__(self, spans: list[tuple[int, int, str]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b, _ in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def touches(self, start: int, end: int) -> bool:
+        i = bisect_left(self.starts, end)
+        return i > 0 and self.ends[i - 1] > start
+
+
+def incompressible(text: str, how: Novelty = Novelty()) -> list[tuple[int, int, str]]:
+    """Candidates in a sensitive context that do not compress.
 
     Copies of a candidate nearby do not count as surroundings. A candidate that
-    a dot or a line break joins to one in a sensitive context is in it too.
+    a dot or a line break joins to one in a sensitive context is in it too; a
+    sensitive word more than how.reach characters before a candidate is not seen
+    otherwise, save the first line of a private key.
     """
-    found = []
+    found: list[tuple[int, int, str]] = []
     places = [m.span() for m in CANDIDATE.finditer(text)]
     keys = key_blocks(text) if KEY_END in text else []
+    inside = Taken([(a, b, "") for a, b in keys])
     sensitive = -1
     for at, (start, end) in enumerate(places):
         joined = sensitive >= 0 and JOIN.fullmatch(text, sensitive, start)
-        if not joined and not CONTEXT.search(text, max(0, start - REACH), start) and not any(a <= start < b for a, b in keys):
+        if not joined and not CONTEXT.search(text, max(0, start - how.reach), start) and not inside.touches(start, start + 1):
             sensitive = -1
             continue
         sensitive = end
         word = text[start:end]
         if not any(c.isdigit() for c in word) or not any(c.isalpha() for c in word):
             continue
-        if any(a < end and start < b for a, b, _ in taken):
-            continue
-        before = without_copies(text, word, max(0, start - AROUND), start, places, at - 1, -1)
-        after = without_copies(text, word, end, min(len(text), end + AROUND), places, at + 1, 1)
-        if novelty(word, before, after) >= least:
+        before = without_copies(text, word, max(0, start - how.around), start, places, at - 1, -1)
+        after = without_copies(text, word, end, min(len(text), end + how.around), places, at + 1, 1)
+        if novelty(word, before, after) >= how.least:
             found.append((start, end, "novel"))
+    own = Taken(found)
     for a, b in keys:
-        tail = KEY_TAIL.search(text, max(a, b - AROUND), b)
-        if tail and any(x < b and a < y for x, y, _ in found) and not any(x < tail.end(1) and tail.start(1) < y for x, y, _ in taken + found):
+        tail = KEY_TAIL.search(text, max(a, b - how.around), b)
+        if tail and own.touches(a, b) and not own.touches(*tail.span(1)):
             found.append((*tail.span(1), "novel"))
     return found
 
 
+def novel_spans(text: str, taken: list[tuple[int, int, str]], how: Novelty = Novelty()) -> list[tuple[int, int, str]]:
+    """Incompressible strings that no span of taken touches."""
+    held = Taken(taken)
+    return [s for s in incompressible(text, how) if not held.touches(s[0], s[1])]
+
+
 def listed(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]))))
 
 
-def find_secrets(df: DataFrame, novel: float = NOVEL, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+def find_secrets(df: DataFrame, how: Novelty = Novelty(), keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """Secrets of each text: pattern spans, and strings that a primed compressor can't shorten.
 
-    Columns: keep, n_assign, n_access, n_hex, n_novel long, base_sha256, spans
-    ("kind:start:end", code points, end exclusive, by start and then kind). A null
-    or empty text has none. Equal texts give equal rows. No shuffle; only
-    candidates are compressed, each with at most 2 * AROUND characters around it.
+    Columns: keep, n_assign, n_access, n_hex long, n_novel long (spans that the
+    method adds), n_incompressible long (those and what the patterns found too),
+    base_sha256, spans ("kind:start:end", code points, end exclusive, by start
+    and then kind). A null
+    or empty text has none; a null doc_id stays null; repeated rows and equal
+    texts give equal rows; other columns of df are left out. No shuffle; only
+    candidates are compressed, each with at most 2 * how.around characters around
+    it, so a text costs its length.
     """
 
     def run(texts: list[str]) -> list[list]:
         rows = []
         for t in texts:
             base = base_spans(t)
-            more = novel_spans(t, base, novel)
+            every, held = incompressible(t, how), Taken(base)
+            more = [s for s in every if not held.touches(s[0], s[1])]
             kinds = [k for _, _, k in base]
-            rows.append((kinds.count("assign"), kinds.count("access"), kinds.count("hex"), len(more), hashlib.sha256(listed(base).encode()).hexdigest(), listed(base + more)))
+            rows.append((kinds.count("assign"), kinds.count("access"), kinds.count("hex"), len(more), len(every), hashlib.sha256(listed(base).encode()).hexdigest(), listed(base + more)))
         return [list(c) for c in zip(*rows, strict=True)]
 
-    return map_texts(df, run, "n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string", keep, text)
+    return map_texts(df, run, "n_assign long, n_access long, n_hex long, n_novel long, n_incompressible long, base_sha256 string, spans string", keep, text)
 
 
-def redact(df: DataFrame, mark: str = "[SECRET]", novel: float = NOVEL, text: str = "text") -> DataFrame:
+def redact(df: DataFrame, mark: str = "[SECRET]", how: Novelty = Novelty(), text: str = "text") -> DataFrame:
     """df with every secret of the text column replaced by mark; null texts stay null.
 
     Overlapping spans become one mark. All other columns are kept as they are.
@@ -214,7 +264,7 @@ def redact(df: DataFrame, mark: str = "[SECRET]", novel: float = NOVEL, text: st
         out = []
         for t in texts:
             base = base_spans(t)
-            spans = sorted((a, b) for a, b, _ in base + novel_spans(t, base, novel))
+            spans = sorted((a, b) for a, b, _ in base + novel_spans(t, base, how))
             parts, at = [], 0
             for a, b in spans:
                 if a >= at:

@@ -162,6 +162,108 @@ def test_every_segment_of_a_bearer_token_is_found():
     assert found == [segments[0], segments[1], segments[3]]
 
 
+def base_by_force(text):
+    """The contract's patterns, place by place, without regular expressions."""
+    letters = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+    def run(i, allowed):
+        while i < len(text) and text[i] in allowed:
+            i += 1
+        return i
+
+    def assign(i):
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if lower.startswith(word, i):
+                j = i + len(word)
+                j += text[j : j + 1] in ("'", '"') and j < len(text)
+                j = run(j, " ")
+                if text[j : j + 1] not in (":", "=") or j >= len(text):
+                    continue
+                j = run(j + 1, " ")
+                j += text[j : j + 1] in ("'", '"') and j < len(text)
+                if (end := run(j, letters)) > j:
+                    return end, end - j >= 6
+        return None
+
+    def access(i):
+        end = run(i + 4, set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")) if text.startswith("AKIA", i) else 0
+        return (end, end - i >= 20) if end > i + 4 else None
+
+    def hexes(i):
+        end = run(i, set("0123456789abcdef"))
+        return (end, end - i >= 24) if end > i else None
+
+    spans = []
+    for kind, match in (("assign", assign), ("access", access), ("hex", hexes)):
+        i = 0
+        while i < len(text):
+            if found := match(i):
+                if found[1]:
+                    spans.append((i, found[0], kind))
+                i = found[0]
+            else:
+                i += 1
+    return sorted(spans)
+
+
+def test_base_spans_against_force():
+    rng = random.Random(21)
+    parts = ["password", "PASSWD", "Secret", "token", "api_key", "apikey", "APIKEY", "=", ":", " ", "  ", "'", '"', "AKIA", "AKIAAKIA", "A1B2C3D4E5F6G7H8", "0a1b2c3d4e5f", "deadbeef", "abcdef", "x", "\n", "ſ", "é", "-", "hello", "A0" * 9]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        assert sorted(secrets.base_spans(text)) == base_by_force(text), repr(text)
+
+
+def planted_strings(rng):
+    """(text, string, whether it is a secret): keys of several alphabets, and long strings that are none, in sensitive contexts."""
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    contexts = ["Authorization: Bearer {}", "the session cookie is {} today", "private key {}", "client-secret -> {}", "signature={}", 'jwt "{}"', "webhook at {}"]
+    words = ["configuration", "parameter", "session", "token", "handler", "request", "default", "client", "version", "timeout", "user", "account"]
+    code = "def load(config):\n    return config.get('default_timeout', 30)\n\n"
+    out = []
+    for i in range(600):
+        if secret := i % 2 == 0:
+            string = "k7" + "".join(rng.choice(rng.choice(alphabets[:1]) if j % 2 else rng.choice(alphabets)) for j in range(rng.choice((24, 32, 40, 64))))
+        else:
+            kind = rng.randrange(4)
+            string = {
+                0: "_".join(rng.choice(words) for _ in range(4)) + f"_{rng.randrange(10)}",
+                1: "/".join(["v1", *(rng.choice(words) for _ in range(4))]),
+                2: "0123456789" * 2 + "abcdefghij",
+                3: "".join(w.title() for w in rng.choices(words, k=4)) + "2",
+            }[kind]
+        out.append((code + rng.choice(contexts).format(string) + "\n" + code, string, secret))
+    return out
+
+
+def test_recall_and_precision_of_novel_strings():
+    hits = Counter()
+    for text, string, secret in planted_strings(random.Random(33)):
+        found = any(string in text[a:b] or text[a:b] in string for a, b, _ in secrets.novel_spans(text, []))
+        hits[secret, found] += 1
+    recall = hits[True, True] / (hits[True, True] + hits[True, False])
+    precision = hits[True, True] / (hits[True, True] + hits[False, True])
+    print("recall", recall, "precision", precision)
+    assert recall > 0.97 and precision > 0.95
+
+
+def test_incompressible_strings_of_the_test_table(spark):
+    """All long mixed strings of the table stand in sensitive contexts; the patterns find them, and so does novelty."""
+    out = queries.op4_secret_novelty(spark, "/root/testdata/sf0.01").agg({"n_incompressible": "sum", "n_assign": "sum", "n_novel": "sum"}).first()
+    assert out["sum(n_incompressible)"] == out["sum(n_assign)"] > 0 and out["sum(n_novel)"] == 0
+
+
+def test_context_and_surroundings_are_parameters():
+    key = random_key(random.Random(4), 40)
+    text = "secret" + " far" * 30 + " " + key
+    assert secrets.novel_spans(text, []) == []
+    assert len(secrets.novel_spans(text, [], secrets.Novelty(reach=200))) == 1
+    assert secrets.novel_spans("secret " + key, [], secrets.Novelty(least=2.0)) == []
+    taken = secrets.Taken([(5, 9, ""), (8, 12, ""), (20, 30, "")])
+    assert [taken.touches(a, b) for a, b in ((0, 5), (0, 6), (12, 20), (11, 12), (29, 40), (30, 31))] == [False, True, False, True, True, False]
+
+
 def test_find_and_redact(spark):
     df = spark.createDataFrame([(1, "token=abcdefgh1 x", 17), (2, None, None), (3, "", 0), (4, "clean words", 11)], "doc_id long, text string, n_chars long")
     rows = {r.doc_id: r for r in secrets.find_secrets(df).collect()}
