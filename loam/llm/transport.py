@@ -8,13 +8,17 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import as_bytes, map_texts
+from .common import as_bytes, map_texts, stored
 
 #: Fixed values of the transport stream format.
 PACKET, SYNC, PAT_PID, NULL_PID, PRIVATE_DATA, PRIVATE_STREAM_1 = 188, 0x47, 0, 0x1FFF, 0x06, 0xBD
@@ -137,6 +141,11 @@ class Stream:
     def payload(self) -> bytes:
         return b"".join(u[3] for u in self.units)
 
+    def index(self) -> list[dict]:
+        """Time stamp, random-access mark, place in the payload and length of each unit."""
+        ends = np.cumsum([len(u[3]) for u in self.units]).tolist()
+        return [{"pts": u[1], "random_access": u[2], "start": e - len(u[3]), "length": len(u[3])} for u, e in zip(self.units, ends, strict=True)]
+
     def feature(self) -> str:
         stamps = [u[1] for u in self.units if u[1] is not None]
         points = [u[1] for u in self.units if u[2]]
@@ -250,30 +259,48 @@ def payload_of(text: str) -> bytes:
     return raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
 
 
+UNITS = "units array<struct<pts:long,random_access:boolean,start:long,length:long>>"
+
+
 def media_column(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """Each text as a transport stream in a binary column ``media``; a null text is empty."""
-    return map_texts(df, lambda texts: [[mux(payload_of(t)) for t in texts]], "media binary", keep, text)
+    """keep, n_bytes long, sent_sha256 string (of the payload) and each text as a transport stream, ``media`` binary; a null text is empty."""
 
+    def run(texts: list[str]) -> list[list]:
+        sent = list(map(payload_of, texts))
+        return [[len(as_bytes(t)) for t in texts], [hashlib.sha256(x).hexdigest() for x in sent], list(map(mux, sent))]
 
-def media_features(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """Store each text as a transport stream, read it back, and describe both.
+    return map_texts(df, run, "n_bytes long, sent_sha256 string, media binary", keep, text)
 
-    Columns: keep, n_bytes, payload_bytes, payload_sha256 and tail_crc32 (of what
-    was read back), media_bytes, media_sha256, feature. A null text reads as
-    empty: a payload of 64 zeros. Equal texts give equal values. A stream whose
-    payload does not come back, byte for byte, fails the task.
-    """
 
-    def run(texts: list[str]) -> list[list]:
-        rows = []
-        for text in texts:
-            payload = payload_of(text)
-            media = mux(payload)
-            stream = demux(media)
-            back = stream.payload()
-            if back != payload:
-                raise ValueError("a transport stream did not give its payload back")
-            rows.append((len(as_bytes(text)), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), stream.feature()))
-        return [list(c) for c in zip(*rows, strict=True)]
-
-    return map_texts(df, run, "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", keep, text)
+def media_features(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """Store each text as a transport stream, read the stored bytes back, and describe both.
+
+    The streams are a column of a table in the shared folder. Columns: keep,
+    n_bytes, payload_bytes, payload_sha256 and tail_crc32 (of what was read
+    back), media_bytes, media_sha256, feature, and units: time stamp,
+    random-access mark, place in the payload and length of each elementary
+    packet. A null text reads as empty: a payload of 64 zeros. Equal texts give
+    equal values and repeated rows equal rows; a null doc_id stays null; other
+    columns of df are left out. A stream whose payload does not come back, byte
+    for byte, fails the task.
+    """
+    media = stored(media_column(df, keep, text), "media", compression="zstd")
+    kept = media.select(*keep).schema
+    schema = StructType([*kept.fields, *StructType.fromDDL(f"n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, {UNITS}").fields])
+    arrow = to_arrow_schema(schema)
+    first = len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for n, sent, raw in zip(*(batch.column(first + i).to_pylist() for i in range(3)), strict=True):
+                stream = demux(raw)
+                back = stream.payload()
+                digest = hashlib.sha256(back).hexdigest()
+                if digest != sent:
+                    raise ValueError("a stored transport stream did not give its payload back")
+                rows.append((n, len(back), digest, zlib.crc32(back[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), stream.feature(), stream.index()))
+            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(8)]
+            yield pa.RecordBatch.from_arrays([batch.column(i).cast(arrow.field(i).type) for i in range(first)] + [pa.array(c, type=arrow.field(first + i).type) for i, c in enumerate(columns)], schema=arrow)
+
+    return media.select(*keep, "n_bytes", "sent_sha256", "media").mapInArrow(run, schema)

@@ -56,5 +56,8 @@ def test_query(spark):
     assert a.payload_sha256 == hashlib.sha256(raw).hexdigest() and a.tail_crc32 == zlib.crc32(raw[-64:])
     assert a[2:] == b[2:] and a.media_sha256 == hashlib.sha256(ts.mux(raw)).hexdigest()
     assert c[1:] == d[1:] and c.n_bytes == 0 and c.payload_bytes == 64
+    assert [(u.pts, u.random_access, u.start, u.length) for u in a.units] == [(0, True, 0, 128)]
+    long = ts.media_features(spark.createDataFrame([(9, "0" * (ts.UNIT * 2 + 5))], "doc_id long, text string")).first()
+    assert [(u.pts, u.random_access, u.start, u.length) for u in long.units] == [(k * ts.TICKS, k == 0, k * ts.UNIT, n) for k, n in enumerate((ts.UNIT, ts.UNIT, 64))]
     assert ts.media_features(df.limit(0)).count() == 0
     assert ts.demux(ts.media_column(df).first().media).payload() == raw
