@@ -27,9 +27,9 @@ PER_LONG = 64 // BITS
 #: Pairs whose estimate lies this far below the threshold are dropped: over five deviations of it.
 SLACK = 0.22
 #: Pairs of a centre compared in one cell, and members of a bucket in one cell of the last comparison.
-GROUP, CELL = 256, 512
-#: Most turns of stars, and pairs left for each member up to which all are compared at once.
-ROUNDS, PATIENCE = 4, 16
+GROUP, CELL = 256, 2048
+#: Most further turns of stars, and pairs left for each member from which one is taken.
+TURNS, PATIENCE = 1, 64
 
 _rng = np.random.default_rng(20240229)
 FACTORS = _rng.integers(1 << 62, (1 << 63) - 1, MINIMA, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
@@ -170,20 +170,38 @@ def open_members(members: DataFrame, component: DataFrame) -> DataFrame:
     return placed.join(apart, "key", "left_semi")
 
 
-def cross_pairs(members: DataFrame, classes: DataFrame, percent: int, slack: float | None) -> DataFrame:
-    """(leaf, centre, load): pairs of a bucket in different components whose sizes and low bits allow a link.
+def cross_links(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, slack: float | None) -> DataFrame:
+    """Links (a, b) between different components of a bucket, each found in the first bucket that both share.
 
-    A bucket is split into cells of about CELL members; each cell meets each
-    other one in a task of its own, so no bucket is one task.
+    A bucket is split into cells of about CELL members, and each cell meets each
+    other one in a place of its own, so no bucket is one task. Members that meet
+    nobody whose size and low bits allow a link are left out first; the full
+    sets of the others are compared inside the join, so that only links come
+    out of it.
     """
     sizes = members.groupBy("key").agg(F.count("*").alias("n"))
-    sized = members.join(sizes, "key").join(described(classes, "node", "a"), "node")
-    count = F.ceil(F.col("n") / CELL).cast("int")
-    own, every = F.pmod(F.xxhash64("node"), count).cast("int"), F.explode(F.sequence(F.lit(0), count - 1))
-    left = sized.select("key", F.col("node").alias("leaf"), F.col("component").alias("c_a"), "n_a", "packed_a", load_of(F.col("n")).alias("load"), own.alias("row"), every.alias("column"))
-    right = sized.select("key", F.col("node").alias("centre"), F.col("component").alias("c_b"), F.col("n_a").alias("n_b"), F.col("packed_a").alias("packed_b"), own.alias("column"), every.alias("row"))
-    pairs = left.join(right, ["key", "row", "column"]).where((F.col("c_a") < F.col("c_b")) & likely(percent, slack))
-    return pairs.groupBy("leaf", "centre").agg(F.max("load").alias("load"))
+    cell = F.ceil(F.col("n") / CELL).cast("int")
+    placed = members.join(sizes, "key").select("key", "node", "component", cell.alias("cells"), F.pmod(F.xxhash64("node"), cell).cast("int").alias("own"))
+    placed = stored(placed.join(classes.select("node", "n_shingles", "packed"), "node"), "placed")
+    every = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
+
+    def sides(df: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+        names = ["node", "component", "n_shingles", "packed", *more]
+        left = df.select("key", F.col("own").alias("row"), every.alias("column"), *[F.col(x).alias(f"{x}_a") for x in names])
+        return left, df.select("key", F.col("own").alias("column"), every.alias("row"), *[F.col(x).alias(f"{x}_b") for x in names])
+
+    renamed = lambda df, side: df.withColumnRenamed(f"n_shingles_{side}", f"n_{side}")
+    left, right = sides(placed)
+    near = likely(percent, slack)
+    partners = renamed(left, "a").join(renamed(right, "b").withColumnsRenamed({"key": "key_b", "row": "row_b", "column": "column_b"}), (F.col("key") == F.col("key_b")) & (F.col("row") == F.col("row_b")) & (F.col("column") == F.col("column_b")) & (F.col("component_a") != F.col("component_b")) & near, "left_semi")
+    kept = partners.select("key", F.col("node_a").alias("node")).distinct()
+    full = placed.join(kept, ["key", "node"], "left_semi").join(classes.select("node", "bands"), "node").join(sets, "node")
+    left, right = sides(stored(full, "full"), "bands", "items")
+    common = F.size(F.array_intersect("items_a", "items_b"))
+    linked = common * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+    first = F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("key")
+    pairs = renamed(left, "a").join(renamed(right, "b"), ["key", "row", "column"]).where((F.col("component_a") < F.col("component_b")) & near & first & linked)
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def pairs_left(members: DataFrame) -> tuple[int, int]:
@@ -223,21 +241,22 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def linked(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, slack: float | None) -> DataFrame:
     """node and component of every class that has a link.
 
-    Stars first: each costs a bucket's size. Further stars with other centres
-    take what is still apart, while that would be many pairs; then every pair
-    of a bucket in different components is held against each other, so that no
-    link is lost however many rounds there were.
+    Stars first: each costs a bucket's size. Where very many pairs are still
+    apart, stars with other centres follow; then the members of a bucket in
+    different components are held against each other, so that no link is lost
+    however many turns there were.
     """
-    near = stored(near_pairs(star_pairs(members, 0), classes, percent, slack), "pairs")
-    component = components(confirmed(near, sets, percent))
-    for turn in range(1, ROUNDS + 1):
+    component = components(confirmed(stored(near_pairs(star_pairs(members, 0), classes, percent, slack), "pairs"), sets, percent))
+    for turn in range(1, TURNS + 2):
         held = stored(open_members(members, component), "open")
         n, pairs = pairs_left(held)
         if not pairs:
             break
-        last = turn == ROUNDS or pairs <= PATIENCE * n
-        found = cross_pairs(held, classes, percent, slack) if last else near_pairs(star_pairs(held, turn), classes, percent, slack)
-        links = stored(confirmed(stored(found, "pairs"), sets, percent), "links")
+        last = turn > TURNS or pairs <= PATIENCE * n
+        if last:
+            links = stored(cross_links(held, classes, sets, percent, slack), "links")
+        else:
+            links = stored(confirmed(stored(near_pairs(star_pairs(held, turn), classes, percent, slack), "pairs"), sets, percent), "links")
         discard(held)
         if not links.isEmpty():
             component = components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
