@@ -6,6 +6,7 @@ gives null unless a function says otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -276,16 +277,48 @@ BOILERPLATE = [
 MINIMAL = [r"^\s*$", r"^\s*[-–—]{3,}\s*$", r"^\s*[*•·▪▸►]\s*$"]
 
 
+#: What a text, lower-cased, must contain, or begin with, to match any of BOILERPLATE.
+INSIDE = [
+    "modified", "последнее", "изменено", "all rights reserved", "все права защищены", "copyright", "авторские права",
+    "powered by", "работает на", "создано с помощью", "terms of", "условия использования", "privacy policy",
+    "политика конфиденциальности", "cookie", "куки", "breadcrumb", "навигация", "хлебные крошки", "footer", "подвал",
+    "нижний колонтитул", "subscribe", "подписаться", "отписаться", "follow us", "следите за нами", "мы в соцсетях",
+    "facebook", "twitter", "instagram", "linkedin", "telegram", "vkontakte", "одноклассники",
+]
+BEGINNINGS = ["home", "главная", "prev", "next", "следующая", "предыдущая", "©", "(c)", "comment", "discussion", "комментарии", "обсуждения", "leave a", "оставить"]
+#: The letter that lower-casing leaves but a comparison without case takes for an s.
+LONG_S = "ſ"
+
+
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def boilerplate_reason(text: Column, least_chars: int = 20, least_words: int = 3) -> Column:
-    """Why a text is boilerplate, the first reason that holds; empty: it is not."""
-    text = F.regexp_replace(text, r"^\s+|\s+$", "")
-    n = F.size(pieces(text))
-    reason = F.when(reduce(lambda a, b: a | b, [text.rlike(p) for p in MINIMAL]), "minimal_or_empty_content")
-    reason = reason.when(F.length(text) < least_chars, F.concat(F.lit("too_short_"), F.length(text), F.lit("_chars")))
-    reason = reason.when(n < least_words, F.concat(F.lit("too_few_words_"), n))
-    for p in BOILERPLATE:
-        reason = reason.when(text.rlike("(?iu)" + p), F.lit(f"boilerplate_pattern_{p[:40]}"))
-    return reason.otherwise("")
+    """Why a text is boilerplate, the first reason that holds; empty: it is not.
+
+    The text is trimmed and lower-cased once; patterns are tried only where a
+    word that they need is there.
+    """
+
+    def patterns(own: Column) -> Column:
+        reason = F.when(own.rlike("(?iu)" + BOILERPLATE[0]), F.lit(f"boilerplate_pattern_{BOILERPLATE[0][:40]}"))
+        for p in BOILERPLATE[1:]:
+            reason = reason.when(own.rlike("(?iu)" + p), F.lit(f"boilerplate_pattern_{p[:40]}"))
+        return reason.otherwise("")
+
+    def possible(low: Column) -> Column:
+        return reduce(lambda a, b: a | b, [low.contains(w) for w in INSIDE] + [low.startswith(w) for w in BEGINNINGS] + [low.contains(LONG_S)])
+
+    def decided(own: Column) -> Column:
+        n = F.size(pieces(own))
+        reason = F.when(reduce(lambda a, b: a | b, [own.rlike(p) for p in MINIMAL]), "minimal_or_empty_content")
+        reason = reason.when(F.length(own) < least_chars, F.concat(F.lit("too_short_"), F.length(own), F.lit("_chars")))
+        reason = reason.when(~own.rlike(r"^\S+(?:\s+\S+){%d}" % (least_words - 1)), F.concat(F.lit("too_few_words_"), n))
+        return reason.when(once(F.lower(own), possible), patterns(own)).otherwise("")
+
+    return once(F.regexp_replace(text, r"^\s+|\s+$", ""), decided)
 
 
 def coherence(text: Column, titled: Column | None = None, summarised: Column | None = None) -> Column:
@@ -302,6 +335,13 @@ def coherence(text: Column, titled: Column | None = None, summarised: Column | N
 
 # ---- overlap of word sets
 
+#: Words that overlap metrics leave out.
+METRIC_STOP = [
+    "what", "is", "the", "a", "an", "how", "why", "when", "where", "who", "which", "do", "does", "can", "could", "should",
+    "would", "will", "of", "to", "in", "for", "on", "with", "at", "by", "from", "it", "its", "be", "are", "was", "were",
+    "been", "being", "have", "has", "had", "this", "that", "these", "those", "and", "or", "but", "not", "no",
+]
+
 
 def overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b))
@@ -357,13 +397,20 @@ def header(**parts: Column) -> Column:
 #: Letters and common words that tell German and French from other languages.
 GERMAN_LETTERS = "äöüßÄÖÜ"
 FRENCH_LETTERS = "àâäæçèéêëîïôœùûüÿÀÂÄÆÇÈÉÊËÎÏÔŒÙÛÜŸ"
-GERMAN_WORDS = """und ein eine der die das ist nicht mit von für auf ich wir sie was wie wo sind aus wird werden wurde wenn
-auch noch schon diese durch über nach vor bei ab seit dass oder aber sich einen dem den des im am um zum zur kein keine mehr
-als nur""".split()
-FRENCH_WORDS = """est vous dans avec pour sur comment quelle sont nous ils elles leur leurs comme cette aussi tout tous toute
-toutes faire peut être avoir entre deux même autre autres sans mais donc encore toujours ainsi alors peuvent doit doivent
-depuis rendre pendant avant après celui celle ceux celles certains certaines votre notre sera seront étaient était moins plus
-très bien dire mettre nouveau nouvelle nouveaux premier première""".split()
+GERMAN_WORDS = [
+    "und", "ein", "eine", "der", "die", "das", "ist", "nicht", "mit", "von", "für", "auf", "ich", "wir", "sie", "was",
+    "wie", "wo", "sind", "aus", "wird", "werden", "wurde", "wenn", "auch", "noch", "schon", "diese", "durch", "über",
+    "nach", "vor", "bei", "ab", "seit", "dass", "oder", "aber", "sich", "einen", "dem", "den", "des", "im", "am",
+    "um", "zum", "zur", "kein", "keine", "mehr", "als", "nur",
+]
+FRENCH_WORDS = [
+    "est", "vous", "dans", "avec", "pour", "sur", "comment", "quelle", "sont", "nous", "ils", "elles", "leur",
+    "leurs", "comme", "cette", "aussi", "tout", "tous", "toute", "toutes", "faire", "peut", "être", "avoir", "entre",
+    "deux", "même", "autre", "autres", "sans", "mais", "donc", "encore", "toujours", "ainsi", "alors", "peuvent",
+    "doit", "doivent", "depuis", "rendre", "pendant", "avant", "après", "celui", "celle", "ceux", "celles",
+    "certains", "certaines", "votre", "notre", "sera", "seront", "étaient", "était", "moins", "plus", "très", "bien",
+    "dire", "mettre", "nouveau", "nouvelle", "nouveaux", "premier", "première",
+]
 
 
 def language(text: Column) -> Column:
@@ -371,19 +418,20 @@ def language(text: Column) -> Column:
     n = lambda letters: F.coalesce(count_of(text, f"[{letters}]"), F.lit(0))
     alpha = n(r"\p{L}")
     cjk, cyrillic = n(r"\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}"), n("А-яЁё")
-    words_ = F.array_distinct(pieces(F.lower(F.coalesce(text, F.lit("")))))
-    common = lambda table: F.size(F.array_intersect(words_, F.array(*map(F.lit, table))))
-    de, fr = n(GERMAN_LETTERS), n(FRENCH_LETTERS)
-    de_score, fr_score = de + 3 * common(GERMAN_WORDS), fr + 3 * common(FRENCH_WORDS)
-    return (
-        F.when((cjk > 0) & (cjk >= alpha * F.lit(0.1)), "zh")
-        .when((cyrillic > 0) & (cyrillic >= alpha * F.lit(0.1)), "ru")
-        .when((de_score >= 2) & (de_score > fr_score), "de")
-        .when((fr_score >= 2) & (fr_score > de_score), "fr")
-        .when((de > 0) & (de >= alpha * F.lit(0.03)), "de")
-        .when((fr > 0) & (fr >= alpha * F.lit(0.03)), "fr")
+    common = lambda own, table: 3 * F.size(F.array_intersect(own, F.array(*map(F.lit, table))))
+    words_ = F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+")
+    letters = F.struct(n(GERMAN_LETTERS).alias("de"), n(FRENCH_LETTERS).alias("fr"))
+    scores = lambda x, own: F.struct(x["de"].alias("de"), x["fr"].alias("fr"), (x["de"] + common(own, GERMAN_WORDS)).alias("de_score"), (x["fr"] + common(own, FRENCH_WORDS)).alias("fr_score"))
+    latin = lambda s: (
+        F.when((s["de_score"] >= 2) & (s["de_score"] > s["fr_score"]), "de")
+        .when((s["fr_score"] >= 2) & (s["fr_score"] > s["de_score"]), "fr")
+        .when((s["de"] > 0) & (s["de"] >= alpha * F.lit(0.03)), "de")
+        .when((s["fr"] > 0) & (s["fr"] >= alpha * F.lit(0.03)), "fr")
         .otherwise("en")
     )
+    by_words = once(words_, lambda own: once(letters, lambda x: once(scores(x, own), latin)))
+    script = lambda count, name, other: once(count, lambda k: F.when((k > 0) & (k >= alpha * F.lit(0.1)), F.lit(name)).otherwise(other))
+    return script(cjk, "zh", script(cyrillic, "ru", by_words))
 
 
 #: Substrings that mark an intent, by language.
@@ -407,6 +455,34 @@ def wants_graph(text: Column, intent_: Column) -> Column:
     return F.coalesce(intent_ == "comparison", F.lit(False)) | reduce(lambda a, b: a | b, [F.lower(text).contains(w) for w in RELATIONS])
 
 
+#: Questions about a graph, and the statements that answer them.
+GRAPH_QUESTIONS = [
+    (r"what (?:projects?|repos?|repositories?) (?:does|do) (\w+) work on", "MATCH (p:Person {name: '{entity}'})-[:WORKS_ON]->(proj:Project) RETURN proj.name, proj.description"),
+    (r"who (?:works?|worked?) on (\w+)", "MATCH (p:Person)-[:WORKS_ON]->(proj:Project {name: '{entity}'}) RETURN p.name, p.role"),
+    (r"what (?:issues?|tickets?|tasks?) (?:are|is) (?:related|linked) to (\w+)", "MATCH (i:Issue)-[:RELATED_TO]->(e {name: '{entity}'}) RETURN i.key, i.summary, i.status"),
+    (r"what (?:dependencies|depends) (?:does|do) (\w+) (?:have|has)", "MATCH (e {name: '{entity}'})-[:DEPENDS_ON]->(dep) RETURN dep.name, dep.type"),
+]
+NO_ENTITY = ["What", "How", "When", "Where", "Who", "Which", "The", "This", "That"]
+ANY_NODE = "MATCH (n) WHERE n.name CONTAINS '{entity}' OR n.description CONTAINS '{entity}' RETURN n.name, n.description, labels(n) LIMIT 10"
+
+
+def graph_statement(question: Column) -> Column:
+    """The statement for the first pattern that a question fits, else for its first capitalised word; null: neither.
+
+    The recorded two-entity pattern has a template whose names are never filled,
+    so it is left out.
+    """
+    low = F.lower(F.trim(question))
+    fill = lambda template, name: F.replace(F.lit(template), F.lit("{entity}"), name)
+    out = None
+    for pattern, template in GRAPH_QUESTIONS:
+        name = F.regexp_extract(low, pattern, 1)
+        made = fill(template, F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, 2, 1 << 20)))
+        out = F.when(low.rlike(pattern), made) if out is None else out.when(low.rlike(pattern), made)
+    named = F.filter(pieces(question), lambda w: w.rlike(r"^\p{Lu}") & (F.length(w) > 2) & ~w.isin(NO_ENTITY))
+    return out.when(F.size(named) > 0, fill(ANY_NODE, F.get(named, F.lit(0))))
+
+
 # ---- markup
 
 

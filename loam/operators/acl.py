@@ -65,11 +65,22 @@ def pushdown(levels: list[str], groups: list[str], name: str) -> Column:
 
 
 def pairs(chunks: DataFrame, users: DataFrame) -> DataFrame:
-    """Which user sees which chunk.
+    """Which user sees which chunk: the columns of both.
 
-    Only levels that a user's roles reach are joined: both sides meet on the
-    level, not in a product; admins' rows come from the four levels alike.
+    A chunk names the keys that open it (its level, a group, a user), a user
+    those that they hold, and the two meet on a key. So only pairs that are in
+    the result are made, some of them by several groups.
     """
-    reach = users.withColumn("access_level", F.explode(F.when(is_admin(F.col("roles")), F.array(*map(F.lit, LEVELS))).otherwise(allowed_levels(F.col("roles")))))
-    met = chunks.join(reach, "access_level")
-    return met.where(visible(F.col("access_level"), F.col("allowed_groups"), F.col("allowed_users"), F.col("roles"), F.col("groups"), F.col("username")))
+    level = F.coalesce("access_level", F.lit("public"))
+    named = lambda kind, xs: F.when(empty(F.col(xs)), F.array(F.lit(f"{kind}:*"))).otherwise(F.transform(xs, lambda x: F.concat(F.lit(f"{kind}:"), x)))
+    opened = F.when(level == "confidential", named("group", "allowed_groups")).when(level == "restricted", named("user", "allowed_users")).otherwise(F.array(F.concat(F.lit("level:"), level)))
+    keyed = chunks.select("*", F.explode(F.array_distinct(F.concat(opened, F.array(F.lit("admin"))))).alias("_key"))
+    levels = allowed_levels(F.col("roles"))
+    none = F.array().cast("array<string>")
+    held = F.concat(
+        F.transform(levels, lambda x: F.concat(F.lit("level:"), x)),
+        F.when(F.array_contains(levels, "confidential") & ~empty(F.col("groups")), F.concat(F.array(F.lit("group:*")), F.transform("groups", lambda x: F.concat(F.lit("group:"), x)))).otherwise(none),
+        F.when(F.array_contains(levels, "restricted"), F.array(F.lit("user:*"), F.concat(F.lit("user:"), F.col("username")))).otherwise(none),
+    )
+    keys = users.select("*", F.explode(F.array_distinct(F.when(is_admin(F.col("roles")), F.array(F.lit("admin"))).otherwise(F.coalesce(held, none)))).alias("_key"))
+    return keyed.join(keys, "_key").drop("_key").distinct()

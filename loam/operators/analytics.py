@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 def day_of(ts: Column) -> Column:
     return F.to_date(ts)
@@ -116,3 +119,48 @@ def routed(key: Column, weights: dict[str, float]) -> Column:
         upto += w / total
         out = F.when(place < upto, name) if out is None else out.when(place < upto, name)
     return out.otherwise(list(weights)[-1])
+
+
+def ranges_in_order(df: DataFrame, by: list[str], order: list[Column], parts: int | None = None) -> DataFrame:
+    """df with _range: rows dealt by groups and their order into ranges of like size, written once.
+
+    A group of any size is spread over as many ranges as its rows need; all rows
+    of a range come before those of the next.
+    """
+    dealt = df.repartitionByRange(parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, *order)
+    return stored(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
+
+
+def keyed(df: DataFrame, keys: list[str]) -> tuple[DataFrame, Column]:
+    """df with its keys renamed, and the condition that joins it to rows that have them, nulls included."""
+    return df.withColumnsRenamed({k: f"_key_{k}" for k in keys}), reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+
+
+def running(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, Column], parts: int | None = None) -> DataFrame:
+    """df with running sums (name -> value) over each group in order, the row's own value included.
+
+    Sums are taken inside ranges, and the totals of the ranges before are added:
+    one number for each range and group, so no task sees a whole group. order
+    must tell rows of a group apart.
+    """
+    values = {f"_{name}": value for name, value in sums.items()}
+    rows = ranges_in_order(df.withColumns(values), by, order, parts)
+    totals = rows.groupBy(*by, "_range").agg(*[F.sum(v).alias(f"_sum{v}") for v in values])
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*by, "_range", *[F.coalesce(F.sum(f"_sum{v}").over(before), F.lit(0)).alias(f"_base{v}") for v in values])
+    inside = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = rows.withColumns({f"_own{v}": F.sum(v).over(inside) for v in values})
+    met = own.join(*keyed(totals, [*by, "_range"]))
+    return met.select(*df.columns, *[(F.col(f"_own_{name}") + F.col(f"_base_{name}")).alias(name) for name in sums])
+
+
+def carried(df: DataFrame, by: list[str], order: list[Column], value: Column, name: str, parts: int | None = None) -> DataFrame:
+    """df with the last value that is not null of the rows before each row of a group, over ranges as running does."""
+    rows = ranges_in_order(df.withColumn("_value", value), by, order, parts)
+    inside = Window.partitionBy(*by, "_range").orderBy(*order)
+    near = rows.withColumn("_near", F.last("_value", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    near = near.withColumn("_upto", F.last("_value", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_r", F.row_number().over(inside)).withColumn("_n", F.count("*").over(Window.partitionBy(*by, "_range")))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = near.where("_r = _n").select(*by, "_range", F.last("_upto", ignorenulls=True).over(before).alias("_far"))
+    met = near.join(*keyed(ends, [*by, "_range"]))
+    return met.select(*df.columns, F.coalesce("_near", "_far").alias(name))

@@ -54,12 +54,26 @@ def chapters(text: Column) -> Column:
 CYRILLIC, LATIN, CJK = (re.compile(p) for p in ("[\u0400-\u052f]", "[A-Za-z\u00c0-\u024f]", "[\u4e00-\u9fff\u3040-\u30ff\uac00-\ud7af]"))
 
 
+def script_counts(text: str) -> tuple[int, int, int, int]:
+    """Cyrillic, Latin, CJK and other characters; counts of joined texts add up."""
+    a, b, c = (len(p.findall(text)) for p in (CYRILLIC, LATIN, CJK))
+    return a, b, c, len(text) - a - b - c
+
+
+def tokens_of(counts: tuple[int, int, int, int]) -> int:
+    a, b, c, rest = counts
+    return max(1, math.floor(a / 3.0 + b / 4.0 + c / 1.5 + rest / 4.0)) if any(counts) else 0
+
+
 def tokens(text: str) -> int:
     """Token estimate by script, as functions.text.script_tokens."""
-    if not text:
-        return 0
-    a, b, c = (len(p.findall(text)) for p in (CYRILLIC, LATIN, CJK))
-    return max(1, math.floor(a / 3.0 + b / 4.0 + c / 1.5 + (len(text) - a - b - c) / 4.0))
+    return tokens_of(script_counts(text))
+
+
+def added(*counts: tuple[int, int, int, int], breaks: int = 0) -> tuple[int, int, int, int]:
+    """Counts of texts joined, with breaks further characters between them."""
+    a, b, c, rest = map(sum, zip(*counts, strict=True))
+    return a, b, c, rest + breaks
 
 
 def per_document(df: DataFrame, key: str, text: str, fn: Callable[[str], list[tuple]], outputs: str) -> DataFrame:
@@ -77,48 +91,93 @@ def per_document(df: DataFrame, key: str, text: str, fn: Callable[[str], list[tu
     return source.mapInArrow(run, schema)
 
 
-def packed_paragraphs(text: str, most: int, split: str = r"\n\s*\n") -> list[str]:
-    """Paragraphs joined while the estimate stays within most; a larger one stays whole."""
+def packed_paragraphs(text: str, most: int, split: str = r"\n\s*\n", prefix: str = "") -> list[str]:
+    """Paragraphs joined while the estimate stays within most; a larger one stays whole.
+
+    prefix, a heading, begins every chunk, and is one of its own where the first
+    paragraph does not fit behind it. Each paragraph is estimated once.
+    """
     out: list[str] = []
-    held = ""
+    head = script_counts(prefix)
+    held, size = ([prefix], head) if prefix else ([], head)
     for part in filter(None, map(str.strip, re.split(split, text))):
-        joined = f"{held}\n\n{part}" if held else part
-        if held and tokens(joined) > most:
-            out.append(held)
-            held = part
+        own = script_counts(part)
+        if held and tokens_of(added(size, own, breaks=2)) > most:
+            out.append("\n\n".join(held))
+            held, size = [prefix + part], added(head, own)
+        elif held:
+            held.append(part)
+            size = added(size, own, breaks=2)
         else:
-            held = joined
-    return out + [held] if held else out
+            held, size = [part], own
+    last = "\n\n".join(held)
+    return out + [last] if last.strip() else out
 
 
 def overlapped(chunks: list[str], chars: int) -> list[str]:
     """Each chunk behind the end of the one before it, which already has its own such beginning."""
     out: list[str] = []
     for chunk in chunks:
-        out.append(f"[previous context: ...{out[-1][-chars:]}]\n\n{chunk}" if out else chunk)
+        out.append(f"[previous context: ...{out[-1][-chars:]}]\n\n{chunk}" if out and out[-1] else chunk)
     return out
 
 
 def merged_short(chunks: list[str], least: int, most: int) -> list[str]:
     """Neighbours joined where one is below least and both together are within most."""
-    out: list[str] = []
+    out: list[list[str]] = []
+    size = (0, 0, 0, 0)
     for chunk in chunks:
-        if out and tokens(out[-1]) + tokens(chunk) <= most and min(tokens(out[-1]), tokens(chunk)) < least:
-            out[-1] += "\n\n" + chunk
+        own = script_counts(chunk)
+        if out and tokens_of(size) + tokens_of(own) <= most and min(tokens_of(size), tokens_of(own)) < least:
+            out[-1].append(chunk)
+            size = added(size, own, breaks=2)
         else:
-            out.append(chunk)
-    return out
+            out.append([chunk])
+            size = own
+    return ["\n\n".join(x) for x in out]
+
+
+HEADING = re.compile(r"^(#{1,3})\s+([^\n]+)", re.M)
+
+
+def markdown_sections(text: str) -> list[tuple[str, str]]:
+    """(heading line, content) of sections under headings of levels 1 to 3; a text without headings has no heading line."""
+    found = list(HEADING.finditer(text))
+    if not found:
+        return [("", text.strip())]
+    ends = [m.start() for m in found[1:]] + [len(text)]
+    return [(f"{m.group(1)} {m.group(2).strip()}\n", text[m.end() : end].strip()) for m, end in zip(found, ends, strict=True)]
+
+
+def pack_parts(sections: list[tuple[str, str]], most: int, least: int, overlap: int, split: str) -> list[tuple]:
+    parts = [x for head, body in sections for x in packed_paragraphs(body, most, split, head)]
+    parts = merged_short(overlapped(parts, 4 * overlap) if overlap else parts, least, most)
+    return [(i, x, tokens(x)) for i, x in enumerate(parts)]
 
 
 def pack(df: DataFrame, key: str = "doc_id", text: str = "text", most: int = 1500, least: int = 100, overlap: int = 0, split: str = r"\n\s*\n") -> DataFrame:
     """key, position, chunk, tokens: packed paragraphs, overlapped and then merged where short."""
+    return per_document(df, key, text, lambda t: pack_parts([("", t)], most, least, overlap, split), "position int, chunk string, tokens int")
+
+
+def pack_markdown(df: DataFrame, key: str = "doc_id", text: str = "text", most: int = 1500, least: int = 100, overlap: int = 0, split: str = r"\n\s*\n") -> DataFrame:
+    """As pack, section by section; every chunk of a section begins with its heading line."""
+    return per_document(df, key, text, lambda t: pack_parts(markdown_sections(t), most, least, overlap, split), "position int, chunk string, tokens int")
+
 
-    def run(t: str) -> list[tuple]:
-        parts = packed_paragraphs(t, most, split)
-        parts = merged_short(overlapped(parts, 4 * overlap) if overlap else parts, least, most)
-        return [(i, c, tokens(c)) for i, c in enumerate(parts)]
+def overlap(df: DataFrame, chars: int, key: str = "doc_id", chunks: str = "chunks") -> DataFrame:
+    """key, position, chunk of an array of a document's chunks, each behind the end of the one before it."""
 
-    return per_document(df, key, text, run, "position int, chunk string, tokens int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, i, x) for k, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i, x in enumerate(overlapped([y or "" for y in own or []], chars))]
+            columns = zip(*rows, strict=True) if rows else [[] for _ in arrow]
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), type=f.type) for x, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    source = df.select(key, chunks)
+    schema = StructType([source.schema[key], *StructType.fromDDL("position int, chunk string").fields])
+    arrow = to_arrow_schema(schema)
+    return source.mapInArrow(run, schema)
 
 
 def elements(text: str) -> list[tuple[str, str]]:

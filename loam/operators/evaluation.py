@@ -71,9 +71,17 @@ def signal_confidence(context: Column, answer: Column, nli: Column, doubts: Colu
 
 
 def grounded_claims(df: DataFrame, threshold: float) -> DataFrame:
-    """id, claim, supported: each claim of answer against its context, by half cosine and half containment."""
-    claims = df.select("id", F.posexplode(T.claims(F.col("answer"))).alias("at", "claim"), T.word_set(F.col("context")).alias("c"))
-    return claims.withColumn("support", T.support(T.word_set(F.col("claim")), F.col("c"))).select("id", "at", "claim", "support", (F.col("support") >= threshold).alias("supported"))
+    """id, claim, supported: each claim of answer against its context, by half cosine and half containment.
+
+    A context's words are found once, below the explode of the claims, and a
+    claim's once, below the score.
+    """
+    read = df.select("id", T.claims(F.col("answer")).alias("claims"), T.word_set(F.col("context")).alias("c"))
+    claims = read.select("id", "c", F.posexplode("claims").alias("at", "claim"))
+    worded = claims.select("id", "at", "claim", F.struct(T.word_set(F.col("claim")).alias("a"), F.col("c")).alias("x"))
+    support = T.once(F.col("x"), lambda x: T.support(x["a"], x["c"]))
+    scored = worded.select("id", "at", "claim", support.alias("support"))
+    return scored.select("id", "at", "claim", "support", (F.col("support") >= threshold).alias("supported"))
 
 
 def grounding(df: DataFrame, threshold: float = 0.25) -> DataFrame:

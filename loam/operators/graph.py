@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import discard, stored
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -26,9 +26,11 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         jump = spread.select(F.col("id").alias("at"), F.col("component").alias("far"))
         new = stored(spread.join(jump, F.col("component") == F.col("at"), "left").select("id", F.least("component", "far").alias("component")), "labels")
         changed = new.join(labels.withColumnRenamed("component", "old"), "id").where("component <> old").limit(1).count()
-        if not changed:
-            return new
+        discard(labels)
         labels = new
+        if not changed:
+            discard(links)
+            return labels
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -36,6 +38,22 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both_ways(edges).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
 
 
+def communities(nodes: DataFrame, edges: DataFrame, least: int = 3, top: int = 5) -> DataFrame:
+    """community, members, relations, key_entities: components of at least least nodes.
+
+    key_entities are the top nodes by degree inside the component, ties by
+    identifier; only they are gathered, whatever the component's size.
+    """
+    placed = components(nodes, edges)
+    degree = placed.join(degrees(edges), "id", "left").select("id", "component", F.coalesce("degree", F.lit(0)).alias("degree"))
+    best = degree.withColumn("r", F.row_number().over(Window.partitionBy("component").orderBy(F.desc("degree"), "id"))).where(F.col("r") <= top)
+    keys = best.groupBy("component").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda x: x["id"]).alias("key_entities"))
+    inside = edges.join(placed.select(F.col("id").alias("src"), "component"), "src").groupBy("component").agg(F.count("*").alias("relations"))
+    sizes = placed.groupBy("component").agg(F.count("*").alias("members")).where(F.col("members") >= least)
+    out = sizes.join(keys, "component").join(inside, "component", "left")
+    return out.select(F.col("component").alias("community"), "members", F.coalesce("relations", F.lit(0)).alias("relations"), "key_entities")
+
+
 def existing(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges both of whose ends are nodes."""
     return edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
@@ -48,8 +66,6 @@ def paths(seeds: DataFrame, edges: DataFrame, hops: int = 2, most: int = 5) -> D
     (10 * length) / (1 + 0.1 * length). Paths end where no neighbour is left or
     at the last hop.
     """
-    from pyspark.sql import Window
-
     links = both_ways(edges)
     near = links.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).where(F.col("r") <= most).select("src", "dst")
     degree = degrees(edges)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Queries that one pass over the corpus carries; bounds what is collected and broadcast.
-QUERY_BLOCK = 4096
+#: Rows in a block of queries and of a corpus, and places where they meet.
+QUERY_BLOCK, CORPUS_BLOCK, PLACES = 2048, 8192, 64
+#: Words of queries, repeated ones counted, up to which their weights are broadcast.
+QUERY_WORDS = 500_000
+
+Transform = Callable[[DataFrame], DataFrame]
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -35,30 +39,41 @@ def top_k(df: DataFrame, k: int, by: str = "query_id", score: str = "score", tie
     return df.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def packed(df: DataFrame, rows: int, name: str) -> DataFrame:
+    """name, ids and vectors: df (id, embedding) in blocks of about rows, each block one row of binary values.
+
+    A row's block is a hash of its id.
+    """
+    blocks = max(1, math.ceil(df.count() / rows))
+    numbered = df.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("embedding"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("_block"))
+
+    def pack(t: pa.Table) -> pa.Table:
+        ids, vectors = t.column("id").to_numpy(), t.column("embedding").combine_chunks().flatten().to_numpy()
+        return pa.table({"block": pa.array([t.column("_block")[0].as_py()], pa.int32()), "ids": pa.array([ids.astype(np.int64).tobytes()], pa.binary()), "vectors": pa.array([vectors.astype(np.float32).tobytes()], pa.binary())})
+
+    return numbered.groupBy("_block").applyInArrow(pack, "block int, ids binary, vectors binary").withColumnRenamed("block", name)
+
+
 def dense_search(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6, skip_self: bool = True) -> DataFrame:
     """query_id, doc_id, score, rank: the k rows of corpus with the largest dot product.
 
-    Both have (id, embedding). Queries go in blocks of QUERY_BLOCK over the
-    corpus, so what is broadcast has a fixed bound; each task keeps k rows a
-    query, and one ranking merges the tasks. Scores are rounded, ties by id.
+    Both have (id, embedding), vectors all of one length. Queries and corpus are
+    packed in blocks; each block of queries meets each block of the corpus in a
+    row of its own, whose k best of each query go on to one ranking. Nothing
+    passes the driver. Scores are rounded, ties by id.
     """
-    blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
-    out = None
-    numbered = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    for block in range(blocks):
-        rows = numbered.where(F.col("block") == block).select("id", "embedding").collect()
-        if not rows:
-            continue
-        ids = np.array([r["id"] for r in rows], np.int64)
-        matrix = np.array([r["embedding"] for r in rows], np.float64)
-
-        def best(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own = batch.column(0).to_numpy()
-                vectors = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
-                scores = np.round(matrix @ vectors.T, digits)
+    asked = packed(queries, QUERY_BLOCK, "query_block")
+    held = packed(corpus, CORPUS_BLOCK, "corpus_block")
+    # every block of queries is sent to each of a fixed number of places, and a block of the corpus to one of them
+    place = F.explode(F.sequence(F.lit(0), F.lit(PLACES - 1)))
+    asked = asked.select(F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"), place.alias("place"))
+    met = held.select("ids", "vectors", F.pmod("corpus_block", F.lit(PLACES)).alias("place")).join(asked, "place")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, vectors, ids, matrix in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                own, ids = np.frombuffer(own, np.int64), np.frombuffer(ids, np.int64)
+                scores = np.round(np.frombuffer(matrix, np.float32).astype(np.float64).reshape(len(ids), -1) @ np.frombuffer(vectors, np.float32).astype(np.float64).reshape(len(own), -1).T, digits)
                 for i, q in enumerate(ids):
                     order = np.lexsort((own, -scores[i]))[: k + 1]
                     if skip_self:
@@ -66,25 +81,47 @@ def dense_search(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6,
                     order = order[:k]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), q)), pa.array(own[order]), pa.array(scores[i][order])], names=["query_id", "doc_id", "score"])
 
-        found = corpus.select(F.col("id").cast("long"), "embedding").mapInArrow(best, "query_id long, doc_id long, score double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return queries.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank int")
-    return top_k(out, k)
+    found = met.select("ids", "vectors", "query_ids", "query_vectors").mapInArrow(best, "query_id long, doc_id long, score double")
+    return top_k(found, k)
+
+
+def cosine_search(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6, skip_self: bool = True) -> DataFrame:
+    """dense_search by cosine; a vector without length has cosine 0 with all."""
+    scaled = F.transform("embedding", lambda x: F.coalesce(F.try_divide(x.cast("double"), F.col("_norm")), F.lit(0.0)).cast("float"))
+    unit = lambda df: df.select("id", "embedding", norm(F.col("embedding")).alias("_norm")).select("id", scaled.alias("embedding"))
+    return dense_search(unit(queries), unit(corpus), k, digits, skip_self)
+
+
+def hyde_search(queries: DataFrame, corpus: DataFrame, k: int, hypothesis: Transform, fallback: Transform, version: Column | None = None) -> DataFrame:
+    """query_id, doc_id, score, rank: dense search with the vector of a hypothetical answer.
+
+    hypothesis, a model, makes (id, embedding) of queries; version restricts the
+    corpus. Queries for which it gives no vector go to fallback, which returns
+    the same columns.
+    """
+    made = hypothesis(queries).where(F.size("embedding") > 0).select("id", "embedding")
+    found = dense_search(made, (corpus if version is None else corpus.where(version)).select("id", "embedding"), k)
+    rest = fallback(queries.join(made.select("id"), "id", "left_anti"))
+    return found.select("query_id", "doc_id", "score", "rank").unionByName(rest.select("query_id", "doc_id", "score", "rank"))
 
 
 def lexical_search(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """query_id, doc_id, score, rank by TF-IDF: sum over shared words of (1 + ln tf) * ln(1 + N / df).
 
-    An inverted index built and joined on the fly: words of queries select the
-    postings, so only documents that share a word are scored.
+    Only words of queries are counted, and counts stay with their document: the
+    words' weights come to them, broadcast up to QUERY_WORDS of them, so that no
+    common word gathers its documents in one task. Beyond that the weights are
+    joined by word, which adaptive execution splits where a word is hot.
     """
     n = corpus.count()
     asked = queries.select(F.col("id").alias("query_id"), F.explode(T.word_set(F.col("text"))).alias("word"))
+    few = asked.count() <= QUERY_WORDS
+    near = F.broadcast if few else lambda df: df
     postings = corpus.select(F.col("id").alias("doc_id"), F.explode(T.words(F.col("text"))).alias("word"))
-    postings = postings.join(asked.select("word").distinct(), "word", "left_semi").groupBy("word", "doc_id").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("word").agg(F.log(1 + F.lit(float(n)) / F.count("*")).alias("idf"))
-    scored = asked.join(df, "word").join(postings, "word").groupBy("query_id", "doc_id").agg(F.round(F.sum((1 + F.log(F.col("tf"))) * F.col("idf")), digits).alias("score"))
+    counted = postings.join(near(asked.select("word").distinct()), "word", "left_semi").groupBy("doc_id", "word").agg(F.count("*").alias("tf"))
+    weights = asked.join(counted.groupBy("word").agg(F.log(1 + F.lit(float(n)) / F.count("*")).alias("idf")), "word")
+    by_document = counted.repartition("doc_id") if few else counted
+    scored = by_document.join(near(weights), "word").groupBy("query_id", "doc_id").agg(F.round(F.sum((1 + F.log(F.col("tf"))) * F.col("idf")), digits).alias("score"))
     return top_k(scored, k)
 
 

@@ -7,15 +7,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import analytics as A
 from ..operators import chunking as C
 from ..operators import compression as M
 from ..operators import graph as G
+from ..operators import vectors as V
 from .registry import Tables, query
+from .search_queries import SPARSE
 
 c = F.col
 
-MARKED = "CASE WHEN doc_id % 2 = 0 THEN '# Part ' || doc_id || chr(10) || left(text, 200) || chr(10) || '## Rest' || chr(10) || substr(text, 201, 300) ELSE left(text, 100) END"
-marked = lambda t: t.documents.select("doc_id", F.expr(MARKED.replace("substr(", "substring(")).alias("text"))
+MARKED = "CASE WHEN doc_id % 2 = 0 THEN '# Part ' || doc_id || chr(10) || left(text, 200) || chr(10) || '## Rest' || chr(10) || substr(text, 201) ELSE text END"
+marked = lambda t: t.documents.select("doc_id", F.expr(MARKED).alias("text"))
 FIRST = r"regexp_extract(text, r'(?s)^.{0,200}\S*', 0)"
 WHOLE = f"CASE WHEN doc_id % 2 = 0 THEN '# Part ' || doc_id || chr(10) || {FIRST} || chr(10) || '## Rest' || chr(10) || substring(text, length({FIRST}) + 1) ELSE text END"
 whole_marked = lambda t: t.documents.select("doc_id", F.expr(WHOLE).alias("text"))
@@ -26,7 +29,7 @@ query(
     SELECT doc_id, position::INT AS position, length(regexp_extract(s, '^(#{{1,3}})', 1))::INT AS level, trim(regexp_extract(s, '^#{{1,3}}\s+([^\n]+)', 1)) AS heading, regexp_replace(regexp_replace(s, '^#{{1,3}}\s+[^\n]+', ''), '^\s+|\s+$', '', 'g') AS content FROM e
     UNION ALL SELECT doc_id, 0, 0, 'root', regexp_replace(text, '^\s+|\s+$', '', 'g') FROM p WHERE len(p) = 0""",
 )(lambda t: C.heading_sections(marked(t)))
-query("CHK02_packed_paragraphs")(lambda t: C.pack(t.documents, most=400, least=40, overlap=20, split=r"\n"))
+query("CHK02_packed_paragraphs")(lambda t: C.pack_markdown(whole_marked(t), most=400, least=40, overlap=20, split=r"\n"))
 query("CHK03_merged_short")(lambda t: C.pack(t.documents, most=200, least=80, split=r"\n"))
 query("CHK04_html_chunks")(lambda t: C.pack(t.pages.select(c("page_id").alias("doc_id"), T.html_text(c("html")).alias("text")), most=200, least=40, split=r"\n"))
 query("CHK05_heading_index", "WITH d AS (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) SELECT doc_id, 'Part ' || doc_id AS heading, 'Rest' AS children FROM d")(
@@ -38,7 +41,7 @@ query("CHK06_document_chunk", "SELECT doc_id, 'doc' || doc_id || chr(10) || left
 query("CHK07_enriched_chunks")(lambda t: C.heading_sections(whole_marked(t)).select("doc_id", "position", F.concat_ws("\n", F.concat(F.lit("Section: "), c("heading")), T.two_sentences(c("content"))).alias("chunk")))
 query("CHK08_adaptive")(lambda t: C.adaptive_chunks(t.documents))
 query("CHK09_code_chunks")(lambda t: C.code_chunks(t.documents.select("doc_id", F.format_string("def f%s():\n    return %s\n\n\nclass C%s:\n    pass\n", c("doc_id"), c("n_chars"), c("doc_id")).alias("text")), "python"))
-query("CHK10_chapters", r"WITH d AS (SELECT doc_id, 'Chapter ' || doc_id || chr(10) || left(text, 50) || chr(10) || 'Section 2' || chr(10) || 'end' AS t FROM documents) SELECT doc_id, unnest(['Chapter ' || doc_id, 'Section 2']) AS title FROM d")(
+query("CHK10_chapters", r"WITH d AS (SELECT doc_id, 'Chapter ' || doc_id || chr(10) || text || chr(10) || 'Section 2' || chr(10) || 'end' AS t FROM documents) SELECT doc_id, unnest(['Chapter ' || doc_id, 'Section 2']) AS title FROM d")(
     lambda t: t.documents.select("doc_id", F.explode(C.chapters(F.concat(F.lit("Chapter "), c("doc_id"), F.lit("\n"), "text", F.lit("\nSection 2\nend")))).alias("s")).select("doc_id", "s.title")
 )
 query("CHK11_full_pipeline")(
@@ -49,31 +52,51 @@ query("CHK13_tree", f"WITH l AS ({LINES}) SELECT doc_id, (count(*) + CASE WHEN c
     lambda t: C.raptor(t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")), levels=5).groupBy("doc_id").agg(F.count("*").alias("nodes"))
 )
 query("WIN08_adaptive_overlap")(lambda t: C.adaptive_chunks(t.documents).where("position > 0").select("doc_id", "position", F.length("chunk").alias("chars")))
-queries_of = lambda t: t.documents.crossJoin(F.broadcast(t.benchmark.where("item_id = 0").select(c("text").alias("q"))))
 S = r"string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
 WS = r"list_distinct(regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}_]+'))"
+
+
+def asked(t: Tables) -> DataFrame:
+    """item_id, doc_id, text, q: the 20 best documents of every twentieth benchmark item, with the item's words."""
+    items = t.benchmark.where(c("item_id") % 20 == 0)
+    hits = V.lexical_search(items.select(c("item_id").alias("id"), "text"), t.documents.select(c("doc_id").alias("id"), "text"), 20)
+    words = items.select(c("item_id").alias("query_id"), T.word_set(c("text")).alias("q"))
+    return hits.join(words, "query_id").join(t.documents.select("doc_id", "text"), "doc_id").select(c("query_id").alias("item_id"), "doc_id", "text", "q")
+
+
+ASKED = SPARSE.replace("FROM benchmark)", "FROM benchmark WHERE item_id % 20 = 0)") + f""",
+    w AS (SELECT query_id, list(word) AS q FROM q GROUP BY 1), d AS (SELECT query_id AS item_id, doc_id, text, q, {S} AS s FROM h JOIN w USING (query_id) JOIN documents USING (doc_id)),
+    e AS (SELECT item_id, doc_id, q, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM d WHERE len(s) > 3), k AS (SELECT item_id, doc_id, len(q) AS n, x, i, len(list_intersect({WS.format(x="x")}, q)) AS hits FROM e)"""
 query(
     "CMP02_relevant_segments",
-    rf"""WITH q AS (SELECT {WS.format(x='text')} AS q FROM benchmark WHERE item_id = 0), d AS (SELECT doc_id, text, {S} AS s FROM documents), e AS (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM d WHERE len(s) > 3),
-    k AS (SELECT doc_id, x, i, len(list_intersect({WS.format(x='x')}, q)) / len(q)::DOUBLE AS score FROM e, q), m AS (SELECT *, greatest(0.05::DOUBLE, sum(score) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) / count(*) OVER (PARTITION BY doc_id) * 0.5::DOUBLE) AS least FROM k),
-    o AS (SELECT doc_id, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (score >= least), string_agg(x, ' ' ORDER BY i) FILTER (i <= 3)) AS short FROM m GROUP BY 1) SELECT doc_id, sha256(coalesce(short, text)) AS short FROM d LEFT JOIN o USING (doc_id)""",
-)(lambda t: queries_of(t).select("doc_id", F.sha2(M.relevant_sentences(c("text"), c("q")), 256).alias("short")))
+    f"""{ASKED}, m AS (SELECT *, sum(hits) OVER g AS total, count(*) OVER g AS sentences FROM k WINDOW g AS (PARTITION BY item_id, doc_id)), y AS (SELECT *, hits * 20 >= n AND 2 * hits * sentences >= total AS ok FROM m),
+    o AS (SELECT item_id, doc_id, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (ok), string_agg(x, ' ' ORDER BY i) FILTER (i <= 3)) AS short FROM y GROUP BY ALL) SELECT item_id, doc_id, sha256(coalesce(short, text)) AS short FROM d LEFT JOIN o USING (item_id, doc_id)""",
+)(lambda t: M.relevant_sentences(asked(t), ["item_id", "doc_id"]).select("item_id", "doc_id", F.sha2("short", 256).alias("short")))
 query(
     "CMP03_extractive",
-    rf"""WITH q AS (SELECT {WS.format(x='text')} AS q FROM benchmark WHERE item_id = 0), d AS (SELECT doc_id, text, {S} AS s FROM documents), e AS (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM d WHERE len(s) > 3),
-    r AS (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY len(list_intersect({WS.format(x='x')}, q)) DESC, i) AS r FROM e, q), o AS (SELECT doc_id, string_agg(x, ' ' ORDER BY r) AS short FROM r WHERE r <= 3 GROUP BY 1) SELECT doc_id, sha256(coalesce(short, trim(text))) AS short FROM d LEFT JOIN o USING (doc_id)""",
-)(lambda t: queries_of(t).select("doc_id", F.sha2(M.top_sentences(c("text"), c("q")), 256).alias("short")))
+    f"""{ASKED}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY hits DESC, i) AS r FROM k), o AS (SELECT item_id, doc_id, string_agg(x, ' ' ORDER BY r) AS short FROM r WHERE r <= 3 GROUP BY ALL)
+    SELECT item_id, doc_id, sha256(coalesce(short, trim(text))) AS short FROM d LEFT JOIN o USING (item_id, doc_id)""",
+)(lambda t: M.top_sentences(asked(t), ["item_id", "doc_id"]).select("item_id", "doc_id", F.sha2("short", 256).alias("short")))
 query("CMP01_density")(lambda t: M.compress(t.documents))
 query("AGG31_compression_totals")(lambda t: M.compress(t.documents).agg(F.sum("words_before").alias("before"), F.sum("words_after").alias("after"), F.round(F.sum("words_before") / F.sum("words_after"), 4).alias("ratio")))
 query("CMP05_rarity")(lambda t: M.compress_to_budget(t.documents, 200))
 
 
-@query("CMP04_hierarchical")
+@query(
+    "CMP04_hierarchical",
+    f"""WITH r AS (SELECT doc_id, text, {S} AS s, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents)
+    SELECT doc_id, sha256(CASE WHEN r <= 3 THEN text WHEN r <= 8 THEN array_to_string(s[1:3], ' ') ELSE s[1] END) AS short FROM r""",
+)
 def hierarchical(t: Tables) -> DataFrame:
-    """The three largest chunks of a source whole, the next five by three sentences, the others by one."""
-    r = t.documents.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")))
+    """The three largest chunks of a source whole, the next five by three sentences, the others by one.
+
+    Only the eight largest of a source are ranked.
+    """
+    d = t.documents
+    largest = d.select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")).alias("r")).where(c("r") <= 8)
     s = T.sentences(c("text"))
-    return r.select("doc_id", F.when(c("r") <= 3, c("text")).when(c("r") <= 8, F.array_join(F.slice(s, 1, 3), " ")).otherwise(s[0]).alias("short"))
+    short = F.when(c("r") <= 3, c("text")).when(c("r") <= 8, F.array_join(F.slice(s, 1, 3), " ")).otherwise(s[0])
+    return d.join(largest, "doc_id", "left").select("doc_id", F.sha2(short, 256).alias("short"))
 
 
 @query("CMP06_multimodal")
@@ -82,19 +105,23 @@ def multimodal(t: Tables) -> DataFrame:
     rows = t.documents.select(F.lit("text").alias("kind"), c("doc_id").alias("id"), T.quarter_tokens(c("text")).alias("cost"), F.lit(50_000).alias("most"))
     rows = rows.unionByName(t.pages.select(F.lit("page").alias("kind"), c("page_id").alias("id"), T.quarter_tokens(T.html_text(c("html"))).alias("cost"), F.lit(20_000).alias("most")))
     rows = rows.unionByName(t.conversations.select(F.lit("turn").alias("kind"), (c("conv_id") * 1000 + c("turn")).alias("id"), T.quarter_tokens(c("text")).alias("cost"), F.lit(20_000).alias("most")))
-    return rows.withColumn("used", F.sum("cost").over(Window.partitionBy("kind").orderBy("id"))).where("used <= most").select("kind", "id", "cost")
+    return A.running(rows, ["kind"], [c("id")], {"used": c("cost")}).where("used <= most").select("kind", "id", "cost")
 
 
 # ---- graph: customers and the nation they belong to, suppliers likewise
 
 nodes = lambda t: t.customer.select((c("c_custkey") * 10).alias("id")).union(t.nation.select((c("n_nationkey") * 10 + 1).alias("id")))
-edges = lambda t: t.customer.where("c_custkey % 3 <> 0").select((c("c_custkey") * 10).alias("src"), (c("c_nationkey") * 10 + 1).alias("dst"), c("c_custkey").alias("w"))
-NODES = "n AS (SELECT c_custkey * 10 AS id FROM customer UNION ALL SELECT n_nationkey * 10 + 1 FROM nation), e AS (SELECT c_custkey * 10 AS src, c_nationkey * 10 + 1 AS dst, c_custkey AS w FROM customer WHERE c_custkey % 3 <> 0), b AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e))"
+edges = lambda t: t.customer.where("c_custkey % 3 <> 0 or c_custkey % 2 = 0").select((c("c_custkey") * 10).alias("src"), (c("c_nationkey") * 10 + 1).alias("dst"), c("c_custkey").alias("w"))
+NODES = "n AS (SELECT c_custkey * 10 AS id FROM customer UNION ALL SELECT n_nationkey * 10 + 1 FROM nation), e AS (SELECT c_custkey * 10 AS src, c_nationkey * 10 + 1 AS dst, c_custkey AS w FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 2 = 0), b AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e))"
 query("GRF01_components", f"WITH {NODES} SELECT id, coalesce(least(id, CASE WHEN id % 10 = 1 THEN (SELECT min(src) FROM e WHERE dst = id) ELSE (SELECT least(min(f.src), min(f.dst)) FROM e f WHERE f.dst = (SELECT any_value(g.dst) FROM e g WHERE g.src = id)) END), id) AS component FROM n")(lambda t: G.components(nodes(t), edges(t)))
 query("GRF02_degrees", f"WITH {NODES} SELECT src AS id, count(*) AS degree FROM b GROUP BY 1")(lambda t: G.degrees(edges(t)))
-query("AGG20_communities", f"WITH {NODES} SELECT dst AS hub, count(*) AS members, array_to_string((list(src ORDER BY src))[1:5], ',') AS top FROM e GROUP BY 1")(
-    lambda t: edges(t).groupBy(c("dst").alias("hub")).agg(F.count("*").alias("members"), F.array_join(F.slice(F.array_sort(F.collect_list("src")), 1, 5), ",").alias("top"))
-)
+COMP = f"""WITH {NODES}, k AS (SELECT id, coalesce(least(id, CASE WHEN id % 10 = 1 THEN (SELECT min(src) FROM e WHERE dst = id) ELSE (SELECT least(min(f.src), min(f.dst)) FROM e f WHERE f.dst = (SELECT any_value(g.dst) FROM e g WHERE g.src = id)) END), id) AS community FROM n)"""
+query(
+    "AGG20_communities",
+    f"""{COMP}, g AS (SELECT src AS id, count(*) AS degree FROM b GROUP BY 1), r AS (SELECT k.*, coalesce(degree, 0) AS degree, row_number() OVER (PARTITION BY community ORDER BY coalesce(degree, 0) DESC, id) AS r FROM k LEFT JOIN g USING (id)),
+    x AS (SELECT community, count(*) AS relations FROM e JOIN k ON k.id = e.src GROUP BY 1)
+    SELECT community, count(*) AS members, coalesce(any_value(relations), 0) AS relations, array_to_string(list(id ORDER BY r) FILTER (r <= 5), ',') AS key_entities FROM r LEFT JOIN x USING (community) GROUP BY 1 HAVING count(*) >= 3""",
+)(lambda t: G.communities(nodes(t), edges(t)).withColumn("key_entities", F.array_join("key_entities", ",")))
 query("AGG21_graph_counts", f"WITH {NODES} SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM e) AS relations")(lambda t: nodes(t).agg(F.count("*").alias("nodes")).crossJoin(edges(t).agg(F.count("*").alias("relations"))))
 query("JOI03_existing_ends", f"WITH {NODES} SELECT src, dst FROM e WHERE src IN (SELECT id FROM n WHERE id % 20 <> 0) AND dst IN (SELECT id FROM n)")(lambda t: G.existing(edges(t), nodes(t).where("id % 20 <> 0")).select("src", "dst"))
 query("JOI04_neighbour_sets", f"WITH {NODES} SELECT id, count(dst) AS n FROM n LEFT JOIN b ON src = id GROUP BY 1")(lambda t: nodes(t).join(G.both_ways(edges(t)), c("id") == c("src"), "left").groupBy("id").agg(F.count("dst").alias("n")))
@@ -106,16 +133,14 @@ query("FUN58_path_text")(lambda t: G.paths(t.nation.select((c("n_nationkey") * 1
 query("SRC19_graph_merge", f"WITH {NODES} SELECT src, dst, max(w) AS w FROM e GROUP BY ALL")(lambda t: edges(t).groupBy("src", "dst").agg(F.max("w").alias("w")))
 query("AGG27_entity_dedup", "SELECT o_custkey AS id, max(o_orderkey) AS last, count(DISTINCT o_orderstatus) AS kinds FROM orders GROUP BY 1")(lambda t: t.orders.groupBy(c("o_custkey").alias("id")).agg(F.max("o_orderkey").alias("last"), F.countDistinct("o_orderstatus").alias("kinds")))
 
-# ---- generation metrics: each document's head, or whole text, against the next one's
-
-heads = lambda t: t.documents.select(c("doc_id").alias("id"), F.lower(F.substring("text", 1, 300)).alias("h")).join(t.documents.select((c("doc_id") - 1).alias("id"), F.lower(F.substring("text", 1, 300)).alias("r")), "id")
+# ---- generation metrics: each document against the next one
 
 whole = lambda t: t.documents.select(c("doc_id").alias("id"), F.lower("text").alias("h")).join(t.documents.select((c("doc_id") - 1).alias("id"), F.lower("text").alias("r")), "id")
 
 
 @query(
     "EVA21_bleu",
-    r"""WITH p AS (SELECT a.doc_id AS id, list_filter(regexp_split_to_array(lower(left(a.text, 300)), '\s+'), lambda x: x <> '') AS h, list_filter(regexp_split_to_array(lower(left(b.text, 300)), '\s+'), lambda x: x <> '') AS r FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),
+    r"""WITH p AS (SELECT a.doc_id AS id, list_filter(regexp_split_to_array(lower(a.text), '\s+'), lambda x: x <> '') AS h, list_filter(regexp_split_to_array(lower(b.text), '\s+'), lambda x: x <> '') AS r FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),
     k AS (SELECT unnest([1, 2, 3, 4]) AS n), g AS (SELECT id, n, unnest(list_transform(range(1, greatest(1, len(h) - n + 2)), lambda i: array_to_string(h[i:i + n - 1], ' '))) AS g, 'h' AS s FROM p, k UNION ALL SELECT id, n, unnest(list_transform(range(1, greatest(1, len(r) - n + 2)), lambda i: array_to_string(r[i:i + n - 1], ' '))), 'r' FROM p, k),
     c AS (SELECT id, n, g, count(*) FILTER (s = 'h') AS ch, count(*) FILTER (s = 'r') AS cr FROM g GROUP BY ALL), m AS (SELECT id, n, sum(least(ch, cr)) AS hit, greatest(1, sum(ch)) AS total FROM c GROUP BY ALL),
     q AS (SELECT n, sum(hit) / sum(total)::DOUBLE AS p FROM m GROUP BY 1), l AS (SELECT least(1.0::DOUBLE, sum(len(h)) / sum(len(r))::DOUBLE) AS brevity FROM p)
@@ -123,7 +148,7 @@ whole = lambda t: t.documents.select(c("doc_id").alias("id"), F.lower("text").al
 )
 def bleu(t: Tables) -> DataFrame:
     """Corpus BLEU of orders 1 to 4 with clipped counts and the shorter length's penalty."""
-    p = heads(t).select("id", T.pieces(c("h")).alias("h"), T.pieces(c("r")).alias("r"))
+    p = whole(t).select("id", T.pieces(c("h")).alias("h"), T.pieces(c("r")).alias("r"))
     gram = lambda a, n: F.when(F.size(a) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(a) - n + 1)), lambda i: F.array_join(F.slice(a, i, n), " "))).otherwise(F.array().cast("array<string>"))
     every = None
     for n in range(1, 5):
@@ -162,23 +187,21 @@ def rouge(t: Tables) -> DataFrame:
     return m.select(F.round("p", 6).alias("precision"), F.round("r", 6).alias("recall"), F.round(2 * c("p") * c("r") / F.greatest(F.lit(1e-10), c("p") + c("r")), 6).alias("f1"))
 
 
-#: Words that overlap metrics leave out.
-RAGAS_STOP = "of to in for on with at by from it its be are was were been being have has had this that these those and or but not no who which do does can could should would will the a an is what how why when where".split()
-ragas = lambda x: F.filter(F.array_distinct(T.matches(F.lower(x), "[a-z0-9]+")), lambda w: (F.length(w) > 1) & ~w.isin(RAGAS_STOP))
-RS = "list_filter(list_distinct(regexp_extract_all(lower({x}), '[a-z0-9]+')), lambda w: length(w) > 1 AND w NOT IN (" + ", ".join(f"'{w}'" for w in RAGAS_STOP) + "))"
-HEADS = "h AS (SELECT a.doc_id AS id, lower(left(a.text, 300)) AS h, lower(left(b.text, 300)) AS r FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)"
+ragas = lambda x: F.filter(F.array_distinct(T.matches(F.lower(x), "[a-z0-9]+")), lambda w: (F.length(w) > 1) & ~w.isin(T.METRIC_STOP))
+RS = "list_filter(list_distinct(regexp_extract_all(lower({x}), '[a-z0-9]+')), lambda w: length(w) > 1 AND w NOT IN (" + ", ".join(f"'{w}'" for w in T.METRIC_STOP) + "))"
+HEADS = "h AS (SELECT a.doc_id AS id, lower(a.text) AS h, lower(b.text) AS r FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)"
 query("EVA13_answer_relevance", f"WITH {HEADS}, w AS (SELECT id, {RS.format(x='h')} AS q, {RS.format(x='r')} AS a FROM h) SELECT id, round(CASE WHEN len(q) = 0 THEN 0.5::DOUBLE ELSE len(list_intersect(q, a)) / len(q)::DOUBLE END, 6) AS relevance FROM w")(
-    lambda t: heads(t).select("id", ragas(c("h")).alias("q"), ragas(c("r")).alias("a")).select("id", F.round(F.when(F.size("q") == 0, 0.5).otherwise(T.containment(c("q"), c("a"))), 6).alias("relevance"))
+    lambda t: whole(t).select("id", ragas(c("h")).alias("q"), ragas(c("r")).alias("a")).select("id", F.round(F.when(F.size("q") == 0, 0.5).otherwise(T.containment(c("q"), c("a"))), 6).alias("relevance"))
 )
 query("EVA14_context_precision", f"WITH {HEADS}, w AS (SELECT id, {RS.format(x='h')} AS q, {RS.format(x='r')} AS a FROM h) SELECT id // 10 AS g, round(count(*) FILTER (len(a) > 0 AND len(list_intersect(q, a)) / len(a)::DOUBLE >= 0.15) / count(*)::DOUBLE, 4) AS precision FROM w GROUP BY 1")(
-    lambda t: heads(t).select(F.floor(c("id") / 10).alias("g"), ragas(c("h")).alias("q"), ragas(c("r")).alias("a")).groupBy("g").agg(F.round(F.count_if((F.size("a") > 0) & (T.containment(c("a"), c("q")) >= 0.15)) / F.count("*"), 4).alias("precision"))
+    lambda t: whole(t).select(F.floor(c("id") / 10).alias("g"), ragas(c("h")).alias("q"), ragas(c("r")).alias("a")).groupBy("g").agg(F.round(F.count_if((F.size("a") > 0) & (T.containment(c("a"), c("q")) >= 0.15)) / F.count("*"), 4).alias("precision"))
 )
 query("FUN33_table_markdown", "SELECT n_nationkey, '| ' || n_nationkey || ' | ' || n_name || ' |' AS line FROM nation")(lambda t: t.nation.select("n_nationkey", F.concat(F.lit("| "), F.array_join(F.array(c("n_nationkey").cast("string"), "n_name"), " | "), F.lit(" |")).alias("line")))
 query("FUN06_chunk_json_hash", """SELECT doc_id, sha256('{"lang": "' || lang || '", "source": "' || source || '"}') AS hash FROM documents""")(lambda t: t.documents.select("doc_id", F.sha2(F.format_string('{"lang": "%s", "source": "%s"}', "lang", "source"), 256).alias("hash")))
-query("FUN53_json_escapes", r"""SELECT doc_id, regexp_replace(left(text, 50) || '\d\n', '\\([^"\\/bfnrtu])', '\1', 'g') AS fixed FROM documents""")(
-    lambda t: t.documents.select("doc_id", F.regexp_replace(F.concat(F.substring("text", 1, 50), F.lit(r"\d\n")), r"""\\([^"\\/bfnrtu])""", "$1").alias("fixed"))
+query("FUN53_json_escapes", r"""SELECT doc_id, regexp_replace(text || '\d\n', '\\([^"\\/bfnrtu])', '\1', 'g') AS fixed FROM documents""")(
+    lambda t: t.documents.select("doc_id", F.regexp_replace(F.concat("text", F.lit(r"\d\n")), r"""\\([^"\\/bfnrtu])""", "$1").alias("fixed"))
 )
-query("FUN34_markdown_links", r"WITH m AS (SELECT doc_id, '[doc' || doc_id || '](http://x/' || doc_id || ') ' || left(text, 100) AS t FROM documents) SELECT doc_id, array_to_string(regexp_extract_all(t, '\[([^\]]+)\]\(([^)]+)\)', 2), ' ') AS links FROM m")(
+query("FUN34_markdown_links", r"WITH m AS (SELECT doc_id, '[doc' || doc_id || '](http://x/' || doc_id || ') ' || text AS t FROM documents) SELECT doc_id, array_to_string(regexp_extract_all(t, '\[([^\]]+)\]\(([^)]+)\)', 2), ' ') AS links FROM m")(
     lambda t: t.documents.select("doc_id", F.concat(F.lit("[doc"), "doc_id", F.lit("](http://x/"), "doc_id", F.lit(") "), "text").alias("t")).select("doc_id", F.array_join(T.matches(c("t"), r"\[([^\]]+)\]\(([^)]+)\)", 2), " ").alias("links"))
 )
 query("FUN32_html_tables")(

@@ -99,10 +99,37 @@ query(
 )(
     lambda t: (lambda d: d.join(d.groupBy("key").agg(F.min("doc_id").alias("hit")), "key").where(c("hit") < c("doc_id")).select("doc_id", "hit"))(t.documents.select("doc_id", F.sha2(F.lower(F.trim("text")), 256).alias("key")))
 )
-query("RET09_hyde_search")(lambda t: dense(t, 5))
-query("RET10_cross_modal")(lambda t: dense(t, 5).where("score > 0"))
+
+
+def hypothesis(queries: DataFrame) -> DataFrame:
+    """Stands for a model: the mean of a query's vector and its mirror image; none for every hundredth query."""
+    mean = F.zip_with("embedding", F.reverse("embedding"), lambda x, y: ((x + y) / 2).cast("float"))
+    return queries.select("id", F.when(c("id") % 100 == 0, F.array().cast("array<float>")).otherwise(mean).alias("embedding"))
+
+
+@query(
+    "RET09_hyde_search",
+    f"""{LISTS}, hq AS (SELECT vec_id, list_transform(list_zip(embedding, list_reverse(embedding)), lambda z: ((z[1] + z[2]) / 2)::FLOAT) AS e FROM embeddings WHERE vec_id % 20 = 0 AND vec_id % 100 <> 0),
+    hs AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_dot_product(q.e::DOUBLE[], d.embedding::DOUBLE[]), 6) AS score FROM hq q, embeddings d WHERE d.label % 2 = 0 AND q.vec_id <> d.vec_id),
+    ff AS (SELECT query_id, doc_id, round(rrf, 9) AS score FROM f WHERE query_id % 100 = 0), u AS (SELECT * FROM hs UNION ALL SELECT * FROM ff)
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM u) WHERE rank <= 5""",
+)
+def hyde(t: Tables) -> DataFrame:
+    """Hypothetical vectors against rows of one version; fused search for queries without one."""
+    v = vectors(t)
+    hybrid = lambda rest: V.top_k(fused(t).join(rest.select(c("id").alias("query_id")), "query_id", "left_semi").select("query_id", "doc_id", c("rrf_score").alias("score")), 5)
+    return V.hyde_search(v.where(c("id") % 20 == 0).select("id", "embedding"), v, 5, hypothesis, hybrid, c("label") % 2 == 0)
+
+
+query(
+    "RET10_cross_modal",
+    """WITH s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 5) AS score FROM embeddings q, embeddings d WHERE q.vec_id % 20 = 0 AND d.vec_id % 2 = 1)
+    SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM s) WHERE rank <= 5""",
+)(lambda t: V.cosine_search(vectors(t).where(c("id") % 20 == 0), vectors(t).where(c("id") % 2 == 1), 5, digits=5))
 tokens = lambda t: vectors(t).select("id", F.array(*[part(c("embedding"), i) for i in range(4)]).alias("vectors"))
-query("RET11_multi_vector")(lambda t: V.multi_vector_search(tokens(t).where(c("id") % 20 == 0), tokens(t), 10))
+MAXSIM_ALL = f"""WITH s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round({MAXSIM}, 6) AS max_sim FROM embeddings q JOIN embeddings d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0)
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY max_sim DESC, doc_id)::INT AS rank FROM s) WHERE rank <= 10"""
+query("RET11_multi_vector", MAXSIM_ALL)(lambda t: V.multi_vector_search(tokens(t).where(c("id") % 20 == 0), tokens(t), 10))
 
 # ---- thresholds, knees, orders: scores shifted so that the fixed cutoffs bite
 
@@ -205,20 +232,20 @@ query("EVA32_signal_confidence", f"{FLAG} SELECT doc_id, round(greatest(0.0::DOU
     lambda t: t.documents.select("doc_id", E.signal_confidence(c("n_chars"), c("n_chars") * (c("doc_id") % 5), F.when(c("doc_id") % 3 != 0, (c("doc_id") % 10) / 10), c("doc_id") % 2).alias("value"))
 )
 
-# ---- claims against contexts: each document's answer is its head, its context the next document's text
+# ---- claims against contexts: a document is an answer, the next one its context
 
 
 def answers(t: Tables) -> DataFrame:
     d = t.documents
-    own = d.select(c("doc_id").alias("id"), F.substring("text", 1, 600).alias("answer"))
+    own = d.select(c("doc_id").alias("id"), c("text").alias("answer"))
     return own.join(d.select((c("doc_id") - 1).alias("id"), c("text").alias("context")), "id")
 
 
 W = r"list_distinct(regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}_]+'))"
-CLAIM_SQL = rf"""WITH p AS (SELECT a.doc_id AS id, left(a.text, 600) AS text, b.text AS ctx FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),
-    k AS (SELECT id, ctx, unnest(list_filter(list_transform(string_split(regexp_replace(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), '\n|;\s+', chr(1), 'g'), chr(1)),
+CLAIM_SQL = rf"""WITH p AS (SELECT a.doc_id AS id, a.text AS text, b.text AS ctx, {W.format(x='b.text')} AS b FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),
+    k AS (SELECT id, b, unnest(list_filter(list_transform(string_split(regexp_replace(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), '\n|;\s+', chr(1), 'g'), chr(1)),
         lambda p: trim(regexp_replace(regexp_replace(trim(p), '[;.]+$', ''), '^[-*•]\s*', ''))), lambda x: length(x) >= 10)) AS claim FROM p),
-    w AS (SELECT id, claim, {W.format(x='claim')} AS a, {W.format(x='ctx')} AS b FROM k),
+    w AS (SELECT id, claim, {W.format(x='claim')} AS a, b FROM k),
     s AS (SELECT id, claim, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE * (len(list_intersect(a, b)) / sqrt(len(a)::DOUBLE * len(b))) + 0.5::DOUBLE * (len(list_intersect(a, b)) / len(a)::DOUBLE) END AS support FROM w)"""
 query("EVA10_grounding", f"{CLAIM_SQL} SELECT id, count(*) AS total, count(*) FILTER (support >= 0.25::DOUBLE) AS supported, round(count(*) FILTER (support >= 0.25::DOUBLE) / count(*)::DOUBLE, 3) AS score FROM s GROUP BY 1")(lambda t: E.grounding(answers(t)))
 query("EVA11_claim_report", f"{CLAIM_SQL} SELECT id, claim, support >= 0.25::DOUBLE AS supported FROM s")(lambda t: E.grounded_claims(answers(t), 0.25).select("id", "claim", "supported"))

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import acl
+from ..operators import analytics as A
+from ..operators import chunking as C
+from ..operators import compression as M
 from ..operators import versioning as V
 from .registry import Tables, query
 
@@ -111,32 +114,53 @@ query("FUN59_promotion", "SELECT o_custkey AS name, o_orderkey AS version, CASE
 # ---- windows over chunks
 
 query("WIN05_first_seen", "SELECT min(doc_id) AS doc_id FROM documents GROUP BY sha256(text)")(lambda t: t.documents.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id"))
-query("WIN07_overlap", "SELECT doc_id, coalesce('[previous context: ...' || right(lag(text) OVER (PARTITION BY source ORDER BY doc_id), 40) || ']' || chr(10) || chr(10), '') || left(text, 40) AS text FROM documents")(
-    lambda t: t.documents.withColumn("p", F.lag("text").over(Window.partitionBy("source").orderBy("doc_id"))).select("doc_id", F.concat(F.coalesce(F.concat(F.lit("[previous context: ..."), F.right("p", F.lit(40)), F.lit("]\n\n")), F.lit("")), F.substring("text", 1, 40)).alias("text"))
-)
+query(
+    "WIN07_overlap",
+    """WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS position FROM documents),
+    o AS (SELECT doc_id, position, x AS chunk FROM l WHERE position = 0 UNION ALL
+        SELECT l.doc_id, l.position, CASE WHEN chunk = '' THEN x ELSE '[previous context: ...' || right(chunk, 40) || ']' || chr(10) || chr(10) || x END FROM o JOIN l ON l.doc_id = o.doc_id AND l.position = o.position + 1)
+    SELECT doc_id, position::INT AS position, chunk FROM o""",
+)(lambda t: C.overlap(t.documents.select("doc_id", F.split("text", "\n").alias("chunks")), 40))
 query("WIN09_carry_forward", "SELECT doc_id, last_value(CASE WHEN doc_id % 3 = 0 THEN doc_id END IGNORE NULLS) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS key FROM documents")(
-    lambda t: t.documents.select("doc_id", F.last(F.when(c("doc_id") % 3 == 0, c("doc_id")), ignorenulls=True).over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)).alias("key"))
+    lambda t: A.carried(t.documents.select("source", "doc_id"), ["source"], [c("doc_id")], F.when(c("doc_id") % 3 == 0, c("doc_id")), "key").select("doc_id", "key")
 )
 BUD = "WITH r AS (SELECT source, doc_id, length(text) // 4 AS cost, sum(length(text) // 4) OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS used FROM documents)"
-running = lambda t: t.documents.select("source", "doc_id", T.quarter_tokens(c("text")).alias("cost"), F.sum(T.quarter_tokens(c("text"))).over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)).alias("used"))
+
+
+def running(t: Tables) -> DataFrame:
+    """source, doc_id, cost and used, the cost of the source's larger documents and its own."""
+    rows = t.documents.select("source", "n_chars", "doc_id", T.quarter_tokens(c("text")).alias("cost"))
+    return A.running(rows, ["source"], [F.desc("n_chars"), c("doc_id")], {"used": c("cost")})
+
+
 query("FLT17_prefix_fit", f"{BUD} SELECT doc_id FROM r WHERE used <= 8000")(lambda t: running(t).where("used <= 8000").select("doc_id"))
 query("WIN11_budget_cutoff", f"{BUD} SELECT doc_id, least(cost, 8000 - (used - cost))::BIGINT AS tokens, used > 8000 AS truncated FROM r WHERE used <= 8000 OR (used - cost <= 8000 AND 8000 - (used - cost) > 50)")(
     lambda t: running(t).where("used <= 8000 or (used - cost <= 8000 and 8000 - (used - cost) > 50)").select("doc_id", F.least(c("cost"), 8000 - (c("used") - c("cost"))).alias("tokens"), (c("used") > 8000).alias("truncated"))
 )
-query("FLT13_signature_dedup", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lower(left(trim(text), 120)) ORDER BY doc_id) AS r FROM documents) WHERE r = 1")(lambda t: t.documents.groupBy(F.lower(F.substring(F.trim("text"), 1, 120)).alias("k")).agg(F.min("doc_id").alias("doc_id")).select("doc_id"))
+CUT = r"list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: length(x) > 15)"
+query(
+    "FLT13_signature_dedup",
+    rf"""WITH s AS (SELECT doc_id, text, (doc_id * 37 % 100) / 100.0::DOUBLE AS score FROM documents WHERE (doc_id * 37 % 100) >= 20 AND regexp_replace(text, '^\s+|\s+$', '', 'g') <> ''),
+    k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(left(regexp_replace(text, '^\s+|\s+$', '', 'g'), 120)) ORDER BY doc_id) AS r FROM s) WHERE r = 1)
+    SELECT doc_id, score, sha256(CASE WHEN length(text) > 3000 AND len({CUT}) > 0 THEN array_to_string({CUT}[1:10], ' ') ELSE text END) AS text FROM k""",
+)(lambda t: M.decomposed(t.documents.select("doc_id", "text", ((c("doc_id") * 37 % 100) / 100).alias("score"))).select("doc_id", "score", F.sha2("text", 256).alias("text")))
 SENT = r"string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
 query("FLT14_strips", f"SELECT doc_id, i - 1 AS at, s AS strip FROM (SELECT doc_id, unnest({SENT}) AS s, generate_subscripts({SENT}, 1) AS i FROM documents) WHERE length(s) >= 10")(
     lambda t: t.documents.select("doc_id", F.posexplode(T.sentences(c("text"))).alias("at", "strip")).where(F.length("strip") >= 10).select("doc_id", c("at").cast("long").alias("at"), "strip")
 )
 query("AGG25_semantic_groups", "SELECT source || lang AS key, count(*) AS n, round(avg(n_chars), 6) AS score, min(doc_id) AS first, length(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS chars FROM documents GROUP BY 1")(
-    lambda t: t.documents.groupBy(F.concat("source", "lang").alias("key")).agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("score"), F.min("doc_id").alias("first"), F.length(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda s: s["text"]), "\n\n")).cast("long").alias("chars"))
+    # the joined text's length is that of its parts and the breaks between them; the text itself is never gathered
+    lambda t: t.documents.groupBy(F.concat("source", "lang").alias("key")).agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("score"), F.min("doc_id").alias("first"), (F.sum(F.length("text")) + 2 * (F.count("*") - 1)).alias("chars"))
 )
 query("AGG26_semantic_packs", "SELECT source AS key, (sum(length(text)) + (count(*) - 1) * 7)::BIGINT AS chars, array_to_string(list_sort(list_distinct(list(lang))), ',') AS keywords FROM documents GROUP BY 1")(
     lambda t: t.documents.groupBy(c("source").alias("key")).agg((F.sum(F.length("text")) + (F.count("*") - 1) * 7).alias("chars"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("keywords"))
 )
 query("CMP07_assembled", f"WITH u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS r FROM documents) WHERE r = 1), b AS (SELECT source, doc_id, sum(length(text) // 4) OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS used FROM u) SELECT source, count(*) AS chunks FROM b WHERE used <= 20000 GROUP BY 1")(
-    lambda t: t.documents.withColumn("r", F.row_number().over(Window.partitionBy(F.sha2("text", 256)).orderBy("doc_id"))).where("r = 1").withColumn("used", F.sum(T.quarter_tokens(c("text"))).over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))).where("used <= 20000").groupBy("source").agg(F.count("*").alias("chunks"))
-)
+    lambda t: A.running(
+        t.documents.groupBy(F.sha2("text", 256)).agg(F.min_by(F.struct("source", "n_chars", "doc_id", T.quarter_tokens(c("text")).alias("cost")), "doc_id").alias("x")).select("x.*"),
+        ["source"], [F.desc("n_chars"), c("doc_id")], {"used": c("cost")},
+    ).where("used <= 20000").groupBy("source").agg(F.count("*").alias("chunks"))
+)
 
 # ---- access
 
@@ -182,11 +206,17 @@ query("FLT07_source_document", f"{ACL} SELECT doc_id, lr <= 2 AND CASE level WHE
 
 # ---- joins
 
+
+def numbered(t: Tables) -> DataFrame:
+    """source, doc_id and i, its place in the source."""
+    return A.running(t.documents.select("source", "doc_id"), ["source"], [c("doc_id")], {"i": F.lit(1)})
+
+
 query("JOI06_neighbours", "WITH k AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents) SELECT DISTINCT b.doc_id FROM k a JOIN k b ON a.source = b.source AND abs(a.i - b.i) <= 2 WHERE a.doc_id % 100 = 0")(
-    lambda t: (lambda k: k.where("doc_id % 100 = 0").select("source", F.explode(F.sequence(c("i") - 2, c("i") + 2)).alias("i")).join(k, ["source", "i"]).select("doc_id").distinct())(t.documents.select("source", "doc_id", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("i")))
+    lambda t: (lambda k: k.where("doc_id % 100 = 0").select("source", F.explode(F.sequence(c("i") - 2, c("i") + 2)).alias("i")).join(k, ["source", "i"]).select("doc_id").distinct())(numbered(t))
 )
 query("JOI05_close_pairs", "WITH k AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents) SELECT a.doc_id AS a, b.doc_id AS b FROM k a JOIN k b ON a.source = b.source AND b.i > a.i AND b.i < a.i + 10")(
-    lambda t: (lambda k: k.select("source", c("doc_id").alias("a"), F.explode(F.sequence(c("i") + 1, c("i") + 9)).alias("i")).join(k.select("source", "i", c("doc_id").alias("b")), ["source", "i"]).select("a", "b"))(t.documents.select("source", "doc_id", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("i")))
+    lambda t: (lambda k: k.select("source", c("doc_id").alias("a"), F.explode(F.sequence(c("i") + 1, c("i") + 9)).alias("i")).join(k.select("source", "i", c("doc_id").alias("b")), ["source", "i"]).select("a", "b"))(numbered(t))
 )
 query("JOI07_feedback_lookup", "SELECT l.doc_id, d.source, l.quality FROM labels l JOIN documents d USING (doc_id)")(lambda t: t.labels.join(t.documents.select("doc_id", "source"), "doc_id").select("doc_id", "source", "quality"))
 query("JOI08_word_communities", r"WITH s AS (SELECT source, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS w FROM documents), q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS w FROM benchmark) SELECT item_id, source, count(DISTINCT w) AS hits FROM q JOIN (SELECT DISTINCT source, w FROM s) USING (w) GROUP BY ALL")(

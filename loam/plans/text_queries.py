@@ -253,9 +253,16 @@ query("FUN45_intent", f"{LANG_CTE} SELECT doc_id, {INTENT} AS intent FROM g")(la
 query("FUN46_graph_use", f"{LANG_CTE} SELECT doc_id, coalesce({INTENT} = 'comparison', false) OR " + " OR ".join(f"contains(lower(text), '{w}')" for w in T.RELATIONS) + " AS graph FROM g")(
     lambda t: intents(t).select("doc_id", T.wants_graph(c("text"), c("intent")).alias("graph"))
 )
-query("FUN47_cypher_templates")(
-    lambda t: t.benchmark.select("item_id", F.format_string("MATCH (e) WHERE toLower(e.name) CONTAINS '%s' RETURN e LIMIT 10", F.element_at(T.words(c("text")), 1)).alias("cypher"))
+QUESTION = """CASE c_custkey % 6 WHEN 0 THEN 'What projects does ' || c_name || ' work on' WHEN 1 THEN 'who worked on ' || lower(c_name) WHEN 2 THEN 'What tickets are related to c' || c_custkey || '?'
+    WHEN 3 THEN 'What dependencies does ' || c_name || ' have?' WHEN 4 THEN 'How is The ' || c_name || ' doing' ELSE 'nothing to see in ' || c_custkey END"""
+GRAPH_SQL = " ".join(
+    f"WHEN regexp_matches(lower(q), '{p}') THEN replace('{s.replace(chr(39), chr(39) * 2)}', '{{entity}}', upper(regexp_extract(lower(q), '{p}', 1)[1]) || regexp_extract(lower(q), '{p}', 1)[2:])" for p, s in T.GRAPH_QUESTIONS
 )
+query(
+    "FUN47_cypher_templates",
+    rf"""WITH k AS (SELECT c_custkey, {QUESTION} AS q FROM customer), n AS (SELECT c_custkey, q, list_filter(string_split(q, ' '), lambda w: regexp_matches(w, '^\p{{Lu}}') AND length(w) > 2 AND w NOT IN ({", ".join(map(repr, T.NO_ENTITY))})) AS named FROM k)
+    SELECT c_custkey, CASE {GRAPH_SQL} WHEN len(named) > 0 THEN replace('{T.ANY_NODE.replace(chr(39), chr(39) * 2)}', '{{entity}}', named[1]) END AS cypher FROM n""",
+)(lambda t: t.customer.select("c_custkey", T.graph_statement(F.expr(QUESTION)).alias("cypher")))
 query("FUN48_safe_divide", "SELECT event_id, round(coalesce(value / nullif(user_id % 7, 0), 0.0::DOUBLE), 6) AS ratio, (event_id // 100)::BIGINT AS batch, 'type: ' || event_type || ' | user: ' || user_id AS meta FROM events")(
     lambda t: t.events.select(
         "event_id",
@@ -312,11 +319,10 @@ query("FUN60_canary_phase", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discou
         "l_orderkey", "l_linenumber", F.when(c("p") <= 0, "idle").when(c("p") < 0.05, "ramp_5").when(c("p") < 0.25, "ramp_25").when(c("p") < 0.5, "ramp_50").when(c("p") < 0.75, "ramp_75").otherwise("full").alias("phase")
     )
 )
-RU = "CASE doc_id % 3 WHEN 0 THEN 'Как работает поиск ' || doc_id || '. Что такое ранг?' WHEN 1 THEN 'Почему ' || left(text, 120) ELSE text END"
 RU_WHOLE = "CASE doc_id % 3 WHEN 0 THEN 'Как работает поиск ' || doc_id || '. Что такое ранг?' WHEN 1 THEN 'Почему ' || text ELSE text END"
 query(
     "FUN61_questions",
-    rf"""SELECT doc_id, array_to_string(list_filter(list_transform(regexp_extract_all(q, '(Как|Что такое|Почему|Зачем|Где)([^.!?]+)'), lambda x: trim(x) || '?'), lambda x: length(x) < 100)[1:3], '¦') AS questions FROM (SELECT doc_id, {RU} AS q FROM documents)""",
+    rf"""SELECT doc_id, array_to_string(list_filter(list_transform(regexp_extract_all(q, '(Как|Что такое|Почему|Зачем|Где)([^.!?]+)'), lambda x: trim(x) || '?'), lambda x: length(x) < 100)[1:3], '¦') AS questions FROM (SELECT doc_id, {RU_WHOLE} AS q FROM documents)""",
 )(lambda t: t.documents.select("doc_id", F.array_join(T.questions(F.expr(RU_WHOLE)), "¦").alias("questions")))
 
 # ---- filters on text
