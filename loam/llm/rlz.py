@@ -29,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .blocks import BLOCK_CHARS, block_count, cut, expanded, grams, mixed, part_count, scattered, sliding, squeezed, unpacked, word_hashes, words_of
-from .common import stored
+from .common import release, stored
 
 WINDOW, GRAM = 35, 12
 BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -129,12 +129,22 @@ def send(block: int, keys: np.ndarray, many: np.ndarray, parts: int, checks: np.
     return table_of(rows, SENT)
 
 
+def column(table: pa.Table, name: str, kind) -> np.ndarray:
+    """The binary values of a column, one behind the other, without a Python object for each."""
+    values = table.column(name).combine_chunks()
+    values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
+    if not len(values):
+        return np.zeros(0, kind)
+    edges = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
+    return np.frombuffer(memoryview(values.buffers()[2])[int(edges[0]) : int(edges[-1])], kind)
+
+
 def gather(table: pa.Table) -> tuple[list, list[int], np.ndarray, np.ndarray]:
-    d = table.to_pydict()
-    keys = [expanded(x) for x in d["keys"]]
+    release()
+    keys = [expanded(x.as_buffer()) for x in table.column("keys")]
     sizes = [len(x) for x in keys]
-    many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(d["many"], sizes, strict=True)]).astype(bool)
-    return d["block"], sizes, np.concatenate(keys), many
+    many = np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=n) for x, n in zip(table.column("many"), sizes, strict=True)]).astype(bool)
+    return table.column("block").to_pylist(), sizes, np.concatenate(keys), many
 
 
 def answer_anchors(table: pa.Table) -> pa.Table:
@@ -151,18 +161,19 @@ def answer_windows(table: pa.Table) -> pa.Table:
     """For each key of each block, the window's index entry, or -1 if it stands once."""
     blocks, sizes, a, many = gather(table)
     part = table.column("part")[0].as_py()
-    joined = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
-    b, place = joined("checks", np.uint64), joined("places", np.int32)
+    b = column(table, "checks", np.uint64)
     owner = np.repeat(np.array(blocks, np.int32), sizes)
     order = np.lexsort((owner, b, a))
     a, b = a[order], b[order]
     new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    slot = np.cumsum(new) - 1
+    del a, b
+    slot = np.cumsum(new, dtype=np.int32) - 1
+    first = order[new]
     repeated = (np.bincount(slot) > 1) | (np.bincount(slot, many[order]) > 0)
-    entries = np.empty(len(repeated), ENTRY)
-    entries["block"] = np.where(repeated, owner[order][new], -1)
-    entries["place"] = np.where(repeated, place[order][new], -1)
-    out = np.empty(len(a), ENTRY)
+    entries = np.empty(len(first), ENTRY)
+    entries["block"] = np.where(repeated, owner[first], -1)
+    entries["place"] = np.where(repeated, column(table, "places", np.int32)[first], -1)
+    out = np.empty(len(order), ENTRY)
     out[order] = entries[slot]
     return table_of([(k, 2, part, x.tobytes()) for k, x in zip(blocks, np.split(out, np.cumsum(sizes)[:-1]), strict=True)], ANSWER)
 
@@ -172,7 +183,7 @@ def parsed(df: DataFrame, window: int, outputs: str, describe) -> DataFrame:
     n = block_count(df)
     docs = scattered(df, n)
     words = n * BLOCK_CHARS / 6
-    parts1, parts2 = part_count(words * ANCHORS), part_count(words / 4)
+    parts1, parts2 = part_count(words * ANCHORS), part_count(words / 2)
     first = docs.groupBy("block").applyInArrow(
         lambda t: send(t.column("block")[0].as_py(), (x := Block(unpacked(t)[1], window)).anchors, x.many, parts1), SENT
     )
