@@ -511,7 +511,7 @@ def html_markdown(html: Column) -> Column:
     """Headings, list items, links and paragraphs as Markdown; images, scripts and styles dropped."""
     t = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>|<img[^>]*>", "")
     for level in range(1, 7):
-        t = F.regexp_replace(t, rf"(?is)<h{level}[^>]*>(.*?)</h{level}>", "\n" + "#" * level + r" $1\n\n")
+        t = F.regexp_replace(t, rf"(?is)<h{level}[^>]*>(.*?)</h{level}>", "\n" + "#" * level + " $1\n\n")
     t = F.regexp_replace(t, r"(?is)<li[^>]*>(.*?)</li>", "- $1\n")
     t = F.regexp_replace(t, r"""(?is)<a[^>]*href="([^"]*)"[^>]*>(.*?)</a>""", r"[$2]($1)")
     t = F.regexp_replace(t, r"(?is)</p>|<br\s*/?>", "\n\n")

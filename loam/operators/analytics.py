@@ -113,7 +113,7 @@ def welch(df: DataFrame, variant: str, value: str, a: str, b: str) -> DataFrame:
 
 def routed(key: Column, weights: dict[str, float]) -> Column:
     """A variant for a key: its hash's place among the cumulative weights. The same key, the same variant."""
-    place = F.pmod(F.xxhash64(key), F.lit(10_000)) / 10_000
+    place = F.conv(F.substring(F.sha2(key.cast("string"), 256), 1, 8), 16, 10).cast("long") % 10_000 / 10_000
     total, upto, out = sum(weights.values()), 0.0, None
     for name, w in weights.items():
         upto += w / total

@@ -34,10 +34,10 @@ def scored_sentences(pairs: DataFrame, key: list[str], least: int = 3) -> DataFr
 
     pairs has key, text and q, the distinct words of a query, of which there are
     n. hits counts those that a sentence has. A text of at most least sentences,
-    or a query without words, gives one whole sentence. Each sentence is read
-    once; a group is the sentences of one text.
+    or a query without words, gives one whole sentence; a null text reads as
+    empty. Each sentence is read once; a group is the sentences of one text.
     """
-    parts = pairs.select(*key, "text", "q", T.sentences(F.col("text")).alias("s"))
+    parts = pairs.select(*key, F.coalesce("text", F.lit("")).alias("text"), "q").select(*key, "text", "q", T.sentences(F.col("text")).alias("s"))
     whole = (F.size("s") <= least) | (F.size("q") == 0)
     parts = parts.select(*key, "q", whole.alias("whole"), F.when(whole, F.array("text")).otherwise(F.col("s")).alias("s"))
     rows = parts.select(*key, "q", "whole", F.posexplode("s").alias("at", "sentence"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,3 +116,12 @@ def calibrated(df: DataFrame) -> DataFrame:
     steps = steps.crossJoin(F.broadcast(total)).withColumn("f1", F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("all_pos")), F.lit(0.0)))
     both = steps.select("score", "f1", F.lit(1).alias("seen")).union(steps.where("next is not null").select((F.col("score") + F.col("next")) / 2, "f1", F.lit(0)))
     return both.agg(F.max_by("score", F.struct("f1", "seen", -F.col("score"))).alias("threshold"), F.max("f1").alias("f1"))
+
+
+def model_score(pairs: DataFrame, score: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """precision, recall, f1: means over (hypothesis, reference) of a model's struct<precision, recall, f1>; zeros without a model."""
+    names = ("precision", "recall", "f1")
+    if score is None:
+        return pairs.agg(F.count("*").alias("n")).select(*[F.lit(0.0).alias(x) for x in names])
+    made = pairs.select(score(F.col("hypothesis"), F.col("reference")).alias("x"))
+    return made.agg(*[F.avg(F.col("x")[x]).alias(x) for x in names])

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import discard, stored
@@ -82,3 +85,27 @@ def paths(seeds: DataFrame, edges: DataFrame, hops: int = 2, most: int = 5) -> D
     n = F.size("path")
     out = scored.groupBy("seed", "path").agg(F.sum(F.least(F.coalesce("degree", F.lit(0)), F.lit(10))).alias("total"))
     return out.select("seed", "path", F.round(F.col("total") / (10 * n) / (1 + 0.1 * n), 6).alias("score"))
+
+
+def extracted(df: DataFrame, names: Column, relate: Callable[[list[str], list[list[str]]], list[list[tuple[str, str, str]]]] | None = None) -> DataFrame:
+    """doc_id, kind, source, target, id: the entities that texts name, and relations between them.
+
+    relate, a model, gets texts with their entities, a batch at a time, and
+    gives (source, target, type) of each; relations between names that are no
+    entities of the text are dropped. Without it there are entities only. id is
+    the hash of the source's name and type.
+    """
+    found = df.select("doc_id", "text", names.alias("names"))
+    key = lambda name: F.sha2(F.concat(name, F.lit("_ENTITY")), 256)
+    out = found.select("doc_id", F.explode("names").alias("source")).select("doc_id", F.lit("entity").alias("kind"), "source", F.lit("").alias("target"), key(F.col("source")).alias("id"))
+    if relate is None:
+        return out
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            texts, own = frame["text"].fillna("").tolist(), [list(x) if x is not None else [] for x in frame["names"]]
+            rows = [(i, kind, a, b) for i, known, made in zip(frame["doc_id"], own, relate(texts, own), strict=True) for a, b, kind in made if a in known and b in known]
+            yield pd.DataFrame(rows, columns=["doc_id", "kind", "source", "target"])
+
+    related = found.mapInPandas(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, kind string, source string, target string")
+    return out.unionByName(related.withColumn("id", key(F.col("source"))))

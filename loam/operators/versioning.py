@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import version_key
@@ -53,3 +53,20 @@ def as_of(history: DataFrame, moment: Column, legacy: bool = False) -> DataFrame
 def upsert(base: DataFrame, more: DataFrame, key: str, order: str) -> DataFrame:
     """Rows of both, the latest of each key."""
     return last_rows(base.unionByName(more), key, [F.desc(order)], 1)
+
+
+def save_checkpoints(updates: DataFrame, path: str, run: int) -> None:
+    """Append (pipeline, key, value) of a run to the state table at path; a run that is repeated overwrites its own part."""
+    updates.select("pipeline", "key", F.col("value").cast("string").alias("value"), F.lit(run).alias("run")).write.mode("overwrite").parquet(f"{path}/run={run}")
+
+
+def checkpoints(spark: SparkSession, path: str) -> DataFrame:
+    """pipeline, key, value: the latest value of each key that any run has stored."""
+    rows = spark.read.schema("pipeline string, key string, value string, run int").parquet(path)
+    return rows.groupBy("pipeline", "key").agg(F.max_by("value", "run").alias("value"))
+
+
+def since_checkpoint(rows: DataFrame, state: DataFrame, pipeline: str, id_column: str) -> DataFrame:
+    """Rows of each pipeline behind its stored last_id; all rows of a pipeline that has none."""
+    last = state.where("key = 'last_id'").select(F.col("pipeline").alias(pipeline), F.col("value").cast("long").alias("_last"))
+    return rows.join(last, pipeline, "left").where(F.col("_last").isNull() | (F.col(id_column) > F.col("_last"))).drop("_last")

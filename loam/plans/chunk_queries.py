@@ -10,10 +10,12 @@ from ..functions import text as T
 from ..operators import analytics as A
 from ..operators import chunking as C
 from ..operators import compression as M
+from ..operators import evaluation as E
 from ..operators import graph as G
 from ..operators import vectors as V
 from .registry import Tables, query
 from .search_queries import SPARSE
+from .text_queries import INTENT, LANGUAGE, TEXT_OF_HTML, common, letters
 
 c = F.col
 
@@ -21,6 +23,7 @@ MARKED = "CASE WHEN doc_id % 2 = 0 THEN '# Part ' || doc_id || chr(10) || left(t
 marked = lambda t: t.documents.select("doc_id", F.expr(MARKED).alias("text"))
 FIRST = r"regexp_extract(text, r'(?s)^.{0,200}\S*', 0)"
 WHOLE = f"CASE WHEN doc_id % 2 = 0 THEN '# Part ' || doc_id || chr(10) || {FIRST} || chr(10) || '## Rest' || chr(10) || substring(text, length({FIRST}) + 1) ELSE text END"
+WHOLE_SQL = WHOLE.replace("substring(", "substr(").replace("regexp_extract(text, r'", "regexp_extract(text, '")
 whole_marked = lambda t: t.documents.select("doc_id", F.expr(WHOLE).alias("text"))
 query(
     "CHK01_heading_sections",
@@ -38,7 +41,11 @@ query("CHK05_heading_index", "WITH d AS (SELECT doc_id FROM documents WHERE doc_
     )
 )
 query("CHK06_document_chunk", "SELECT doc_id, 'doc' || doc_id || chr(10) || left(text, 500) AS chunk FROM documents")(lambda t: t.documents.select("doc_id", F.concat(F.lit("doc"), c("doc_id"), F.lit("\n"), F.substring("text", 1, 500)).alias("chunk")))
-query("CHK07_enriched_chunks")(lambda t: C.heading_sections(whole_marked(t)).select("doc_id", "position", F.concat_ws("\n", F.concat(F.lit("Section: "), c("heading")), T.two_sentences(c("content"))).alias("chunk")))
+SECTIONS = rf"""WITH m AS (SELECT doc_id, {WHOLE_SQL} AS text FROM documents), p AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '(?m)^(#{{1,3}}\s+\S)', chr(1) || '\1', 'g'), chr(1)), lambda x: regexp_matches(x, '^#{{1,3}}\s+\S')) AS p, text FROM m),
+    e AS (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) - 1 AS position FROM p WHERE len(p) > 0),
+    q AS (SELECT doc_id, position::INT AS position, trim(regexp_extract(s, '^#{{1,3}}\s+([^\n]+)', 1)) AS heading, regexp_replace(regexp_replace(s, '^#{{1,3}}\s+[^\n]+', ''), '^\s+|\s+$', '', 'g') AS text FROM e UNION ALL SELECT doc_id, 0, 'root', regexp_replace(text, '^\s+|\s+$', '', 'g') FROM p WHERE len(p) = 0)"""
+PARTS = r"string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+query("CHK07_enriched_chunks", f"{SECTIONS} SELECT doc_id, position, 'Section: ' || heading || chr(10) || CASE WHEN len({PARTS}) <= 2 THEN text ELSE array_to_string(({PARTS})[1:2], ' ') || '...' END AS chunk FROM q")(lambda t: C.heading_sections(whole_marked(t)).select("doc_id", "position", F.concat_ws("\n", F.concat(F.lit("Section: "), c("heading")), T.two_sentences(c("content"))).alias("chunk")))
 query("CHK08_adaptive")(lambda t: C.adaptive_chunks(t.documents))
 query("CHK09_code_chunks")(lambda t: C.code_chunks(t.documents.select("doc_id", F.format_string("def f%s():\n    return %s\n\n\nclass C%s:\n    pass\n", c("doc_id"), c("n_chars"), c("doc_id")).alias("text")), "python"))
 query("CHK10_chapters", r"WITH d AS (SELECT doc_id, 'Chapter ' || doc_id || chr(10) || text || chr(10) || 'Section 2' || chr(10) || 'end' AS t FROM documents) SELECT doc_id, unnest(['Chapter ' || doc_id, 'Section 2']) AS title FROM d")(
@@ -99,7 +106,12 @@ def hierarchical(t: Tables) -> DataFrame:
     return d.join(largest, "doc_id", "left").select("doc_id", F.sha2(short, 256).alias("short"))
 
 
-@query("CMP06_multimodal")
+@query(
+    "CMP06_multimodal",
+    f"""WITH r AS (SELECT 'text' AS kind, doc_id AS id, length(text) // 4 AS cost, 50000 AS most FROM documents UNION ALL SELECT 'page', page_id, length({TEXT_OF_HTML}) // 4, 20000 FROM pages
+        UNION ALL SELECT 'turn', conv_id * 1000 + turn, length(text) // 4, 20000 FROM conversations)
+    SELECT kind, id, cost FROM (SELECT *, sum(cost) OVER (PARTITION BY kind ORDER BY id) AS used FROM r) WHERE used <= most""",
+)
 def multimodal(t: Tables) -> DataFrame:
     """Texts, pages and turns within 50, 20 and 20 per cent of a budget of 100,000 tokens."""
     rows = t.documents.select(F.lit("text").alias("kind"), c("doc_id").alias("id"), T.quarter_tokens(c("text")).alias("cost"), F.lit(50_000).alias("most"))
@@ -127,9 +139,21 @@ query("JOI03_existing_ends", f"WITH {NODES} SELECT src, dst FROM e WHERE src IN
 query("JOI04_neighbour_sets", f"WITH {NODES} SELECT id, count(dst) AS n FROM n LEFT JOIN b ON src = id GROUP BY 1")(lambda t: nodes(t).join(G.both_ways(edges(t)), c("id") == c("src"), "left").groupBy("id").agg(F.count("dst").alias("n")))
 query("GRF03_stale_entities", f"WITH {NODES} SELECT src, dst FROM e WHERE w >= 100 AND src <> dst")(lambda t: edges(t).join(edges(t).where("w < 100").select(c("src").alias("gone")).distinct(), c("src") == c("gone"), "left_anti").select("src", "dst"))
 query("GRF04_outdated_relations", f"WITH {NODES} SELECT src, dst FROM e WHERE w % 7 = 0 OR w < 50")(lambda t: edges(t).where(F.when(c("w") % 7 != 0, c("w")).isNull() | (c("w") < 50)).select("src", "dst"))
-query("GRF05_entities_relations")(lambda t: t.documents.select("doc_id", F.explode(T.entities(c("text"))).alias("name")).select("doc_id", "name", F.sha2(F.concat_ws("_", "name", F.lit("ENTITY")), 256).alias("id")))
-query("RET14_multi_hop")(lambda t: G.paths(t.nation.select((c("n_nationkey") * 10 + 1).alias("id")), edges(t), 2, 3))
-query("FUN58_path_text")(lambda t: G.paths(t.nation.select((c("n_nationkey") * 10 + 1).alias("id")), edges(t), 2, 3).select("seed", F.concat(F.array_join("path", " → "), F.lit(" ("), F.format_number("score", 2), F.lit(")")).alias("line")))
+
+
+def verbs(texts: list[str], names: list[list[str]]) -> list[list[tuple[str, str, str]]]:
+    """Stands for a relation model: neighbouring names of a text are related."""
+    return [[(a, b, "RELATES_TO") for a, b in zip(own, own[1:], strict=False)] for own in names]
+
+
+query("GRF05_entities_relations")(lambda t: G.extracted(t.documents, T.entities(c("text")), verbs))
+PATHS = f"""WITH RECURSIVE {NODES}, nb AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst) AS r FROM b WHERE src <> dst) WHERE r <= 3), dg AS (SELECT src AS id, count(*) AS degree FROM b GROUP BY 1),
+    w AS (SELECT n_nationkey * 10 + 1 AS seed, [n_nationkey * 10 + 1] AS path, n_nationkey * 10 + 1 AS tip, 0 AS hops FROM nation UNION ALL SELECT seed, list_append(path, dst), dst, hops + 1 FROM w JOIN nb ON tip = src WHERE hops < 2 AND NOT list_contains(path, dst)),
+    fin AS (SELECT seed, path FROM w WHERE hops = 2 OR NOT EXISTS (SELECT 1 FROM nb WHERE src = tip AND NOT list_contains(path, dst))),
+    sc AS (SELECT seed, path, (SELECT sum(least(coalesce(degree, 0), 10)) FROM (SELECT unnest(path) AS id) u LEFT JOIN dg USING (id)) / (10.0::DOUBLE * len(path)) / (1 + 0.1::DOUBLE * len(path)) AS score FROM fin)"""
+hops = lambda t: G.paths(t.nation.select((c("n_nationkey") * 10 + 1).alias("id")), edges(t), 2, 3)
+query("RET14_multi_hop", f"{PATHS} SELECT seed, array_to_string(path, ',') AS path, round(score, 6) AS score FROM sc")(lambda t: hops(t).withColumn("path", F.array_join("path", ",")))
+query("FUN58_path_text", f"{PATHS} SELECT seed, array_to_string(path, ' → ') || ' (' || printf('%.2f', round(score, 6)) || ')' AS line FROM sc")(lambda t: hops(t).select("seed", F.concat(F.array_join("path", " → "), F.lit(" ("), F.format_number("score", 2), F.lit(")")).alias("line")))
 query("SRC19_graph_merge", f"WITH {NODES} SELECT src, dst, max(w) AS w FROM e GROUP BY ALL")(lambda t: edges(t).groupBy("src", "dst").agg(F.max("w").alias("w")))
 query("AGG27_entity_dedup", "SELECT o_custkey AS id, max(o_orderkey) AS last, count(DISTINCT o_orderstatus) AS kinds FROM orders GROUP BY 1")(lambda t: t.orders.groupBy(c("o_custkey").alias("id")).agg(F.max("o_orderkey").alias("last"), F.countDistinct("o_orderstatus").alias("kinds")))
 
@@ -204,9 +228,10 @@ query("FUN53_json_escapes", r"""SELECT doc_id, regexp_replace(text || '\d\n', '\
 query("FUN34_markdown_links", r"WITH m AS (SELECT doc_id, '[doc' || doc_id || '](http://x/' || doc_id || ') ' || text AS t FROM documents) SELECT doc_id, array_to_string(regexp_extract_all(t, '\[([^\]]+)\]\(([^)]+)\)', 2), ' ') AS links FROM m")(
     lambda t: t.documents.select("doc_id", F.concat(F.lit("[doc"), "doc_id", F.lit("](http://x/"), "doc_id", F.lit(") "), "text").alias("t")).select("doc_id", F.array_join(T.matches(c("t"), r"\[([^\]]+)\]\(([^)]+)\)", 2), " ").alias("links"))
 )
-query("FUN32_html_tables")(
-    lambda t: t.nation.select("n_nationkey", F.format_string("<table><tr><th>k</th><th>name</th></tr><tr><td>%s</td><td>%s</td></tr></table>", "n_nationkey", "n_name").alias("html")).select(
-        "n_nationkey", F.transform(T.matches(c("html"), r"(?is)<tr[^>]*>.*?</tr>"), lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[hd][^>]*>(.*?)</t[hd]>"), F.lit(1)), lambda x: F.trim(x))).alias("rows")
+TABLE_HTML = "'<table><tr><th>k</th><th>name</th></tr><tr><td>' || n_nationkey || '</td><td>' || n_name || '</td></tr></table>'"
+query("FUN32_html_tables", rf"SELECT n_nationkey, array_to_string(list_transform(regexp_extract_all({TABLE_HTML}, '(?is)<tr[^>]*>.*?</tr>'), lambda r: array_to_string(list_transform(regexp_extract_all(r, '(?is)<t[hd][^>]*>(.*?)</t[hd]>', 1), lambda x: trim(x)), '|')), ';') AS rows FROM nation")(
+    lambda t: t.nation.select("n_nationkey", F.expr(TABLE_HTML).alias("html")).select(
+        "n_nationkey", F.array_join(F.transform(T.matches(c("html"), r"(?is)<tr[^>]*>.*?</tr>"), lambda r: F.array_join(F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[hd][^>]*>(.*?)</t[hd]>"), F.lit(1)), lambda x: F.trim(x)), "|")), ";").alias("rows")
     )
 )
 query("FUN52_code_blocks", r"WITH m AS (SELECT doc_id, 'x' || chr(10) || '----' || chr(10) || 'code ' || doc_id || chr(10) || '----' || chr(10) AS t FROM documents) SELECT doc_id, regexp_extract(t, '(?s)----\n(.*?)\n----', 1) AS code FROM m")(
@@ -215,5 +240,13 @@ query("FUN52_code_blocks", r"WITH m AS (SELECT doc_id, 'x' || chr(10) || '----'
 query("TOP14_routes", f"SELECT item_id, CASE WHEN n <= 5 THEN 'direct' WHEN n <= 60 THEN 'single' ELSE 'multi' END AS route FROM (SELECT item_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n FROM benchmark)")(
     lambda t: t.benchmark.select("item_id", F.size(T.pieces(c("text"))).alias("n")).select("item_id", F.when(c("n") <= 5, "direct").when(c("n") <= 60, "single").otherwise("multi").alias("route"))
 )
-query("EVA33_self_critique")(lambda t: whole(t).select("id", F.round(T.support(T.word_set(c("h")), T.word_set(c("r"))), 6).alias("support")))
-query("EVA36_intent_export")(lambda t: t.conversations.where("role = 'user'").select("conv_id", "turn", T.language(c("text")).alias("lang"), T.intent(c("text"), T.language(c("text"))).alias("intent")))
+query("EVA33_self_critique", f"""WITH p AS (SELECT a.doc_id AS id, {WS.format(x="a.text")} AS a, {WS.format(x="b.text")} AS b FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)
+    SELECT id, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE * (len(list_intersect(a, b)) / sqrt(len(a)::DOUBLE * len(b))) + 0.5::DOUBLE * (len(list_intersect(a, b)) / len(a)::DOUBLE) END, 6) AS support FROM p""")(lambda t: whole(t).select("id", F.round(T.support(T.word_set(c("h")), T.word_set(c("r"))), 6).alias("support")))
+SPOKEN = f"SELECT conv_id, turn, text, {letters(T.GERMAN_LETTERS)} AS de, {letters(T.FRENCH_LETTERS)} AS fr, {letters(chr(92) + 'p{L}')} AS al, {common(T.GERMAN_WORDS)} AS dw, {common(T.FRENCH_WORDS)} AS fw FROM conversations WHERE role = 'user'"
+query("EVA36_intent_export", f"WITH l AS ({SPOKEN}), g AS (SELECT conv_id, turn, text, {LANGUAGE} AS lang FROM l) SELECT conv_id, turn, lang, {INTENT} AS intent FROM g")(lambda t: t.conversations.where("role = 'user'").select("conv_id", "turn", T.language(c("text")).alias("lang"), T.intent(c("text"), T.language(c("text"))).alias("intent")))
+
+
+@query("EVA37_model_score", "SELECT 0.0::DOUBLE AS precision, 0.0::DOUBLE AS recall, 0.0::DOUBLE AS f1")
+def model_score(t: Tables) -> DataFrame:
+    """The model-based score without a model: zeros. A plug-in gives (precision, recall) of each pair."""
+    return E.model_score(whole(t).select(c("h").alias("hypothesis"), c("r").alias("reference")))

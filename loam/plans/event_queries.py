@@ -97,7 +97,7 @@ query("EVA26_canary_rollback", "SELECT user_id % 50 AS model, count(*) AS n, cou
 query("FUN62_canary_state", "WITH e AS (SELECT user_id % 50 AS model, max(ts) AS last, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1) SELECT model, CASE WHEN errors > 30 THEN 'rolled_back' WHEN last < TIMESTAMP '2024-01-30' THEN 'cooldown' ELSE 'running' END AS state FROM e")(
     lambda t: t.events.groupBy((c("user_id") % 50).alias("model")).agg(F.max("ts").alias("last"), F.count_if(c("event_type") == "error").alias("errors")).select("model", F.when(c("errors") > 30, "rolled_back").when(c("last") < F.lit("2024-01-30").cast("timestamp_ntz"), "cooldown").otherwise("running").alias("state"))
 )
-query("AGG33_traffic_split")(lambda t: t.events.select("event_id", A.routed(c("user_id"), {"control": 0.8, "treatment": 0.2}).alias("variant")))
+query("AGG33_traffic_split", "SELECT event_id, CASE WHEN ('0x' || substr(sha256(user_id::VARCHAR), 1, 8))::BIGINT % 10000 / 10000.0 < 0.8 THEN 'control' ELSE 'treatment' END AS variant FROM events")(lambda t: t.events.select("event_id", A.routed(c("user_id"), {"control": 0.8, "treatment": 0.2}).alias("variant")))
 query("EVA25_eval_gate", "WITH m AS (SELECT event_type AS metric, avg(value) / 100 AS v FROM events GROUP BY 1), g AS (SELECT metric, v, CASE WHEN v >= 0.6::DOUBLE THEN 0 WHEN v >= 0.58::DOUBLE THEN 1 ELSE 2 END AS severity FROM m) SELECT metric, round(v, 6) AS value, (['PASS', 'WARN', 'FAIL'])[severity + 1] AS status, (SELECT (['PASS', 'WARN', 'FAIL'])[max(severity) + 1] FROM g) AS overall FROM g")(
     lambda t: (lambda g: g.crossJoin(F.broadcast(g.agg(F.max("severity").alias("worst")))).select("metric", F.round("v", 6).alias("value"), F.element_at(F.array(F.lit("PASS"), F.lit("WARN"), F.lit("FAIL")), c("severity") + 1).alias("status"), F.element_at(F.array(F.lit("PASS"), F.lit("WARN"), F.lit("FAIL")), c("worst") + 1).alias("overall")))(
         t.events.groupBy(c("event_type").alias("metric")).agg((F.avg("value") / 100).alias("v")).withColumn("severity", F.when(c("v") >= 0.6, 0).when(c("v") >= 0.58, 1).otherwise(2))
@@ -161,7 +161,7 @@ query("CHK12_qa_documents", f"{QA} SELECT conv_id, 'Q: ' || question || chr(10)
         t.conversations.join(pairs(t).select("conv_id").distinct(), "conv_id", "left_anti").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), "\n").alias("content"))
     )
 )
-query("FUN56_enriched_query")(lambda t: recent(t).where("r <= 2").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), " ").alias("query")))
+query("FUN56_enriched_query", "SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS query FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 2 GROUP BY 1")(lambda t: recent(t).where("r <= 2").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), " ").alias("query")))
 query("AGG28_top_mentions", r"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word FROM conversations) GROUP BY 1 ORDER BY n DESC, word LIMIT 20")(
     lambda t: t.conversations.select(F.explode(T.words(c("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(20)
 )

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.plugins import embedded
 from ..session import shared_dir
 from ..sources import readers as R
 from ..sources import sinks as K
+from ..sources.schemas import FEEDBACK
 from ..streaming.pipelines import retried
 from .registry import Tables, query
+from .text_queries import TEXT_OF_HTML
 
 c = F.col
 
@@ -48,7 +51,9 @@ def requests(t: Tables) -> DataFrame:
 
 
 DOC = "source_id, title, content"
-query("SRC01_document_contract")(lambda t: R.wiki_pages(pages(t)).withColumn("hash", F.sha2("content", 256)))
+query("SRC01_document_contract", f"SELECT page_id::VARCHAR AS source_id, 'confluence' AS source_type, 'p' || page_id AS title, 'html' AS content_type, sha256({TEXT_OF_HTML}) AS hash FROM pages")(
+    lambda t: R.wiki_pages(pages(t)).select("source_id", "source_type", "title", "content_type", F.sha2("content", 256).alias("hash"))
+)
 query("SRC02_incremental_pages", "SELECT page_id::VARCHAR AS source_id, 'p' || page_id AS title FROM pages WHERE page_id % 28 + 1 > 14")(lambda t: R.since(R.wiki_pages(pages(t)), "2024-01-14").select("source_id", "title"))
 query("SRC03_wiki_pages", "SELECT page_id::VARCHAR AS source_id, (page_id % 5)::VARCHAR AS version, CASE WHEN page_id % 2 = 0 THEN 'ENG-1' ELSE 'HR' END AS space FROM pages")(lambda t: R.wiki_pages(pages(t)).select("source_id", c("metadata")["version"].alias("version"), c("metadata")["space"].alias("space")))
 query("SRC05_issue_scan", "SELECT 'PROJ-' || o_orderkey AS source_id FROM orders WHERE o_orderstatus = 'O'")(lambda t: R.issues(tickets(t)).where(c("metadata")["status"] == "O").select("source_id"))
@@ -106,9 +111,33 @@ def append_log(t: Tables) -> DataFrame:
     return R.log(t.spark, path).groupBy("type").agg(F.count("*").alias("n"))
 
 
-query("SRC33_audit_writers", "SELECT event_id::VARCHAR AS id, event_type AS type, value::BIGINT AS tokens FROM (SELECT event_id, event_type, floor(value) AS value FROM events)")(
-    lambda t: t.events.select(c("event_id").cast("string").alias("id"), c("event_type").alias("type"), F.floor("value").alias("tokens"))
+
+
+@query(
+    "SRC33_audit_writers",
+    """WITH e AS (SELECT *, event_id % 6 AS k, 'question ' || event_id AS q, floor(value)::BIGINT AS tok FROM events)
+    SELECT CASE k WHEN 0 THEN 'query' WHEN 1 THEN 'access_denied' WHEN 2 THEN 'config_change' WHEN 3 THEN 'error' WHEN 4 THEN 'trace' ELSE CASE WHEN user_id % 2 = 0 THEN 'login' ELSE 'auth' END END AS type, user_id::VARCHAR AS user,
+        CASE WHEN k IN (0, 4) THEN substr(sha256(q), 1, 16) ELSE 'n/a' END AS hash, CASE WHEN k IN (0, 4) THEN tok ELSE 0 END AS tokens,
+        CASE k WHEN 1 THEN 'denied' WHEN 3 THEN 'error' WHEN 4 THEN CASE WHEN user_id % 3 = 0 OR value >= 50 THEN 'success' ELSE 'low_confidence' END WHEN 5 THEN CASE WHEN event_id % 4 = 1 THEN 'success' ELSE 'failure' END ELSE 'success' END AS status,
+        CASE k WHEN 0 THEN q WHEN 1 THEN 'role' WHEN 2 THEN CASE WHEN length(props) > 20 THEN left(props, 4) || '***' || right(props, 4) ELSE '***' END WHEN 3 THEN left(props, 500) WHEN 4 THEN greatest(0, tok - length(q) // 4)::VARCHAR ELSE (event_id % 4 = 1)::VARCHAR END AS detail FROM e""",
 )
+def audit(t: Tables) -> DataFrame:
+    """Six kinds of audit events written to one log and read back."""
+    path, e = folder(t, "audit"), t.events
+    when, user, q, tokens = c("ts"), c("user_id"), F.concat(F.lit("question "), c("event_id")), F.floor("value")
+    part = lambda k: e.where(c("event_id") % 6 == k)
+    chance = F.when(c("user_id") % 3 != 0, c("value") / 100)
+    for rows in (
+        K.audit_query(part(0), when, user, q, c("props"), F.lit(3), c("value"), tokens),
+        K.audit_denied(part(1), when, user, F.lit("/kb"), F.lit("role")),
+        K.audit_config(part(2), when, user, F.lit("limit"), c("props"), c("props")),
+        K.audit_error(part(3), when, user, c("event_type"), c("props"), F.lit(None).cast("string"), F.lit("/v1")),
+        K.audit_trace(part(4), when, user, q, F.lit(2), F.array(c("value")), tokens, chance, c("value")),
+        K.audit_auth(part(5), when, user, F.when(c("user_id") % 2 == 0, "login").otherwise("logout"), c("event_id") % 4 == 1),
+    ):
+        K.append_log(rows, path)
+    detail = F.coalesce(*[c("details")[k] for k in ("reason", "new_value", "error_message", "estimated_prompt_tokens", "success", "query_preview")])
+    return R.log(t.spark, path).select("type", "user", "hash", c("tokens_used").alias("tokens"), "status", detail.alias("detail"))
 
 
 @query("SRC22_eval_set", "SELECT 'q' || item_id AS query, 1::BIGINT AS n FROM benchmark")
@@ -119,7 +148,18 @@ def eval_set(t: Tables) -> DataFrame:
     return R.eval_set(t.spark, path).select("query", F.size("relevant_docs").cast("long").alias("n"))
 
 
-query("SRC23_feedback_table", "SELECT event_id::VARCHAR AS feedback_id, value / 100 AS confidence FROM events")(lambda t: t.events.select(c("event_id").cast("string").alias("feedback_id"), (c("value") / 100).alias("confidence")))
+
+
+@query("SRC23_feedback_table", "SELECT event_id::VARCHAR AS feedback_id, user_id::VARCHAR AS user_id, event_type AS rating, value / 100 AS confidence, (event_id % 5)::INT AS retrieval_quality, 20::BIGINT AS columns FROM events")
+def feedback_table(t: Tables) -> DataFrame:
+    """The feedback table with its explicit schema, written and read back; fields that events lack are null."""
+    path = folder(t, "feedback")
+    known = {"feedback_id": c("event_id"), "user_id": c("user_id"), "rating": c("event_type"), "confidence": c("value") / 100, "retrieval_quality": c("event_id") % 5, "created_at": c("ts"), "question": c("props")}
+    schema = StructType.fromDDL(FEEDBACK)
+    t.events.select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]).write.parquet(path)
+    return t.spark.read.schema(FEEDBACK).parquet(path).select("feedback_id", "user_id", "rating", "confidence", "retrieval_quality", F.lit(len(schema)).cast("long").alias("columns"))
+
+
 query("SRC24_kb_tables", "SELECT c_custkey::VARCHAR AS kb_id, count(o_orderkey) AS tasks FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")(lambda t: t.customer.join(t.orders, c("o_custkey") == c("c_custkey"), "left").groupBy(c("c_custkey").cast("string").alias("kb_id")).agg(F.count("o_orderkey").alias("tasks")))
 query("SRC25_dlq_table", "SELECT event_id, CASE WHEN event_id % 4 + 1 >= 3 THEN 'dead' ELSE 'pending' END AS status FROM events WHERE event_type = 'error'")(
     lambda t: retried(t.events.where("event_type = 'error'").select("event_id", (c("event_id") % 4).alias("retry_count"), F.lit(0.0).alias("now"))).select("event_id", "status")

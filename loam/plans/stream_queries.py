@@ -6,20 +6,21 @@ and writes each micro-batch to a folder of its own, which is read back.
 
 from __future__ import annotations
 
-import hashlib
-import hmac
+import html
 import io
 import json
 import zipfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import plugins
 from ..functions import text as T
 from ..operators import chunking
 from ..operators import ranking as R
+from ..operators import versioning as V
 from ..sources import books, readers
 from ..streaming import pipelines as P
 from .registry import Tables, query
@@ -52,19 +53,23 @@ def produced(t: Tables) -> DataFrame:
 
 query("STR01_event_producer", "SELECT count(*) AS n FROM events")(lambda t: drained(t, arrived(t, produced(t), "text")).groupBy().agg(F.count("*").alias("n")))
 KEY = b"secret"
+BODY = """CASE WHEN event_id % 13 = 5 THEN '{broken' WHEN event_id % 2 = 0 THEN '{"event": "' || event_type || '", "page": {"id": ' || event_id || '}}' ELSE '{"object_kind": "' || event_type || '"}' END"""
+PAD = {x: bytes(b ^ x for b in KEY.ljust(64, b"\0")).hex() for x in (0x36, 0x5C)}
+HMAC_SQL = f"sha256(unhex('{PAD[0x5C]}') || unhex(sha256(unhex('{PAD[0x36]}') || encode(body))))"
 
 
-def hmac_hex(message, key: bytes = KEY):
-    """HMAC-SHA256 from two hashes, inside the JVM."""
-    block = key.ljust(64, b"\0")
-    pad = lambda x: F.unhex(F.lit(bytes(b ^ x for b in block).hex()))
-    inner = F.unhex(F.sha2(F.concat(pad(0x36), F.encode(message, "utf-8")), 256))
-    return F.sha2(F.concat(pad(0x5C), inner), 256)
+def hooks(t: Tables) -> DataFrame:
+    """Requests of two sources: most are signed, some with another body's signature, some not at all."""
+    d = t.events.select("event_id", F.when(c("event_id") % 2 == 0, "confluence").otherwise("gitlab").alias("source"), F.expr(BODY).alias("body"))
+    sign = lambda x: F.concat(F.lit("sha256="), P.hmac_hex(x, KEY))
+    return d.withColumn("signature", F.when(c("event_id") % 10 == 3, sign(F.concat("body", F.lit(" ")))).when(c("event_id") % 10 != 7, sign(c("body"))))
 
 
-query("STR02_webhook_signatures", f"SELECT event_id, true AS valid FROM events WHERE '{hmac.new(KEY, b'x', hashlib.sha256).hexdigest()}' IS NOT NULL")(
-    lambda t: t.events.select("event_id", (hmac_hex(F.lit("x")) == hmac.new(KEY, b"x", hashlib.sha256).hexdigest()).alias("valid"))
-)
+query(
+    "STR02_webhook_signatures",
+    f"""WITH b AS (SELECT event_id, event_type AS kind, {BODY} AS body FROM events), s AS (SELECT *, {HMAC_SQL} AS computed, CASE WHEN event_id % 10 IN (3, 7) THEN 401 WHEN event_id % 13 = 5 THEN 422 ELSE 202 END AS status FROM b)
+    SELECT event_id, computed, status, CASE WHEN status = 202 THEN kind END AS event_type, CASE WHEN status = 202 THEN CASE WHEN event_id % 2 = 0 THEN event_id::VARCHAR ELSE kind END END AS doc_id FROM s""",
+)(lambda t: P.received(hooks(t), KEY).select("event_id", "computed", "status", "event_type", "doc_id"))
 query("STR03_consumed_batches", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")(lambda t: drained(t, arrived(t, t.events.repartition(6))).groupBy("event_type").agg(F.count("*").alias("n")))
 query("STR04_redelivered", "SELECT event_id FROM events")(lambda t: drained(t, P.once(arrived(t, t.events.union(t.events.where("event_id % 10 = 0")), most=100), late="60 days")).select("event_id"))
 query("STR05_stream_routing", "SELECT CASE WHEN event_id % 100 = 7 THEN 'rejected' WHEN event_id % 3 = 2 THEN 'other' WHEN event_id % 3 = 0 THEN 'jira' ELSE 'gitlab' END AS route, count(*) AS n FROM events GROUP BY 1")(
@@ -72,13 +77,13 @@ query("STR05_stream_routing", "SELECT CASE WHEN event_id % 100 = 7 THEN 'rejecte
 )
 
 
-@query("STR06_lifecycle")
+@query("STR06_lifecycle", "SELECT 2::BIGINT AS batches, count(*) AS rows FROM events")
 def lifecycle(t: Tables) -> DataFrame:
-    """Batches and rows of a finished stream, from its own progress reports."""
+    """Batches with rows, and rows, of a finished stream of four files, two a batch, from its own progress reports."""
     q = P.run_batches(arrived(t, t.events.repartition(4), most=2), P.batch_sink(folder(t, "out")), folder(t, "state"))
     q.awaitTermination()
     rows = [(int(p["batchId"]), int(p["numInputRows"])) for p in q.recentProgress]
-    return t.spark.createDataFrame(rows, "batch long, rows long").where("rows > 0")
+    return t.spark.createDataFrame(rows, "batch long, rows long").where("rows > 0").agg(F.count("*").alias("batches"), F.sum("rows").alias("rows"))
 
 
 query("STR07_document_stream")(lambda t: drained(t, arrived(t, t.documents.select("doc_id", "text").repartition(4)), lambda df: chunking.pack(df, most=300, least=40, split=r"\n").withColumn("reason", T.boilerplate_reason(c("chunk"))).where("reason = ''")))
@@ -100,9 +105,25 @@ query("STR13_retention", "SELECT event_type, count(*) AS n FROM events WHERE ts
 query("AGG01_streamed_usage", "SELECT ts::DATE::TIMESTAMP AS day, event_type, count(*) AS n FROM events GROUP BY ALL")(
     lambda t: P.usage_by_window(t.events, late="60 days").select(c("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
 )
-query("INC05_checkpoints", "SELECT event_type AS pipeline, max(event_id) AS last_id, max(ts) AS last_run, count(*) AS \"offset\" FROM events GROUP BY 1")(
-    lambda t: t.events.groupBy(c("event_type").alias("pipeline")).agg(F.max("event_id").alias("last_id"), F.max("ts").alias("last_run"), F.count("*").alias("offset"))
-)
+
+
+@query("INC05_checkpoints", "SELECT event_type AS pipeline, max(event_id) AS last_id, max(ts)::VARCHAR AS last_run, count(*) AS \"offset\" FROM events GROUP BY 1")
+def resumed(t: Tables) -> DataFrame:
+    """Two runs over the events, one pipeline a type: the second takes up where the stored state of the first ends."""
+    path = folder(t, "checkpoints")
+    e = t.events.withColumn("pipeline", c("event_type"))
+    half = e.agg((F.max("event_id") / 2).cast("long").alias("half"))
+    arrived_first = e.join(F.broadcast(half), c("event_id") <= c("half")).drop("half")
+    state = t.spark.createDataFrame([], "pipeline string, key string, value string")
+    for run, rows in enumerate((arrived_first, e)):
+        before = state.where("key = 'offset'").select("pipeline", c("value").cast("long").alias("before"))
+        done = V.since_checkpoint(rows, state, "pipeline", "event_id").groupBy("pipeline").agg(F.max("event_id").alias("last_id"), F.max("ts").cast("string").alias("last_run"), F.count("*").alias("n"))
+        done = done.join(before, "pipeline", "left").withColumn("offset", c("n") + F.coalesce("before", F.lit(0)))
+        keys = [F.struct(F.lit(k).alias("key"), c(k).cast("string").alias("value")) for k in ("last_id", "last_run", "offset")]
+        V.save_checkpoints(done.select("pipeline", F.explode(F.array(*keys)).alias("x")).select("pipeline", "x.*"), path, run)
+        state = V.checkpoints(t.spark, path)
+    of = lambda k: F.max(F.when(c("key") == k, c("value")))
+    return state.groupBy("pipeline").agg(of("last_id").cast("long").alias("last_id"), of("last_run").alias("last_run"), of("offset").cast("long").alias("offset"))
 
 
 @query("SRC28_streamed_families", "SELECT 'confluence' AS source_type, count(*) AS n FROM pages UNION ALL SELECT 'jira', count(*) FROM orders UNION ALL SELECT 'gitlab_commit', count(*) FROM part UNION ALL SELECT 'gitlab_mr', count(*) FROM supplier")
@@ -115,17 +136,41 @@ def streamed_families(t: Tables) -> DataFrame:
 
 
 def tiny_epub(title: str, text: str) -> bytes:
+    """An EPUB of one chapter."""
     box = io.BytesIO()
     with zipfile.ZipFile(box, "w") as z:
         z.writestr("META-INF/container.xml", '<c xmlns="urn:c"><rootfiles><rootfile full-path="o/p.opf"/></rootfiles></c>')
         z.writestr("o/p.opf", '<p xmlns="urn:p"><manifest><item id="a" href="a.xhtml"/></manifest><spine><itemref idref="a"/></spine></p>')
-        z.writestr("o/a.xhtml", f"<html><body><h1>{title}</h1><p>{text}</p></body></html>")
+        z.writestr("o/a.xhtml", f"<html><body><h1>{title}</h1><p>{html.escape(text)}</p></body></html>")
     return box.getvalue()
 
 
-query("SRC12_books", "SELECT 'One' AS title, 'One' || chr(10) || 'first & last' AS content")(
-    lambda t: books.chapters(t.spark.createDataFrame([("a.epub", tiny_epub("One", "first &amp; last"))], "path string, content binary")).select("title", "content")
-)
+def tiny_docx(title: str, text: str) -> bytes:
+    """A DOCX of a heading and a paragraph for each line."""
+    box = io.BytesIO()
+    lines = "".join(f"<w:p><w:r><w:t>{html.escape(x)}</w:t></w:r></w:p>" for x in text.split("\n"))
+    head = f'<w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>{title}</w:t></w:r></w:p>'
+    with zipfile.ZipFile(box, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{books.DOCX_TEXT[1:-1]}"><w:body>{head}{lines}</w:body></w:document>')
+    return box.getvalue()
+
+
+def bound(t: Tables) -> DataFrame:
+    """path and content: every document as a book, an EPUB or a DOCX file."""
+
+    def run(frames):
+        for f in frames:
+            made = [(f"{i}.epub", tiny_epub(f"Doc {i}", x)) if i % 2 == 0 else (f"{i}.docx", tiny_docx(f"Doc {i}", x)) for i, x in zip(f["doc_id"], f["text"], strict=True)]
+            yield pd.DataFrame(made, columns=["path", "content"])
+
+    return t.documents.select("doc_id", "text").mapInPandas(run, "path string, content binary")
+
+
+query(
+    "SRC12_books",
+    """WITH l AS (SELECT doc_id, 'Doc ' || doc_id AS title, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS body FROM documents)
+    SELECT doc_id || CASE WHEN doc_id % 2 = 0 THEN '.epub' ELSE '.docx' END AS path, title, sha256(CASE WHEN doc_id % 2 = 0 THEN title || chr(10) || body ELSE body END) AS content FROM l""",
+)(lambda t: books.chapters(bound(t)).select("path", "title", F.sha2("content", 256).alias("content")))
 
 
 def word_share(query: str, text: str, least: float = 0.0) -> float:
@@ -149,4 +194,7 @@ def registered(t: Tables) -> DataFrame:
 
 query("UDF04_plugged_summary")(lambda t: chunking.raptor(t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")), levels=3, summary=T.two_sentences).groupBy("level").agg(F.count("*").alias("n")))
 query("UDF05_plugged_search")(lambda t: plugins.chained(lambda q: dense(t, 20), lambda hits: R.knee(hits))(t.embeddings).select("query_id", "doc_id", "score"))
-query("SRC32_image_records", "SELECT page_id, 0 AS images FROM pages")(lambda t: t.pages.select("page_id", F.size(T.matches(c("html"), r"(?is)<img[^>]*>")).alias("images")))
+IMAGES = "html || repeat('<img src=\"/a.png\" alt=\"a plain caption of it\">', (page_id % 4)::INT) || repeat('<img src=\"/b.png\" alt=\"\">', (page_id % 3)::INT)"
+query("SRC32_image_records", "SELECT page_id, page_id % 4 + page_id % 3 AS images, page_id % 4 AS captioned, round(CASE WHEN page_id % 4 + page_id % 3 > 0 THEN (page_id % 4) / (page_id % 4 + page_id % 3)::DOUBLE ELSE 0 END, 6) AS coverage FROM pages WHERE NOT contains(lower(html), '<img')")(
+    lambda t: readers.image_records(t.pages.where(~F.lower("html").contains("<img")).select("page_id", F.expr(IMAGES.replace("::INT", "")).alias("html")))
+)

@@ -75,7 +75,7 @@ def keywords_sql(least: int, most: int, tie: str) -> str:
 
 query("FUN12_keywords", keywords_sql(4, 5, "pos"))(lambda t: keywords(t, 4, 5, "pos"))
 query("FUN13_heuristic_keywords", keywords_sql(3, 8, "word"))(lambda t: keywords(t, 3, 8, "word"))
-query("FUN14_entities")(lambda t: t.documents.select("doc_id", T.entities(c("text")).alias("entities")))
+query("FUN14_entities")(lambda t: t.documents.select("doc_id", F.array_join(T.entities(c("text")), "|").alias("entities")))
 query(
     "FUN15_summary",
     r"""WITH k AS (SELECT doc_id, text, regexp_replace(regexp_replace(text, '^\[[^\n]*?\]\s*', ''), '(?m)^#{1,6}\s+', '', 'g') AS k FROM documents),
@@ -88,7 +88,7 @@ docs(
     f"CASE WHEN len({SENTENCES}) <= 2 THEN text ELSE array_to_string(({SENTENCES})[1:2], ' ') || '...' END AS summary",
     summary=lambda: T.two_sentences(c("text")),
 )
-query("FUN17_question_mining")(lambda t: t.documents.select("doc_id", F.slice(F.filter(T.matches(c("text"), r"[^.!?\n]{10,199}\?"), lambda q: F.length(q) > 10), 1, 3).alias("questions")))
+query("FUN17_question_mining", r"SELECT doc_id, array_to_string(list_filter(regexp_extract_all(text, '[^.!?\n]{10,199}\?'), lambda q: length(q) > 10)[1:3], '|') AS questions FROM documents")(lambda t: t.documents.select("doc_id", F.array_join(F.slice(F.filter(T.matches(c("text"), r"[^.!?\n]{10,199}\?"), lambda q: F.length(q) > 10), 1, 3), "|").alias("questions")))
 Q18 = "concat(CASE doc_id % 5 WHEN 0 THEN 'as of 2024-03-0' || (doc_id % 9 + 1) WHEN 1 THEN 'see v' || (doc_id % 7) || '.' || (doc_id % 10) WHEN 2 THEN 'version ' || doc_id % 3 || '.4.1 of' WHEN 3 THEN 'version=' || doc_id || '.0' ELSE 'no number' END, ' ', left(text, 20))"
 query(
     "FUN18_query_version",
@@ -120,7 +120,11 @@ def variants(text):
     return F.slice(F.array_compact(F.array(text, F.when(~asks, F.concat(F.lit("explain "), text)), F.when(keep != "", keep), F.concat(text, F.lit("?")), F.concat(F.lit("what is "), text))), 1, 4)
 
 
-query("FUN21_query_variants")(lambda t: t.benchmark.select("item_id", variants(c("text")).alias("variants")))
+query(
+    "FUN21_query_variants",
+    r"""WITH k AS (SELECT item_id, text, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: length(w) > 2), ' ') AS keep FROM benchmark)
+    SELECT item_id, array_to_string(list_filter([text, CASE WHEN NOT regexp_matches(lower(text), '^(what|how|why|when|where|who|which)') THEN 'explain ' || text END, CASE WHEN keep <> '' THEN keep END, text || '?', 'what is ' || text], lambda x: x IS NOT NULL)[1:4], '|') AS variants FROM k""",
+)(lambda t: t.benchmark.select("item_id", F.array_join(variants(c("text")), "|").alias("variants")))
 SYL = r"list_sum(list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda w: greatest(1, len(regexp_extract_all(regexp_replace(lower(w), 'e$', ''), '[aeiouy]+')))))"
 GRADE = rf"""CASE WHEN len(regexp_extract_all(text, '[A-Za-z]+')) = 0 THEN 0.0::DOUBLE ELSE
     0.39::DOUBLE * (len(regexp_extract_all(text, '[A-Za-z]+'))::DOUBLE / greatest(1, len(regexp_extract_all(text, '[.!?]+')))) + 11.8::DOUBLE * ({SYL}::DOUBLE / len(regexp_extract_all(text, '[A-Za-z]+'))) - 15.59::DOUBLE END"""
@@ -289,7 +293,12 @@ query(
         "n_nationkey", department(c("k"), "general").alias("space"), department(c("k"), "").alias("project")
     )
 )
-query("FUN51_html_markdown")(lambda t: t.pages.select("page_id", T.html_markdown(c("html")).alias("markdown")))
+MARKDOWN = r"""regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<img[^>]*>', '', 'g')"""
+for level in range(1, 7):
+    MARKDOWN = rf"regexp_replace({MARKDOWN}, '(?is)<h{level}[^>]*>(.*?)</h{level}>', chr(10) || '{'#' * level} \1' || chr(10) || chr(10), 'g')"
+MARKDOWN = rf"""regexp_replace(regexp_replace({MARKDOWN}, '(?is)<li[^>]*>(.*?)</li>', '- \1' || chr(10), 'g'), '(?is)<a[^>]*href="([^"]*)"[^>]*>(.*?)</a>', '[\2](\1)', 'g')"""
+MARKDOWN = rf"trim(regexp_replace(regexp_replace(regexp_replace({MARKDOWN}, '(?is)</p>|<br\s*/?>', chr(10) || chr(10), 'g'), '<[^>]+>', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'))"
+query("FUN51_html_markdown", f"SELECT page_id, {MARKDOWN} AS markdown FROM pages")(lambda t: t.pages.select("page_id", T.html_markdown(c("html")).alias("markdown")))
 docs(
     "FUN35_rst_asciidoc",
     r"""sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^\.\. .*$', '', 'g'), ':[a-z]+:`([^`]*)`', '\1', 'g'), '(?m)^[=\-~^"''*+#]{3,}\s*$', '', 'g'), '``?([^`]*)``?', '\1', 'g'))) AS rst,

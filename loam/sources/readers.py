@@ -113,3 +113,10 @@ def images(df: DataFrame, html: str = "html") -> DataFrame:
     """src and alt of each image tag; recognising what an image shows needs a model and is left to a plug-in."""
     tags = df.withColumn("tag", F.explode(T.matches(c(html), r"(?is)<img[^>]*>")))
     return tags.withColumn("src", F.regexp_extract("tag", r"""(?i)src=["']([^"']*)["']""", 1)).withColumn("alt", F.regexp_extract("tag", r"""(?i)alt=["']([^"']*)["']""", 1)).drop("tag", html)
+
+
+def image_records(df: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key, images, captioned, coverage: images of each page, how many have a caption, and that share (0 without images)."""
+    tags = df.select(key, T.matches(c(html), r"(?is)<img[^>]*>").alias("tags"))
+    counted = tags.select(key, F.size("tags").alias("images"), F.size(F.filter("tags", lambda x: F.trim(F.regexp_extract(x, r"""(?is)\balt=["']([^"']*)["']""", 1)) != "")).alias("captioned"))
+    return counted.select(key, c("images").cast("long").alias("images"), c("captioned").cast("long").alias("captioned"), F.round(F.coalesce(F.try_divide("captioned", "images"), F.lit(0.0)), 6).alias("coverage"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -38,6 +39,31 @@ def routed(raw: DataFrame, known: tuple[str, ...] = ("confluence", "jira", "gitl
     return e.select("raw", "e.*", F.when(bad, "rejected").when(c("e.source").isin(*known), c("e.source")).otherwise("other").alias("route"))
 
 
+def hmac_hex(message: Column, key: bytes) -> Column:
+    """HMAC-SHA256 of a text from two hashes, inside the JVM."""
+    block = (key if len(key) <= 64 else hashlib.sha256(key).digest()).ljust(64, b"\0")
+    pad = lambda x: F.unhex(F.lit(bytes(b ^ x for b in block).hex()))
+    inner = F.unhex(F.sha2(F.concat(pad(0x36), F.encode(message, "utf-8")), 256))
+    return F.sha2(F.concat(pad(0x5C), inner), 256)
+
+
+def received(requests: DataFrame, key: bytes) -> DataFrame:
+    """requests (source, body, signature, ...) with computed, status, event_type and doc_id.
+
+    status: 401 where the signature header is missing or is not that of the
+    body, 422 where the body is no JSON, else 202. Event type and document come
+    from the body as each source words them; "unknown" where it has none.
+    """
+    computed = requests.withColumn("computed", hmac_hex(c("body"), key))
+    field = lambda *names: F.coalesce(*[F.get_json_object("body", f"$.{n}") for n in names])
+    signed = c("signature").startswith("sha256=") & (F.substring("signature", 8, 64) == c("computed"))
+    valid = F.try_parse_json("body").isNotNull()
+    kind = F.when(c("source") == "gitlab", field("object_kind", "event_name")).otherwise(field("event", "event_type"))
+    status = F.when(~F.coalesce(signed, F.lit(False)), 401).when(~valid, 422).otherwise(202)
+    known = computed.withColumn("status", status)
+    return known.withColumn("event_type", F.when(c("status") == 202, F.coalesce(kind, F.lit("unknown")))).withColumn("doc_id", F.when(c("status") == 202, F.coalesce(field("page.id", "object_attributes.id", "object_kind"), F.lit("unknown"))))
+
+
 def once(events: DataFrame, key: str = "event_id", late: str = "1 hour") -> DataFrame:
     """Events without redeliveries within the watermark."""
     return events.withColumn("ts", c("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark([key])

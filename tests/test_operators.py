@@ -184,9 +184,133 @@ def test_compression(spark):
     assert after < before and dropped > 0 and "42" in short
     assert compression.densest("") == ("", 0, 0, 0) and compression.densest("one two")[3] == 0
     assert compression.cost(compression.rarest(text, 30)) <= 40 and compression.rarest("short", 50) == "short"
-    df = spark.createDataFrame([("Cats sit. Dogs run. Birds fly. Cats eat fish.", "cats"), ("One.", "x")], "t string, q string")
-    out = df.select(compression.relevant_sentences(F.col("t"), F.col("q")).alias("a"), compression.top_sentences(F.col("t"), F.col("q"), 2).alias("b")).collect()
-    assert out[0].a == "Cats sit. Cats eat fish." and out[0].b == "Cats sit. Cats eat fish." and out[1].a == "One."
+    df = spark.createDataFrame([(1, "Cats sit. Dogs run. Birds fly. Cats eat fish.", ["cats"]), (2, "One.", ["x"]), (3, "A b. C d. E f. G h.", ["z"]), (4, "A. B. C. D.", []), (5, None, ["x"])], "k int, text string, q array<string>")
+    a = {r.k: r.short for r in compression.relevant_sentences(df, ["k"]).collect()}
+    assert a == {1: "Cats sit. Cats eat fish.", 2: "One.", 3: "A b. C d. E f.", 4: "A. B. C. D.", 5: ""}
+    b = {r.k: r.short for r in compression.top_sentences(df, ["k"], 2).collect()}
+    assert b[1] == "Cats sit. Cats eat fish." and b[2] == "One." and b[3] == "A b. C d."
+
+
+def test_density_follows_the_fixed_rule():
+    # all content words, no number: 0.5 + 0.35; a number adds 0.15; under four words half, over fifty four fifths
+    assert compression.density("engines burn fuel quickly") == pytest.approx(0.85)
+    assert compression.density("engines burn 12 litres") == pytest.approx(1.0)
+    assert compression.density("engines burn fuel") == pytest.approx(0.425)
+    assert compression.density("the engines of it burn") == pytest.approx(0.5 * 2 / 5 + 0.35)
+    assert compression.density(" ".join(f"w{'x' * i}" for i in range(60))) == pytest.approx(0.8 * 0.85)
+    lines = "alpha beta gamma delta\nit is as it was and so on it is\n" * 4
+    short, before, after, dropped = compression.densest(lines)
+    assert (short, before, after, dropped) == (" ".join(["alpha beta gamma delta"] * 4), 56, 16, 4)
+
+
+def packed_by_force(text, most, least, overlap):
+    """Paragraph packing that estimates every joined text anew."""
+    chunks = []
+    for head, body in chunking.markdown_sections(text):
+        held = head
+        for part in filter(None, map(str.strip, body.split("\n"))):
+            joined = f"{held}\n\n{part}" if held else part
+            if held and chunking.tokens(joined) > most:
+                chunks.append(held)
+                held = head + part
+            else:
+                held = joined
+        if held.strip():
+            chunks.append(held)
+    if overlap:
+        for i in range(1, len(chunks)):
+            chunks[i] = f"[previous context: ...{chunks[i - 1][-4 * overlap:]}]\n\n{chunks[i]}"
+    out = []
+    for x in chunks:
+        if out and chunking.tokens(out[-1]) + chunking.tokens(x) <= most and min(chunking.tokens(out[-1]), chunking.tokens(x)) < least:
+            out[-1] += "\n\n" + x
+        else:
+            out.append(x)
+    return out
+
+
+def test_packing_counts_add_up(spark):
+    import random
+
+    rng = random.Random(6)
+    parts = ["plain words here", "Привет мир", "日本語テキスト", "# One", "## Two more", "### Three", "", "  ", "x" * 90, "#### four"]
+    texts = ["\n".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most, least, overlap in ((20, 5, 0), (60, 30, 4)):
+        got = {}
+        for r in sorted(chunking.pack_markdown(df, most=most, least=least, overlap=overlap, split=r"\n").collect(), key=lambda r: (r.doc_id, r.position)):
+            got.setdefault(r.doc_id, []).append(r.chunk)
+            assert r.tokens == chunking.tokens(r.chunk)
+        for i, text in enumerate(texts):
+            assert got.get(i, []) == packed_by_force(text, most, least, overlap), i
+
+
+def test_every_chunk_of_a_section_has_its_heading():
+    text = "# Guide\n" + "\n\n".join(f"paragraph {i} " + "word " * 30 for i in range(9))
+    chunks = chunking.pack_parts(chunking.markdown_sections(text), 90, 5, 0, r"\n\s*\n")
+    assert len(chunks) > 3 and all(x[1].startswith("# Guide\n") for x in chunks)
+
+
+def test_entities_against_force(spark, sf):
+    import re
+
+    df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    word = r"[A-ZА-Я][A-Za-zА-Яа-я0-9_\-+]{2,}"
+    for r in df.select("text", T.entities(F.col("text")).alias("e")).collect():
+        runs = [x for x in re.findall(rf"\b{word}(?:\s+{word}){{0,3}}\b", r.text or "") if not re.fullmatch(r"[A-ZА-Я]{2,}", x)]
+        assert r.e == list(dict.fromkeys(runs + re.findall(r"\b(v?\d+\.\d+(?:\.\d+)?)\b", r.text or "")))[:10] or r.text is None
+
+
+def test_extracted_relations(spark):
+    df = spark.createDataFrame([(1, "Alpha met Beta."), (2, None)], "doc_id long, text string")
+    plain = graph.extracted(df, T.entities(F.col("text"))).collect()
+    assert sorted(r.source for r in plain) == ["Alpha", "Beta"] and {r.kind for r in plain} == {"entity"}
+    related = graph.extracted(df, T.entities(F.col("text")), lambda texts, names: [[("Alpha", "Beta", "MET"), ("Alpha", "Nobody", "MET")] if "Alpha" in x else [] for x in texts]).where("kind <> 'entity'").collect()
+    assert [(r.doc_id, r.source, r.target, r.kind) for r in related] == [(1, "Alpha", "Beta", "MET")]
+
+
+def test_running_sums_over_ranges(spark):
+    rows = [(i % 3 if i % 7 else None, i // 2, i, i % 5) for i in range(400)]
+    df = spark.createDataFrame(rows, "g int, x int, id int, v int")
+    got = {(r.g, r.id): (r.s, r.n) for r in analytics.running(df, ["g"], [F.desc("x"), F.col("id")], {"s": F.col("v"), "n": F.lit(1)}, parts=7).collect()}
+    last = {r.id: r.k for r in analytics.carried(df, ["g"], [F.desc("x"), F.col("id")], F.when(F.col("id") % 11 == 0, F.col("id")), "k", parts=7).collect()}
+    assert len(got) == len(last) == 400
+    for g in (0, 1, 2, None):
+        total = count = 0
+        seen = None
+        for _, x, i, v in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2])):
+            assert last[i] == seen
+            total, count = total + v, count + 1
+            seen = i if i % 11 == 0 else seen
+            assert got[g, i] == (total, count)
+
+
+def test_dense_search_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    matrix = np.array([r[1] for r in rows], np.float32).astype(np.float64)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(vectors, "CORPUS_BLOCK", 11)
+    monkeypatch.setattr(vectors, "PLACES", 3)
+    got = {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in vectors.dense_search(df.where("id % 5 = 0"), df, 4).collect()}
+    for q in range(0, 90, 5):
+        scores = np.round(matrix @ matrix[q], 6)
+        order = [i for i in np.lexsort((np.arange(90), -scores)) if i != q][:4]
+        assert [got[q, k + 1] for k in range(4)] == [(i, scores[i]) for i in order]
+    zero = spark.createDataFrame([(1, [0.0] * 8), (2, [1.0] * 8)], "id long, embedding array<float>")
+    assert {(r.query_id, r.doc_id, r.score) for r in vectors.cosine_search(zero, zero, 2).collect()} == {(1, 2, 0.0), (2, 1, 0.0)}
+    assert vectors.dense_search(df.limit(0), df, 3).count() == 0
+
+
+def test_welch_against_integration():
+    """The two-tailed p-value against the integral of Student's density."""
+    for t, df in ((0.5, 4.0), (2.1, 11.3), (3.7, 40.0)):
+        xs = np.linspace(t, t + 400, 4_000_001)
+        const = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
+        y = const * (1 + xs * xs / df) ** (-(df + 1) / 2)
+        tail = 2 * float(((y[1:] + y[:-1]) / 2).sum() * (xs[1] - xs[0]))
+        assert analytics.beta_share(df / 2, 0.5, df / (df + t * t)) == pytest.approx(tail, rel=1e-3, abs=1e-6)
 
 
 def test_text_functions(spark):
