@@ -28,6 +28,8 @@ PER_LONG = 64 // BITS
 SLACK = 0.22
 #: Pairs of a centre compared in one cell, and members of a bucket in one cell of the last comparison.
 GROUP, CELL = 256, 2048
+#: Places over which the members of a bucket are dealt where they meet something of the bucket.
+SALTS = 8
 #: Most further turns of stars, and pairs left for each member from which one is taken.
 TURNS, PATIENCE = 1, 64
 
@@ -136,6 +138,13 @@ def centre_copies(pairs: DataFrame, table: DataFrame) -> DataFrame:
     return named.withColumn("cell", F.explode(F.sequence(F.lit(0), cells(F.col("load")) - 1)))
 
 
+def by_bucket(members: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+    """members joined with a table of one row a key, or some; members of a large bucket are dealt over SALTS places."""
+    salted = members.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, ["key", "_salt"], how).drop("_salt")
+
+
 def star_pairs(members: DataFrame, turn: int) -> DataFrame:
     """(leaf, centre, load): each member of a bucket with the bucket's three centres of this turn.
 
@@ -148,7 +157,7 @@ def star_pairs(members: DataFrame, turn: int) -> DataFrame:
     centres = members.groupBy("key").agg(F.min(first).alias("x"), F.max(first).alias("y"), F.min(second).alias("z"), load_of(F.count("*")).alias("load"))
     met = [F.struct(F.col(f"{c}.node").alias("centre"), *([F.col(f"{c}.component").alias("other")] if "component" in members.columns else [])) for c in "xyz"]
     centres = centres.select("key", "load", F.explode(F.array_distinct(F.array(*met))).alias("met")).select("key", "load", "met.*")
-    pairs = members.join(centres, "key").where("component <> other" if "component" in members.columns else "node <> centre")
+    pairs = by_bucket(members, centres).where("component <> other" if "component" in members.columns else "node <> centre")
     return pairs.groupBy(F.col("node").alias("leaf"), "centre").agg(F.max("load").alias("load"))
 
 
@@ -167,7 +176,7 @@ def open_members(members: DataFrame, component: DataFrame) -> DataFrame:
     """key, node, component of the buckets that hold several components."""
     placed = with_component(members.select("key", "node"), component)
     apart = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    return placed.join(apart, "key", "left_semi")
+    return by_bucket(placed, apart, "left_semi")
 
 
 def cross_links(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, slack: float | None) -> DataFrame:
@@ -181,26 +190,25 @@ def cross_links(members: DataFrame, classes: DataFrame, sets: DataFrame, percent
     """
     sizes = members.groupBy("key").agg(F.count("*").alias("n"))
     cell = F.ceil(F.col("n") / CELL).cast("int")
-    placed = members.join(sizes, "key").select("key", "node", "component", cell.alias("cells"), F.pmod(F.xxhash64("node"), cell).cast("int").alias("own"))
-    placed = stored(placed.join(classes.select("node", "n_shingles", "packed"), "node"), "placed")
+    placed = by_bucket(members, sizes).select("key", "node", "component", cell.alias("cells"), F.pmod(F.xxhash64("node"), cell).cast("int").alias("own"))
+    placed = stored(placed.join(classes.select("node", "n_shingles", "packed", "bands"), "node"), "placed")
     every = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
 
     def sides(df: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
-        names = ["node", "component", "n_shingles", "packed", *more]
-        left = df.select("key", F.col("own").alias("row"), every.alias("column"), *[F.col(x).alias(f"{x}_a") for x in names])
-        return left, df.select("key", F.col("own").alias("column"), every.alias("row"), *[F.col(x).alias(f"{x}_b") for x in names])
+        names = ["node", "component", "packed", "bands", *more]
+        left = df.select("key", F.col("own").alias("row"), every.alias("column"), F.col("n_shingles").alias("n_a"), *[F.col(x).alias(f"{x}_a") for x in names])
+        right = df.select(F.col("key").alias("key_b"), F.col("own").alias("column_b"), every.alias("row_b"), F.col("n_shingles").alias("n_b"), *[F.col(x).alias(f"{x}_b") for x in names])
+        return left, right
 
-    renamed = lambda df, side: df.withColumnRenamed(f"n_shingles_{side}", f"n_{side}")
+    here = (F.col("key") == F.col("key_b")) & (F.col("row") == F.col("row_b")) & (F.col("column") == F.col("column_b"))
+    first = F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("key")
+    near = likely(percent, slack) & first
     left, right = sides(placed)
-    near = likely(percent, slack)
-    partners = renamed(left, "a").join(renamed(right, "b").withColumnsRenamed({"key": "key_b", "row": "row_b", "column": "column_b"}), (F.col("key") == F.col("key_b")) & (F.col("row") == F.col("row_b")) & (F.col("column") == F.col("column_b")) & (F.col("component_a") != F.col("component_b")) & near, "left_semi")
-    kept = partners.select("key", F.col("node_a").alias("node")).distinct()
-    full = placed.join(kept, ["key", "node"], "left_semi").join(classes.select("node", "bands"), "node").join(sets, "node")
-    left, right = sides(stored(full, "full"), "bands", "items")
+    kept = left.join(right, here & (F.col("component_a") != F.col("component_b")) & near, "left_semi").select("key", F.col("node_a").alias("node")).distinct()
+    left, right = sides(stored(placed.join(kept, ["key", "node"], "left_semi").join(sets, "node"), "full"), "items")
     common = F.size(F.array_intersect("items_a", "items_b"))
     linked = common * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
-    first = F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("key")
-    pairs = renamed(left, "a").join(renamed(right, "b"), ["key", "row", "column"]).where((F.col("component_a") < F.col("component_b")) & near & first & linked)
+    pairs = left.join(right, here & (F.col("component_a") < F.col("component_b")) & near & linked)
     return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
@@ -332,7 +340,7 @@ def judged(df: DataFrame, k: int, percent: int, text: str = "text", slack: float
     classes = stored(classes, "classes")
     every = classes.select("node", F.explode("bands").alias("key"))
     shared = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = stored(every.join(shared, "key", "left_semi"), "members")
+    members = stored(by_bucket(every, shared, "left_semi"), "members")
     wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("one.row", "node")
     texts = keyed.join(wanted, "row").select("node", F.col(text).alias("text"))
     sets = stored(map_texts(texts, lambda found: [[shingles(t, k).view(np.int64) for t in found]], "items array<long>", ("node",)).dropDuplicates(["node"]), "sets")
