@@ -299,8 +299,8 @@ def replaced(df: DataFrame, window: int = WINDOW) -> DataFrame:
 
     rest = [c for c in df.columns if c not in ("doc_id", "text")]
     packed = df.select(F.struct("doc_id", *rest).alias("doc_id"), "text")
-    done = parsed(packed, window, "changed boolean, text string", describe)
-    out = done.select("doc_id.*", "text", "changed")
+    done = parsed(packed, window, "__changed boolean, text string", describe)
+    out = done.select("doc_id.*", "text", "__changed")
     if "n_chars" in rest:
-        out = out.withColumn("n_chars", F.when(F.col("changed"), F.length("text").cast(df.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("__changed"), F.length("text").cast(df.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*df.columns)

@@ -328,6 +328,21 @@ def test_pipeline_stages(spark, sf):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "minhash_near_dedup", "substring_dedup", "secret_scan", "packing"]
 
 
+def test_pipeline_keeps_columns_of_any_name(spark, sf):
+    names = ("score", "kept", "row", "first", "component", "items", "changed", "node", "block", "start", "spans", "quality", "key")
+    schema = "doc_id long, text string, n_chars int, " + ", ".join(f"`{n}` string" for n in names)
+    shared, alone = " ".join(f"s{i}" for i in range(60)), " ".join(f"u{i}" for i in range(40))
+    rows = [(1, f"a b {shared} c"), (2, f"{shared} {alone} password=abcdef12"), (None, "null id"), (4, None)]
+    docs = spark.createDataFrame([(i, t, len(t or ""), *names) for i, t in rows], schema)
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        docs = corpus_pipeline.stored(stage(spark, docs, sf), name)
+        assert docs.schema.fieldNames() == ["doc_id", "text", "n_chars", *names] and docs.schema["n_chars"].dataType.simpleString() == "int"
+        assert all(r[n] == n for r in docs.collect() for n in names) and docs.count() == 4
+    assert {r.doc_id: r.text for r in docs.collect()} == {1: "a b c", 2: f"{alone} [SECRET]", None: "null id", 4: None}
+    assert corpus_pipeline.packed(spark, docs, sf).count() == 4
+    assert corpus_pipeline.quality(spark, docs, sf).columns == docs.columns
+
+
 def test_pipeline_of_odd_rows(spark, sf):
     rows = [(1, None, "en", "s", 0), (2, "", None, "s", 0), (3, "a few plain words stand here", "en", None, 28), (3, "a few plain words stand here", "en", None, 28)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
