@@ -91,6 +91,18 @@ def grounding(df: DataFrame, threshold: float = 0.25) -> DataFrame:
     return grounded_claims(df, threshold).groupBy("id").agg(F.count("*").alias("total"), F.count_if("supported").alias("supported")).withColumn("score", F.round(F.col("supported") / F.col("total"), 3))
 
 
+def novel_words(df: DataFrame) -> DataFrame:
+    """id and rate: share of an answer's words, repeated ones counted, that its context lacks; 0 without words.
+
+    Words of both sides meet on (id, word), so a long pair costs its length.
+    """
+    own = df.select("id", F.explode_outer(T.words(F.col("answer"))).alias("word")).groupBy("id", "word").agg(F.count("word").alias("n"))
+    known = df.select("id", F.explode(T.word_set(F.col("context"))).alias("word")).withColumn("known", F.lit(True))
+    met = own.join(known, ["id", "word"], "left")
+    share = F.try_divide(F.sum(F.when(F.col("known").isNull(), F.col("n")).otherwise(0)), F.sum("n"))
+    return met.groupBy("id").agg(F.round(F.coalesce(share, F.lit(0.0)), 6).alias("rate"))
+
+
 def calibrated(df: DataFrame) -> DataFrame:
     """threshold, f1: the score cutoff of best F1 over (score, label); observed scores beat midpoints, then the lower.
 

@@ -47,7 +47,11 @@ SECTIONS = rf"""WITH m AS (SELECT doc_id, {WHOLE_SQL} AS text FROM documents), p
 PARTS = r"string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
 query("CHK07_enriched_chunks", f"{SECTIONS} SELECT doc_id, position, 'Section: ' || heading || chr(10) || CASE WHEN len({PARTS}) <= 2 THEN text ELSE array_to_string(({PARTS})[1:2], ' ') || '...' END AS chunk FROM q")(lambda t: C.heading_sections(whole_marked(t)).select("doc_id", "position", F.concat_ws("\n", F.concat(F.lit("Section: "), c("heading")), T.two_sentences(c("content"))).alias("chunk")))
 query("CHK08_adaptive")(lambda t: C.adaptive_chunks(t.documents))
-query("CHK09_code_chunks")(lambda t: C.code_chunks(t.documents.select("doc_id", F.format_string("def f%s():\n    return %s\n\n\nclass C%s:\n    pass\n", c("doc_id"), c("n_chars"), c("doc_id")).alias("text")), "python"))
+query(
+    "CHK09_code_chunks",
+    """SELECT doc_id, 'function' AS kind, 'f' || doc_id AS name, 'def f' || doc_id || '():' || chr(10) || '    return ' || n_chars AS chunk FROM documents UNION ALL
+    SELECT doc_id, 'class', 'C' || doc_id, 'class C' || doc_id || ':' || chr(10) || '    pass' FROM documents""",
+)(lambda t: C.code_chunks(t.documents.select("doc_id", F.format_string("def f%s():\n    return %s\n\n\nclass C%s:\n    pass\n", c("doc_id"), c("n_chars"), c("doc_id")).alias("text")), "python"))
 query("CHK10_chapters", r"WITH d AS (SELECT doc_id, 'Chapter ' || doc_id || chr(10) || text || chr(10) || 'Section 2' || chr(10) || 'end' AS t FROM documents) SELECT doc_id, unnest(['Chapter ' || doc_id, 'Section 2']) AS title FROM d")(
     lambda t: t.documents.select("doc_id", F.explode(C.chapters(F.concat(F.lit("Chapter "), c("doc_id"), F.lit("\n"), "text", F.lit("\nSection 2\nend")))).alias("s")).select("doc_id", "s.title")
 )
@@ -123,8 +127,8 @@ def multimodal(t: Tables) -> DataFrame:
 # ---- graph: customers and the nation they belong to, suppliers likewise
 
 nodes = lambda t: t.customer.select((c("c_custkey") * 10).alias("id")).union(t.nation.select((c("n_nationkey") * 10 + 1).alias("id")))
-edges = lambda t: t.customer.where("c_custkey % 3 <> 0 or c_custkey % 2 = 0").select((c("c_custkey") * 10).alias("src"), (c("c_nationkey") * 10 + 1).alias("dst"), c("c_custkey").alias("w"))
-NODES = "n AS (SELECT c_custkey * 10 AS id FROM customer UNION ALL SELECT n_nationkey * 10 + 1 FROM nation), e AS (SELECT c_custkey * 10 AS src, c_nationkey * 10 + 1 AS dst, c_custkey AS w FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 2 = 0), b AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e))"
+edges = lambda t: t.customer.select((c("c_custkey") * 10).alias("src"), (c("c_nationkey") * 10 + 1).alias("dst"), c("c_custkey").alias("w"))
+NODES = "n AS (SELECT c_custkey * 10 AS id FROM customer UNION ALL SELECT n_nationkey * 10 + 1 FROM nation), e AS (SELECT c_custkey * 10 AS src, c_nationkey * 10 + 1 AS dst, c_custkey AS w FROM customer), b AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e))"
 query("GRF01_components", f"WITH {NODES} SELECT id, coalesce(least(id, CASE WHEN id % 10 = 1 THEN (SELECT min(src) FROM e WHERE dst = id) ELSE (SELECT least(min(f.src), min(f.dst)) FROM e f WHERE f.dst = (SELECT any_value(g.dst) FROM e g WHERE g.src = id)) END), id) AS component FROM n")(lambda t: G.components(nodes(t), edges(t)))
 query("GRF02_degrees", f"WITH {NODES} SELECT src AS id, count(*) AS degree FROM b GROUP BY 1")(lambda t: G.degrees(edges(t)))
 COMP = f"""WITH {NODES}, k AS (SELECT id, coalesce(least(id, CASE WHEN id % 10 = 1 THEN (SELECT min(src) FROM e WHERE dst = id) ELSE (SELECT least(min(f.src), min(f.dst)) FROM e f WHERE f.dst = (SELECT any_value(g.dst) FROM e g WHERE g.src = id)) END), id) AS community FROM n)"""

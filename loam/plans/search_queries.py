@@ -301,7 +301,7 @@ query(
     )
 )
 query("EVA23_novel_words", r"WITH p AS (SELECT a.doc_id AS id, regexp_extract_all(lower(a.text), '[\p{L}\p{N}_]+') AS a, " + W.format(x="b.text") + r" AS b FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1) SELECT id, round(coalesce(len(list_filter(a, lambda x: NOT list_contains(b, x))) / nullif(len(a), 0)::DOUBLE, 0), 6) AS rate FROM p")(
-    lambda t: t.documents.select(c("doc_id").alias("id"), T.words(c("text")).alias("a")).join(t.documents.select((c("doc_id") - 1).alias("id"), T.word_set(c("text")).alias("b")), "id").select("id", F.round(F.coalesce(F.try_divide(F.size(F.filter("a", lambda x: ~F.array_contains(c("b"), x))), F.size("a")), F.lit(0.0)), 6).alias("rate"))
+    lambda t: E.novel_words(t.documents.select(c("doc_id").alias("id"), c("text").alias("answer")).join(t.documents.select((c("doc_id") - 1).alias("id"), c("text").alias("context")), "id"))
 )
 query("EVA24_perplexity", "SELECT event_type, round(exp(-avg(-value / 100)), 6) AS perplexity FROM events GROUP BY 1")(lambda t: t.events.groupBy("event_type").agg(F.round(F.exp(-F.avg(-c("value") / 100)), 6).alias("perplexity")))
 query(

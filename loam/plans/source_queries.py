@@ -76,7 +76,13 @@ def chats(t: Tables) -> DataFrame:
 
 
 query("SRC10_chat_exports", "SELECT role, count(*) AS n, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY 1")(lambda t: R.conversations(chats(t)).groupBy("role").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")))
-query("SRC11_markup_docs")(lambda t: R.markup_sections(t.documents.select("doc_id", F.concat(F.lit("# T\n"), "text", F.lit("\n[a](b)")).alias("text")), F.lit("md")).drop("text"))
+query(
+    "SRC11_markup_docs",
+    r"""WITH m AS (SELECT doc_id, '# T' || chr(10) || text || chr(10) || '[a](b)' AS t FROM documents)
+    SELECT doc_id, len(regexp_extract_all(t, '(?m)^#{1,6}\s+\S'))::INT AS headings, len(regexp_extract_all(t, '(?s)```.*?```|----\n.*?\n----'))::INT AS code_blocks, array_to_string(regexp_extract_all(t, '\[[^\]]+\]\(([^)]+)\)|`[^`<]*<([^>]+)>`_', 1), ' ') AS links FROM m""",
+)(
+    lambda t: R.markup_sections(t.documents.select("doc_id", F.concat(F.lit("# T\n"), "text", F.lit("\n[a](b)")).alias("text")), F.lit("md")).select("doc_id", c("headings").cast("int").alias("headings"), F.size("code_blocks").alias("code_blocks"), F.array_join("links", " ").alias("links"))
+)
 query("SRC13_images", "SELECT page_id, '/i' || page_id || '.png' AS src, 'x' AS alt FROM pages")(lambda t: R.images(t.pages.select("page_id", F.format_string('<p><img src="/i%s.png" alt="x"></p>', "page_id").alias("html"))))
 
 
@@ -178,4 +184,4 @@ def training(t: Tables) -> DataFrame:
     return out
 
 
-query("UDF06_batch_embedder")(lambda t: embedded(t.benchmark.select("item_id", "text"), lambda texts: [[float(len(x)), float(x.count(" "))] for x in texts]).select("item_id", "embedding"))
+query("UDF06_batch_embedder", "SELECT item_id, length(text)::DOUBLE AS chars, len(regexp_extract_all(text, ' '))::DOUBLE AS spaces FROM benchmark")(lambda t: embedded(t.benchmark.select("item_id", "text"), lambda texts: [[float(len(x)), float(x.count(" "))] for x in texts]).select("item_id", c("embedding")[0].cast("double").alias("chars"), c("embedding")[1].cast("double").alias("spaces")))

@@ -192,7 +192,11 @@ def registered(t: Tables) -> DataFrame:
     return t.benchmark.selectExpr("item_id", "text_length(text) AS n")
 
 
-query("UDF04_plugged_summary")(lambda t: chunking.raptor(t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")), levels=3, summary=T.two_sentences).groupBy("level").agg(F.count("*").alias("n")))
+LEVELS = "WITH l AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) FROM documents) GROUP BY 1), k AS (SELECT n AS a, ceil(n / 5.0) AS b, ceil(ceil(n / 5.0) / 5.0) AS c, ceil(ceil(ceil(n / 5.0) / 5.0) / 5.0) AS d FROM l)"
+query(
+    "UDF04_plugged_summary",
+    f"""{LEVELS} SELECT * FROM (SELECT 0 AS level, sum(a)::BIGINT AS n FROM k UNION ALL SELECT 1, sum(b)::BIGINT FROM k WHERE a > 1 UNION ALL SELECT 2, sum(c)::BIGINT FROM k WHERE b > 1 UNION ALL SELECT 3, sum(d)::BIGINT FROM k WHERE c > 1) WHERE n > 0""",
+)(lambda t: chunking.raptor(t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")), levels=3, summary=T.two_sentences).groupBy("level").agg(F.count("*").alias("n")))
 query("UDF05_plugged_search")(lambda t: plugins.chained(lambda q: dense(t, 20), lambda hits: R.knee(hits))(t.embeddings).select("query_id", "doc_id", "score"))
 IMAGES = "html || repeat('<img src=\"/a.png\" alt=\"a plain caption of it\">', (page_id % 4)::INT) || repeat('<img src=\"/b.png\" alt=\"\">', (page_id % 3)::INT)"
 query("SRC32_image_records", "SELECT page_id, page_id % 4 + page_id % 3 AS images, page_id % 4 AS captioned, round(CASE WHEN page_id % 4 + page_id % 3 > 0 THEN (page_id % 4) / (page_id % 4 + page_id % 3)::DOUBLE ELSE 0 END, 6) AS coverage FROM pages WHERE NOT contains(lower(html), '<img')")(

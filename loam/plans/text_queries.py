@@ -139,8 +139,8 @@ COMPLEXITY = f"""greatest(1, least(10, CASE WHEN len({PIECES}) <= 2 THEN 1 WHEN
     {boosts(T.COMPLEX, 1)} {boosts(T.SIMPLE, -1)}
     + CASE WHEN len(regexp_extract_all(text, '\\?')) > 1 THEN 2 WHEN len(regexp_extract_all(text, '\\?')) = 1 AND len({PIECES}) > 8 THEN 1 ELSE 0 END
     + CASE WHEN ({GRADE}) > 12 THEN 2 WHEN ({GRADE}) > 8 THEN 1 ELSE 0 END))::BIGINT"""
-query("FUN23_complexity", f"SELECT item_id, {COMPLEXITY} AS score FROM (SELECT item_id, left(text, item_id * 7 % 90 + 5) AS text FROM benchmark)")(
-    lambda t: t.benchmark.selectExpr("item_id", "left(text, cast(item_id * 7 % 90 + 5 as int)) text").select("item_id", T.complexity(c("text")).cast("long").alias("score"))
+query("FUN23_complexity", f"SELECT item_id, {COMPLEXITY} AS score FROM benchmark")(
+    lambda t: t.benchmark.select("item_id", T.complexity(c("text")).cast("long").alias("score"))
 )
 PLAIN = f"""greatest(1, least(10, CASE WHEN len({PIECES}) <= 3 THEN 1 WHEN len({PIECES}) <= 6 THEN 3 WHEN len({PIECES}) <= 12 THEN 5 WHEN len({PIECES}) <= 20 THEN 7 ELSE 9 END
     + least(3, {' + '.join(f"contains(lower(text), '{w}')::INT" for w in T.COMPARISONS)})
@@ -182,8 +182,8 @@ query("FUN36_html_links", """SELECT page_id, link, link LIKE 'http%' AS external
 )
 docs(
     "FUN37_context_prefix",
-    "'Document: doc' || doc_id || ' | Source: ' || source || chr(10) || chr(10) || left(text, 40) AS text",
-    text=lambda: F.concat(F.concat_ws(" | ", F.concat(F.lit("Document: doc"), c("doc_id")), F.concat(F.lit("Source: "), c("source"))), F.lit("\n\n"), F.substring("text", 1, 40)),
+    "'Document: doc' || doc_id || ' | Source: ' || source || chr(10) || chr(10) || text AS text",
+    text=lambda: F.concat(F.concat_ws(" | ", F.concat(F.lit("Document: doc"), c("doc_id")), F.concat(F.lit("Source: "), c("source"))), F.lit("\n\n"), "text"),
 )
 docs(
     "FUN38_chunk_header",

@@ -14,7 +14,11 @@ ROOT = Path(__file__).resolve().parent.parent
 
 
 def build_session(master: str = "local[*]", partitions: int = 8, memory: str = "8g", **more: str) -> SparkSession:
-    """A session for tests and benchmarks; on a cluster the submitter's own settings hold."""
+    """A session for tests and benchmarks; on a cluster the submitter's own settings hold.
+
+    On one machine, intermediate tables go to a temporary folder unless
+    spark.checkpoint.dir names another place.
+    """
     settings = {
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.adaptive.enabled": "true",
@@ -23,6 +27,8 @@ def build_session(master: str = "local[*]", partitions: int = 8, memory: str = "
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     } | more
+    if master.startswith("local"):
+        settings.setdefault("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='loam-shared-')}")
     return SparkSession.builder.master(master).config(map=settings).getOrCreate()
 
 
