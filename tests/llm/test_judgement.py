@@ -339,7 +339,7 @@ def test_pipeline_keeps_columns_of_any_name(spark, sf):
         assert docs.schema.fieldNames() == ["doc_id", "text", "n_chars", *names] and docs.schema["n_chars"].dataType.simpleString() == "int"
         assert all(r[n] == n for r in docs.collect() for n in names) and docs.count() == 4
     assert {r.doc_id: r.text for r in docs.collect()} == {1: "a b c", 2: f"{alone} [SECRET]", None: "null id", 4: None}
-    assert corpus_pipeline.packed(spark, docs, sf).count() == 4
+    assert corpus_pipeline.packed(spark, docs, sf).select("doc_id").distinct().count() == 4
     assert corpus_pipeline.quality(spark, docs, sf).columns == docs.columns
 
 
