@@ -21,14 +21,39 @@ def query_metrics(retrieved: DataFrame, relevant: DataFrame, ks: tuple[int, ...]
     A query without relevant items has recall and ndcg 1 and no rr; without
     retrieved items precision 0. One aggregation over one join.
     """
-    marked = retrieved.join(relevant.select("query_id", "doc_id").distinct().withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left")
-    hit = F.col("hit").isNotNull()
+    marked = retrieved.join(relevant.select("query_id", "doc_id").distinct().withColumn("hit", F.lit(True)), ["query_id", "doc_id"], "left")
+    sizes = relevant.groupBy("query_id").agg(F.countDistinct("doc_id").alias("n"))
+    return marked_metrics(marked.withColumn("hit", F.coalesce("hit", F.lit(False))), sizes, ks)
+
+
+def class_hits(retrieved: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """retrieved with hit: whether the row has the label of its query. Labels are looked up, relevant pairs never listed."""
+    wanted = queries.select(F.col("id").alias("query_id"), F.col("label").alias("_wanted"))
+    held = corpus.select(F.col("id").alias("doc_id"), F.col("label").alias("_label"))
+    met = retrieved.join(held, "doc_id", "left").join(wanted, "query_id", "left")
+    return met.withColumn("hit", F.coalesce(F.col("_wanted") == F.col("_label"), F.lit(False))).drop("_wanted", "_label")
+
+
+def class_metrics(retrieved: DataFrame, queries: DataFrame, corpus: DataFrame, ks: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
+    """query_metrics where the rows of corpus (id, label) with a query's label are relevant, but for the query itself.
+
+    How many there are comes from one count a label, so a common label costs no more than a rare one.
+    """
+    counts = corpus.groupBy("label").agg(F.count("*").alias("_same"))
+    own = corpus.select("id", F.lit(1).alias("_own"))
+    sizes = queries.join(counts, "label", "left").join(own, "id", "left")
+    sizes = sizes.select(F.col("id").alias("query_id"), (F.coalesce("_same", F.lit(0)) - F.coalesce("_own", F.lit(0))).alias("n"))
+    return marked_metrics(class_hits(retrieved, queries, corpus), sizes, ks)
+
+
+def marked_metrics(marked: DataFrame, sizes: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """Metrics of each query from retrieved rows (query_id, rank, hit) and its number n of relevant items."""
+    hit = F.col("hit")
     aggs = [F.min(F.when(hit, F.col("rank"))).alias("first")]
     for k in ks:
         near = hit & (F.col("rank") <= k)
         aggs += [F.count_if(near).alias(f"hits_{k}"), F.sum(F.when(near, 1 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias(f"dcg_{k}")]
     found = marked.groupBy("query_id").agg(*aggs)
-    sizes = relevant.groupBy("query_id").agg(F.countDistinct("doc_id").alias("n"))
     both = found.join(sizes, "query_id", "full").fillna(0, ["n", *[f"hits_{k}" for k in ks]]).fillna(0.0, [f"dcg_{k}" for k in ks])
     none = F.col("n") == 0
     out = [F.when(~none, F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("rr")]

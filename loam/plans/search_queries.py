@@ -181,13 +181,9 @@ query("SET03_new_only_union", f"{LISTS} SELECT query_id, doc_id, 'first' AS orig
 # ---- metrics
 
 
-def relevant(t: Tables) -> DataFrame:
-    v = vectors(t)
-    return v.where(c("id") % 20 == 0).select(c("id").alias("query_id"), "label").join(v.select(c("id").alias("doc_id"), "label"), "label").where("query_id <> doc_id").select("query_id", "doc_id")
-
-
 def metrics(t: Tables) -> DataFrame:
-    return E.query_metrics(dense(t, 20), relevant(t))
+    v = vectors(t)
+    return E.class_metrics(dense(t, 20), v.where(c("id") % 20 == 0), v)
 
 
 idcg = lambda k: f"(SELECT sum(1 / log2(i + 1)) FROM range(1, least(n, {k}) + 1) AS u(i))"
@@ -328,4 +324,5 @@ query("EVA28_split", "SELECT vec_id, CASE WHEN vec_id % 10 < 8 THEN 'train' WHEN
 def entry_retrieval(t: Tables) -> DataFrame:
     """Dense search, score levels, knee pruning, and how many kept hits are relevant."""
     kept = R.knee(R.threshold(shifted(t)))
-    return kept.join(relevant(t).withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left").groupBy("query_id").agg(F.count("*").alias("kept"), F.count("hit").alias("relevant"))
+    v = vectors(t)
+    return E.class_hits(kept, v.where(c("id") % 20 == 0), v).groupBy("query_id").agg(F.count("*").alias("kept"), F.count_if("hit").alias("relevant"))
