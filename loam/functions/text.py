@@ -362,8 +362,10 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def support(claim: Column, context: Column) -> Column:
-    """Half cosine, half containment of a claim's words in a context's."""
-    return set_cosine(claim, context) * 0.5 + containment(claim, context) * 0.5
+    """Half cosine, half containment of a claim's words in a context's; 0 where either has none. The overlap is counted once."""
+    none = (F.size(claim) == 0) | (F.size(context) == 0)
+    shared = lambda k: k / F.sqrt(F.size(claim).cast("double") * F.size(context)) * 0.5 + k / F.size(claim) * 0.5
+    return F.when(none, 0.0).otherwise(once(overlap(context, claim), shared))
 
 
 # ---- queries and versions

@@ -51,12 +51,13 @@ def chapters(text: Column) -> Column:
     return F.when(F.size(parts) > 0, made).otherwise(F.array(F.struct(F.lit("").alias("title"), text.alias("content"))))
 
 
-CYRILLIC, LATIN, CJK = (re.compile(p) for p in ("[\u0400-\u052f]", "[A-Za-z\u00c0-\u024f]", "[\u4e00-\u9fff\u3040-\u30ff\uac00-\ud7af]"))
+CYRILLIC, LATIN, CJK = (re.compile(p) for p in ("[\u0400-\u052f]+", "[A-Za-z\u00c0-\u024f]+", "[\u4e00-\u9fff\u3040-\u30ff\uac00-\ud7af]+"))
 
 
 def script_counts(text: str) -> tuple[int, int, int, int]:
     """Cyrillic, Latin, CJK and other characters; counts of joined texts add up."""
-    a, b, c = (len(p.findall(text)) for p in (CYRILLIC, LATIN, CJK))
+    of = lambda p: sum(map(len, p.findall(text)))
+    a, b, c = (0, of(LATIN), 0) if text.isascii() else (of(CYRILLIC), of(LATIN), of(CJK))
     return a, b, c, len(text) - a - b - c
 
 

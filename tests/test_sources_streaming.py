@@ -3,6 +3,7 @@
 import json
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from loam.sources import readers, sinks
@@ -102,3 +103,52 @@ def test_sessions(spark):
     start = datetime(2024, 1, 1)
     df = spark.createDataFrame([(1, start), (1, start + timedelta(minutes=29)), (1, start + timedelta(minutes=70)), (2, start)], "user_id long, ts timestamp")
     assert sorted((r.user_id, r.n) for r in pipelines.sessions(df).select("user_id", F.col("n")).collect()) == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_shared_tables_need_a_shared_place(spark):
+    """On a cluster a folder of one machine is refused; a stored table can be read until it is discarded."""
+    from types import SimpleNamespace
+
+    from loam import session
+
+    def cluster(base, checkpoint=None):
+        values = {"spark.checkpoint.dir": checkpoint, "spark.sql.warehouse.dir": base}
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: values.get(k) or d), sparkContext=SimpleNamespace(master="spark://host:7077"), _jvm=spark._jvm, _jsc=spark._jsc)
+
+    for base in ("file:/tmp/x", "/tmp/x"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            session.shared_dir(cluster(base), "t")
+    assert session.shared_dir(cluster("/tmp/x", "file:///tmp/shared-of-all"), "t").startswith("file:///tmp/shared-of-all/loam-t-")
+    kept = session.stored(spark.range(5), "t")
+    assert kept.count() == 5
+    session.discard(kept)
+    with pytest.raises(Exception, match="(?i)does not exist|FILE_NOT_EXIST|FileNotFound"):
+        kept.count()
+
+
+def test_webhooks(spark):
+    import hashlib
+    import hmac
+
+    from loam.streaming import pipelines
+
+    body = '{"object_kind": "push", "object_attributes": {"id": 7}}'
+    good = "sha256=" + hmac.new(b"k" * 70, body.encode(), hashlib.sha256).hexdigest()
+    rows = [("gitlab", body, good), ("gitlab", body, good[:-1] + "x"), ("gitlab", body, None), ("confluence", body, good), ("gitlab", body, good.removeprefix("sha256="))]
+    out = pipelines.received(spark.createDataFrame(rows, "source string, body string, signature string"), b"k" * 70).collect()
+    assert [(r.status, r.event_type, r.doc_id) for r in out] == [(202, "push", "7"), (401, None, None), (401, None, None), (202, "unknown", "7"), (401, None, None)]
+
+
+def test_audit_rows(spark, tmp_path):
+    from loam.sources import readers, sinks
+
+    c = F.col
+    df = spark.createDataFrame([("2024-01-01", "u", "q" * 300, "short", "a long secret value of it", [0.25, 0.5], 0.4)], "ts string, u string, q string, old string, new string, s array<double>, p double")
+    [row] = sinks.audit_config(df, c("ts"), c("u"), F.lit("k"), c("old"), c("new")).collect()
+    assert row.details == {"config_key": "k", "old_value": "***", "new_value": "a lo***f it"} and row.hash == "n/a" and row.status == "success"
+    path = f"{tmp_path}/log"
+    sinks.append_log(sinks.audit_trace(df, c("ts"), c("u"), c("q"), F.lit(2), c("s"), F.lit(500), c("p"), F.lit(1.234)), path)
+    sinks.append_log(sinks.audit_query(df, c("ts"), c("u"), c("q"), c("new"), F.lit(1), F.lit(2.0), F.lit(9)), path)
+    trace, query = readers.log(spark, path).orderBy(F.desc("type")).collect()
+    assert trace.status == "low_confidence" and trace.duration_ms == 1.23 and trace.details["rerank_avg"] == "0.375" and trace.details["estimated_prompt_tokens"] == "425"
+    assert len(query.details["query_preview"]) == 200 and query.tokens_used == 9 and len(query.hash) == 16
