@@ -169,7 +169,10 @@ whole = lambda t: t.documents.select(c("doc_id").alias("id"), F.lower("text").al
 @query(
     "EVA21_bleu",
     r"""WITH p AS (SELECT a.doc_id AS id, list_filter(regexp_split_to_array(lower(a.text), '\s+'), lambda x: x <> '') AS h, list_filter(regexp_split_to_array(lower(b.text), '\s+'), lambda x: x <> '') AS r FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),
-    k AS (SELECT unnest([1, 2, 3, 4]) AS n), g AS (SELECT id, n, unnest(list_transform(range(1, greatest(1, len(h) - n + 2)), lambda i: array_to_string(h[i:i + n - 1], ' '))) AS g, 'h' AS s FROM p, k UNION ALL SELECT id, n, unnest(list_transform(range(1, greatest(1, len(r) - n + 2)), lambda i: array_to_string(r[i:i + n - 1], ' '))), 'r' FROM p, k),
+    w AS (SELECT id, 'h' AS s, unnest(h) AS a, generate_subscripts(h, 1) AS i FROM p UNION ALL SELECT id, 'r', unnest(r), generate_subscripts(r, 1) FROM p),
+    v AS (SELECT *, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c, lead(a, 3) OVER o AS d FROM w WINDOW o AS (PARTITION BY id, s ORDER BY i)),
+    g AS (SELECT id, s, 1 AS n, a AS g FROM v UNION ALL SELECT id, s, 2, a || ' ' || b FROM v WHERE b IS NOT NULL UNION ALL
+        SELECT id, s, 3, a || ' ' || b || ' ' || c FROM v WHERE c IS NOT NULL UNION ALL SELECT id, s, 4, a || ' ' || b || ' ' || c || ' ' || d FROM v WHERE d IS NOT NULL),
     c AS (SELECT id, n, g, count(*) FILTER (s = 'h') AS ch, count(*) FILTER (s = 'r') AS cr FROM g GROUP BY ALL), m AS (SELECT id, n, sum(least(ch, cr)) AS hit, greatest(1, sum(ch)) AS total FROM c GROUP BY ALL),
     q AS (SELECT n, sum(hit) / sum(total)::DOUBLE AS p FROM m GROUP BY 1), l AS (SELECT least(1.0::DOUBLE, sum(len(h)) / sum(len(r))::DOUBLE) AS brevity FROM p)
     SELECT round((SELECT brevity FROM l) * exp(sum(ln(greatest(p, 1e-10::DOUBLE))) / 4), 6) AS bleu FROM q""",
