@@ -8,7 +8,7 @@ from collections import Counter
 import public_tokenizers
 import pytest
 
-from loam.llm import fm, katz, minhash, packing, rlz, rules, secrets, tokenizing, transport
+from loam.llm import fm, katz, lines, minhash, packing, rlz, rules, secrets, tokenizing, transport
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,6 +31,7 @@ OPERATORS = {
     "op8": lambda df: katz.katz_scores(df),
     "op9": lambda df: rlz.kept_words(df),
     "op10": lambda df: fm.quality_scores(df, some_labels(df.sparkSession)),
+    "op11": lambda df: lines.kept_lines(df),
 }
 
 
