@@ -17,7 +17,7 @@ from ..session import discard, ship_code, stored
 #: Characters of text handled at once inside a Python worker; bounds its lists of words.
 SLICE_CHARS = 2_000_000
 
-__all__ = ["as_bytes", "conversations", "discard", "documents", "embeddings", "hold", "id_bucket", "joined_by_weight", "labels", "map_texts", "memory", "release", "slices", "stored"]
+__all__ = ["as_bytes", "beside_texts", "conversations", "discard", "documents", "embeddings", "hold", "id_bucket", "joined_by_weight", "labels", "map_texts", "memory", "quoted", "release", "slices", "stored"]
 
 #: Word memories by operator; a worker keeps those of one operator at a time.
 _memories: dict[str, list[dict]] = {}
@@ -102,28 +102,36 @@ def map_texts(
     The result has the columns of keep, untouched, then those of outputs (a DDL
     string).
     """
-    ship_code(df.sparkSession)
-    source = df.select(*keep, F.col(text).alias("__text"))
-    kept = source.select(*keep).schema
-    produced = StructType.fromDDL(outputs)
-    schema = StructType([*kept.fields, *produced.fields])
+    done = beside_texts(df, fn, outputs, keep, text)
+    return done.select(*[F.col("kept").getField(c).alias(c) for c in keep], *done.columns[1:])
+
 
+def beside_texts(df: DataFrame, fn: Callable[[list[str]], list[list]], outputs: str, keep: tuple[str, ...], text: str = "text") -> DataFrame:
+    """map_texts with the columns of keep in one struct, kept, so that columns of any name travel beside the outputs."""
+    ship_code(df.sparkSession)
+    kept = F.struct(*[F.col(quoted(c)) for c in keep] or [F.lit(0).alias("nothing")]).alias("kept")
+    source = df.select(kept, F.col(quoted(text)).alias("text"))
+    schema = StructType([source.schema["kept"], *StructType.fromDDL(outputs).fields])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if t is not None else "" for t in batch.column(len(keep)).to_pylist()]
+            texts = [t if t is not None else "" for t in batch.column(1).to_pylist()]
             for part in slices(texts):
-                n = part.stop - part.start
-                columns = [batch.column(i).slice(part.start, n).cast(arrow.field(i).type) for i in range(len(keep))]
+                own = batch.column(0).slice(part.start, part.stop - part.start)
                 made = fn(texts[part])
-                columns += [pa.array(c, type=arrow.field(len(keep) + i).type) for i, c in enumerate(made)]
+                columns = [own.cast(arrow.field(0).type), *(pa.array(c, type=arrow.field(i + 1).type) for i, c in enumerate(made))]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
             release()
 
     return source.mapInArrow(run, schema)
 
 
+def quoted(name: str) -> str:
+    """A column's name as col() takes it whatever it holds."""
+    return f"`{name.replace('`', '``')}`"
+
+
 def joined_by_weight(rows: DataFrame, table: DataFrame, key: list[str], weight: str, share: int = 1000) -> DataFrame:
     """rows with the other columns of table, which has one row per key and, as weight, how many rows have it.
 

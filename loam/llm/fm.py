@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hold, id_bucket, map_texts, memory
+from .common import beside_texts, hold, id_bucket, map_texts, memory
 
 #: Buckets of hashed words, steps of each structure statistic, and width of the factors.
 WORD_BUCKETS, STEPS, FACTORS = 1 << 14, 32, 8
@@ -155,10 +155,10 @@ def train(df: DataFrame, labelled: DataFrame, sample: int = SAMPLE, text: str =
 
     def run(texts: list[str]) -> list[list]:
         made = [features(t) for t in texts]
-        return [[a.astype("<u2").tobytes() for a, _ in made], [x.astype("<f2").tobytes() for _, x in made]]
+        return [[a.astype("<u2").tobytes() for a, _ in made], [x.astype("<f4").tobytes() for _, x in made]]
 
     got = sorted(map_texts(rows, run, "at binary, x binary", ("doc_id",), text).collect())
-    pairs = [(np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["x"], "<f2").astype(np.float64)) for r in got]
+    pairs = [(np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["x"], "<f4").astype(np.float64)) for r in got]
     return fit(pairs, np.array([wanted[r["doc_id"]] for r in got], dtype=float))
 
 
@@ -168,6 +168,13 @@ def classify(df: DataFrame, machine: Machine, keep: tuple[str, ...] = ("doc_id",
     return map_texts(df, lambda texts: [list(map(shared.value.score, texts))], f"{out} double", keep, text)
 
 
+def accepted(df: DataFrame, machine: Machine, threshold: float = 0.7, text: str = "text") -> DataFrame:
+    """The rows of df whose text scores threshold or more, with all their columns, whatever their names."""
+    shared = df.sparkSession.sparkContext.broadcast(machine)
+    scored = beside_texts(df, lambda texts: [list(map(shared.value.score, texts))], "score double", tuple(df.columns), text)
+    return scored.where(F.col("score") >= threshold).select(*[F.col("kept").getField(c).alias(c) for c in df.columns])
+
+
 def quality_scores(df: DataFrame, labelled: DataFrame, threshold: float = 0.7, text: str = "text") -> DataFrame:
     """Fit on labelled rows and score every row: doc_id, held_out, score, predicted.
 

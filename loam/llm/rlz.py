@@ -29,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .blocks import BLOCK_CHARS, block_count, cut, expanded, grams, mixed, part_count, scattered, sliding, squeezed, unpacked, word_hashes, words_of
-from .common import release, stored
+from .common import quoted, release, stored
 
 WINDOW, GRAM = 35, 12
 BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -297,10 +297,10 @@ def replaced(df: DataFrame, window: int = WINDOW) -> DataFrame:
         changed = gone is not None
         return changed, b" ".join(compress(x.words[x.starts[i] : x.starts[i + 1]], ~gone)).decode("utf-8", "replace") if changed else text
 
-    rest = [c for c in df.columns if c not in ("doc_id", "text")]
-    packed = df.select(F.struct("doc_id", *rest).alias("doc_id"), "text")
-    done = parsed(packed, window, "__changed boolean, text string", describe)
-    out = done.select("doc_id.*", "text", "__changed")
+    rest = [c for c in df.columns if c != "text"]
+    packed = df.select(F.struct(*[F.col(quoted(c)) for c in rest]).alias("doc_id"), "text")
+    done = parsed(packed, window, "changed boolean, text string", describe)
+    new = {c: F.col("doc_id").getField(c) for c in rest} | {"text": F.col("text")}
     if "n_chars" in rest:
-        out = out.withColumn("n_chars", F.when(F.col("__changed"), F.length("text").cast(df.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*df.columns)
+        new["n_chars"] = F.when(F.col("changed"), F.length("text").cast(df.schema["n_chars"].dataType)).otherwise(new["n_chars"])
+    return done.select(*[new[c].alias(c) for c in df.columns])

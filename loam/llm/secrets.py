@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from functools import lru_cache
 
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import beside_texts, map_texts
 
 #: The base patterns and the least length of what they must hold.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -39,9 +40,13 @@ KEY_END = "-----END"
 KEY_TAIL = re.compile(r"(?:\s|\\[rn])([A-Za-z0-9+/=]{1,15})(?:\s|\\[rn])*\Z")
 #: Characters before and after a candidate that prime the compressor.
 AROUND = 512
-#: Compressed bytes that a candidate adds, per character, from which it is reported: random letters and digits
-#: add 0.8 to 1, strings of known words and counting ones under 0.68.
-NOVEL = 0.68
+#: Compressed bytes that a candidate adds, per character, from which it is reported: random strings of any alphabet
+#: add 0.81 to 1, strings of known words and counting ones under 0.8.
+NOVEL = 0.8
+#: Even bytes before the surroundings, so that no letter is cheaper for being frequent there: what is left is what
+#: repeats. Without them a random letter of 16 would cost half a byte as soon as the text holds more of its kind.
+#: They stand there twice, for a compressor stores what gains too little as it is.
+EVEN = b"".join(hashlib.sha256(b"%d" % i).digest() for i in range(64)) * 2
 
 #: Words of code and identifiers that a compressor should know beforehand, one list of fixed values.
 IDENTIFIERS = """
@@ -99,11 +104,12 @@ def compressor() -> zstandard.ZstdCompressor:
 def novelty(candidate: str, before: str, after: str) -> float:
     """Compressed bytes that candidate adds to its surroundings, per character.
 
-    The surroundings alone are compressed first, then with the candidate behind
-    them, so that anything repeated there costs next to nothing.
+    The surroundings alone are compressed first, behind EVEN, then with the
+    candidate behind them, so that anything repeated there costs next to nothing
+    and a character that is not costs a byte, whatever the alphabet.
     """
     c = compressor()
-    around = (after + "\n" + before).encode("utf-8", "replace")
+    around = EVEN + (after + "\n" + before).encode("utf-8", "replace")
     return (len(c.compress(around + candidate.encode())) - len(c.compress(around))) / max(1, len(candidate))
 
 
@@ -135,18 +141,20 @@ def key_blocks(text: str) -> list[tuple[int, int]]:
     return found
 
 
-def without_copies(text: str, word: str, start: int, end: int, places: list[tuple[int, int]], at: int, step: int) -> str:
-    """text[start:end] without the candidates there that share 16 characters with word.
+def mixed(word: str) -> bool:
+    """Whether it has a digit and a letter, as keys do."""
+    return any(c.isdigit() for c in word) and any(c.isalpha() for c in word)
+
+
+def without_others(text: str, start: int, end: int, places: list[tuple[int, int]], at: int, step: int) -> str:
+    """text[start:end] without the other candidates there: copies of a key, or more keys, tell nothing of it.
 
     places are all candidates of text; those from number at on, in direction
     step, are looked at until one lies outside.
     """
-    parts = {word[i : i + 16] for i in range(len(word) - 15)}
     cuts = []
     while 0 <= at < len(places) and places[at][0] < end and places[at][1] > start:
-        a, b = places[at]
-        if any(text[i : i + 16] in parts for i in range(a, b - 15)):
-            cuts.append((max(a, start), min(b, end)))
+        cuts.append((max(places[at][0], start), min(places[at][1], end)))
         at += step
     out, last = [], start
     for a, b in sorted(cuts):
@@ -158,10 +166,12 @@ def without_copies(text: str, word: str, start: int, end: int, places: list[tupl
 @dataclass(frozen=True)
 class Novelty:
     """least: bytes per character from which a candidate is reported; reach: characters before it in which a
-    sensitive word must stand; around: characters on each side that prime the compressor."""
+    sensitive word makes it one, whole_line: or anywhere before it in its line; around: characters on each side
+    that prime the compressor."""
 
     least: float = NOVEL
     reach: int = REACH
+    whole_line: bool = False
     around: int = AROUND
 
 
@@ -186,28 +196,38 @@ class Taken:
 def incompressible(text: str, how: Novelty = Novelty()) -> list[tuple[int, int, str]]:
     """Candidates in a sensitive context that do not compress.
 
-    Copies of a candidate nearby do not count as surroundings. A candidate that
-    a dot or a line break joins to one in a sensitive context is in it too; a
-    sensitive word more than how.reach characters before a candidate is not seen
-    otherwise, save the first line of a private key.
+    Other candidates nearby do not count as surroundings. A candidate that
+    a dot or a line break joins to one in a sensitive context is in it too, and
+    so is what stands inside a private key; a sensitive word in an earlier line
+    and more than how.reach characters before a candidate is not seen otherwise.
     """
     found: list[tuple[int, int, str]] = []
     places = [m.span() for m in CANDIDATE.finditer(text)]
+    keyed = [s for s in places if mixed(text[slice(*s)])]
+    if not keyed:
+        return found
+    words = [m.end() for m in CONTEXT.finditer(text)]
+
+    def told(start: int) -> bool:
+        i = bisect_right(words, start) - 1
+        return i >= 0 and (words[i] > start - how.reach or how.whole_line and text.rfind("\n", words[i], start) < 0)
+
+    number = {s: i for i, s in enumerate(keyed)}
     keys = key_blocks(text) if KEY_END in text else []
     inside = Taken([(a, b, "") for a, b in keys])
     sensitive = -1
-    for at, (start, end) in enumerate(places):
+    for start, end in places:
         joined = sensitive >= 0 and JOIN.fullmatch(text, sensitive, start)
-        if not joined and not CONTEXT.search(text, max(0, start - how.reach), start) and not inside.touches(start, start + 1):
+        if not joined and not told(start) and not inside.touches(start, start + 1):
             sensitive = -1
             continue
         sensitive = end
-        word = text[start:end]
-        if not any(c.isdigit() for c in word) or not any(c.isalpha() for c in word):
+        at = number.get((start, end))
+        if at is None:
             continue
-        before = without_copies(text, word, max(0, start - how.around), start, places, at - 1, -1)
-        after = without_copies(text, word, end, min(len(text), end + how.around), places, at + 1, 1)
-        if novelty(word, before, after) >= how.least:
+        before = without_others(text, max(0, start - how.around), start, keyed, at - 1, -1)
+        after = without_others(text, end, min(len(text), end + how.around), keyed, at + 1, 1)
+        if novelty(text[start:end], before, after) >= how.least:
             found.append((start, end, "novel"))
     own = Taken(found)
     for a, b in keys:
@@ -258,8 +278,6 @@ def redact(df: DataFrame, mark: str = "[SECRET]", how: Novelty = Novelty(), text
 
     Overlapping spans become one mark. All other columns are kept as they are.
     """
-    others = tuple(c for c in df.columns if c != text)
-
     def run(texts: list[str]) -> list[list]:
         out = []
         for t in texts:
@@ -273,11 +291,10 @@ def redact(df: DataFrame, mark: str = "[SECRET]", how: Novelty = Novelty(), text
             out.append("".join([*parts, t[at:]]))
         return [out, [len(t) for t in out]]
 
-    from pyspark.sql import functions as F
-
-    source = df.withColumn("__null", F.col(text).isNull())
-    changed = map_texts(source, run, "__out string, __chars long", (*others, "__null"), text)
-    changed = changed.withColumn(text, F.when(~F.col("__null"), F.col("__out")))
+    done = beside_texts(df, run, "text string, chars long", tuple(df.columns), text)
+    held = lambda c: F.col("kept").getField(c)
+    there = held(text).isNotNull()
+    new = {text: F.when(there, F.col("text"))}
     if "n_chars" in df.columns and text != "n_chars":
-        changed = changed.withColumn("n_chars", F.when(~F.col("__null"), F.col("__chars").cast(df.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return changed.select(*df.columns)
+        new["n_chars"] = F.when(there, F.col("chars").cast(df.schema["n_chars"].dataType)).otherwise(held("n_chars"))
+    return done.select(*[new.get(c, held(c)).alias(c) for c in df.columns])

@@ -248,6 +248,43 @@ def test_recall_and_precision_of_novel_strings():
     assert recall > 0.97 and precision > 0.95
 
 
+ALPHABETS = {
+    "upper hex": "0123456789ABCDEF",
+    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "a-z0-9": "abcdefghijklmnopqrstuvwxyz0123456789",
+    "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+}
+
+
+@pytest.mark.parametrize("alphabet", ALPHABETS)
+@pytest.mark.parametrize("keys", [1, 5])
+def test_every_key_of_a_text_is_found(alphabet, keys):
+    """Random keys of one alphabet alone, 16 to 256 letters, one or five in a text: each is found."""
+    rng = random.Random(alphabet)
+    for length in (16, 20, 24, 32, 40, 64, 128, 256):
+        found = total = 0
+        for _ in range(20):
+            own = []
+            while len(own) < keys:
+                key = "".join(rng.choice(ALPHABETS[alphabet]) for _ in range(length))
+                own += [key] if secrets.mixed(key) else []
+            text = "def load(config):\n    return config\n\n" + "".join(f"client credential of service {i} is {k}\n" for i, k in enumerate(own)) + "the end\n"
+            spans = secrets.novel_spans(text, [])
+            found += sum(any(text[a:b] == k for a, b, _ in spans) for k in own)
+            total += keys
+        assert found >= 0.95 * total, (length, found, total)
+
+
+def test_key_list_leaves_nothing(spark):
+    """A credential file of forty keys: redaction leaves none of them."""
+    rng = random.Random(8)
+    keys = ["".join(rng.choice(list(ALPHABETS.values())[i % 5]) for _ in range(40)) + "7a" for i in range(40)]
+    text = "credentials\n" + "\n".join(f"session of user {i} -> {k}" for i, k in enumerate(keys))
+    out = secrets.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text
+    assert not [k for k in keys if k in out] and out.count("[SECRET]") == 40
+
+
 def test_incompressible_strings_of_the_test_table(spark):
     """All long mixed strings of the table stand in sensitive contexts; the patterns find them, and so does novelty."""
     out = queries.op4_secret_novelty(spark, "/root/testdata/sf0.01").agg({"n_incompressible": "sum", "n_assign": "sum", "n_novel": "sum"}).first()
@@ -259,6 +296,8 @@ def test_context_and_surroundings_are_parameters():
     text = "secret" + " far" * 30 + " " + key
     assert secrets.novel_spans(text, []) == []
     assert len(secrets.novel_spans(text, [], secrets.Novelty(reach=200))) == 1
+    assert len(secrets.novel_spans(text, [], secrets.Novelty(whole_line=True))) == 1
+    assert secrets.novel_spans(text.replace(" far", "\nfar"), [], secrets.Novelty(whole_line=True)) == []
     assert secrets.novel_spans("secret " + key, [], secrets.Novelty(least=2.0)) == []
     taken = secrets.Taken([(5, 9, ""), (8, 12, ""), (20, 30, "")])
     assert [taken.touches(a, b) for a, b in ((0, 5), (0, 6), (12, 20), (11, 12), (29, 40), (30, 31))] == [False, True, False, True, True, False]
@@ -329,8 +368,9 @@ def test_pipeline_stages(spark, sf):
 
 
 def test_pipeline_keeps_columns_of_any_name(spark, sf):
-    names = ("score", "kept", "row", "first", "component", "items", "changed", "node", "block", "start", "spans", "quality", "key")
-    schema = "doc_id long, text string, n_chars int, " + ", ".join(f"`{n}` string" for n in names)
+    names = ("score", "kept", "row", "first", "component", "items", "changed", "node", "block", "start", "spans", "quality", "key", "chars", "rest", "out", "nothing", "packet")
+    names += ("__text", "__null", "__out", "__chars", "__score", "__changed", "__rest", "_kept", "a.b", "c`d", "e f")
+    schema = "doc_id long, text string, n_chars int, " + ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
     shared, alone = " ".join(f"s{i}" for i in range(60)), " ".join(f"u{i}" for i in range(40))
     rows = [(1, f"a b {shared} c"), (2, f"{shared} {alone} password=abcdef12"), (None, "null id"), (4, None)]
     docs = spark.createDataFrame([(i, t, len(t or ""), *names) for i, t in rows], schema)
