@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -53,7 +54,7 @@ def ship_code(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, which every executor can read; removed when the driver ends.
+    """A new path below spark.checkpoint.dir, which every executor can read.
 
     Where that setting is absent on a single machine (tests, benchmarks) the
     session's warehouse serves instead; on a cluster the warehouse must then be
@@ -64,9 +65,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         base = spark.conf.get("spark.sql.warehouse.dir")
         if not spark.sparkContext.master.startswith("local") and base.startswith(("file:", "/")):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    path = f"{base.rstrip('/')}/loam-{name}-{uuid.uuid4().hex}"
-    file_system(spark, path)[0].deleteOnExit(file_system(spark, path)[1])
-    return path
+    return f"{base.rstrip('/')}/loam-{name}-{uuid.uuid4().hex}"
 
 
 def file_system(spark: SparkSession, path: str) -> tuple:
@@ -75,16 +74,59 @@ def file_system(spark: SparkSession, path: str) -> tuple:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
+#: Paths of stored tables that are still there, with their sessions.
+_paths: dict[str, SparkSession] = {}
+
+
 def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back; cuts lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession, name)
+    """Write df to the shared folder and read it back; cuts lineage and survives lost executors.
+
+    The table goes with discard, at the end of a surrounding scratch, with clear,
+    or when the driver ends.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    if not _paths:
+        atexit.register(clear)
+    _paths[path] = spark
     df.write.parquet(path, compression=compression)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    files, place = file_system(spark, path)
+    files.deleteOnExit(place)  # heeded only for a path that exists
+    out = spark.read.schema(df.schema).parquet(path)
     out._loam_path = path
     return out
 
 
+def delete(path: str) -> None:
+    """Delete a stored table, unless its session has ended: then Hadoop has done so, or will."""
+    spark = _paths.pop(path, None)
+    if spark is not None and spark.sparkContext._jsc is not None:
+        files, place = file_system(spark, path)
+        files.delete(place, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a stored table that no later plan reads."""
-    files, place = file_system(df.sparkSession, df._loam_path)
-    files.delete(place, True)
+    delete(df._loam_path)
+
+
+def clear() -> None:
+    """Delete all stored tables; no DataFrame that reads one can be used afterwards. Call it before spark.stop()."""
+    for path in list(_paths):
+        delete(path)
+
+
+class scratch:
+    """A block whose stored tables are deleted at its end, but for those given to keep."""
+
+    def __enter__(self) -> scratch:
+        self.before = set(_paths)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.before.add(df._loam_path)
+        return df
+
+    def __exit__(self, *_: object) -> None:
+        for path in [p for p in _paths if p not in self.before]:
+            delete(path)
