@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.llm import fm, minhash, packing, queries, rlz, secrets
-from loam.llm.common import documents, labels, stored
+from loam.llm.common import discard, documents, labels, quoted, stored
+from loam.session import scratch
 
 #: No SQL states a factorisation machine's or a compressor's decisions.
 ORACLE_SQL = None
@@ -24,8 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     whatever its doc_id.
     """
     machine = fm.train(docs, labels(spark, sf_dir))
-    scored = fm.classify(docs, machine, keep=tuple(docs.columns), out="__score")
-    return scored.where(F.col("__score") >= 0.7).select(*docs.columns)
+    return fm.accepted(docs, machine)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +41,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     worded = F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
     left = docs.where(worded).join(gone, minhash.row_key() == gone["row"], "left_anti")
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    one = left.groupBy("doc_id", "text").agg(F.min_by(F.struct(*rest), F.to_json(F.struct(*rest))).alias("__rest")) if rest else left.distinct()
-    one = one.select("doc_id", "text", *[F.col("__rest")[c].alias(c) for c in rest]).select(*docs.columns)
-    return one.union(docs.where(~worded))
+    if not rest:
+        return left.distinct().union(docs.where(~worded))
+    held = F.struct(*[F.col(quoted(c)) for c in rest])
+    one = left.groupBy("doc_id", "text").agg(F.min_by(held, F.to_json(held)).alias("rest"))
+    new = {c: F.col("rest").getField(c) for c in rest} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    return one.select(*[new[c].alias(c) for c in docs.columns]).union(docs.where(~worded))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,5 +79,9 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scratch() as tables:  # what a stage stores on its way goes once its rows are written
+            made = tables.keep(stored(stage(spark, docs, sf_dir), name))
+        if name != STAGES[0][0]:
+            discard(docs)
+        docs = made
     return STAGES[-1][1](spark, docs, sf_dir)
