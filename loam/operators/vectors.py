@@ -10,12 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 
-#: Rows in a block of queries and of a corpus, and places where they meet.
-QUERY_BLOCK, CORPUS_BLOCK, PLACES = 2048, 8192, 64
-#: Words of queries, repeated ones counted, up to which their weights are broadcast.
-QUERY_WORDS = 500_000
+#: Rows in a block of queries and of a corpus.
+QUERY_BLOCK, CORPUS_BLOCK = 2048, 8192
 
 Transform = Callable[[DataFrame], DataFrame]
 
@@ -39,47 +36,58 @@ def top_k(df: DataFrame, k: int, by: str = "query_id", score: str = "score", tie
     return df.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def packed(df: DataFrame, rows: int, name: str) -> DataFrame:
-    """name, ids and vectors: df (id, embedding) in blocks of about rows, each block one row of binary values.
+def packed(df: DataFrame, rows: int, name: str) -> tuple[DataFrame, int]:
+    """name, width, ids and vectors: df (id, embedding) in blocks of about rows, each block one row of binary values.
 
-    A row's block is a hash of its id.
+    A row's block is a hash of its id; vectors of different widths lie in
+    different blocks. Rows without an id or a vector, or with null in it, are
+    left out. Also returns the number of blocks of a width.
     """
+    sound = F.col("id").isNotNull() & F.coalesce((F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull()), F.lit(False))
     blocks = max(1, math.ceil(df.count() / rows))
-    numbered = df.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("embedding"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("_block"))
+    numbered = df.where(sound).select(
+        F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("embedding"),
+        F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("_block"), F.size("embedding").alias("_width"),
+    )
 
     def pack(t: pa.Table) -> pa.Table:
         ids, vectors = t.column("id").to_numpy(), t.column("embedding").combine_chunks().flatten().to_numpy()
-        return pa.table({"block": pa.array([t.column("_block")[0].as_py()], pa.int32()), "ids": pa.array([ids.astype(np.int64).tobytes()], pa.binary()), "vectors": pa.array([vectors.astype(np.float32).tobytes()], pa.binary())})
+        numbers = {c: pa.array([t.column(f"_{c}")[0].as_py()], pa.int32()) for c in ("block", "width")}
+        return pa.table(numbers | {"ids": pa.array([ids.astype(np.int64).tobytes()], pa.binary()), "vectors": pa.array([vectors.astype(np.float32).tobytes()], pa.binary())})
 
-    return numbered.groupBy("_block").applyInArrow(pack, "block int, ids binary, vectors binary").withColumnRenamed("block", name)
+    done = numbered.groupBy("_block", "_width").applyInArrow(pack, "block int, width int, ids binary, vectors binary")
+    return done.withColumnRenamed("block", name), blocks
 
 
 def dense_search(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6, skip_self: bool = True) -> DataFrame:
     """query_id, doc_id, score, rank: the k rows of corpus with the largest dot product.
 
-    Both have (id, embedding), vectors all of one length. Queries and corpus are
-    packed in blocks; each block of queries meets each block of the corpus in a
-    row of its own, whose k best of each query go on to one ranking. Nothing
-    passes the driver. Scores are rounded, ties by id.
+    Both have (id, embedding); rows without an id or a whole vector take no part,
+    and vectors of different widths do not meet. Queries and corpus are packed
+    in blocks; each block of queries meets each block of the corpus in a row of
+    its own, whose k best of each query go on to one ranking. Nothing passes
+    the driver. Scores are rounded, ties by id.
     """
-    asked = packed(queries, QUERY_BLOCK, "query_block")
-    held = packed(corpus, CORPUS_BLOCK, "corpus_block")
-    # every block of queries is sent to each of a fixed number of places, and a block of the corpus to one of them
-    place = F.explode(F.sequence(F.lit(0), F.lit(PLACES - 1)))
-    asked = asked.select(F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"), place.alias("place"))
-    met = held.select("ids", "vectors", F.pmod("corpus_block", F.lit(PLACES)).alias("place")).join(asked, "place")
+    asked, _ = packed(queries, QUERY_BLOCK, "query_block")
+    held, places = packed(corpus, CORPUS_BLOCK, "place")
+    # every block of queries is sent to the place of each block of the corpus
+    place = F.explode(F.sequence(F.lit(0), F.lit(places - 1)))
+    asked = asked.select("width", F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"), place.alias("place"))
+    met = held.join(asked, ["place", "width"])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for own, vectors, ids, matrix in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 own, ids = np.frombuffer(own, np.int64), np.frombuffer(ids, np.int64)
-                scores = np.round(np.frombuffer(matrix, np.float32).astype(np.float64).reshape(len(ids), -1) @ np.frombuffer(vectors, np.float32).astype(np.float64).reshape(len(own), -1).T, digits)
-                for i, q in enumerate(ids):
-                    order = np.lexsort((own, -scores[i]))[: k + 1]
-                    if skip_self:
-                        order = order[own[order] != q]
-                    order = order[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), q)), pa.array(own[order]), pa.array(scores[i][order])], names=["query_id", "doc_id", "score"])
+                x, y = (np.frombuffer(raw, np.float32).astype(np.float64).reshape(n, -1) for raw, n in ((matrix, len(ids)), (vectors, len(own))))
+                out = []
+                for begin in range(0, len(ids), 256):  # bounds the scores that are held at once
+                    scores = np.round(x[begin : begin + 256] @ y.T, digits)
+                    for i, q in enumerate(ids[begin : begin + 256]):
+                        order = np.lexsort((own, -scores[i]))[: k + 1]
+                        order = order[own[order] != q][:k] if skip_self else order[:k]
+                        out.append((np.full(len(order), q), own[order], scores[i][order]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "doc_id", "score"])
 
     found = met.select("ids", "vectors", "query_ids", "query_vectors").mapInArrow(best, "query_id long, doc_id long, score double")
     return top_k(found, k)
@@ -105,39 +113,7 @@ def hyde_search(queries: DataFrame, corpus: DataFrame, k: int, hypothesis: Trans
     return found.select("query_id", "doc_id", "score", "rank").unionByName(rest.select("query_id", "doc_id", "score", "rank"))
 
 
-def lexical_search(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """query_id, doc_id, score, rank by TF-IDF: sum over shared words of (1 + ln tf) * ln(1 + N / df).
-
-    Only words of queries are counted, and counts stay with their document: the
-    words' weights come to them, broadcast up to QUERY_WORDS of them, so that no
-    common word gathers its documents in one task. Beyond that the weights are
-    joined by word, which adaptive execution splits where a word is hot.
-    """
-    n = corpus.count()
-    asked = queries.select(F.col("id").alias("query_id"), F.explode(T.word_set(F.col("text"))).alias("word"))
-    few = asked.count() <= QUERY_WORDS
-    near = F.broadcast if few else lambda df: df
-    postings = corpus.select(F.col("id").alias("doc_id"), F.explode(T.words(F.col("text"))).alias("word"))
-    counted = postings.join(near(asked.select("word").distinct()), "word", "left_semi").groupBy("doc_id", "word").agg(F.count("*").alias("tf"))
-    weights = asked.join(counted.groupBy("word").agg(F.log(1 + F.lit(float(n)) / F.count("*")).alias("idf")), "word")
-    by_document = counted.repartition("doc_id") if few else counted
-    scored = by_document.join(near(weights), "word").groupBy("query_id", "doc_id").agg(F.round(F.sum((1 + F.log(F.col("tf"))) * F.col("idf")), digits).alias("score"))
-    return top_k(scored, k)
-
-
 def late_interaction(query: Column, document: Column) -> Column:
     """Mean over query vectors of the largest cosine with a document vector, 0 at least."""
     best = F.transform(query, lambda q: F.greatest(F.lit(0.0), F.array_max(F.transform(document, lambda d: cosine(q, d)))))
     return F.coalesce(F.try_divide(F.aggregate(best, F.lit(0.0), lambda s, x: s + x), F.size(query)), F.lit(0.0))
-
-
-def multi_vector_search(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """query_id, doc_id, max_sim, rank: the k rows of corpus with the largest late interaction.
-
-    Both have (id, vectors array<array<float>>). Every query meets every row but
-    its own; scores are rounded, ties by id.
-    """
-    asked = queries.select(F.col("id").cast("long").alias("query_id"), F.col("vectors").alias("q"))
-    pairs = corpus.select(F.col("id").cast("long").alias("doc_id"), F.col("vectors").alias("d")).join(asked, F.col("query_id") != F.col("doc_id"))
-    scored = pairs.select("query_id", "doc_id", F.round(late_interaction(F.col("q"), F.col("d")), digits).alias("max_sim"))
-    return top_k(scored, k, score="max_sim")

@@ -12,7 +12,7 @@ from ..operators import chunking as C
 from ..operators import compression as M
 from ..operators import evaluation as E
 from ..operators import graph as G
-from ..operators import vectors as V
+from ..operators import pruned as P
 from .registry import Tables, query
 from .search_queries import SPARSE
 from .text_queries import INTENT, LANGUAGE, TEXT_OF_HTML, common, letters
@@ -70,7 +70,7 @@ WS = r"list_distinct(regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}_]+'))"
 def asked(t: Tables) -> DataFrame:
     """item_id, doc_id, text, q: the 20 best documents of every twentieth benchmark item, with the item's words."""
     items = t.benchmark.where(c("item_id") % 20 == 0)
-    hits = V.lexical_search(items.select(c("item_id").alias("id"), "text"), t.documents.select(c("doc_id").alias("id"), "text"), 20)
+    hits = P.lexical_top(items.select(c("item_id").alias("id"), "text"), t.documents.select(c("doc_id").alias("id"), "text"), 20)
     words = items.select(c("item_id").alias("query_id"), T.word_set(c("text")).alias("q"))
     return hits.join(words, "query_id").join(t.documents.select("doc_id", "text"), "doc_id").select(c("query_id").alias("item_id"), "doc_id", "text", "q")
 

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluation as E
+from ..operators import pruned as P
 from ..operators import ranking as R
 from ..operators import vectors as V
+from ..operators.similarity import first_matches
 from .registry import Tables, query
 
 c = F.col
@@ -28,7 +30,7 @@ def dense(t: Tables, k: int = 50) -> DataFrame:
 
 
 def sparse(t: Tables, k: int = 20) -> DataFrame:
-    return V.lexical_search(t.benchmark.select(c("item_id").alias("id"), "text"), t.documents.select(c("doc_id").alias("id"), "text"), k)
+    return P.lexical_top(t.benchmark.select(c("item_id").alias("id"), "text"), t.documents.select(c("doc_id").alias("id"), "text"), k)
 
 
 DENSE = """WITH s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS score
@@ -92,13 +94,29 @@ query(
         vectors(t).withColumn("key", F.concat_ws(",", *[F.floor(c("embedding")[i].cast("double") * 10).cast("string") for i in range(2)]))
     )
 )
-query("RET07_query_cache", f"{DENSE.format(k=1)} SELECT query_id, doc_id, score FROM h WHERE score >= 0.3::DOUBLE")(lambda t: dense(t, 1).where(c("score") >= 0.3).select("query_id", "doc_id", "score"))
+def asked_again(t: Tables) -> DataFrame:
+    """A log of queries: every vector, one a minute, and each third one again later with one component turned round."""
+    v = vectors(t)
+    turned = F.transform("embedding", lambda x, i: F.when(i == c("id") % 64, -x).otherwise(x))
+    again = v.where(c("id") % 3 == 0).select((c("id") + 1_000_000).alias("id"), (c("id") * 60 + c("id") % 7 * 1000 + 1).alias("ts"), turned.alias("embedding"))
+    return v.select("id", (c("id") * 60).alias("ts"), "embedding").unionByName(again)
+
+
+query(
+    "RET07_query_cache",
+    """WITH l AS (SELECT vec_id AS id, vec_id * 60 AS ts, embedding AS e FROM embeddings UNION ALL
+        SELECT vec_id + 1000000, vec_id * 60 + vec_id % 7 * 1000 + 1, list_transform(embedding, lambda x, i: CASE WHEN i - 1 = vec_id % 64 THEN -x ELSE x END) FROM embeddings WHERE vec_id % 3 = 0),
+    s AS (SELECT a.id, a.ts, b.id AS hit, b.ts AS hit_ts, round(list_cosine_similarity(a.e::DOUBLE[], b.e::DOUBLE[]), 6) AS score FROM l a JOIN l b ON b.ts < a.ts AND a.ts - b.ts <= 3600)
+    SELECT id, ts::DOUBLE AS ts, hit, score FROM (SELECT *, row_number() OVER (PARTITION BY id, ts ORDER BY score DESC, hit_ts, hit) AS r FROM s WHERE score >= 0.95::DOUBLE) WHERE r = 1""",
+)(lambda t: P.similar_before(asked_again(t), 0.95, 3600.0))
 query(
     "RET08_embedding_cache",
-    r"SELECT a.doc_id, min(b.doc_id) AS hit FROM documents a JOIN documents b ON lower(trim(a.text)) = lower(trim(b.text)) AND b.doc_id < a.doc_id GROUP BY 1",
-)(
-    lambda t: (lambda d: d.join(d.groupBy("key").agg(F.min("doc_id").alias("hit")), "key").where(c("hit") < c("doc_id")).select("doc_id", "hit"))(t.documents.select("doc_id", F.sha2(F.lower(F.trim("text")), 256).alias("key")))
-)
+    r"""WITH d AS (SELECT doc_id, regexp_replace(lower(text), '^\s+|\s+$', '', 'g') AS key, list_filter(list_distinct(regexp_split_to_array(lower(text), '\s+')), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL),
+    e AS (SELECT key, min(doc_id) AS same FROM d GROUP BY key),
+    n AS (SELECT a.doc_id, min(b.doc_id) AS near FROM d a JOIN d b ON b.doc_id < a.doc_id AND 20 * least(len(a.w), len(b.w)) >= 19 * greatest(len(a.w), len(b.w))
+        WHERE len(a.w) > 0 AND 20 * len(list_intersect(a.w, b.w)) >= 19 * greatest(len(a.w), len(b.w)) GROUP BY 1)
+    SELECT * FROM (SELECT doc_id, CASE WHEN same < doc_id THEN same ELSE near END AS hit, same < doc_id AS exact FROM d JOIN e USING (key) LEFT JOIN n USING (doc_id)) WHERE hit IS NOT NULL""",
+)(lambda t: first_matches(t.documents.select(c("doc_id").alias("id"), "text")).select(c("id").alias("doc_id"), "hit", "exact"))
 
 
 def hypothesis(queries: DataFrame) -> DataFrame:
@@ -129,7 +147,7 @@ query(
 tokens = lambda t: vectors(t).select("id", F.array(*[part(c("embedding"), i) for i in range(4)]).alias("vectors"))
 MAXSIM_ALL = f"""WITH s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round({MAXSIM}, 6) AS max_sim FROM embeddings q JOIN embeddings d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0)
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY max_sim DESC, doc_id)::INT AS rank FROM s) WHERE rank <= 10"""
-query("RET11_multi_vector", MAXSIM_ALL)(lambda t: V.multi_vector_search(tokens(t).where(c("id") % 20 == 0), tokens(t), 10))
+query("RET11_multi_vector", MAXSIM_ALL)(lambda t: P.multi_vector_search(tokens(t).where(c("id") % 20 == 0), tokens(t), 10))
 
 # ---- thresholds, knees, orders: scores shifted so that the fixed cutoffs bite
 

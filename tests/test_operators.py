@@ -292,7 +292,6 @@ def test_dense_search_in_blocks(spark, monkeypatch):
     matrix = np.array([r[1] for r in rows], np.float32).astype(np.float64)
     monkeypatch.setattr(vectors, "QUERY_BLOCK", 7)
     monkeypatch.setattr(vectors, "CORPUS_BLOCK", 11)
-    monkeypatch.setattr(vectors, "PLACES", 3)
     got = {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in vectors.dense_search(df.where("id % 5 = 0"), df, 4).collect()}
     for q in range(0, 90, 5):
         scores = np.round(matrix @ matrix[q], 6)
