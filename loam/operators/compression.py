@@ -3,18 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .chunking import per_document
 
 WORD = re.compile(r"\w+")
-BREAK = re.compile(r"(?<=[.!?])\s+")
-LINE_BREAK = re.compile(r"(?<=[.!?])\s+|\n+")
-
-DIGIT = re.compile(r"\d")
 
 #: Words that carry no content.
 EMPTY_WORDS = frozenset(
@@ -89,71 +86,99 @@ def decomposed(chunks: DataFrame, least: float = 0.2, long: int = 3000) -> DataF
     return first.select("doc_id", "score", F.when(F.length("text") > long, short).otherwise(F.col("text")).alias("text"))
 
 
-def density(sentence: str, words: list[str] | None = None) -> float:
-    """Content words by half, 0.15 for a number, 0.35 for all; less if very short or long."""
-    words = WORD.findall(sentence) if words is None else words
-    if not words:
-        return 0.0
-    content = {w.lower() for w in words} - EMPTY_WORDS
-    value = 0.5 * len(content) / len(words) + (0.15 if DIGIT.search(sentence) else 0.0) + 0.35
-    return max(0.0, min(1.0, value * (0.5 if len(words) < 4 else 0.8 if len(words) > 50 else 1.0)))
+def density(sentence: Column) -> Column:
+    """Distinct content words by half, 0.15 for a number, 0.35 for all; less if very short or long; 0 without words."""
+    words = T.words(sentence)
+    n = F.size(words)
+    content = F.size(F.array_except(words, F.array(*[F.lit(w) for w in sorted(EMPTY_WORDS)])))
+    value = 0.5 * content / n + F.when(sentence.rlike(r"\p{Nd}"), 0.15).otherwise(0.0) + 0.35
+    value = value * F.when(n < 4, 0.5).when(n > 50, 0.8).otherwise(1.0)
+    return F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
+
+
+def parts_of(text: Column, breaks: str) -> Column:
+    return F.filter(F.transform(F.split(text, breaks), stripped), lambda x: x != "")
+
 
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
-def densest(text: str, ratio: float = 3.0, least: int = 20) -> tuple[str, int, int, int]:
-    """(text, words before, words after, sentences dropped): the densest sentences within a share of the words.
 
-    Sentences end at punctuation and at line breaks; what is kept stays in order.
+def compress(df: DataFrame, ratio: float = 3.0, key: str = "doc_id", text: str = "text", least: int = 20) -> DataFrame:
+    """key, short, words_before, words_after and dropped: the densest sentences within a share of each text's words.
+
+    Sentences end at punctuation and at line breaks. They are asked from the
+    densest down, ties in order, and each that still fits stays; the first stays
+    however long it is. What stays keeps its order. A text of under least words
+    or of one sentence stays whole; a null or blank one becomes empty.
     """
-    sentences = [x.strip() for x in LINE_BREAK.split(text.strip()) if x and x.strip()]
-    words = list(map(WORD.findall, sentences))
-    sizes = list(map(len, words))
-    total = sum(sizes)  # a break never lies inside a word
-    if total < least or len(sentences) <= 1:
-        return text if text.strip() else "", total, total, 0
-    budget, used, kept = max(1, int(total / ratio)), 0, []
-    scores = list(map(density, sentences, words))
-    for i in sorted(range(len(sentences)), key=lambda i: (-scores[i], i)):
-        if used + sizes[i] <= budget or not kept:
-            kept.append(i)
-            used += sizes[i]
-        if used >= budget:
-            break
-    short = " ".join(sentences[i] for i in sorted(kept))
-    return short, total, used, len(sentences) - len(kept)
-
-
-def compress(df: DataFrame, ratio: float = 3.0, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return per_document(df, key, text, lambda t: [densest(t, ratio)], "short string, words_before int, words_after int, dropped int")
-
-
-def cost(text: str) -> int:
-    if not text:
-        return 0
-    pieces = len(re.findall(r"\w+|[^\w\s]", text))
-    return max(1, int(max(1, len(text) // 4) * 0.4 + max(1, int(pieces * 1.3)) * 0.6))
-
-
-def rarest(text: str, budget: int) -> str:
-    """Sentences of the rarest words first, until the budget; the one that overflows is cut."""
-    words = WORD.findall(text.lower())
-    if not words or cost(text) <= budget:
-        return text if text.strip() else ""
-    seen: dict[str, int] = {}
-    for w in words:
-        seen[w] = seen.get(w, 0) + 1
-    scored = []
-    for i, s in enumerate(filter(None, map(str.strip, BREAK.split(text)))):
-        own = WORD.findall(s.lower())
-        scored.append((-(sum(1 - seen[w] / len(words) for w in own) / len(own)) if own else 0.0, i, s))
-    out = ""
-    for _, _, s in sorted(scored):
-        if cost(f"{out}{s} ") > budget:
-            room = budget * 4 - len(out)
-            out += s[:room] if room > 20 else ""
-            break
-        out += s + " "
-    return out.strip()
+    rows = df.select(key, F.coalesce(text, F.lit("")).alias("text"))
+    rows = rows.withColumn("s", parts_of(stripped(F.col("text")), r"(?<=[.!?])\s+|\n+"))
+    rows = rows.withColumn("x", F.transform("s", lambda x, i: F.struct((-density(x)).alias("minus"), i.alias("at"), F.size(T.words(x)).alias("size"))))
+    rows = rows.withColumn("total", F.aggregate("x", F.lit(0), lambda n, x: n + x["size"]))
+    budget = F.greatest(F.lit(1), F.floor(F.col("total") / F.lit(ratio)).cast("int"))
+
+    def ask(kept: Column, x: Column) -> Column:
+        used = kept["used"] + x["size"]
+        fits = (kept["used"] < kept["budget"]) & ((used <= kept["budget"]) | (F.size(kept["at"]) == 0))
+        return F.when(fits, F.struct(kept["budget"].alias("budget"), used.alias("used"), F.concat(kept["at"], F.array(x["at"])).alias("at"))).otherwise(kept)
+
+    none = F.struct(budget.alias("budget"), F.lit(0).alias("used"), F.array().cast("array<int>").alias("at"))
+    rows = rows.withColumn("kept", F.aggregate(F.array_sort("x"), none, ask))
+    whole = (F.col("total") < least) | (F.size("s") <= 1)
+    chosen = F.array_join(F.filter("s", lambda x, i: F.array_contains(F.col("kept")["at"], i)), " ")
+    short = F.when(~whole, chosen).when(stripped(F.col("text")) == "", "").otherwise(F.col("text"))
+    after = F.when(whole, F.col("total")).otherwise(F.col("kept")["used"])
+    dropped = F.when(whole, 0).otherwise(F.size("s") - F.size(F.col("kept")["at"]))
+    return rows.select(key, short.alias("short"), F.col("total").alias("words_before"), after.alias("words_after"), dropped.alias("dropped"))
+
+
+def cost_of(chars: Column, pieces: Column) -> Column:
+    """Tokens of a text by its characters and its words and marks; 0 for none."""
+    both = F.greatest(F.lit(1), F.floor(chars / 4)) * F.lit(0.4) + F.greatest(F.lit(1), F.floor(pieces * F.lit(1.3))) * F.lit(0.6)
+    return F.when(chars == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(both))).cast("int")
+
+
+def piece_count(text: Column) -> Column:
+    return F.size(T.matches(text, r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"))
+
+
+def rarities(sentences: pd.Series) -> pd.Series:
+    """For each sentence of a text the mean over its words of the share of the text's words that are others; 0 without words."""
+    out = []
+    for own in sentences:
+        words = [WORD.findall(x.lower()) for x in own]
+        seen = Counter(w for ws in words for w in ws)
+        total = sum(seen.values())
+        out.append([1 - sum(seen[w] for w in ws) / (total * len(ws)) if ws else 0.0 for ws in words])
+    return pd.Series(out)
 
 
 def compress_to_budget(df: DataFrame, budget: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return per_document(df, key, text, lambda t: [(short := rarest(t, budget), cost(short))], "short string, cost int")
+    """key, short and cost: the sentences of the rarest words, rarest first, until the budget is spent.
+
+    The sentence that doesn't fit any more is cut where four characters a token
+    end, if more than 20 characters of room are left. A text within the budget,
+    or without words, stays; a null or blank one becomes empty.
+    """
+    rarity = F.pandas_udf(rarities, "array<double>")
+    rows = df.select(key, F.coalesce(text, F.lit("")).alias("text")).withColumn("s", parts_of(F.col("text"), T.SENTENCE_BREAK))
+    rows = rows.withColumn("whole", (cost_of(F.length("text"), piece_count(F.col("text"))) <= budget) | (F.size(T.words(F.col("text"))) == 0))
+    rows = rows.withColumn("rare", rarity("s"))
+    measured = F.zip_with(F.sequence(F.lit(0), F.size("s") - 1), "s", lambda i, x: F.struct((-F.col("rare")[i]).alias("minus"), i.alias("at"), F.length(x).alias("chars"), piece_count(x).alias("pieces")))
+
+    def spend(kept: Column, x: Column) -> Column:
+        chars, pieces = kept["chars"] + x["chars"] + 1, kept["pieces"] + x["pieces"]
+        state = lambda c, p, at, cut: F.struct(c.alias("chars"), p.alias("pieces"), F.concat(kept["at"], F.array(at)).alias("at"), cut.alias("cut"))
+        room = F.lit(4 * budget) - kept["chars"]
+        over = state(kept["chars"], kept["pieces"], x["at"], F.when(room > 20, room).otherwise(0))
+        return F.when(kept["cut"].isNotNull(), kept).when(cost_of(chars, pieces) > budget, over).otherwise(state(chars, pieces, x["at"], F.lit(None).cast("int")))
+
+    none = F.struct(F.lit(0).alias("chars"), F.lit(0).alias("pieces"), F.array().cast("array<int>").alias("at"), F.lit(None).cast("int").alias("cut"))
+    rows = rows.withColumn("kept", F.when(F.size("s") > 0, F.aggregate(F.array_sort(measured), none, spend)))
+    at, cut = F.col("kept")["at"], F.col("kept")["cut"]
+    last = F.size(at) - 1
+    joined_up = F.array_join(F.transform(at, lambda a, i: F.when(cut.isNotNull() & (i == last), F.substring(F.col("s")[a], F.lit(1), cut)).otherwise(F.col("s")[a])), " ")
+    short = F.when(stripped(F.col("text")) == "", "").when(F.col("whole"), F.col("text")).otherwise(stripped(joined_up))
+    out = rows.select(key, short.alias("short"))
+    return out.select(key, "short", cost_of(F.length("short"), piece_count(F.col("short"))).alias("cost"))

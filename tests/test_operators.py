@@ -2,6 +2,9 @@
 
 import json
 import math
+import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -180,10 +183,12 @@ def test_sections_and_tree(spark):
 
 def test_compression(spark):
     text = "The quick value is 42. It was so. Nothing of note is in it at all. Engines burn fuel quickly today. " * 3
-    short, before, after, dropped = compression.densest(text)
-    assert after < before and dropped > 0 and "42" in short
-    assert compression.densest("") == ("", 0, 0, 0) and compression.densest("one two")[3] == 0
-    assert compression.cost(compression.rarest(text, 30)) <= 40 and compression.rarest("short", 50) == "short"
+    texts = spark.createDataFrame([(1, text), (2, ""), (3, "one two"), (4, None), (5, " \n ")], "doc_id int, text string")
+    dense = {r.doc_id: tuple(r)[1:] for r in compression.compress(texts).collect()}
+    assert dense[1][2] < dense[1][1] and dense[1][3] > 0 and "42" in dense[1][0]
+    assert dense[2] == dense[4] == dense[5] == ("", 0, 0, 0) and dense[3] == ("one two", 2, 2, 0)
+    rare = {r.doc_id: r for r in compression.compress_to_budget(texts, 30).collect()}
+    assert 0 < rare[1].cost <= 40 and rare[1].short != text and rare[3].short == "one two" and rare[4].short == rare[5].short == ""
     df = spark.createDataFrame([(1, "Cats sit. Dogs run. Birds fly. Cats eat fish.", ["cats"]), (2, "One.", ["x"]), (3, "A b. C d. E f. G h.", ["z"]), (4, "A. B. C. D.", []), (5, None, ["x"])], "k int, text string, q array<string>")
     a = {r.k: r.short for r in compression.relevant_sentences(df, ["k"]).collect()}
     assert a == {1: "Cats sit. Cats eat fish.", 2: "One.", 3: "A b. C d. E f.", 4: "A. B. C. D.", 5: ""}
@@ -191,16 +196,62 @@ def test_compression(spark):
     assert b[1] == "Cats sit. Cats eat fish." and b[2] == "One." and b[3] == "A b. C d."
 
 
-def test_density_follows_the_fixed_rule():
+def token_cost(text):
+    marks = len(re.findall(r"\w+|[^\w\s]", text))
+    return max(1, int(max(1, len(text) // 4) * 0.4 + max(1, int(marks * 1.3)) * 0.6)) if text else 0
+
+
+def test_density_follows_the_fixed_rule(spark):
     # all content words, no number: 0.5 + 0.35; a number adds 0.15; under four words half, over fifty four fifths
-    assert compression.density("engines burn fuel quickly") == pytest.approx(0.85)
-    assert compression.density("engines burn 12 litres") == pytest.approx(1.0)
-    assert compression.density("engines burn fuel") == pytest.approx(0.425)
-    assert compression.density("the engines of it burn") == pytest.approx(0.5 * 2 / 5 + 0.35)
-    assert compression.density(" ".join(f"w{'x' * i}" for i in range(60))) == pytest.approx(0.8 * 0.85)
+    cases = {"engines burn fuel quickly": 0.85, "engines burn 12 litres": 1.0, "engines burn fuel": 0.425, "the engines of it burn": 0.5 * 2 / 5 + 0.35, " ".join(f"w{'x' * i}" for i in range(60)): 0.8 * 0.85, "...": 0.0}
+    rows = spark.createDataFrame([(k,) for k in cases], "s string").select("s", compression.density(F.col("s")).alias("d")).collect()
+    assert {r.s: r.d for r in rows} == pytest.approx(cases)
     lines = "alpha beta gamma delta\nit is as it was and so on it is\n" * 4
-    short, before, after, dropped = compression.densest(lines)
-    assert (short, before, after, dropped) == (" ".join(["alpha beta gamma delta"] * 4), 56, 16, 4)
+    out = compression.compress(spark.createDataFrame([(1, lines)], "doc_id int, text string")).first()
+    assert tuple(out)[1:] == (" ".join(["alpha beta gamma delta"] * 4), 56, 16, 4)
+
+
+def test_greedy_choices_by_force(spark):
+    """Sentences by density within a share of words, and by rarity within a budget, against a plain loop over all places."""
+    rng = random.Random(12)
+    words = ["the", "of", "it", "engine", "fuel", "pump", "valve", "x9", "42", "naïve", "было", "and"]
+    texts = [" ".join("".join([" ".join(rng.choices(words, k=rng.randint(1, 9))), rng.choice([".", "!", "?", "\n", ",", ". "])]) for _ in range(rng.randint(1, 25))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    parts = lambda pattern, t: [x.strip() for x in re.split(pattern, t.strip()) if x.strip()]
+
+    def weight(x):
+        w = re.findall(r"\w+", x.lower())
+        value = 0.5 * len(set(w) - compression.EMPTY_WORDS) / len(w) + 0.15 * bool(re.search(r"\d", x)) + 0.35 if w else 0.0
+        return min(1.0, value) if not w or 4 <= len(w) <= 50 else min(1.0, value * (0.5 if len(w) < 4 else 0.8))
+
+    dense = {r.doc_id: r for r in compression.compress(df).collect()}
+    rare = {r.doc_id: r for r in compression.compress_to_budget(df, 20).collect()}
+    for i, t in enumerate(texts):
+        own = parts(r"(?<=[.!?])\s+|\n+", t)
+        sizes = [len(re.findall(r"\w+", x)) for x in own]
+        limit, kept = max(1, int(sum(sizes) / 3)), set()
+        if sum(sizes) >= 20 and len(own) > 1:
+            for j in sorted(range(len(own)), key=lambda j: (-weight(own[j]), j)):
+                used = sum(sizes[k] for k in kept)
+                if used < limit and (not kept or used + sizes[j] <= limit):
+                    kept.add(j)
+            assert dense[i].short == " ".join(own[j] for j in sorted(kept)), t
+        else:
+            assert dense[i].short == t
+        counts = Counter(re.findall(r"\w+", t.lower()))
+        if token_cost(t) <= 20:
+            assert rare[i].short == t
+            continue
+        own = [x for x in re.split(r"(?<=[.!?])\s+", t) if x.strip()]
+        found = lambda x: re.findall(r"\w+", x.lower())
+        mean = lambda x: 1 - sum(counts[w] for w in found(x)) / (len(found(x)) * counts.total()) if found(x) else 0.0
+        order, text = sorted(range(len(own)), key=lambda j: (-round(mean(own[j]), 12), j)), ""
+        for j in order:
+            if token_cost(f"{text}{own[j].strip()} ") > 20:
+                text += own[j].strip()[: 80 - len(text)] if 80 - len(text) > 20 else ""
+                break
+            text += own[j].strip() + " "
+        assert rare[i].short == text.strip(), t
 
 
 def packed_by_force(text, most, least, overlap):
@@ -318,7 +369,7 @@ def test_text_functions(spark):
     t = F.col("t")
     rows = df.select(T.script_tokens(t).alias("s"), T.bpe_tokens(t).alias("b"), T.token_cost(t).alias("c"), F.size(T.sentences(t)).alias("n"), T.reading_grade(t).alias("g"), T.language(t).alias("l"), T.boilerplate_reason(t).alias("r"), T.coherence(t).alias("h")).collect()
     assert [r.s for r in rows] == [chunking.tokens(x) for x in cases]
-    assert [r.c for r in rows] == [compression.cost(x) for x in cases]
+    assert [r.c for r in rows] == [token_cost(x) for x in cases]
     assert rows[0].b == 0 and rows[1].b == 1 and rows[5].n == 3 and rows[2].g == 0.0
     assert [r.l for r in rows[2:4]] == ["ru", "zh"] and rows[0].r == "minimal_or_empty_content" and rows[2].r == "too_short_12_chars" and rows[0].h == 0.0
     assert df.select(T.masked_pii(F.lit("me@a.org from 10.0.0.1 " + "k" * 32)).alias("m")).first().m == "[EMAIL] from [IP] [REDACTED]"
