@@ -164,3 +164,37 @@ def carried(df: DataFrame, by: list[str], order: list[Column], value: Column, na
     ends = near.where("_r = _n").select(*by, "_range", F.last("_upto", ignorenulls=True).over(before).alias("_far"))
     met = near.join(*keyed(ends, [*by, "_range"]))
     return met.select(*df.columns, F.coalesce("_near", "_far").alias(name))
+
+
+def seeded_split(df: DataFrame, key: str, shares: dict[str, float], seed: int = 42) -> DataFrame:
+    """df with part: rows put in the order of a seeded hash of key and cut at the shares, the last part taking the rest.
+
+    Sizes are exact (int(rows * share)) and, like the order, do not hang on how
+    the rows are dealt. Rows are counted by the first four hexadecimal digits of
+    their hash; only rows of the few prefixes in which a cut falls are put in
+    order. Rows of one key are one after the other.
+    """
+    own = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    hashed = df.withColumn("_hash", own).withColumn("_prefix", F.substring("_hash", 1, 4))
+    counts = {r["_prefix"]: r["count"] for r in hashed.groupBy("_prefix").count().collect()}  # 65,536 rows at most
+    total, upto, ends = sum(counts.values()), 0, []
+    for share in list(shares.values())[:-1]:
+        upto += int(total * share)
+        ends.append(upto)
+    names, cut, whole, before = list(shares), {}, [], 0
+    for prefix in sorted(counts):
+        part = sum(e <= before for e in ends)
+        if part == sum(e < before + counts[prefix] for e in ends):
+            whole.append((prefix, names[part]))
+        else:
+            cut[prefix] = before
+        before += counts[prefix]
+    spark = df.sparkSession
+    told = hashed.join(F.broadcast(spark.createDataFrame(whole, "_prefix string, part string")), "_prefix").select(*df.columns, "part")
+    starts = spark.createDataFrame(list(cut.items()), "_prefix string, _start long")
+    place = F.col("_start") + F.row_number().over(Window.partitionBy("_prefix").orderBy("_hash", key)) - 1
+    ranked = hashed.join(F.broadcast(starts), "_prefix").withColumn("_place", place)
+    part = F.lit(names[-1])
+    for name, end in reversed(list(zip(names, ends, strict=False))):
+        part = F.when(F.col("_place") < end, name).otherwise(part)
+    return told.unionByName(ranked.withColumn("part", part).select(*df.columns, "part"))

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..functions import text as T
+
 
 def heading_sections(df: DataFrame, text: str = "text") -> DataFrame:
     """Sections under headings of levels 1 to 3: position, level, heading, content.
@@ -40,6 +42,96 @@ def heading_sections(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(*rest, F.posexplode(F.when(F.size(parts) > 0, made).otherwise(root)).alias("position", "s")).select(*rest, "position", "s.*")
 
 
+def heading_tree(df: DataFrame, headings: str = "headings") -> DataFrame:
+    """One row per heading: position, level, heading, parent (position, -1 at the top) and children (their headings, in order).
+
+    df has an array<struct<level:int,text:string>> in the order of the text; its
+    other columns stay. A heading's parent is the nearest one before it of a
+    lower level, found by a fold that holds the open levels as an array; levels
+    may be of any depth and skip some. Of headings equal in level and text, all
+    have the children of the first.
+    """
+    rest = [c for c in df.columns if c != headings]
+
+    def step(state: Column, h: Column) -> Column:
+        still = F.filter(state["open"], lambda o: o["level"] < h["level"])
+        at = F.size(state["parents"])
+        parent = F.when(F.size(still) > 0, F.element_at(still, -1)["at"]).otherwise(-1)
+        here = F.array(F.struct(h["level"].cast("int").alias("level"), at.alias("at")))
+        return F.struct(F.concat(still, here).alias("open"), F.concat(state["parents"], F.array(parent)).alias("parents"))
+
+    none = F.struct(F.array().cast("array<struct<level:int,at:int>>").alias("open"), F.array().cast("array<int>").alias("parents"))
+    found = df.withColumn("_parents", F.aggregate(F.coalesce(headings, F.array().cast("array<struct<level:int,text:string>>")), none, step)["parents"])
+
+    def under(i: Column) -> Column:
+        below = F.filter(F.arrays_zip(F.col("_parents").alias("p"), F.col(headings).alias("h")), lambda x: x["p"] == i)
+        return F.transform(below, lambda x: x["h"]["text"])
+
+    same = lambda h: F.array_position(F.transform(headings, lambda x: F.struct(x["level"], x["text"])), F.struct(h["level"], h["text"])).cast("int") - 1
+    nodes = F.transform(headings, lambda h, i: F.struct(i.alias("position"), h["level"].alias("level"), h["text"].alias("heading"), F.col("_parents")[i].alias("parent"), under(same(h)).alias("children")))
+    return found.select(*rest, F.explode(nodes).alias("_x")).select(*rest, "_x.*")
+
+
+def heading_chunks(df: DataFrame, title: Column, headings: str = "headings") -> DataFrame:
+    """heading_tree with chunk: the title, the heading with its marks and the names of the sections below it."""
+    tree = heading_tree(df.withColumn("_title", title), headings)
+    parts = F.concat_ws(
+        "\n",
+        F.when(F.coalesce("_title", F.lit("")) != "", F.concat(F.lit("Document: "), F.col("_title"))),
+        F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), F.col("heading")),
+        F.when(F.size("children") > 0, F.concat(F.lit("Sections: "), F.array_join("children", ", "))),
+    )
+    return tree.withColumn("chunk", parts).drop("_title")
+
+
+#: Characters around a chunk from which its context is taken, and most characters of the context.
+AROUND, CONTEXT = 300, 400
+
+
+def with_context(df: DataFrame, title: Column, text: str = "text", chunks: str = "chunks") -> DataFrame:
+    """One row per chunk of each row: position and chunk, behind its document's title, its heading and the sentences around it.
+
+    df has a text and an array of its chunks; other columns stay. A chunk stands
+    where its text begins first. Its heading is the last one (levels 1 to 3) that
+    begins there or before; the sentences are those of AROUND characters before
+    and after, as many as keep within CONTEXT. A chunk that is not in the text,
+    or that gets no context, has what there is. The text stays in its row: only
+    the chunks are rows of their own.
+    """
+    rest = [c for c in df.columns if c not in (text, chunks)]
+    trim = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    body = F.col(text)
+
+    def around(chunk: Column, at: Column) -> Column:
+        split = lambda x: F.filter(F.transform(F.split(trim(x), r"(?<=[.!?])\s+"), trim), lambda s: s != "")
+        first = F.greatest(F.lit(1), at - AROUND)
+        chars = lambda n, s: n + F.length(s)
+
+        def fitting(before: Column) -> Column:
+            def take(state: Column, s: Column) -> Column:
+                used = state["used"] + F.length(s)
+                return F.struct(used.alias("used"), F.when(used <= CONTEXT, F.concat(state["kept"], F.array(s))).otherwise(state["kept"]).alias("kept"))
+
+            start = F.struct(F.aggregate(before, F.lit(0), chars).alias("used"), before.alias("kept"))
+            return F.aggregate(split(F.substring(body, at + F.length(chunk), F.lit(AROUND))), start, take, lambda state: F.array_join(state["kept"], " "))
+
+        return T.once(split(F.substring(body, first, at - first)), fitting)
+
+    def section(at: Column) -> Column:
+        line_end = F.locate("\n", F.substring(body, at, F.length(body))) + at - 1
+        upto = F.substring(body, F.lit(1), F.when(line_end < at, F.length(body)).otherwise(line_end))
+        return trim(F.element_at(F.concat(F.array(F.lit("")), F.regexp_extract_all(upto, F.lit(r"(?m)^#{1,3}[ \t]+(\S[^\n]*)$"), F.lit(1))), -1))
+
+    def enriched(chunk: Column) -> Column:
+        some = lambda name, value: F.transform(F.filter(F.array(value), lambda v: v != ""), lambda v: F.concat(F.lit(f"{name}: "), v))
+        of_text = lambda at: F.concat(some("Section", section(at)), some("Context", around(chunk, at)))
+        found = T.once(F.position(chunk, body), lambda at: F.when(at > 0, of_text(at)).otherwise(F.array().cast("array<string>")))
+        head = F.concat(some("Document", F.coalesce(title, F.lit(""))), found)
+        return T.once(F.array_join(head, "\n"), lambda h: F.when(h == "", chunk).otherwise(F.concat(h, F.lit("\n\n"), chunk)))
+
+    return df.select(*rest, F.posexplode(F.transform(chunks, enriched)).alias("position", "chunk"))
+
+
 #: Lines that begin a chapter or section.
 CHAPTER = r"(?:Chapter|CHAPTER|Глава|ГЛАВА)\s+\d+|(?:Section|SECTION|Раздел)\s+\d+|\d+\.\s+\w|(?:Part|PART|Часть)\s+\d+|[IVXLC]+\.\s+\w"
 

@@ -35,17 +35,40 @@ query(
 query("CHK02_packed_paragraphs")(lambda t: C.pack_markdown(whole_marked(t), most=400, least=40, overlap=20, split=r"\n"))
 query("CHK03_merged_short")(lambda t: C.pack(t.documents, most=200, least=80, split=r"\n"))
 query("CHK04_html_chunks")(lambda t: C.pack(t.pages.select(c("page_id").alias("doc_id"), T.html_text(c("html")).alias("text")), most=200, least=40, split=r"\n"))
-query("CHK05_heading_index", "WITH d AS (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) SELECT doc_id, 'Part ' || doc_id AS heading, 'Rest' AS children FROM d")(
-    lambda t: C.heading_sections(whole_marked(t)).where("heading <> 'root'").withColumn("parent", F.last(F.when(c("level") == 1, c("heading")), ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1))).groupBy("doc_id").agg(
-        F.max(F.when(c("level") == 1, c("heading"))).alias("heading"), F.array_join(F.array_sort(F.collect_list(F.when((c("level") > 1) & c("parent").isNotNull(), c("heading")))), ",").alias("children")
-    )
+# every line of a text is a heading here, its level by its length: trees of any shape, six levels deep
+LINES = r"list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')"
+query(
+    "CHK05_heading_index",
+    f"""WITH h AS (SELECT doc_id, unnest(l) AS heading, unnest(range(len(l)))::INT AS position FROM (SELECT doc_id, {LINES} AS l FROM documents WHERE text IS NOT NULL)),
+    v AS (SELECT *, (length(heading) % 6 + 1)::INT AS level FROM h),
+    p AS (SELECT v.doc_id, v.position, v.level, v.heading, coalesce(max(b.position), -1)::INT AS parent FROM v LEFT JOIN v b ON b.doc_id = v.doc_id AND b.position < v.position AND b.level < v.level GROUP BY ALL),
+    k AS (SELECT doc_id, parent AS position, string_agg(heading, ', ' ORDER BY p.position) AS children FROM p WHERE parent >= 0 GROUP BY 1, 2),
+    f AS (SELECT *, min(position) OVER (PARTITION BY doc_id, level, heading) AS first FROM p)
+    SELECT f.doc_id, f.position, parent, 'Document: doc' || f.doc_id || chr(10) || repeat('#', level) || ' ' || heading || coalesce(chr(10) || 'Sections: ' || children, '') AS chunk
+    FROM f LEFT JOIN k ON k.doc_id = f.doc_id AND k.position = f.first""",
+)(
+    lambda t: C.heading_chunks(
+        t.documents.select("doc_id", F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), lambda x: F.struct((F.length(x) % 6 + 1).alias("level"), x.alias("text"))).alias("headings")), F.concat(F.lit("doc"), c("doc_id"))
+    ).select("doc_id", "position", "parent", "chunk")
 )
 query("CHK06_document_chunk", "SELECT doc_id, 'doc' || doc_id || chr(10) || left(text, 500) AS chunk FROM documents")(lambda t: t.documents.select("doc_id", F.concat(F.lit("doc"), c("doc_id"), F.lit("\n"), F.substring("text", 1, 500)).alias("chunk")))
 SECTIONS = rf"""WITH m AS (SELECT doc_id, {WHOLE_SQL} AS text FROM documents), p AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '(?m)^(#{{1,3}}\s+\S)', chr(1) || '\1', 'g'), chr(1)), lambda x: regexp_matches(x, '^#{{1,3}}\s+\S')) AS p, text FROM m),
     e AS (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) - 1 AS position FROM p WHERE len(p) > 0),
     q AS (SELECT doc_id, position::INT AS position, trim(regexp_extract(s, '^#{{1,3}}\s+([^\n]+)', 1)) AS heading, regexp_replace(regexp_replace(s, '^#{{1,3}}\s+[^\n]+', ''), '^\s+|\s+$', '', 'g') AS text FROM e UNION ALL SELECT doc_id, 0, 'root', regexp_replace(text, '^\s+|\s+$', '', 'g') FROM p WHERE len(p) = 0)"""
 PARTS = r"string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
-query("CHK07_enriched_chunks", f"{SECTIONS} SELECT doc_id, position, 'Section: ' || heading || chr(10) || CASE WHEN len({PARTS}) <= 2 THEN text ELSE array_to_string(({PARTS})[1:2], ' ') || '...' END AS chunk FROM q")(lambda t: C.heading_sections(whole_marked(t)).select("doc_id", "position", F.concat_ws("\n", F.concat(F.lit("Section: "), c("heading")), T.two_sentences(c("content"))).alias("chunk")))
+TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+AROUND_SQL = r"list_filter(list_transform(string_split(regexp_replace({}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"
+query(
+    "CHK07_enriched_chunks",
+    rf"""WITH m AS (SELECT doc_id, {WHOLE_SQL} AS text FROM documents WHERE text IS NOT NULL),
+    l AS (SELECT doc_id, text, unnest(l) AS chunk, unnest(range(len(l)))::INT AS position FROM (SELECT doc_id, text, {LINES} AS l FROM m)),
+    a AS (SELECT *, instr(text, chunk) AS spot FROM l),
+    b AS (SELECT *, {AROUND_SQL.format(TRIM.format("substr(text, greatest(1, spot - 300), spot - greatest(1, spot - 300))"))} AS before, {AROUND_SQL.format(TRIM.format("substr(text, spot + length(chunk), 300)"))} AS after,
+        coalesce(list_last(regexp_extract_all(substr(text, 1, spot - 1) || split_part(substr(text, spot), chr(10), 1), '(?m)^#{{1,3}}[ 	]+(\S[^
+]*)$', 1)), '') AS heading FROM a),
+    x AS (SELECT *, trim(array_to_string(list_concat(before, list_filter(after, lambda s, i: coalesce(list_sum(list_transform(before, lambda y: length(y))), 0) + list_sum(list_transform(after[1:i], lambda y: length(y))) <= 400)), ' ')) AS context FROM b)
+    SELECT doc_id, position, 'Document: doc' || doc_id || CASE WHEN heading <> '' THEN chr(10) || 'Section: ' || trim(heading) ELSE '' END || CASE WHEN context <> '' THEN chr(10) || 'Context: ' || context ELSE '' END || chr(10) || chr(10) || chunk AS chunk FROM x""",
+)(lambda t: C.with_context(whole_marked(t).where("text is not null").withColumn("chunks", F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")), F.concat(F.lit("doc"), c("doc_id"))))
 query("CHK08_adaptive")(lambda t: C.adaptive_chunks(t.documents))
 query(
     "CHK09_code_chunks",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import analytics as A
+from ..operators import sketches as S
 from ..operators.evaluation import action
 from .registry import query
 
@@ -162,6 +163,7 @@ query("CHK12_qa_documents", f"{QA} SELECT conv_id, 'Q: ' || question || chr(10)
     )
 )
 query("FUN56_enriched_query", "SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS query FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 2 GROUP BY 1")(lambda t: recent(t).where("r <= 2").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), " ").alias("query")))
+query("AGG28_mention_sketch")(lambda t: S.frequent(t.conversations.select(F.explode(S.mentions(c("text"))).alias("item")), 500))
 query("AGG28_top_mentions", r"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word FROM conversations) GROUP BY 1 ORDER BY n DESC, word LIMIT 20")(
     lambda t: t.conversations.select(F.explode(T.words(c("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(20)
 )

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import analytics as A
 from ..operators import evaluation as E
 from ..operators import pruned as P
 from ..operators import ranking as R
@@ -324,23 +325,8 @@ query(
     s AS (SELECT score, sum(p) OVER w AS tp, sum(n) OVER w AS fp, lead(score) OVER w AS nx, (SELECT sum(p) FROM k) AS ap FROM k WINDOW w AS (ORDER BY score DESC)), f AS (SELECT *, coalesce(2.0::DOUBLE * tp / (tp + fp + ap), 0) AS f1 FROM s),
     b AS (SELECT score, f1, 1 AS seen FROM f UNION ALL SELECT (score + nx) / 2, f1, 0 FROM f WHERE nx IS NOT NULL) SELECT round(score, 6) AS threshold, round(f1, 6) AS f1 FROM b ORDER BY f1 DESC, seen DESC, score LIMIT 1""",
 )(lambda t: E.calibrated(t.documents.join(t.labels, "doc_id").select(F.round(F.length("text") / 5000, 3).alias("score"), c("quality").alias("label"))).select(F.round("threshold", 6).alias("threshold"), F.round("f1", 6).alias("f1")))
-query("EVA28_split", "SELECT vec_id, CASE WHEN vec_id % 10 < 8 THEN 'train' WHEN vec_id % 10 = 8 THEN 'validation' ELSE 'test' END AS part FROM embeddings")(
-    lambda t: t.embeddings.select("vec_id", F.when(c("vec_id") % 10 < 8, "train").when(c("vec_id") % 10 == 8, "validation").otherwise("test").alias("part"))
-)
-
-
-@query(
-    "entry_retrieval",
-    f"""{LEVELS.replace('h AS (SELECT * FROM (SELECT *, row_number()', 'h AS (SELECT * FROM (SELECT *, row_number()')},
-    kr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r, count(*) OVER v AS n, min(score) OVER v AS lo, max(score) OVER v AS hi FROM l WINDOW v AS (PARTITION BY query_id)),
-    ka AS (SELECT *, CASE WHEN n > 2 AND hi > lo THEN round(abs((r - 1) / (n - 1)::DOUBLE + (score - lo) / (hi - lo) - 1), 9) END AS away FROM kr),
-    kx AS (SELECT query_id, greatest(2, first(r ORDER BY away DESC NULLS LAST, r)) AS knee FROM ka GROUP BY 1),
-    ke AS (SELECT ka.query_id, ka.doc_id, ka.r FROM ka JOIN kx USING (query_id) WHERE r <= CASE WHEN n <= 2 THEN n WHEN hi = lo THEN greatest(2, n // 2) ELSE knee END),
-    rel AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id FROM embeddings q JOIN embeddings d ON q.label = d.label AND q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0)
-    SELECT query_id, count(*) AS kept, count(rel.doc_id) AS relevant FROM ke LEFT JOIN rel USING (query_id, doc_id) GROUP BY 1""",
-)
-def entry_retrieval(t: Tables) -> DataFrame:
-    """Dense search, score levels, knee pruning, and how many kept hits are relevant."""
-    kept = R.knee(R.threshold(shifted(t)))
-    v = vectors(t)
-    return E.class_hits(kept, v.where(c("id") % 20 == 0), v).groupBy("query_id").agg(F.count("*").alias("kept"), F.count_if("hit").alias("relevant"))
+query(
+    "EVA28_split",
+    """WITH o AS (SELECT vec_id, row_number() OVER (ORDER BY md5('42:' || vec_id), vec_id) - 1 AS place, count(*) OVER () AS n FROM embeddings)
+    SELECT vec_id, CASE WHEN place < floor(n * 0.8::DOUBLE) THEN 'train' WHEN place < floor(n * 0.8::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'validation' ELSE 'test' END AS part FROM o""",
+)(lambda t: A.seeded_split(t.embeddings.select("vec_id"), "vec_id", {"train": 0.8, "validation": 0.1, "test": 0.1}, 42))
