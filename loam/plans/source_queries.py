@@ -10,6 +10,7 @@ from ..functions.plugins import embedded
 from ..session import shared_dir
 from ..sources import readers as R
 from ..sources import sinks as K
+from ..sources.paged import export_pages, paged_records
 from ..sources.schemas import FEEDBACK
 from ..streaming.pipelines import retried
 from .registry import Tables, query
@@ -55,6 +56,14 @@ query("SRC01_document_contract", f"SELECT page_id::VARCHAR AS source_id, 'conflu
     lambda t: R.wiki_pages(pages(t)).select("source_id", "source_type", "title", "content_type", F.sha2("content", 256).alias("hash"))
 )
 query("SRC02_incremental_pages", "SELECT page_id::VARCHAR AS source_id, 'p' || page_id AS title FROM pages WHERE page_id % 28 + 1 > 14")(lambda t: R.since(R.wiki_pages(pages(t)), "2024-01-14").select("source_id", "title"))
+@query("SRC02_paged_scan", "SELECT o_orderkey::BIGINT AS id, strftime(o_orderdate, '%Y-%m-%d') || 'T12:00:00' AS updated_at, o_orderpriority AS body FROM orders WHERE o_orderdate >= DATE '1997-01-01'")
+def paged_scan(t: Tables) -> DataFrame:
+    """Orders as exported records, read page by page from a day on."""
+    path = shared_dir(t.spark, "export")
+    export_pages(t.orders.select(c("o_orderkey").cast("long").alias("id"), F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T12:00:00")).alias("updated_at"), c("o_orderpriority").alias("body")), path)
+    return paged_records(t.spark, path, "id long, updated_at string, body string", since="1997-01-01")
+
+
 query("SRC03_wiki_pages", "SELECT page_id::VARCHAR AS source_id, (page_id % 5)::VARCHAR AS version, CASE WHEN page_id % 2 = 0 THEN 'ENG-1' ELSE 'HR' END AS space FROM pages")(lambda t: R.wiki_pages(pages(t)).select("source_id", c("metadata")["version"].alias("version"), c("metadata")["space"].alias("space")))
 query("SRC05_issue_scan", "SELECT 'PROJ-' || o_orderkey AS source_id FROM orders WHERE o_orderstatus = 'O'")(lambda t: R.issues(tickets(t)).where(c("metadata")["status"] == "O").select("source_id"))
 query("SRC06_issues", "SELECT 'PROJ-' || o_orderkey AS source_id, o_orderstatus || chr(10) || chr(10) || 'bob: done' AS content FROM orders")(lambda t: R.issues(tickets(t)).select("source_id", "content"))

@@ -7,6 +7,8 @@ multiples of 13 changed.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from ..operators import analytics as A
 from ..operators import chunking as C
 from ..operators import compression as M
 from ..operators import versioning as V
+from ..session import shared_dir
+from ..sources import snapshots as N
 from .registry import Tables, query
 
 c = F.col
@@ -49,6 +53,29 @@ query("SRC34_stripped_chunks", "SELECT sha256(text) AS hash, source AS source_id
 query("SRC35_upserts", "SELECT coalesce(b.doc_id, a.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 1 ELSE 2 END AS v FROM (SELECT doc_id FROM documents) a LEFT JOIN (SELECT doc_id FROM documents WHERE doc_id % 4 = 0) b USING (doc_id)")(
     lambda t: V.upsert(t.documents.select("doc_id", F.lit(1).alias("v")), t.documents.where("doc_id % 4 = 0").select("doc_id", F.lit(2).alias("v")), "doc_id", "v")
 )
+
+
+@query(
+    "SRC35_point_writes",
+    """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 1 THEN 'pending' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 5 = 1 THEN 0 ELSE o_orderkey % 4 END::INT AS retry_count,
+        CASE WHEN o_orderkey % 5 = 2 THEN 'noted' ELSE o_orderpriority END AS note, CASE WHEN o_orderkey % 5 = 3 THEN strftime(o_orderdate, '%Y-%m-%d') END AS deleted_at FROM orders WHERE o_orderkey % 5 <> 0
+    UNION ALL SELECT -o_orderkey, 'new', 1, NULL, NULL FROM orders WHERE o_orderkey % 50 = 0 AND o_orderkey > 0""",
+)
+def point_writes(t: Tables) -> DataFrame:
+    """Messages put at once, then acknowledged, requeued, changed in one column, softly deleted and put anew in a second write."""
+    kept = N.Snapshot(t.spark, shared_dir(t.spark, "messages"), "id long, status string, retry_count int, note string, deleted_at string", "id", 16)
+    o = t.orders.withColumn("id", c("o_orderkey").cast("long"))
+    kept.write(N.changes(o.select("id", c("o_orderstatus").alias("status"), (c("id") % 4).cast("int").alias("retry_count"), c("o_orderpriority").alias("note")), N.PUT))
+    some = lambda r: o.where(c("id") % 5 == r)
+    parts = [
+        N.acknowledged(some(0), "id"), N.requeued(some(1), "id"), N.changes(some(2).select("id"), N.CHANGE, note=F.lit("noted")), N.softly_deleted(some(3), "id", F.lit(None).cast("string")),
+        N.changes(some(3).select("id", c("o_orderdate").cast("date").cast("string").alias("deleted_at")), N.CHANGE, seq=1),
+        N.changes(o.where((c("id") % 50 == 0) & (c("id") > 0)).select((-c("id")).alias("id"), F.lit("new").alias("status"), F.lit(1).alias("retry_count")), N.PUT),
+    ]
+    kept.write(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
+    return kept.read()
+
+
 FILTER = ["*.md", "docs/*", "test"]
 
 
