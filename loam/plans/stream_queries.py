@@ -23,6 +23,8 @@ from ..operators import ranking as R
 from ..operators import versioning as V
 from ..sources import books, readers
 from ..streaming import pipelines as P
+from ..streaming.etl import DocumentFlow
+from ..streaming.models import transitions
 from .registry import Tables, query
 from .search_queries import dense
 from .source_queries import changes, folder, pages, requests, tickets
@@ -89,6 +91,37 @@ def lifecycle(t: Tables) -> DataFrame:
 query("STR07_document_stream")(lambda t: drained(t, arrived(t, t.documents.select("doc_id", "text").repartition(4)), lambda df: chunking.pack(df, most=300, least=40, split=r"\n").withColumn("reason", T.boilerplate_reason(c("chunk"))).where("reason = ''")))
 
 
+@query(
+    "STR07_document_flow",
+    r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS chunk FROM documents), k AS (SELECT * FROM l WHERE length(chunk) >= 20),
+    n AS (SELECT doc_id, count(*) AS chunks, sum(length(chunk)) AS size FROM k GROUP BY 1),
+    w AS (SELECT doc_id, regexp_replace(regexp_replace(unnest(regexp_split_to_array(chunk, '\s+')), '^[.,;:!?()\[\]{}''"]+', ''), '[.,;:!?()\[\]{}''"]+$', '') AS name FROM k),
+    e AS (SELECT doc_id, count(DISTINCT name) AS names FROM w WHERE length(name) > 2 AND regexp_matches(name, '^\p{Lu}|[_-]') GROUP BY 1)
+    SELECT d.doc_id, coalesce(chunks, 0) AS chunks, coalesce(names, 0) AS names, coalesce(size, 0)::BIGINT AS size FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN n USING (doc_id) LEFT JOIN e USING (doc_id)""",
+)
+def document_flow(t: Tables) -> DataFrame:
+    """All documents as a stream, chunked by line into chunk, graph, vector and status tables; counts from those tables."""
+    lines = lambda df: df.select("doc_id", F.posexplode(F.split("text", "\n")).alias("position", "chunk"))
+    flow = DocumentFlow(folder(t, "flow"), lines, lambda x: F.length(x) >= 20, lambda x: F.array(F.length(x).cast("float")))
+    flow.run(arrived(t, t.documents.select("doc_id", "text").repartition(4)), folder(t, "state")).awaitTermination()
+    names = flow.read(t.spark, "edges").groupBy("doc_id").agg(F.count("*").alias("names"))
+    size = flow.read(t.spark, "vectors").groupBy("doc_id").agg(F.sum(F.col("vector")[0]).cast("long").alias("size"))
+    out = flow.read(t.spark, "status").drop("batch").join(names, "doc_id", "left").join(size, "doc_id", "left")
+    return out.select("doc_id", "chunks", F.coalesce("names", F.lit(0)).alias("names"), F.coalesce("size", F.lit(0)).alias("size"))
+
+
+@query("FUN62_model_states")
+def model_states(t: Tables) -> DataFrame:
+    """Events as the life of fifty models: sign-ups set splits, views and clicks are good answers, errors bad ones, some purchases promote or roll back."""
+    kind = F.when(c("event_type") == "signup", "split").when(c("event_type") == "error", F.when(c("event_id") % 8 == 0, "fail").otherwise("ok")).when(c("event_type") == "purchase", F.when(c("event_id") % 3 == 0, "promote").when(c("event_id") % 3 == 1, "rollback").otherwise("ok")).otherwise("ok")
+    split = c("event_type") == "signup"
+    events = t.events.select(
+        F.concat(F.lit("model-"), c("user_id") % 50).alias("model"), (F.unix_micros(c("ts").cast("timestamp")) / 1e6).alias("ts"), kind.alias("kind"),
+        F.when(split, c("event_id") % 90 / 100).alias("percent"), F.when(split, F.concat(F.lit("v"), c("event_id"))).alias("version"),
+    )
+    return transitions(events)
+
+
 @query("STR09_rate_limit")
 def rate_limit(t: Tables) -> DataFrame:
     stream = arrived(t, t.events.select("user_id", (F.unix_micros(c("ts").cast("timestamp")) / 1e6).alias("t")).coalesce(1))
