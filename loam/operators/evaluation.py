@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,18 +100,149 @@ def signal_confidence(context: Column, answer: Column, nli: Column, doubts: Colu
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6)
 
 
+#: A word of a text in lower case, and words that ask rather than tell.
+WORD, KEYWORD = re.compile(r"\w+"), re.compile(r"[a-z0-9]+")
+STOP = frozenset(T.METRIC_STOP)
+
+
+def keywords_of(text: str) -> set[str]:
+    return {w for w in KEYWORD.findall(text) if len(w) > 1 and w not in STOP}
+
+
+def claim_counts(claims: Column, context: Column, keywords: bool = False) -> Column:
+    """struct(n, sizes, hits): words of a context, words of each claim, and how many of them the context has.
+
+    Words are told apart, in lower case; with keywords only those of ASCII
+    letters and digits that are no stop words. A context is read once, so a long
+    text of many claims costs its length.
+    """
+    find = keywords_of if keywords else lambda text: set(WORD.findall(text))
+
+    @F.pandas_udf("struct<n:int,sizes:array<int>,hits:array<int>>")
+    def count(claims: pd.Series, contexts: pd.Series) -> pd.DataFrame:
+        out = []
+        for own, context in zip(claims, contexts, strict=True):
+            known = find((context or "").lower())
+            sets = [find(x.lower()) for x in (own if own is not None else [])]
+            out.append((len(known), [len(x) for x in sets], [len(x & known) for x in sets]))
+        return pd.DataFrame(out, columns=["n", "sizes", "hits"])
+
+    return count(claims, context)
+
+
+def supports(n: Column, size: Column, hits: Column) -> Column:
+    """Half cosine, half containment of a claim of size words, hits of them in a context of n; 0 where either has none."""
+    both = hits / F.sqrt(size.cast("double") * n) * 0.5 + hits / size * 0.5
+    return F.when((size == 0) | (n == 0), 0.0).otherwise(both)
+
+
 def grounded_claims(df: DataFrame, threshold: float) -> DataFrame:
-    """id, claim, supported: each claim of answer against its context, by half cosine and half containment.
+    """id, at, claim, support, supported: each claim of answer against its context, by half cosine and half containment."""
+    read = df.select("id", T.claims(F.col("answer")).alias("claims"), "context").withColumn("x", claim_counts(F.col("claims"), F.col("context")))
+    claims = read.select("id", F.col("x.n").alias("n"), F.posexplode(F.arrays_zip("claims", F.col("x.sizes").alias("size"), F.col("x.hits").alias("hits"))).alias("at", "y"))
+    scored = claims.select("id", "at", F.col("y.claims").alias("claim"), supports(F.col("n"), F.col("y.size"), F.col("y.hits")).alias("support"))
+    return scored.withColumn("supported", F.col("support") >= threshold)
 
-    A context's words are found once, below the explode of the claims, and a
-    claim's once, below the score.
+
+def claim_report(df: DataFrame, threshold: float = 0.25) -> DataFrame:
+    """id, rate, supported and unsupported claims in order, total, for each row of df (id, answer, context).
+
+    An answer without claims has rate 0 and no claims; against a blank context
+    no claim is supported.
+    """
+    read = df.select("id", F.coalesce(T.claims(F.col("answer")), F.array().cast("array<string>")).alias("claims"), "context").withColumn("x", claim_counts(F.col("claims"), F.col("context")))
+    held = F.transform("claims", lambda claim, i: F.struct(claim.alias("claim"), (supports(F.col("x.n"), F.col("x.sizes")[i], F.col("x.hits")[i]) >= threshold).alias("yes")))
+    read = read.select("id", held.alias("c"))
+    which = lambda yes: F.transform(F.filter("c", lambda x: x["yes"] == yes), lambda x: x["claim"])
+    rows = read.select("id", which(True).alias("supported"), which(False).alias("unsupported"), F.size("c").alias("total"))
+    return rows.select("id", F.round(F.coalesce(F.try_divide(F.size("supported"), "total"), F.lit(0.0)), 3).alias("rate"), "supported", "unsupported", "total")
+
+
+def first_sentences(claims: list[str], context: str, least: float) -> list[str | None]:
+    """For each claim the first sentence of context that supports it; sentences are asked through an index of their words."""
+    sentences = [s for s in re.split(r"(?<=[.!?])\s+", context)]
+    sets = [set(WORD.findall(s.lower())) for s in sentences]
+    sizes = np.array([len(x) for x in sets])
+    places: dict[str, list[int]] = {}
+    for i, words in enumerate(sets):
+        for w in words:
+            places.setdefault(w, []).append(i)
+    out: list[str | None] = []
+    for claim in claims:
+        own = set(WORD.findall(claim.lower()))
+        hits = np.bincount([i for w in own for i in places.get(w, ())], minlength=len(sets))
+        at = np.flatnonzero(hits)
+        share = hits[at] / np.sqrt(float(len(own)) * sizes[at]) * 0.5 + hits[at] / max(1, len(own)) * 0.5
+        good = at[share >= least]
+        out.append(sentences[good[0]].strip() if len(good) else None)
+    return out
+
+
+def hallucinations(df: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """id, rate, hallucinated claims, supported, total and evidence of each row of df (id, answer, context).
+
+    evidence has, for each supported claim in order, the first sentence of the
+    context that supports it alone, or "context" where only the whole does. An
+    answer without claims has rate 0.
+    """
+    report = claim_report(df, threshold).withColumnsRenamed({"id": "_id", "supported": "_yes", "unsupported": "hallucinated", "rate": "_rate"})
+    rows = df.select("id", "context").join(report, F.col("id").eqNullSafe(F.col("_id")))
+
+    @F.pandas_udf("array<string>")
+    def evidence(claims: pd.Series, contexts: pd.Series) -> pd.Series:
+        return pd.Series([[x or "context" for x in first_sentences(list(own), context or "", threshold)] for own, context in zip(claims, contexts, strict=True)])
+
+    rate = F.round(F.coalesce(F.try_divide(F.size("hallucinated"), "total"), F.lit(0.0)), 3)
+    return rows.select("id", rate.alias("rate"), "hallucinated", F.col("_yes").alias("supported"), "total", evidence("_yes", "context").alias("evidence"))
+
+
+def keywords(text: Column) -> Column:
+    """keywords_of as a column."""
+    return F.filter(F.array_distinct(T.matches(F.lower(text), "[a-z0-9]+")), lambda w: (F.length(w) > 1) & ~w.isin(T.METRIC_STOP))
+
+
+def lexical_metrics(df: DataFrame) -> DataFrame:
+    """id, faithfulness, answer_relevance, context_relevance, overall of each row of df (id, question, answer, contexts).
+
+    faithfulness: share of an answer's sentences of more than ten characters of
+    which the contexts hold 30 % of the keywords (1 without such a sentence);
+    answer_relevance: share of the question's keywords in the answer;
+    context_relevance: share of contexts that hold 30 % of them (both one half
+    without keywords). 0 where a side is missing.
+    """
+    sentences = F.filter(F.transform(F.split("answer", r"\."), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: F.length(x) > 10)
+    rows = df.select("id", "question", "answer", "contexts", sentences.alias("s"), F.array_join("contexts", " ").alias("joined"), keywords(F.col("question")).alias("q"))
+    rows = rows.withColumn("x", claim_counts(F.col("s"), F.col("joined"), keywords=True)).withColumn("a", keywords(F.col("answer")))
+    good = F.size(F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (F.col("x.sizes")[i] > 0) & (F.col("x.hits")[i] / F.col("x.sizes")[i] >= 0.3)))
+    missing = lambda x: F.coalesce(F.length(x), F.lit(0)) == 0
+    faithful = F.when(missing("answer") | missing("joined"), 0.0).when(F.size("s") == 0, 1.0).otherwise(good / F.size("s"))
+    share = lambda words: T.overlap(F.col("q"), words) / F.size("q")
+    answered = F.when(missing("question") | missing("answer"), 0.0).when(F.size("q") == 0, 0.5).otherwise(share(F.col("a")))
+    near = F.size(F.filter("contexts", lambda x: share(keywords(x)) >= 0.3))
+    relevant = F.when(missing("question") | (F.coalesce(F.size("contexts"), F.lit(0)) == 0), 0.0).when(F.size("q") == 0, 0.5).otherwise(near / F.size("contexts"))
+    made = rows.select("id", faithful.alias("f"), answered.alias("a"), relevant.alias("c"))
+    names = {"f": "faithfulness", "a": "answer_relevance", "c": "context_relevance"}
+    return made.select("id", *[F.round(k, 6).alias(v) for k, v in names.items()], F.round((F.col("f") + F.col("a") + F.col("c")) / 3, 6).alias("overall"))
+
+
+def lite_metrics(df: DataFrame) -> DataFrame:
+    """id, faithfulness, relevancy, precision (four digits) of each row of df (id, question, answer, contexts).
+
+    faithfulness: share of an answer's claims that the contexts support by 0.3
+    (1 without claims); relevancy: share of the question's words in the answer
+    (one half without words); precision: share of contexts of whose words the
+    answer holds 15 %. 0 where a side is missing or blank.
     """
-    read = df.select("id", T.claims(F.col("answer")).alias("claims"), T.word_set(F.col("context")).alias("c"))
-    claims = read.select("id", "c", F.posexplode("claims").alias("at", "claim"))
-    worded = claims.select("id", "at", "claim", F.struct(T.word_set(F.col("claim")).alias("a"), F.col("c")).alias("x"))
-    support = T.once(F.col("x"), lambda x: T.support(x["a"], x["c"]))
-    scored = worded.select("id", "at", "claim", support.alias("support"))
-    return scored.select("id", "at", "claim", "support", (F.col("support") >= threshold).alias("supported"))
+    rows = df.select("id", "question", "answer", "contexts", F.coalesce(T.claims(F.col("answer")), F.array().cast("array<string>")).alias("claims"), F.array_join("contexts", " ").alias("joined"))
+    rows = rows.withColumn("x", claim_counts(F.col("claims"), F.col("joined"))).withColumn("a", T.word_set(F.col("answer"))).withColumn("q", T.word_set(F.col("question")))
+    good = F.size(F.filter(F.sequence(F.lit(0), F.size("claims") - 1), lambda i: supports(F.col("x.n"), F.col("x.sizes")[i], F.col("x.hits")[i]) >= 0.3))
+    blank = lambda x: F.coalesce(~F.col(x).rlike(r"\S"), F.lit(True))
+    missing = lambda x: F.coalesce(F.length(x), F.lit(0)) == 0
+    faithful = F.when(blank("answer") | blank("joined"), 0.0).when(F.size("claims") == 0, 1.0).otherwise(good / F.size("claims"))
+    relevancy = F.when(missing("answer") | missing("question"), 0.0).when(F.size("q") == 0, 0.5).otherwise(T.overlap(F.col("q"), F.col("a")) / F.size("q"))
+    used = F.size(F.filter(F.transform("contexts", T.word_set), lambda w: (F.size(w) > 0) & (T.overlap(F.col("a"), w) / F.size(w) >= 0.15)))
+    precision = F.when(missing("answer") | (F.size("a") == 0) | (F.coalesce(F.size("contexts"), F.lit(0)) == 0), 0.0).otherwise(used / F.size("contexts"))
+    return rows.select("id", F.round(faithful, 4).alias("faithfulness"), F.round(relevancy, 4).alias("relevancy"), F.round(precision, 4).alias("precision"))
 
 
 def grounding(df: DataFrame, threshold: float = 0.25) -> DataFrame:

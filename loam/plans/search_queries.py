@@ -265,6 +265,45 @@ CLAIM_SQL = rf"""WITH p AS (SELECT a.doc_id AS id, a.text AS text, b.text AS ctx
 query("EVA10_grounding", f"{CLAIM_SQL} SELECT id, count(*) AS total, count(*) FILTER (support >= 0.25::DOUBLE) AS supported, round(count(*) FILTER (support >= 0.25::DOUBLE) / count(*)::DOUBLE, 3) AS score FROM s GROUP BY 1")(lambda t: E.grounding(answers(t)))
 query("EVA11_claim_report", f"{CLAIM_SQL} SELECT id, claim, support >= 0.25::DOUBLE AS supported FROM s")(lambda t: E.grounded_claims(answers(t), 0.25).select("id", "claim", "supported"))
 query("EVA12_hallucination", f"{CLAIM_SQL} SELECT id, count(*) FILTER (support < 0.3::DOUBLE) AS unsupported, count(*) AS total FROM s GROUP BY 1")(lambda t: E.grounding(answers(t), 0.3).select("id", (c("total") - c("supported")).alias("unsupported"), "total"))
+query("EVA12_hallucination_report")(lambda t: E.hallucinations(answers(t)).select("id", "rate", F.array_join("hallucinated", "\n").alias("hallucinated"), F.array_join("evidence", "\n").alias("evidence"), "total"))
+
+
+def responses(t: Tables) -> DataFrame:
+    """A document answers its own first 120 characters; the next two documents are the contexts."""
+    d = t.documents.select("doc_id", "text")
+    after = lambda n: d.select((c("doc_id") - n).alias("id"), c("text").alias(f"c{n}"))
+    own = d.select(c("doc_id").alias("id"), F.substring("text", 1, 120).alias("question"), c("text").alias("answer"))
+    return own.join(after(1), "id", "left").join(after(2), "id", "left").select("id", "question", "answer", F.array_compact(F.array("c1", "c2")).alias("contexts"))
+
+
+KEYS = "list_filter(list_distinct(regexp_extract_all(lower({x}), '[a-z0-9]+')), lambda w: length(w) > 1 AND w NOT IN (" + ", ".join(f"'{w}'" for w in T.METRIC_STOP) + "))"
+RESPONSES = "r AS (SELECT d.doc_id AS id, left(d.text, 120) AS question, d.text AS answer, list_filter([x.text, y.text], lambda z: z IS NOT NULL) AS contexts FROM documents d LEFT JOIN documents x ON x.doc_id = d.doc_id + 1 LEFT JOIN documents y ON y.doc_id = d.doc_id + 2)"
+query(
+    "EVA13_lexical_metrics",
+    rf"""WITH {RESPONSES}, k AS (SELECT *, {KEYS.format(x='question')} AS q, {KEYS.format(x='answer')} AS a, {KEYS.format(x="array_to_string(contexts, ' ')")} AS ck, array_to_string(contexts, ' ') AS joined,
+        list_filter(list_transform(string_split(answer, '.'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 10) AS s FROM r),
+    m AS (SELECT id, CASE WHEN coalesce(answer, '') = '' OR joined = '' THEN 0 WHEN len(s) = 0 THEN 1 ELSE len(list_filter(list_transform(s, lambda x: {KEYS.format(x='x')}), lambda y: len(y) > 0 AND len(list_intersect(y, ck)) / len(y)::DOUBLE >= 0.3::DOUBLE)) / len(s)::DOUBLE END::DOUBLE AS f,
+        CASE WHEN coalesce(question, '') = '' OR coalesce(answer, '') = '' THEN 0 WHEN len(q) = 0 THEN 0.5 ELSE len(list_intersect(q, a)) / len(q)::DOUBLE END::DOUBLE AS a,
+        CASE WHEN coalesce(question, '') = '' OR len(contexts) = 0 THEN 0 WHEN len(q) = 0 THEN 0.5 ELSE len(list_filter(contexts, lambda z: len(list_intersect(q, {KEYS.format(x='z')})) / len(q)::DOUBLE >= 0.3::DOUBLE)) / len(contexts)::DOUBLE END::DOUBLE AS c FROM k)
+    SELECT id, round(f, 6) AS faithfulness, round(a, 6) AS answer_relevance, round(c, 6) AS context_relevance, round((f + a + c) / 3, 6) AS overall FROM m""",
+)(lambda t: E.lexical_metrics(responses(t)))
+CLAIMS_OF = r"""list_filter(list_transform(string_split(regexp_replace(regexp_replace(trim({x}), '([.!?])\s+', '\1' || chr(1), 'g'), '\n|;\s+', chr(1), 'g'), chr(1)), lambda p: trim(regexp_replace(regexp_replace(trim(p), '[;.]+$', ''), '^[-*•]\s*', ''))), lambda x: length(x) >= 10)"""
+query(
+    "EVA14_lite_metrics",
+    rf"""WITH {RESPONSES}, k AS (SELECT *, {W.format(x='question')} AS q, {W.format(x='answer')} AS a, {W.format(x="array_to_string(contexts, ' ')")} AS ck, array_to_string(contexts, ' ') AS joined, {CLAIMS_OF.format(x='answer')} AS s FROM r)
+    SELECT id, round(CASE WHEN NOT regexp_matches(coalesce(answer, ''), '\S') OR NOT regexp_matches(joined, '\S') THEN 0 WHEN len(s) = 0 THEN 1
+            ELSE len(list_filter(list_transform(s, lambda x: {W.format(x='x')}), lambda y: len(y) > 0 AND len(ck) > 0 AND len(list_intersect(y, ck)) / sqrt(len(y)::DOUBLE * len(ck)) * 0.5::DOUBLE + len(list_intersect(y, ck)) / len(y)::DOUBLE * 0.5::DOUBLE >= 0.3::DOUBLE)) / len(s)::DOUBLE END::DOUBLE, 4) AS faithfulness,
+        round(CASE WHEN coalesce(answer, '') = '' OR coalesce(question, '') = '' THEN 0 WHEN len(q) = 0 THEN 0.5 ELSE len(list_intersect(q, a)) / len(q)::DOUBLE END::DOUBLE, 4) AS relevancy,
+        round(CASE WHEN coalesce(answer, '') = '' OR len(a) = 0 OR len(contexts) = 0 THEN 0 ELSE len(list_filter(list_transform(contexts, lambda z: {W.format(x='z')}), lambda y: len(y) > 0 AND len(list_intersect(a, y)) / len(y)::DOUBLE >= 0.15::DOUBLE)) / len(contexts)::DOUBLE END::DOUBLE, 4) AS precision FROM k""",
+)(lambda t: E.lite_metrics(responses(t)))
+query(
+    "EVA11_verification_report",
+    rf"""WITH p AS (SELECT a.doc_id AS id, {CLAIMS_OF.format(x='a.text')} AS s, {W.format(x='b.text')} AS b FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),
+    k AS (SELECT id, b, unnest(s) AS claim, generate_subscripts(s, 1) AS spot FROM p), w AS (SELECT *, {W.format(x='claim')} AS a FROM k),
+    v AS (SELECT id, claim, spot, len(a) > 0 AND len(b) > 0 AND 0.5::DOUBLE * (len(list_intersect(a, b)) / sqrt(len(a)::DOUBLE * len(b))) + 0.5::DOUBLE * (len(list_intersect(a, b)) / len(a)::DOUBLE) >= 0.25::DOUBLE AS yes FROM w)
+    SELECT p.id, round(coalesce(count(*) FILTER (yes) / nullif(count(claim), 0)::DOUBLE, 0), 3) AS rate, coalesce(string_agg(claim, chr(10) ORDER BY spot) FILTER (yes), '') AS supported,
+        coalesce(string_agg(claim, chr(10) ORDER BY spot) FILTER (NOT yes), '') AS unsupported, count(claim)::INT AS total FROM p LEFT JOIN v USING (id) GROUP BY 1""",
+)(lambda t: E.claim_report(answers(t)).select("id", "rate", F.array_join("supported", "\n").alias("supported"), F.array_join("unsupported", "\n").alias("unsupported"), "total"))
 query("AGG32_hallucination_totals", f"{CLAIM_SQL} SELECT count(*) FILTER (support < 0.3::DOUBLE) AS unsupported, count(*) AS total, round(count(*) FILTER (support < 0.3::DOUBLE) / count(*)::DOUBLE, 6) AS rate FROM s")(
     lambda t: E.grounded_claims(answers(t), 0.3).agg(F.count_if(~c("supported")).alias("unsupported"), F.count("*").alias("total"), F.round(F.count_if(~c("supported")) / F.count("*"), 6).alias("rate"))
 )

@@ -166,3 +166,31 @@ def test_dense_search_of_odd_vectors(spark):
     df = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(3)
     got = {(r.query_id, r.doc_id, r.score) for r in vectors.dense_search(df, df, 3).collect()}
     assert got == {(1, 2, 0.5), (2, 1, 0.5), (4, 7, 2.0), (7, 4, 2.0)}
+
+
+def test_evidence_is_the_first_sentence_that_supports(spark):
+    from loam.operators import evaluation
+
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(25)]
+    say = lambda n: " ".join(rng.choices(words, k=n))
+    rows = []
+    for i in range(25):
+        context = " ".join(f"{say(rng.randint(1, 9))}{rng.choice('.!?')}" for _ in range(rng.randint(1, 20)))
+        answer = " ".join(f"{say(rng.randint(3, 8))}." for _ in range(rng.randint(1, 8)))
+        rows.append((i, answer, context))
+    rows += [(100, "This claim stands against nothing.", ""), (101, "", "a context"), (102, None, None), (103, "short", "short")]
+    df = spark.createDataFrame(rows, "id long, answer string, context string")
+    got = {r.id: r for r in evaluation.hallucinations(df).collect()}
+    assert (got[100].rate, got[100].total, list(got[100].evidence)) == (1.0, 1, []) and got[101].total == got[102].total == got[103].total == 0
+
+    def supported(claim, context):
+        a, b = set(re.findall(r"\w+", claim.lower())), set(re.findall(r"\w+", context.lower()))
+        return bool(a and b) and 0.5 * len(a & b) / math.sqrt(len(a) * len(b)) + 0.5 * len(a & b) / len(a) >= 0.3 - 1e-12
+
+    for i, answer, context in rows[:25]:
+        claims = [x.strip().rstrip(";.") for x in re.split(r"(?<=[.!?])\s+", answer)]
+        claims = [x for x in claims if len(x) >= 10]
+        yes = [x for x in claims if supported(x, context)]
+        assert list(got[i].supported) == yes and got[i].total == len(claims) and list(got[i].hallucinated) == [x for x in claims if x not in yes]
+        assert list(got[i].evidence) == [next((s.strip() for s in re.split(r"(?<=[.!?])\s+", context) if supported(x, s)), "context") for x in yes]
