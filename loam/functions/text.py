@@ -555,3 +555,28 @@ def staleness(ts: Column, as_of: Column, source_type: Column) -> Column:
     """0 (fresh) to 100: age over the source's days; 50 without a time."""
     days = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in FRESH_DAYS.items() for x in kv]), source_type), F.lit(FRESH_DEFAULT))
     return F.coalesce(F.least(F.lit(100.0), age_days(ts, as_of) / days * 100), F.lit(50.0))
+
+
+def expanded(query: Column, most: int = 3) -> Column:
+    """A query and up to most variants of it, by its first word or its keywords (words of more than three characters), each once."""
+    words = filter_words(query)
+    low = F.lower(query)
+    rest = lambda n: F.regexp_replace(F.substring(query, n, 1 << 30), r"^\s+|\s+$", "")
+    both = lambda a, b, n: F.array(query, F.concat(F.lit(a), rest(n)), F.concat(F.lit(b), rest(n)))
+    trimmed = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    at = F.locate(" vs ", query)
+    left, right = trimmed(F.substring(query, F.lit(1), at - 1)), trimmed(F.substring(query, at + 4, F.length(query)))
+    sides = lambda a: F.concat(F.lit(a), left, F.lit(" and "), right)
+    made = (
+        F.when(low.startswith("how") & (F.size(words) > 1), both("steps to ", "guide for ", 5))
+        .when(low.startswith("what"), both("definition of ", "explain ", 6))
+        .when(low.startswith("why"), both("reason for ", "cause of ", 5))
+        .when(at > 0, F.array(query, sides("difference between "), sides("comparison of ")))
+        .when(F.size(words) >= 2, F.array(query, F.array_join(words, " "), F.concat(words[0], F.lit(" related to "), F.try_element_at(words, F.lit(2)))))
+        .otherwise(F.array(query))
+    )
+    return F.slice(F.array_distinct(made), 1, most + 1)
+
+
+def filter_words(query: Column) -> Column:
+    return F.filter(pieces(query), lambda w: F.length(w) > 3)

@@ -198,3 +198,37 @@ def seeded_split(df: DataFrame, key: str, shares: dict[str, float], seed: int =
     for name, end in reversed(list(zip(names, ends, strict=False))):
         part = F.when(F.col("_place") < end, name).otherwise(part)
     return told.unionByName(ranked.withColumn("part", part).select(*df.columns, "part"))
+
+
+def compared(df: DataFrame, variant: str, value: str, a: str, b: str) -> DataFrame:
+    """One row: mean, std and count of both variants, two-tailed p, significant (p under 0.05) and effect (Cohen's d of b against a).
+
+    p and effect need two values of each variant; without them they are null
+    and significant is false. Values that are null do not count.
+    """
+    side = lambda name, p: [f(F.when(F.col(variant) == name, F.col(value))).alias(f"{n}_{p}") for n, f in (("mean", F.avg), ("std", F.stddev_samp), ("count", F.count))]
+    stats = df.where(F.col(value).isNotNull()).agg(*side(a, "a"), *side(b, "b"))
+    kept = df.where(F.col(value).isNotNull())
+    p = welch(kept, variant, value, a, b).select("p")
+    d = effect_size(kept, variant, value, a, b).select(F.col("d").alias("effect"))
+    enough = (F.col("count_a") >= 2) & (F.col("count_b") >= 2)
+    rows = stats.crossJoin(p).crossJoin(d)  # one row each
+    return rows.select(
+        *[F.round(F.col(c), 6).alias(c) for c in ("mean_a", "mean_b")], *[F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("std_a", "std_b")], "count_a", "count_b",
+        F.when(enough, F.col("p")).alias("p"), F.coalesce(enough & (F.col("p") < 0.05), F.lit(False)).alias("significant"), F.when(enough, F.col("effect")).alias("effect"),
+    )
+
+
+def trial_report(df: DataFrame, variant: str, metrics: list[str], weights: dict[str, float]) -> DataFrame:
+    """variant, trials, total_trials, weight, metric and its count, mean, std, min and max, for each variant and metric.
+
+    A row of df is a trial; weights names the shares of traffic, 1 where a
+    variant has none. Metrics without a value in a variant have no row.
+    """
+    long = df.select(F.col(variant).alias("variant"), F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("x"))
+    stats = metric_stats(long.select("variant", "x.*").where("value is not null"), ["variant", "metric"], "value")
+    trials = df.groupBy(F.col(variant).alias("_variant")).agg(F.count("*").alias("trials"))
+    total = trials.agg(F.sum("trials").alias("total_trials"))  # one row
+    known = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]) if weights else F.create_map().cast("map<string,double>")
+    weight = F.coalesce(F.try_element_at(known, F.col("variant")), F.lit(1.0))
+    return stats.join(trials, F.col("variant").eqNullSafe(F.col("_variant"))).crossJoin(F.broadcast(total)).select("variant", "trials", "total_trials", weight.alias("weight"), "metric", "n", "mean", "std", "min", "max")

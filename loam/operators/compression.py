@@ -182,3 +182,55 @@ def compress_to_budget(df: DataFrame, budget: int, key: str = "doc_id", text: st
     short = F.when(stripped(F.col("text")) == "", "").when(F.col("whole"), F.col("text")).otherwise(stripped(joined_up))
     out = rows.select(key, short.alias("short"))
     return out.select(key, "short", cost_of(F.length("short"), piece_count(F.col("short"))).alias("cost"))
+
+
+#: Least room, in tokens, for which the chunk that no longer fits is cut instead of left out.
+ROOM = {"relevance": 50, "summary": 20, "hierarchical": 50}
+
+
+def fitted(chunks: Column, budget: int, strategy: str) -> Column:
+    """The chunks of a query, best first, shortened to a budget of tokens by one of four strategies.
+
+    relevance: an equal share of the budget of each chunk, 50 at least; summary:
+    its first two sentences; hierarchical: the first three chunks whole, three
+    sentences of the next five, one of the rest; each until the budget is spent,
+    the chunk that overflows cut where enough room is left. proposition: all
+    sentences of more than 20 characters, one after the other while they fit.
+    Blank chunks are left out, null is no chunk. chunks is one query's list.
+    """
+    texts = F.transform(F.coalesce(chunks, F.array().cast("array<string>")), lambda x, i: F.struct(stripped(F.coalesce(x, F.lit(""))).alias("t"), i.alias("i")))
+    held = F.filter(texts, lambda x: x["t"] != "")
+    first = lambda text, n: F.array_join(F.slice(T.sentences(text), 1, n), " ")
+    if strategy == "proposition":
+        sentences = F.filter(F.transform(F.flatten(F.transform(held, lambda x: T.sentences(x["t"]))), stripped), lambda x: F.length(x) > 20)
+        none = F.struct(F.lit(0).alias("chars"), F.lit(0).alias("pieces"), F.array().cast("array<string>").alias("kept"), F.lit(False).alias("full"))
+
+        def add(state: Column, x: Column) -> Column:
+            chars, pieces = state["chars"] + F.length(x) + 1, state["pieces"] + piece_count(x)
+            over = state["full"] | (cost_of(chars, pieces) > budget)
+            more = F.struct(chars.alias("chars"), pieces.alias("pieces"), F.concat(state["kept"], F.array(x)).alias("kept"), F.lit(False).alias("full"))
+            stop = F.struct(state["chars"].alias("chars"), state["pieces"].alias("pieces"), state["kept"].alias("kept"), F.lit(True).alias("full"))
+            return F.when(over, stop).otherwise(more)
+
+        return F.aggregate(sentences, none, add, lambda state: F.array_join(state["kept"], " "))
+    share = F.greatest(F.lit(50), F.floor(F.lit(budget) / F.greatest(F.lit(1), F.size(texts))).cast("int"))
+    cost = lambda text: cost_of(F.length(text), piece_count(text))
+    if strategy == "relevance":
+        segments = F.transform(held, lambda x: F.struct(F.substring(x["t"], F.lit(1), share * 4).alias("t"), share.alias("cost")))
+    elif strategy == "summary":
+        segments = F.transform(F.transform(held, lambda x: first(x["t"], 2)), lambda t: F.struct(t.alias("t"), cost(t).alias("cost")))
+    elif strategy == "hierarchical":
+        short = F.transform(held, lambda x: F.when(x["i"] < 3, x["t"]).when(x["i"] < 8, first(x["t"], 3)).otherwise(first(x["t"], 1)))
+        segments = F.transform(short, lambda t: F.struct(t.alias("t"), cost(t).alias("cost")))
+    else:
+        raise ValueError(f"no strategy {strategy}")
+    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("kept"), F.lit(False).alias("full"))
+
+    def spend(state: Column, x: Column) -> Column:
+        made = lambda used, kept, full: F.struct(used.alias("used"), kept.alias("kept"), F.lit(full).alias("full"))
+        room = F.lit(budget) - state["used"]
+        whole = made(state["used"] + x["cost"], F.concat(state["kept"], F.array(x["t"])), False)
+        cut = F.when(room > ROOM[strategy], F.concat(state["kept"], F.array(F.substring(x["t"], F.lit(1), room * 4)))).otherwise(state["kept"])
+        return F.when(state["full"], state).when(x["cost"] > room, made(state["used"], cut, True)).otherwise(whole)
+
+    return F.aggregate(segments, start, spend, lambda state: F.array_join(state["kept"], "\n\n"))

@@ -296,3 +296,30 @@ def model_score(pairs: DataFrame, score: Callable[[Column, Column], Column] | No
         return pairs.agg(F.count("*").alias("n")).select(*[F.lit(0.0).alias(x) for x in names])
     made = pairs.select(score(F.col("hypothesis"), F.col("reference")).alias("x"))
     return made.agg(*[F.avg(F.col("x")[x]).alias(x) for x in names])
+
+
+def gate(metrics: DataFrame, thresholds: DataFrame, baseline: DataFrame | None = None, tolerance: float = 0.02, needs_baseline: bool = False) -> DataFrame:
+    """metric, value, passed, delta, regressed, status, overall: metrics (metric, value) against thresholds and a baseline.
+
+    thresholds has metric, comparison (>=, >, <=, <, ==), threshold and severity
+    (fail or warn); a metric without one passes, a threshold without a metric
+    does nothing. delta is the value less the baseline's. A metric whose
+    threshold is severe warns where it lost more than tolerance (0: not asked).
+    status is FAIL, WARN or PASS of a metric, overall the worst of all, a warning
+    too where a baseline is needed and not given. Tables of a few rows each.
+    """
+    v, limit = F.col("value"), F.col("threshold")
+    compared = {">=": v >= limit, ">": v > limit, "<=": v <= limit, "<": v < limit, "==": v == limit}
+    holds = F.lit(None).cast("boolean")
+    for sign, test in compared.items():
+        holds = F.when(F.col("comparison") == sign, test).otherwise(holds)
+    rows = metrics.join(thresholds, "metric", "left")
+    rows = rows.join(baseline.select("metric", F.col("value").alias("was")), "metric", "left") if baseline is not None else rows.withColumn("was", F.lit(None).cast("double"))
+    rows = rows.withColumn("passed", F.coalesce(holds, F.lit(True))).withColumn("delta", v - F.col("was"))
+    rows = rows.withColumn("regressed", F.coalesce((F.col("severity") == "fail") & (F.col("delta") < -tolerance), F.lit(False)) & F.lit(tolerance > 0))
+    worst = F.when(~F.col("passed") & (F.col("severity") == "fail"), 2).when(~F.col("passed") | F.col("regressed"), 1).otherwise(0)
+    rows = rows.groupBy("metric").agg(F.first("value").alias("value"), F.min("passed").alias("passed"), F.first("delta").alias("delta"), F.max("regressed").alias("regressed"), F.max(worst).alias("worst"))
+    named = lambda x: F.element_at(F.array(*map(F.lit, ("PASS", "WARN", "FAIL"))), x + 1)
+    least = F.lit(1 if needs_baseline and baseline is None else 0)
+    every = rows.agg(F.greatest(F.max("worst"), least).alias("all"))  # one row
+    return rows.crossJoin(F.broadcast(every)).select("metric", "value", "passed", "delta", "regressed", named(F.col("worst")).alias("status"), named(F.col("all")).alias("overall"))

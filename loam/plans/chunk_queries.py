@@ -280,3 +280,36 @@ query("EVA36_intent_export", f"WITH l AS ({SPOKEN}), g AS (SELECT conv_id, turn,
 def model_score(t: Tables) -> DataFrame:
     """The model-based score without a model: zeros. A plug-in gives (precision, recall) of each pair."""
     return E.model_score(whole(t).select(c("h").alias("hypothesis"), c("r").alias("reference")))
+
+# ---- budgets: ten documents in a row are a query's chunks
+
+GROUPS = "g AS (SELECT doc_id // 10 AS g, row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY doc_id // 10) AS n, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS text FROM documents), k AS (SELECT * FROM g WHERE text <> '')"
+COST = r"(CASE WHEN length({x}) = 0 THEN 0 ELSE greatest(1, floor(greatest(1, length({x}) // 4) * 0.4::DOUBLE + greatest(1, floor(len(regexp_extract_all({x}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]')) * 1.3::DOUBLE)) * 0.6::DOUBLE)) END)"
+SENT = r"string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+BUDGETED = """, c AS (SELECT *, sum(cost) OVER (PARTITION BY g ORDER BY i) AS upto FROM s), o AS (SELECT *, min(CASE WHEN upto > {budget} THEN i END) OVER (PARTITION BY g) AS stop FROM c),
+    r AS (SELECT g, i, CASE WHEN stop IS NULL OR i < stop THEN seg WHEN i = stop AND {budget} - (upto - cost) > {room} THEN left(seg, (({budget} - (upto - cost)) * 4)::INT) END AS part FROM o)
+    SELECT x.g, sha256(coalesce(string_agg(part, chr(10) || chr(10) ORDER BY i) FILTER (part IS NOT NULL), '')) AS short FROM (SELECT DISTINCT g FROM g) x LEFT JOIN r USING (g) GROUP BY 1"""
+
+
+def shortened(strategy: str, budget: int):
+    def run(t: Tables) -> DataFrame:
+        held = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"])
+        lists = t.documents.groupBy(F.floor(c("doc_id") / 10).alias("g")).agg(held.alias("chunks"))
+        return lists.select("g", F.sha2(M.fitted(c("chunks"), budget, strategy), 256).alias("short"))
+
+    return run
+
+
+query("CMP04_relevance", f"WITH {GROUPS}, s AS (SELECT g, i, left(text, greatest(50, 700 // n) * 4) AS seg, greatest(50, 700 // n) AS cost FROM k)" + BUDGETED.format(budget=700, room=50))(shortened("relevance", 700))
+query("CMP04_summary", f"WITH {GROUPS}, x AS (SELECT g, i, array_to_string(({SENT})[1:2], ' ') AS seg FROM k), s AS (SELECT *, {COST.format(x='seg')} AS cost FROM x)" + BUDGETED.format(budget=300, room=20))(shortened("summary", 300))
+query(
+    "CMP04_tiers",
+    f"WITH {GROUPS}, x AS (SELECT g, i, CASE WHEN i < 3 THEN text ELSE array_to_string(({SENT})[1:CASE WHEN i < 8 THEN 3 ELSE 1 END], ' ') END AS seg FROM k), s AS (SELECT *, {COST.format(x='seg')} AS cost FROM x)" + BUDGETED.format(budget=2500, room=50),
+)(shortened("hierarchical", 2500))
+query(
+    "CMP04_proposition",
+    rf"""WITH {GROUPS}, e AS (SELECT g, i, regexp_replace(unnest({SENT}), '^\s+|\s+$', '', 'g') AS x, generate_subscripts({SENT}, 1) AS j FROM k), f AS (SELECT * FROM e WHERE length(x) > 20),
+    u AS (SELECT *, sum(length(x) + 1) OVER w AS chars, sum(len(regexp_extract_all(x, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]'))) OVER w AS marks FROM f WINDOW w AS (PARTITION BY g ORDER BY i, j)),
+    y AS (SELECT *, greatest(1, floor(greatest(1, chars // 4) * 0.4::DOUBLE + greatest(1, floor(marks * 1.3::DOUBLE)) * 0.6::DOUBLE)) <= 500 AS fits FROM u)
+    SELECT d.g, sha256(coalesce(string_agg(x, ' ' ORDER BY i, j) FILTER (fits), '')) AS short FROM (SELECT DISTINCT g FROM g) d LEFT JOIN y USING (g) GROUP BY 1""",
+)(shortened("proposition", 500))

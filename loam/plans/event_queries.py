@@ -185,3 +185,11 @@ query("STR11_ttl_expiry", "SELECT event_id, ts + INTERVAL 1 HOUR < TIMESTAMP '20
 query("STR12_task_lifecycle", "SELECT user_id, event_type AS status, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")(
     lambda t: t.events.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))).where("r = 1").select("user_id", c("event_type").alias("status"), "ts")
 )
+query("AGG18_variant_comparison")(lambda t: A.compared(t.events.select("event_type", "value"), "event_type", "value", "click", "view"))
+query(
+    "AGG30_trial_report",
+    """WITH v AS (SELECT event_type AS variant, 'value' AS metric, value AS x FROM events UNION ALL SELECT event_type, 'hour', hour(ts)::DOUBLE FROM events),
+    m AS (SELECT variant, metric, count(x) AS n, round(avg(x), 6) AS mean, round(coalesce(stddev_samp(x), 0), 6) AS std, min(x) AS min, max(x) AS max FROM v WHERE x IS NOT NULL GROUP BY ALL),
+    t AS (SELECT event_type, count(*) AS trials FROM events GROUP BY 1)
+    SELECT variant, trials, (SELECT count(*) FROM events) AS total_trials, CASE variant WHEN 'view' THEN 0.7::DOUBLE WHEN 'click' THEN 0.3::DOUBLE ELSE 1 END::DOUBLE AS weight, metric, n, mean, std, min, max FROM m JOIN t ON event_type = variant""",
+)(lambda t: A.trial_report(t.events.select("event_type", "value", F.hour("ts").alias("hour")), "event_type", ["value", "hour"], {"view": 0.7, "click": 0.3}))

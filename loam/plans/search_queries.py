@@ -16,7 +16,7 @@ from ..operators import pruned as P
 from ..operators import ranking as R
 from ..operators import vectors as V
 from ..operators.similarity import first_matches
-from .registry import Tables, query
+from .registry import ORACLE_SQL, Tables, query
 
 c = F.col
 
@@ -369,3 +369,34 @@ query(
     """WITH o AS (SELECT vec_id, row_number() OVER (ORDER BY md5('42:' || vec_id), vec_id) - 1 AS place, count(*) OVER () AS n FROM embeddings)
     SELECT vec_id, CASE WHEN place < floor(n * 0.8::DOUBLE) THEN 'train' WHEN place < floor(n * 0.8::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'validation' ELSE 'test' END AS part FROM o""",
 )(lambda t: A.seeded_split(t.embeddings.select("vec_id"), "vec_id", {"train": 0.8, "validation": 0.1, "test": 0.1}, 42))
+
+LIMITS = [("click", ">=", 0.5, "fail"), ("error", "<=", 0.4, "warn"), ("purchase", ">", 0.495, "fail"), ("view", ">=", 0.9, "warn"), ("absent", ">=", 0.1, "fail")]
+LIMITS_SQL = "l AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', '{s}', {x}::DOUBLE, '{y}')" for m, s, x, y in LIMITS) + ") AS t(metric, comparison, threshold, severity))"
+GATE_SQL = """j AS (SELECT m.metric, m.value, severity, CASE comparison WHEN '>=' THEN m.value >= threshold WHEN '>' THEN m.value > threshold WHEN '<=' THEN m.value <= threshold WHEN '<' THEN m.value < threshold ELSE true END AS passed, m.value - b.value AS delta
+        FROM m LEFT JOIN l USING (metric) LEFT JOIN b USING (metric)),
+    w AS (SELECT *, coalesce(severity = 'fail' AND delta < -0.02::DOUBLE, false) AS regressed FROM j),
+    g AS (SELECT *, CASE WHEN NOT passed AND severity = 'fail' THEN 3 WHEN NOT passed OR regressed THEN 2 ELSE 1 END AS worst FROM w)
+    SELECT metric, round(value, 6) AS value, passed, round(delta, 6) AS delta, regressed, (['PASS', 'WARN', 'FAIL'])[worst] AS status, (['PASS', 'WARN', 'FAIL'])[(SELECT max(worst) FROM g)] AS overall FROM g"""
+rounded = lambda df: df.select("metric", F.round("value", 6).alias("value"), "passed", F.round("delta", 6).alias("delta"), "regressed", "status", "overall")
+mean_of = lambda df: df.groupBy(c("event_type").alias("metric")).agg((F.avg("value") / 100).alias("value"))
+limits = lambda t, more=(): t.spark.createDataFrame([*LIMITS, *more], "metric string, comparison string, threshold double, severity string")
+query(
+    "EVA25_gate_with_baseline",
+    f"WITH m AS (SELECT event_type AS metric, avg(value) / 100 AS value FROM events GROUP BY 1), b AS (SELECT event_type AS metric, avg(value) / 100 AS value FROM events WHERE event_id % 7 = 0 GROUP BY 1), {LIMITS_SQL}, {GATE_SQL}",
+)(lambda t: rounded(E.gate(mean_of(t.events), limits(t), mean_of(t.events.where("event_id % 7 = 0")))))
+
+
+ANSWERED = f"""a AS (SELECT * FROM ({ORACLE_SQL['EVA14_lite_metrics']})), n AS (SELECT avg((support >= 0.4::DOUBLE)::INT) AS value FROM ({CLAIM_SQL} SELECT support FROM s)),
+    m AS (SELECT event_type AS metric, avg(value) / 100 AS value FROM events GROUP BY 1 UNION ALL SELECT 'ragas_faithfulness', avg(faithfulness) FROM a UNION ALL SELECT 'ragas_relevancy', avg(relevancy) FROM a
+        UNION ALL SELECT 'ragas_precision', avg(precision) FROM a UNION ALL SELECT 'nli_entailment', value FROM n)"""
+MORE = [("ragas_faithfulness", ">=", 0.5, "fail"), ("ragas_relevancy", ">=", 0.5, "warn"), ("ragas_precision", ">=", 0.5, "warn"), ("nli_entailment", ">=", 0.3, "fail")]
+MORE_SQL = LIMITS_SQL.replace(") AS t(", ", " + ", ".join(f"('{m}', '{s}', {x}::DOUBLE, '{y}')" for m, s, x, y in MORE) + ") AS t(")
+
+
+@query("EVA35_gate_with_answers", f"WITH {ANSWERED}, b AS (SELECT event_type AS metric, avg(value) / 100 AS value FROM events WHERE event_id % 7 = 0 GROUP BY 1), {MORE_SQL}, {GATE_SQL}")
+def answer_gate(t: Tables) -> DataFrame:
+    """The gate with answers' metrics beside the others: mean lexical metrics, and mean entailment of claims."""
+    lite = E.lite_metrics(responses(t)).agg(*[F.avg(x).alias(x) for x in ("faithfulness", "relevancy", "precision")])
+    ragas = lite.select(F.explode(F.array(*[F.struct(F.lit(f"ragas_{x}").alias("metric"), c(x).alias("value")) for x in lite.columns])).alias("x")).select("x.*")
+    entailed = E.grounded_claims(answers(t), 0.4).agg(F.lit("nli_entailment").alias("metric"), F.avg(c("supported").cast("double")).alias("value"))
+    return rounded(E.gate(mean_of(t.events).unionByName(ragas).unionByName(entailed), limits(t, MORE), mean_of(t.events.where("event_id % 7 = 0"))))

@@ -352,3 +352,18 @@ query(
     .groupBy("source")
     .agg(F.count("*").alias("total"), F.count_if((c("reason") == "") & (c("score") >= 0.2)).alias("kept"), F.count_if(c("reason") != "").alias("boilerplate"))
 )
+ASKED_AS = "CASE item_id % 5 WHEN 0 THEN 'How ' || text WHEN 1 THEN 'what is ' || text WHEN 2 THEN 'why ' || text WHEN 3 THEN left(text, 30) || ' vs ' || right(text, 30) ELSE text END"
+query(
+    "FUN57_expansion",
+    rf"""WITH q AS (SELECT item_id, {ASKED_AS} AS q FROM benchmark), k AS (SELECT *, lower(q) AS low, list_filter(regexp_split_to_array(q, '\s+'), lambda w: length(w) > 3) AS w, instr(q, ' vs ') AS spot FROM q),
+    v AS (SELECT item_id, CASE WHEN starts_with(low, 'how') AND len(w) > 1 THEN [q, 'steps to ' || trim(substr(q, 5)), 'guide for ' || trim(substr(q, 5))] WHEN starts_with(low, 'what') THEN [q, 'definition of ' || trim(substr(q, 6)), 'explain ' || trim(substr(q, 6))]
+        WHEN starts_with(low, 'why') THEN [q, 'reason for ' || trim(substr(q, 5)), 'cause of ' || trim(substr(q, 5))]
+        WHEN spot > 0 THEN [q, 'difference between ' || trim(left(q, spot - 1)) || ' and ' || trim(substr(q, spot + 4)), 'comparison of ' || trim(left(q, spot - 1)) || ' and ' || trim(substr(q, spot + 4))]
+        WHEN len(w) >= 2 THEN [q, array_to_string(w, ' '), w[1] || ' related to ' || w[2]] ELSE [q] END AS v FROM k),
+    u AS (SELECT item_id, unnest(v) AS variant, generate_subscripts(v, 1) AS i FROM v)
+    SELECT item_id, variant, min(i)::INT AS place FROM u GROUP BY ALL""",
+)(
+    lambda t: t.benchmark.select("item_id", F.explode(T.expanded(F.expr(ASKED_AS))).alias("variant"), F.expr(ASKED_AS).alias("q")).groupBy("item_id", "variant", "q").agg(F.count("*").alias("n")).select(
+        "item_id", "variant", F.array_position(T.expanded(c("q")), c("variant")).cast("int").alias("place")
+    )
+)
