@@ -580,3 +580,41 @@ def expanded(query: Column, most: int = 3) -> Column:
 
 def filter_words(query: Column) -> Column:
     return F.filter(pieces(query), lambda w: F.length(w) > 3)
+
+
+#: Beginnings of questions in Russian and in English, in the order in which they are looked for.
+ASKING_RU = ["[Кк]ак", "[Чч]то такое", "[Пп]очему", "[Гг]де", "[Зз]ачем", "[Кк]огда", "[Кк]то"]
+ASKING_EN = ["[Hh]ow", "[Ww]hat", "[Ww]hy", "[Ww]here", "[Ww]hen", "[Ww]ho", "[Cc]an"]
+
+
+def mined_questions(text: Column, title: Column, section: Column, source_type: Column) -> Column:
+    """Up to three questions that a text answers.
+
+    Phrases behind Russian question words, or if there is none, English
+    questions, of 11 to 199 characters; else what title, section and kind of
+    source suggest; else one about the first sentence. Nulls read as empty.
+    """
+    trim = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    read = F.coalesce(text, F.lit(""))
+    phrases = lambda words, end: F.filter(F.transform(F.flatten(F.array(*[matches(read, rf"({w}\s[^.!?]+{end})") for w in words])), trim), lambda q: (F.length(q) > 10) & (F.length(q) < 200))
+    name, part, kind = (F.coalesce(x, F.lit("")) for x in (title, section, source_type))
+    about = F.concat(F.when(name != "", F.array(F.concat(F.lit("Что такое "), name, F.lit("?")))).otherwise(F.array()), F.when((part != "") & (part != name), F.array(F.concat(F.lit("Как работает "), part, F.lit("?")))).otherwise(F.array()))
+    general = F.when(kind == "jira", "Как решить эту задачу?").when(kind == "confluence", "О чём этот документ?")
+    told = once(about, lambda a: F.concat(a, F.when(general.isNotNull(), F.array(general)).when((kind != "") & (F.size(a) < 2), F.array(F.lit("Что содержится в этом документе?"))).otherwise(F.array())))
+    last = F.array(F.concat(F.lit("Что такое "), F.substring(trim(sentences(read)[0]), 1, 100), F.lit("?")))
+    pick = lambda first, rest: once(first, lambda x: F.when(F.size(x) > 0, x).otherwise(rest))
+    return F.slice(pick(phrases(ASKING_RU, "[.!?]"), pick(phrases(ASKING_EN, r"\?"), pick(told, last))), 1, 3)
+
+
+def json_text(value: Column) -> Column:
+    """A string as JSON writes it, null as an empty one."""
+    held = F.to_json(F.struct(F.coalesce(value, F.lit("")).alias("x")))
+    return held.substr(F.lit(6), F.length(held) - 6)
+
+
+def chunk_hash(fields: dict[str, Column], lists: dict[str, Column]) -> Column:
+    """SHA-256 of a chunk's fields as JSON with sorted keys; the values of lists are sorted, so their order is no change."""
+    strings = {k: json_text(v) for k, v in fields.items()}
+    arrays = {k: F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.coalesce(v, F.array().cast("array<string>"))), json_text), ", "), F.lit("]")) for k, v in lists.items()}
+    parts = [x for k, v in sorted((strings | arrays).items()) for x in (F.lit(f'"{k}": '), v, F.lit(", "))][:-1]
+    return F.sha2(F.concat(F.lit("{"), *parts, F.lit("}")), 256)

@@ -232,3 +232,10 @@ def trial_report(df: DataFrame, variant: str, metrics: list[str], weights: dict[
     known = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]) if weights else F.create_map().cast("map<string,double>")
     weight = F.coalesce(F.try_element_at(known, F.col("variant")), F.lit(1.0))
     return stats.join(trials, F.col("variant").eqNullSafe(F.col("_variant"))).crossJoin(F.broadcast(total)).select("variant", "trials", "total_trials", weight.alias("weight"), "metric", "n", "mean", "std", "min", "max")
+
+
+def open_tasks(df: DataFrame, kinds: list[str], order: str) -> DataFrame:
+    """status, tasks, ids: tasks (task, status, ts) whose last status by ts and order is one of kinds, the longest waiting first."""
+    last = df.groupBy("task").agg(F.max_by(F.struct("status", "ts"), F.struct("ts", order)).alias("x")).select("task", "x.*").where(F.col("status").isin(kinds))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("ts", "task"))), lambda s: s["task"].cast("string"))
+    return last.groupBy("status").agg(F.count("*").alias("tasks"), F.array_join(ids, ",").alias("ids"))

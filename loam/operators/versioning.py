@@ -70,3 +70,48 @@ def since_checkpoint(rows: DataFrame, state: DataFrame, pipeline: str, id_column
     """Rows of each pipeline behind its stored last_id; all rows of a pipeline that has none."""
     last = state.where("key = 'last_id'").select(F.col("pipeline").alias(pipeline), F.col("value").cast("long").alias("_last"))
     return rows.join(last, pipeline, "left").where(F.col("_last").isNull() | (F.col(id_column) > F.col("_last"))).drop("_last")
+
+
+def packed_by_key(chunks: DataFrame) -> DataFrame:
+    """key, n, text, hash, keywords, questions, first: chunks (key, position, text, keywords, questions) of one key as one.
+
+    Texts in order of position behind one another with a rule between, keywords
+    each once and sorted, the first five questions. A chunk without a key stays
+    alone under its hash. A key's chunks are a packed chunk in the end, so they
+    are gathered.
+    """
+    key = F.coalesce(F.nullif("key", F.lit("")), F.concat(F.lit("_unique_"), F.sha2("text", 256)))
+    rows = chunks.select(key.alias("key"), F.struct("position", "text", "keywords", "questions").alias("x")).groupBy("key").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    rows = rows.withColumn("text", F.array_join(F.transform("x", lambda x: x["text"]), "\n\n---\n\n"))
+    union = F.array_sort(F.array_distinct(F.flatten(F.transform("x", lambda x: x["keywords"]))))
+    asked = F.slice(F.flatten(F.transform("x", lambda x: x["questions"])), 1, 5)
+    return rows.select("key", F.size("x").cast("long").alias("n"), "text", F.sha2("text", 256).alias("hash"), union.alias("keywords"), asked.alias("questions"), F.col("x")[0]["position"].alias("first"))
+
+
+def first_of(df: DataFrame, same: Column, order: str) -> DataFrame:
+    """The first row of those that are the same, by order; partial aggregates, so a hot value costs one row a task."""
+    names = df.columns
+    return df.groupBy(same.alias("_same")).agg(F.min_by(F.struct(*names), order).alias("_x")).select("_x.*")
+
+
+def newest_of(df: DataFrame, source: Column, version: Column, order: str) -> DataFrame:
+    """One row of each source: that of the greatest version, the first of them by order."""
+    return df.groupBy(source.alias("_source")).agg(F.min_by(F.struct(*df.columns), F.struct((-version).alias("v"), F.col(order))).alias("_x")).select("_x.*")
+
+
+def version_events(df: DataFrame, key: str, version: str) -> DataFrame:
+    """key, old_version, new_version and event (indexed, updated): a row for each version of each document, in order."""
+    before = F.lag(version).over(Window.partitionBy(key).orderBy(version))
+    rows = df.select(key, before.alias("old_version"), F.col(version).alias("new_version"))
+    return rows.withColumn("event", F.when(F.col("old_version").isNull(), "indexed").otherwise("updated"))
+
+
+def merged_entities(df: DataFrame) -> DataFrame:
+    """id and properties of entities (id, seq, properties map): of each property the last value by seq."""
+    each = df.select("id", "seq", F.explode("properties").alias("k", "v")).groupBy("id", "k").agg(F.max_by("v", "seq").alias("v"))
+    return each.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("properties"))
+
+
+def first_relations(df: DataFrame, order: str, keys: tuple[str, ...] = ("source", "target", "type")) -> DataFrame:
+    """Of relations that are equal in keys the first by order."""
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), order).alias("_x")).select("_x.*")

@@ -13,6 +13,7 @@ from ..operators import compression as M
 from ..operators import evaluation as E
 from ..operators import graph as G
 from ..operators import pruned as P
+from ..operators import versioning as W
 from .registry import Tables, query
 from .search_queries import SPARSE
 from .text_queries import INTENT, LANGUAGE, TEXT_OF_HTML, common, letters
@@ -313,3 +314,15 @@ query(
     y AS (SELECT *, greatest(1, floor(greatest(1, chars // 4) * 0.4::DOUBLE + greatest(1, floor(marks * 1.3::DOUBLE)) * 0.6::DOUBLE)) <= 500 AS fits FROM u)
     SELECT d.g, sha256(coalesce(string_agg(x, ' ' ORDER BY i, j) FILTER (fits), '')) AS short FROM (SELECT DISTINCT g FROM g) d LEFT JOIN y USING (g) GROUP BY 1""",
 )(shortened("proposition", 500))
+query(
+    "AGG27_merged_entities",
+    """WITH k AS (SELECT o_custkey AS id, o_orderkey AS seq, unnest([struct_pack(k := 'status', v := o_orderstatus), struct_pack(k := 'p' || o_orderkey % 3, v := o_orderpriority)]) AS x FROM orders),
+    m AS (SELECT id, x.k AS k, arg_max(x.v, seq) AS v FROM k GROUP BY ALL) SELECT id, string_agg(k || '=' || v, ',' ORDER BY k) AS properties FROM m GROUP BY 1""",
+)(
+    lambda t: W.merged_entities(t.orders.select(c("o_custkey").alias("id"), c("o_orderkey").alias("seq"), F.create_map(F.lit("status"), c("o_orderstatus"), F.concat(F.lit("p"), c("o_orderkey") % 3), c("o_orderpriority")).alias("properties"))).select(
+        "id", F.array_join(F.transform(F.map_entries("properties"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("properties")
+    )
+)
+query("AGG27_first_relations", "SELECT o_custkey AS source, o_orderstatus AS target, o_orderpriority AS type, min(o_orderkey) AS seq FROM orders GROUP BY ALL")(
+    lambda t: W.first_relations(t.orders.select(c("o_custkey").alias("source"), c("o_orderstatus").alias("target"), c("o_orderpriority").alias("type"), c("o_orderkey").alias("seq")), "seq")
+)

@@ -193,3 +193,29 @@ query(
     t AS (SELECT event_type, count(*) AS trials FROM events GROUP BY 1)
     SELECT variant, trials, (SELECT count(*) FROM events) AS total_trials, CASE variant WHEN 'view' THEN 0.7::DOUBLE WHEN 'click' THEN 0.3::DOUBLE ELSE 1 END::DOUBLE AS weight, metric, n, mean, std, min, max FROM m JOIN t ON event_type = variant""",
 )(lambda t: A.trial_report(t.events.select("event_type", "value", F.hour("ts").alias("hour")), "event_type", ["value", "hour"], {"view": 0.7, "click": 0.3}))
+query(
+    "FUN56_query_with_names",
+    r"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations), q AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS recent FROM r WHERE r <= 2 GROUP BY 1),
+    w AS (SELECT conv_id, regexp_replace(regexp_replace(unnest(regexp_split_to_array(text, '\s+')), '^[.,;:!?()\[\]{}''"]+', ''), '[.,;:!?()\[\]{}''"]+$', '') AS name FROM conversations),
+    n AS (SELECT conv_id, name, count(*) AS n FROM w WHERE length(name) > 2 AND regexp_matches(name, '^\p{Lu}|[_-]') GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, name) AS place FROM n),
+    e AS (SELECT conv_id, string_agg(name, ', ' ORDER BY place) AS names FROM o WHERE place <= 5 GROUP BY 1)
+    SELECT conv_id, recent || coalesce(' Entities mentioned in conversation: ' || names, '') AS query FROM q LEFT JOIN e USING (conv_id)""".replace("\\\\", "\\"),
+)(
+    lambda t: recent(t).where("r <= 2").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), " ").alias("recent")).join(top_names(t), "conv_id", "left").select(
+        "conv_id", F.concat(c("recent"), F.coalesce(F.concat(F.lit(" Entities mentioned in conversation: "), c("names")), F.lit(""))).alias("query")
+    )
+)
+
+
+def top_names(t):
+    """conv_id and names: the five names that a conversation mentions most, ties by name."""
+    counted = t.conversations.select("conv_id", F.explode(S.mentions(c("text"))).alias("name")).groupBy("conv_id", "name").agg(F.count("*").alias("n"))
+    placed = counted.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("n"), "name"))).where("place <= 5")
+    return placed.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda s: s["name"]), ", ").alias("names"))
+
+
+LAST = "l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1)"
+query(
+    "STR12_open_tasks",
+    f"WITH {LAST} SELECT event_type AS status, count(*) AS tasks, string_agg(user_id::VARCHAR, ',' ORDER BY ts, user_id) AS ids FROM l WHERE event_type IN ('signup', 'view') GROUP BY 1",
+)(lambda t: A.open_tasks(t.events.select(c("user_id").alias("task"), c("event_type").alias("status"), "ts", "event_id"), ["signup", "view"], "event_id"))

@@ -257,3 +257,28 @@ query("RET15_global_search", f"{RET15} SELECT item_id, source, score FROM (SELEC
 )
 query("JOI09_outdated_nodes", "SELECT doc_id FROM documents WHERE source IS NULL OR source NOT IN ('src1', 'src2', 'src3')")(lambda t: t.documents.select("doc_id", "source").join(t.documents.where(c("source").isin("src1", "src2", "src3")).select("source").distinct(), "source", "left_anti").select("doc_id"))
 query("JOI11_rated_chunks", "SELECT doc_id, CASE WHEN quality = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label, sha256(text) AS text FROM documents JOIN labels USING (doc_id)")(lambda t: t.documents.join(t.labels, "doc_id").select("doc_id", F.when(c("quality") == 1, 1.0).otherwise(0.0).alias("label"), F.sha2("text", 256).alias("text")))
+query(
+    "FLT14_scored_strips",
+    f"SELECT doc_id, i - 1 AS at, trim(s) AS strip, score FROM (SELECT doc_id, n_chars % 100 / 100.0::DOUBLE AS score, unnest({SENT}) AS s, generate_subscripts({SENT}, 1) AS i FROM documents) WHERE length(trim(s)) >= 10 AND score >= 0.3::DOUBLE",
+)(
+    lambda t: t.documents.select("doc_id", (c("n_chars") % 100 / 100).alias("score"), F.posexplode(T.sentences(c("text"))).alias("at", "s")).where("score >= 0.3").select("doc_id", c("at").cast("long").alias("at"), F.trim("s").alias("strip"), "score").where(F.length("strip") >= 10)
+)
+query(
+    "AGG26_packed_chunks",
+    """WITH g AS (SELECT lang || ':' || doc_id // 20 AS key, *, 'q' || doc_id AS question FROM documents WHERE text IS NOT NULL)
+    SELECT key, count(*) AS n, sha256(string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id)) AS hash, array_to_string(list_sort(list_distinct(list(source))), ',') AS keywords, array_to_string(list(question ORDER BY doc_id)[1:5], ',') AS questions, min(doc_id) AS first FROM g GROUP BY 1""",
+)(
+    lambda t: V.packed_by_key(t.documents.where("text is not null").select(F.concat(c("lang"), F.lit(":"), F.floor(c("doc_id") / 20)).alias("key"), c("doc_id").alias("position"), "text", F.array("source").alias("keywords"), F.array(F.concat(F.lit("q"), c("doc_id"))).alias("questions"))).select(
+        "key", "n", "hash", F.array_join("keywords", ",").alias("keywords"), F.array_join("questions", ",").alias("questions"), "first"
+    )
+)
+query(
+    "CMP07_resolved_context",
+    """WITH u AS (SELECT *, doc_id // 10 AS source_id, doc_id % 7 AS version FROM (SELECT *, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS r FROM documents WHERE text IS NOT NULL) WHERE r = 1),
+    v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY version DESC, doc_id) AS newest FROM u) WHERE newest = 1),
+    b AS (SELECT source, doc_id, sum(length(text) // 4) OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS used FROM v) SELECT source, doc_id FROM b WHERE used <= 20000""",
+)(lambda t: A.running(V.newest_of(V.first_of(t.documents.where("text is not null"), F.sha2("text", 256), "doc_id"), F.floor(c("doc_id") / 10), c("doc_id") % 7, "doc_id"), ["source"], [F.desc("n_chars"), c("doc_id")], {"used": F.floor(F.length("text") / 4)}).where("used <= 20000").select("source", "doc_id"))
+query(
+    "INC11_version_events",
+    """SELECT o_custkey AS doc_id, lag(o_orderkey) OVER w AS old_version, o_orderkey AS new_version, CASE WHEN lag(o_orderkey) OVER w IS NULL THEN 'indexed' ELSE 'updated' END AS event FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)""",
+)(lambda t: V.version_events(t.orders.select(c("o_custkey").alias("doc_id"), c("o_orderkey").alias("version")), "doc_id", "version"))

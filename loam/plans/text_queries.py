@@ -367,3 +367,37 @@ query(
         "item_id", "variant", F.array_position(T.expanded(c("q")), c("variant")).cast("int").alias("place")
     )
 )
+PLANTED = "CASE doc_id % 5 WHEN 0 THEN 'Как это работает сегодня вечером? Почему бы и нет, право слово. ' || text WHEN 1 THEN 'How does it work on most days? Can it? ' || text ELSE text END"
+TITLES = "SELECT doc_id, " + PLANTED + " AS text, CASE WHEN doc_id % 5 <> 3 THEN 'doc ' || doc_id ELSE '' END AS title, CASE WHEN doc_id % 2 = 0 THEN 'part ' || doc_id % 3 ELSE '' END AS section, CASE doc_id % 4 WHEN 0 THEN 'jira' WHEN 1 THEN 'confluence' WHEN 2 THEN 'git' ELSE '' END AS kind FROM documents"
+
+
+def phrase_sql(words: list[str], end: str) -> str:
+    found = ", ".join(rf"regexp_extract_all(text, '({w}\s[^.!?]+{end})')" for w in words)
+    return f"list_filter(list_transform(flatten([{found}]), lambda q: regexp_replace(q, '^\\s+|\\s+$', '', 'g')), lambda q: length(q) > 10 AND length(q) < 200)"
+
+
+query(
+    "FUN17_mined_questions",
+    rf"""WITH d AS ({TITLES}), q AS (SELECT *, {phrase_sql(T.ASKING_RU, '[.!?]')} AS ru, {phrase_sql(T.ASKING_EN, '[?]')} AS en,
+        list_concat(CASE WHEN title <> '' THEN ['Что такое ' || title || '?'] ELSE [] END, CASE WHEN section <> '' AND section <> title THEN ['Как работает ' || section || '?'] ELSE [] END) AS a FROM d WHERE text IS NOT NULL),
+    m AS (SELECT *, list_concat(a, CASE WHEN kind = 'jira' THEN ['Как решить эту задачу?'] WHEN kind = 'confluence' THEN ['О чём этот документ?'] WHEN kind <> '' AND len(a) < 2 THEN ['Что содержится в этом документе?'] ELSE [] END) AS told FROM q)
+    SELECT doc_id, array_to_string((CASE WHEN len(ru) > 0 THEN ru WHEN len(en) > 0 THEN en WHEN len(told) > 0 THEN told ELSE ['Что такое ' || left(trim(split_part(regexp_replace(text, '([.!?])\s+', '\1' || chr(1)), chr(1), 1)), 100) || '?'] END)[1:3], chr(10)) AS questions FROM m""",
+)(
+    lambda t: t.documents.where("text is not null").select(
+        "doc_id", F.expr(PLANTED).alias("text"), F.expr("CASE WHEN doc_id % 5 <> 3 THEN 'doc ' || doc_id ELSE '' END").alias("title"), F.expr("CASE WHEN doc_id % 2 = 0 THEN 'part ' || doc_id % 3 ELSE '' END").alias("section"),
+        F.expr("CASE doc_id % 4 WHEN 0 THEN 'jira' WHEN 1 THEN 'confluence' WHEN 2 THEN 'git' ELSE '' END").alias("kind"),
+    ).select("doc_id", F.array_join(T.mined_questions(c("text"), c("title"), c("section"), c("kind")), "\n").alias("questions"))
+)
+query(
+    "FUN06_nine_fields",
+    """SELECT doc_id, sha256('{"doc_title": ' || to_json('doc ' || doc_id)::VARCHAR || ', "entities": ["' || lang || '", "x"], "keywords": [' || CASE WHEN 'a' < source THEN '"a", ' || to_json(source)::VARCHAR ELSE to_json(source)::VARCHAR || ', "a"' END || '], "source_id": ' || to_json(doc_id::VARCHAR)::VARCHAR
+        || ', "source_type": ' || to_json(source)::VARCHAR || ', "summary": "", "text": ' || to_json(text)::VARCHAR || ', "title": ' || to_json(left(text, 20))::VARCHAR || ', "version": "1"}') AS hash FROM documents WHERE text IS NOT NULL AND lang < 'x'""",
+)(
+    lambda t: t.documents.where("text is not null and lang < 'x'").select(
+        "doc_id",
+        T.chunk_hash(
+            {"text": c("text"), "title": F.substring("text", 1, 20), "source_type": c("source"), "source_id": c("doc_id").cast("string"), "version": F.lit("1"), "doc_title": F.concat(F.lit("doc "), c("doc_id")), "summary": F.lit(None).cast("string")},
+            {"keywords": F.array(c("source"), F.lit("a")), "entities": F.array(F.lit("x"), c("lang"))},
+        ).alias("hash"),
+    )
+)
