@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import markup as K
 from ..functions import text as T
 from ..operators import analytics as A
 from ..operators import chunking as C
@@ -37,10 +38,10 @@ query("CHK02_packed_paragraphs")(lambda t: C.pack_markdown(whole_marked(t), most
 query("CHK03_merged_short")(lambda t: C.pack(t.documents, most=200, least=80, split=r"\n"))
 query("CHK04_html_chunks")(lambda t: C.pack(t.pages.select(c("page_id").alias("doc_id"), T.html_text(c("html")).alias("text")), most=200, least=40, split=r"\n"))
 # every line of a text is a heading here, its level by its length: trees of any shape, six levels deep
-LINES = r"list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')"
+LINE_LIST = r"list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')"
 query(
     "CHK05_heading_index",
-    f"""WITH h AS (SELECT doc_id, unnest(l) AS heading, unnest(range(len(l)))::INT AS position FROM (SELECT doc_id, {LINES} AS l FROM documents WHERE text IS NOT NULL)),
+    f"""WITH h AS (SELECT doc_id, unnest(l) AS heading, unnest(range(len(l)))::INT AS position FROM (SELECT doc_id, {LINE_LIST} AS l FROM documents WHERE text IS NOT NULL)),
     v AS (SELECT *, (length(heading) % 6 + 1)::INT AS level FROM h),
     p AS (SELECT v.doc_id, v.position, v.level, v.heading, coalesce(max(b.position), -1)::INT AS parent FROM v LEFT JOIN v b ON b.doc_id = v.doc_id AND b.position < v.position AND b.level < v.level GROUP BY ALL),
     k AS (SELECT doc_id, parent AS position, string_agg(heading, ', ' ORDER BY p.position) AS children FROM p WHERE parent >= 0 GROUP BY 1, 2),
@@ -62,7 +63,7 @@ AROUND_SQL = r"list_filter(list_transform(string_split(regexp_replace({}, '([.!?
 query(
     "CHK07_enriched_chunks",
     rf"""WITH m AS (SELECT doc_id, {WHOLE_SQL} AS text FROM documents WHERE text IS NOT NULL),
-    l AS (SELECT doc_id, text, unnest(l) AS chunk, unnest(range(len(l)))::INT AS position FROM (SELECT doc_id, text, {LINES} AS l FROM m)),
+    l AS (SELECT doc_id, text, unnest(l) AS chunk, unnest(range(len(l)))::INT AS position FROM (SELECT doc_id, text, {LINE_LIST} AS l FROM m)),
     a AS (SELECT *, instr(text, chunk) AS spot FROM l),
     b AS (SELECT *, {AROUND_SQL.format(TRIM.format("substr(text, greatest(1, spot - 300), spot - greatest(1, spot - 300))"))} AS before, {AROUND_SQL.format(TRIM.format("substr(text, spot + length(chunk), 300)"))} AS after,
         coalesce(list_last(regexp_extract_all(substr(text, 1, spot - 1) || split_part(substr(text, spot), chr(10), 1), '(?m)^#{{1,3}}[ 	]+(\S[^
@@ -326,3 +327,54 @@ query(
 query("AGG27_first_relations", "SELECT o_custkey AS source, o_orderstatus AS target, o_orderpriority AS type, min(o_orderkey) AS seq FROM orders GROUP BY ALL")(
     lambda t: W.first_relations(t.orders.select(c("o_custkey").alias("source"), c("o_orderstatus").alias("target"), c("o_orderpriority").alias("type"), c("o_orderkey").alias("seq")), "seq")
 )
+
+# ---- markup made of each text's lines, letters and spaces only; the SQL states what must come out, without parsing
+
+PLAIN = r"regexp_replace(x, '[^A-Za-z ]', '', 'g')"
+LINES_SQL = f"l AS (SELECT doc_id, i, trim({PLAIN}) AS x FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, {LINE_LIST} AS l FROM documents WHERE text IS NOT NULL)))"
+
+
+def written(t: Tables, line) -> DataFrame:
+    """doc_id and markup: what line makes of each line of a text and its number, one after the other."""
+    own = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    plain = F.transform(own, lambda x: F.trim(F.regexp_replace(x, "[^A-Za-z ]", "")))
+    return t.documents.where("text is not null").select("doc_id", F.array_join(F.transform(plain, lambda x, i: line(x, (i + 1).cast("string"))), "\n").alias("markup"))
+
+
+def page_tables(t: Tables) -> DataFrame:
+    tr = lambda x, i: F.concat(F.lit("<tr><td>"), i, F.lit("</td><td> <b>"), x, F.lit("</b>\n</td></tr>"))
+    body = written(t, tr).select("doc_id", F.concat(F.lit("<table><caption>doc "), c("doc_id"), F.lit("</caption><thead><tr><th>n</th><th>line</th></tr></thead><tbody>"), "markup", F.lit("</tbody></table>")).alias("html"))
+    return body.select("doc_id", F.explode(K.html_tables(c("html"))).alias("x"))
+
+
+query("FUN32_page_tables", f"WITH {LINES_SQL} SELECT doc_id, 'doc ' || doc_id AS caption, 'n,line' AS headers, count(*) AS n, sha256(string_agg(i || '|' || x, ';' ORDER BY i)) AS rows FROM l GROUP BY 1")(
+    lambda t: page_tables(t).select("doc_id", "x.caption", F.array_join("x.headers", ",").alias("headers"), F.size("x.rows").cast("long").alias("n"), F.sha2(F.array_join(F.transform("x.rows", lambda r: F.array_join(r, "|")), ";"), 256).alias("rows"))
+)
+query(
+    "FUN33_tables_written",
+    f"WITH {LINES_SQL} SELECT doc_id, sha256('**doc ' || doc_id || '**' || chr(10) || chr(10) || '| n | line |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || i || ' | ' || x || ' |', chr(10) ORDER BY i)) AS markdown, sha256(string_agg('n=' || i || ',line=' || x, ';' ORDER BY i)) AS records FROM l GROUP BY 1",
+)(
+    lambda t: page_tables(t).select("doc_id", F.sha2(K.table_markdown(c("x")), 256).alias("markdown"), F.sha2(F.array_join(F.transform(K.table_records(c("x")), lambda m: F.concat(F.lit("n="), m["n"], F.lit(",line="), m["line"])), ";"), 256).alias("records"))
+)
+query(
+    "FUN34_markdown_parts",
+    f"""WITH {LINES_SQL}, k AS (SELECT * FROM l WHERE x <> '') SELECT doc_id, coalesce(string_agg(i % 6 + 1 || ' ' || x, ';' ORDER BY i) FILTER (i % 4 = 0), '') AS headings, coalesce(string_agg(left(x, 2000), ';' ORDER BY i) FILTER (i % 4 = 1), '') AS code,
+        coalesce(string_agg('| ' || i || ' | ' || x || ' |', ';' ORDER BY i) FILTER (i % 4 = 2), '') AS tables, coalesce(string_agg(x || '->u' || i, ';' ORDER BY i) FILTER (i % 4 = 3), '') AS links FROM k GROUP BY 1""",
+)(
+    lambda t: written(
+        t,
+        lambda x, i: F.when(x == "", "")
+        .when(i % 4 == 0, F.concat(F.repeat(F.lit("#"), (i % 6 + 1).cast("int")), F.lit(" "), x))
+        .when(i % 4 == 1, F.concat(F.lit("```text\n"), x, F.lit("\n```")))
+        .when(i % 4 == 2, F.concat(F.lit(" | "), i, F.lit(" | "), x, F.lit(" |\n")))
+        .otherwise(F.concat(F.lit("see ["), x, F.lit("](u"), i, F.lit(").")))
+    ).where(F.col("markup").rlike(r"[A-Za-z]")).select(
+        "doc_id", F.array_join(F.transform(K.markdown_headings(c("markup")), lambda h: F.concat_ws(" ", h["level"].cast("string"), h["text"])), ";").alias("headings"), F.array_join(K.markdown_code(c("markup")), ";").alias("code"),
+        F.array_join(K.markdown_tables(c("markup")), ";").alias("tables"), F.array_join(F.transform(K.markdown_links(c("markup")), lambda x: F.concat_ws("->", x["text"], x["url"])), ";").alias("links"),
+    )
+)
+query("FUN52_code_of_lines", f"WITH {LINES_SQL} SELECT doc_id, coalesce(string_agg(left(x, 2000), ';' ORDER BY i) FILTER (i % 2 = 0 AND x <> ''), '') AS rst, coalesce(string_agg(left(x, 2000), ';' ORDER BY i) FILTER (i % 2 = 1 AND x <> ''), '') AS asciidoc FROM l GROUP BY 1")(
+    lambda t: written(t, lambda x, i: F.when(i % 2 == 0, F.concat(F.lit(".. code-block:: text\n\n    "), x, F.lit("\nplain"))).otherwise(F.concat(F.lit("\n----\n"), x, F.lit("\n----\nplain")))).select(
+        "doc_id", F.array_join(K.rst_code(c("markup")), ";").alias("rst"), F.array_join(K.asciidoc_code(c("markup")), ";").alias("asciidoc")
+    )
+)
