@@ -2,7 +2,7 @@
 
 A row of the state is a block of vectors: each part of each vector with its
 entry, an upper bound of the distance to it and a lower bound of the distance to
-every entry of its codebook. The state is a stored table; a round reads it,
+every entry of its codebook, one byte each. The state is a stored table; a round reads it,
 skips what the bounds rule out, and writes it again with the sums that the new
 entries need. No row is ever shuffled. What travels to the driver and back, the
 codebooks, has 64 times a vector's length numbers, whatever the data.
@@ -135,15 +135,16 @@ class Bounds:
         return total, np.bincount(slot, minlength=parts * entries)
 
     def stored(self) -> tuple[bytes, bytes, bytes, float]:
-        """codes, upper, lower and the largest lower bound, which scales lower's 16 bits (rounded down)."""
+        """codes, upper (32 bits, rounded up), lower (8 bits of the largest, rounded down) and the largest lower bound."""
         top = float(self.lower.max(initial=0)) or 1.0
-        return self.codes.astype(np.uint8).tobytes(), self.upper.tobytes(), np.floor(self.lower * (65535 / top) * (1 - SLACK)).astype(np.uint16).tobytes(), top
+        upper = np.nextafter(self.upper.astype(np.float32), np.float32(np.inf))
+        return self.codes.astype(np.uint8).tobytes(), upper.tobytes(), np.floor(self.lower * (255 / top) * (1 - SLACK)).astype(np.uint8).tobytes(), top
 
     @classmethod
     def read(cls, vectors: np.ndarray, codes: bytes, upper: bytes, lower: bytes, top: float, entries: int) -> Bounds:
         n, parts, _ = vectors.shape
-        low = np.frombuffer(lower, np.uint16).reshape(n, parts, entries) * (top / 65535)
-        return cls(vectors, np.frombuffer(codes, np.uint8).reshape(n, parts).astype(np.int64), np.frombuffer(upper, np.float64).reshape(n, parts).copy(), down(low))
+        low = np.frombuffer(lower, np.uint8).reshape(n, parts, entries) * (top / 255)
+        return cls(vectors, np.frombuffer(codes, np.uint8).reshape(n, parts).astype(np.int64), np.frombuffer(upper, np.float32).reshape(n, parts).astype(np.float64), down(low))
 
 
 def added(df: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +207,7 @@ def trained(df: DataFrame, parts: int, entries: int, rounds: int) -> tuple[DataF
 
     def row(ids: pa.Array, labels: pa.Array, x: Bounds) -> pa.RecordBatch:
         total, count = x.sums(entries)
-        values = (x.vectors.tobytes(), *x.stored(), total.tobytes(), count.astype(np.int64).tobytes(), x.measured)
+        values = (x.vectors.astype(np.int32).tobytes(), *x.stored(), total.tobytes(), count.astype(np.int64).tobytes(), x.measured)
         lists = [pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a) for a in (ids, labels)]
         return pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip([*lists, *(pa.array([v]) for v in values)], state_arrow, strict=True)], schema=state_arrow)
 
@@ -221,13 +222,13 @@ def trained(df: DataFrame, parts: int, entries: int, rounds: int) -> tuple[DataF
     def read(batch: pa.RecordBatch, i: int, steps: np.ndarray, now: np.ndarray) -> tuple[pa.Array, pa.Array, Bounds]:
         ids, labels = (batch.column(j).slice(i, 1).flatten() for j in range(2))
         raw, codes, upper, lower, top = (batch.column(2 + j)[i].as_py() for j in range(5))
-        x = Bounds.read(np.frombuffer(raw, np.int64).reshape(len(ids), parts, width), codes, upper, lower, top, entries)
+        x = Bounds.read(np.frombuffer(raw, np.int32).reshape(len(ids), parts, width).astype(np.int64), codes, upper, lower, top, entries)
         x.moved(steps)
         x.assign(now)
         return ids, labels, x
 
     state = stored(vectors.select("vec_id", "label", "q").mapInArrow(begin, state_type), "elkan", "zstd")
-    taken = [state]
+    measured: list[int] = []
     for turn in range(rounds):
         new = next_books(books, *added(state, width))
         steps = up(np.sqrt(squared(new, books)))
@@ -240,8 +241,9 @@ def trained(df: DataFrame, parts: int, entries: int, rounds: int) -> tuple[DataF
                 release()
 
         if turn < rounds - 1:
-            state = stored(state.mapInArrow(again, state_type), "elkan", "zstd")
-            taken.append(state)
+            state, old = stored(state.mapInArrow(again, state_type), "elkan", "zstd"), state
+            measured.append(old.agg(F.sum("measured")).first()[0])
+            discard(old)
     coded = StructType([*result.fields]).add("measured", "long")
     final_arrow = to_arrow_schema(coded)
 
@@ -252,16 +254,15 @@ def trained(df: DataFrame, parts: int, entries: int, rounds: int) -> tuple[DataF
                 error = sum(squared(x.vectors[:, p], books[p][x.codes[:, p]]) for p in range(parts))
                 codes = x.codes.astype(np.uint8).tobytes().hex()
                 code = [codes[j : j + 2 * parts] for j in range(0, len(codes), 2 * parts)]
-                measured = np.zeros(len(ids), np.int64)
-                measured[0] = x.measured
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([ids, labels, pa.array(code), pa.array(error), pa.array(measured)], final_arrow, strict=True)], schema=final_arrow)
+                taken = np.zeros(len(ids), np.int64)
+                taken[0] = x.measured
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([ids, labels, pa.array(code), pa.array(error), pa.array(taken)], final_arrow, strict=True)], schema=final_arrow)
             release()
 
     done = stored(state.mapInArrow(finish, coded), "elkan-codes")
-    counts = [t.agg(F.sum("measured")).first()[0] for t in (*taken, done)]
-    for table in taken:
-        discard(table)
+    measured += [t.agg(F.sum("measured")).first()[0] for t in (state, done)]
+    discard(state)
     groups = stored(done.groupBy("label").agg(F.try_sum("error").alias("label_error"), F.count("*").alias("rows")), "elkan-labels")
     sha = hashlib.sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
     out = joined_by_weight(done.drop("measured"), groups, ["label"], "rows").select("vec_id", "code", "error", "label_error", F.lit(sha).alias("codebooks_sha256"))
-    return out, books, counts
+    return out, books, measured
