@@ -4,8 +4,11 @@ Steps: signatures of every row; one class per distinct shingle set; buckets of
 classes that share a band; candidate pairs within buckets; packed signatures
 drop pairs that are surely apart; full sets confirm the rest; confirmed links
 become components. Pairs in a bucket are found by stars around three classes
-first, so that a group of near copies costs its size; only classes that stars
-have not joined are held against the other components of their own bucket.
+first, so that a group of near copies costs its size. Links between classes
+that stars have not joined are found bucket by bucket: in small buckets by
+comparison, in large ones by rare elements of each set's difference from what
+is usual in the bucket, which copies of one original share only if they are
+copies of each other.
 """
 
 from __future__ import annotations
@@ -30,8 +33,10 @@ SLACK = 0.22
 GROUP, CELL = 256, 2048
 #: Places over which the members of a bucket are dealt where they meet something of the bucket.
 SALTS = 8
-#: Most further turns of stars, and pairs left for each member from which one is taken.
-TURNS, PATIENCE = 1, 64
+#: Most members of a bucket that are all held against each other, and members that tell what is usual in a larger one.
+PATIENCE, TELLING = 64, 32
+#: 64-bit words of a difference's parities.
+PARITIES = 16
 
 _rng = np.random.default_rng(20240229)
 FACTORS = _rng.integers(1 << 62, (1 << 63) - 1, MINIMA, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
@@ -145,19 +150,17 @@ def by_bucket(members: DataFrame, table: DataFrame, how: str = "inner") -> DataF
     return salted.join(copies, ["key", "_salt"], how).drop("_salt")
 
 
-def star_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """(leaf, centre, load): each member of a bucket with the bucket's three centres of this turn.
+def star_pairs(members: DataFrame) -> DataFrame:
+    """(leaf, centre, load): each member of a bucket with the bucket's three centres.
 
-    Centres are least or greatest by a hash of the class and the turn, so that
-    buckets of the same classes have the same centres and their pairs fall
-    together. Members with a component are paired with centres of others only.
-    load is the bucket's size, rounded up.
+    Centres are least or greatest by a hash of the class, so that buckets of the
+    same classes have the same centres and their pairs fall together. load is
+    the bucket's size, rounded up.
     """
-    first, second = (F.struct(F.xxhash64("node", F.lit(2 * turn + i)), *[c for c in members.columns if c != "key"]) for i in (0, 1))
+    first, second = (F.struct(F.xxhash64("node", F.lit(i)), "node") for i in (0, 1))
     centres = members.groupBy("key").agg(F.min(first).alias("x"), F.max(first).alias("y"), F.min(second).alias("z"), load_of(F.count("*")).alias("load"))
-    met = [F.struct(F.col(f"{c}.node").alias("centre"), *([F.col(f"{c}.component").alias("other")] if "component" in members.columns else [])) for c in "xyz"]
-    centres = centres.select("key", "load", F.explode(F.array_distinct(F.array(*met))).alias("met")).select("key", "load", "met.*")
-    pairs = by_bucket(members, centres).where("component <> other" if "component" in members.columns else "node <> centre")
+    centres = centres.select("key", "load", F.explode(F.array_distinct(F.array("x.node", "y.node", "z.node"))).alias("centre"))
+    pairs = by_bucket(members, centres).where("node <> centre")
     return pairs.groupBy(F.col("node").alias("leaf"), "centre").agg(F.max("load").alias("load"))
 
 
@@ -212,12 +215,95 @@ def cross_links(members: DataFrame, classes: DataFrame, sets: DataFrame, percent
     return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
-def pairs_left(members: DataFrame) -> tuple[int, int]:
-    """Members of open buckets, and pairs of them in different components."""
-    parts = members.groupBy("key", "component").agg(F.count("*").alias("n"))
-    buckets = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("same"))
-    row = buckets.agg(F.sum("n").alias("n"), F.sum((F.col("n").cast("double") * F.col("n") - F.col("same")) / 2).alias("pairs")).first()
-    return row["n"] or 0, int(row["pairs"] or 0)
+def usual(members: pa.Table) -> pa.Table:
+    """key, told (rows), items that several rows of one bucket have, sorted, and counts of them."""
+    items, counts = np.unique(members.column("items").combine_chunks().flatten().to_numpy(), return_counts=True)
+    several = counts > 1
+    columns = [[members.column("key")[0].as_py()], [members.num_rows], [items[several]], [counts[several]]]
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], names=["key", "told", "items", "counts"])
+
+
+def differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """key, node, component, size, z, drift and parities: how each member's set differs from what is usual in its bucket.
+
+    The usual set U holds what over half of some TELLING members have; drift is
+    the symmetric difference D of the member's set S and U, in one order for the
+    bucket, rarest first. Any U and any order give the same links, better ones
+    fewer candidates. z is (100 + percent) |D| - (100 - percent) |S|: two
+    members are linked if and only if 2 (100 + percent) |D and D'| >= z + z'.
+    parities tell of each residue of hashes whether D has an odd number of them:
+    two members have at least as many different elements as different parities.
+    """
+    sizes = members.groupBy("key").agg(load_of(F.count("*")).alias("load"))
+    placed = by_bucket(members, sizes).withColumn("cell", F.pmod(F.xxhash64("node"), cells(F.col("load"))).cast("int"))
+    telling = placed.where(F.pmod(F.xxhash64("node", F.lit(2)), F.ceil(F.col("load") / TELLING)) == 0)
+    table = telling.select("key", "node").join(sets, "node").groupBy("key").applyInArrow(usual, "key long, told long, items array<long>, counts array<long>")
+    copies = sizes.join(table, "key").select(F.col("key").alias("own"), F.explode(F.sequence(F.lit(0), cells(F.col("load")) - 1)).alias("own_cell"), "told", F.col("items").alias("known"), "counts")
+
+    def differ(rows: pa.Table, telling: pa.Table) -> pa.Table:
+        known, counts, told = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        if telling.num_rows:
+            known, counts = (telling.column(c).combine_chunks().flatten().to_numpy() for c in ("known", "counts"))
+            told = telling.column("told")[0].as_py()
+        common = 2 * counts > told
+        sizes, z, drift, parities = [], [], [], []
+        for own in rows.column("items").combine_chunks():
+            own = own.values.to_numpy()
+            at = np.searchsorted(known, own)
+            met = at < len(known)
+            met[met] = known[at[met]] == own[met]
+            often = np.ones(len(own), np.int64)
+            often[met] = counts[at[met]]
+            extra = ~met
+            extra[met] = ~common[at[met]]
+            missing = common.copy()
+            missing[at[met]] = False
+            found = np.concatenate([own[extra], known[missing]])
+            order = np.lexsort((found, np.concatenate([often[extra], told - counts[missing]])))
+            drift.append(found[order])
+            sizes.append(len(own))
+            z.append((100 + percent) * len(found) - (100 - percent) * len(own))
+            odd = np.bincount(found & (64 * PARITIES - 1), minlength=64 * PARITIES) & 1
+            parities.append(np.packbits(odd.astype(bool)).view(np.int64))
+        made = [pa.array(sizes, pa.int64()), pa.array(z, pa.int64()), pa.array(drift, pa.list_(pa.int64())), pa.array(parities, pa.list_(pa.int64()))]
+        return pa.table([*(rows.column(c) for c in ("key", "node", "component")), *made], names=["key", "node", "component", "size", "z", "drift", "parities"])
+
+    rows = placed.select("key", "cell", "node", "component").join(sets, "node").groupBy("key", "cell")
+    return rows.cogroup(copies.groupBy("own", "own_cell")).applyInArrow(differ, "key long, node long, component long, size long, z long, drift array<long>, parities array<long>")
+
+
+def rare_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of a bucket, without comparing all its members.
+
+    Those whose z is at most the negative of the bucket's least one are linked
+    with its owner and need no pair among themselves. Every other pair needs a
+    common element of the differences; the first of them stands, in both, before
+    as many elements as must be common. So members meet at such elements only,
+    and only pairs whose parities allow a link are compared on full sets.
+    """
+    drifts = stored(differences(members, sets, percent), "drifts")
+    low = drifts.groupBy("key").agg(F.min(F.struct("z", "node", "component")).alias("low"))
+    told = by_bucket(drifts, low.select("key", F.col("low.z").alias("least"), F.col("low.node").alias("owner"), F.col("low.component").alias("owned")))
+    sure = told.where("z + least <= 0 and component <> owned").select(F.col("node").alias("a"), F.col("owner").alias("b"))
+
+    step = 2 * (100 + percent)
+    apart = F.col("z") + F.col("least") > 0
+    limit = F.greatest(1 - F.col("least"), "least")  # no z of a member apart is less
+    n = F.size("drift")
+    first = n - F.ceil((F.col("z") + F.when(apart, F.col("least")).otherwise(limit)) / step) + 1
+    places = told.select("key", "node", "component", "size", "z", "parities", n.alias("n"), apart.alias("apart"), limit.alias("limit"), F.posexplode(F.slice("drift", 1, F.greatest(first, F.lit(0)).cast("int"))).alias("place", "item"))
+    # reach: the greatest z of a member with which this can be the first common element
+    reach = step * (F.col("n") - F.col("place")) - F.col("z")
+    places = places.select(F.xxhash64("key", "item").alias("slot"), "node", "component", "size", "z", "parities", "apart", reach.alias("reach"), (reach >= F.col("limit")).alias("near"))
+    meeting = places.groupBy("slot").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("apart").alias("apart"), F.max("near").alias("near"))
+    places = stored(places.join(meeting.where("x <> y and apart and near").select("slot"), "slot", "left_semi"), "places")
+    one, other = (places.where(c).select("slot", *[F.col(x).alias(f"{x}_{side}") for x in ("node", "component", "size", "z", "parities", "reach")]) for c, side in (("near", "a"), ("apart", "b")))
+    odd = sum((F.bit_count(F.col("parities_a")[i].bitwiseXOR(F.col("parities_b")[i])) for i in range(PARITIES)), F.lit(0))
+    allowed = odd * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent)
+    met = one.join(other, "slot").where("component_a <> component_b and reach_a >= z_b and reach_b >= z_a").where(allowed)
+    pairs = stored(met.select(F.least("node_a", "node_b").alias("centre"), F.greatest("node_a", "node_b").alias("leaf")).distinct(), "pairs")
+    loads = pairs.groupBy("centre").agg(load_of(F.count("*")).alias("load"))
+    return confirmed(pairs.join(loads, "centre"), sets, percent).union(sure)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -249,28 +335,19 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def linked(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, slack: float | None) -> DataFrame:
     """node and component of every class that has a link.
 
-    Stars first: each costs a bucket's size. Where very many pairs are still
-    apart, stars with other centres follow; then the members of a bucket in
-    different components are held against each other, so that no link is lost
-    however many turns there were.
+    Stars first: each costs a bucket's size. Then all links between different
+    components of a bucket, so that none is lost: by comparison of all members
+    of a small bucket, by rare elements in a large one.
     """
-    component = components(confirmed(stored(near_pairs(star_pairs(members, 0), classes, percent, slack), "pairs"), sets, percent))
-    for turn in range(1, TURNS + 2):
-        held = stored(open_members(members, component), "open")
-        n, pairs = pairs_left(held)
-        if not pairs:
-            break
-        last = turn > TURNS or pairs <= PATIENCE * n
-        if last:
-            links = stored(cross_links(held, classes, sets, percent, slack), "links")
-        else:
-            links = stored(confirmed(stored(near_pairs(star_pairs(held, turn), classes, percent, slack), "pairs"), sets, percent), "links")
-        discard(held)
-        if not links.isEmpty():
-            component = components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
-        if last:
-            break
-    return component
+    component = components(confirmed(stored(near_pairs(star_pairs(members), classes, percent, slack), "pairs"), sets, percent))
+    held = stored(open_members(members, component), "open")
+    large = held.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > PATIENCE).select("key")
+    links = cross_links(by_bucket(held, large, "left_anti"), classes, sets, percent, slack)
+    links = stored(links.union(rare_links(by_bucket(held, large, "left_semi"), sets, percent)), "links")
+    discard(held)
+    if links.isEmpty():
+        return component
+    return components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -126,6 +126,43 @@ def test_links_that_no_first_star_finds(spark, patience, monkeypatch):
     assert got[None] == got[minhash.SLACK] == near_by_force(rows, 4, 80)
 
 
+def test_look_alikes_are_not_all_compared(spark, monkeypatch):
+    """Copies of one text that miss the threshold, and copies of those: full sets meet in small buckets and in few pairs only."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(120)]
+
+    def edited(w, n):
+        w = list(w)
+        for i in rng.sample(range(len(w)), n):
+            at = rng.random()
+            w[i] = f"x{rng.randrange(10**9)}" if at < 0.7 else f"y{i}" if at < 0.9 else w[i] + f" z{rng.randrange(10**9)}"
+        return " ".join(w).split()
+
+    texts = [edited(base, 4) for _ in range(300)]
+    texts += [edited(rng.choice(texts), 1) for _ in range(30)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    rng.shuffle(rows)
+    compared, members, stored = [], [], minhash.stored
+
+    def spy(df, name, *more):
+        out = stored(df, name, *more)
+        if name == "open":
+            members.extend(r["count"] for r in out.groupBy("key").count().collect())
+        elif members and name == "full":
+            compared.extend(r["count"] ** 2 for r in out.groupBy("key").count().collect())
+        elif members and name == "pairs":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "stored", spy)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, 4).collect()}
+    assert got == near_by_force(rows, 4, 80)
+    large = sum(n * n for n in members if n > minhash.PATIENCE)
+    small = sum(n * n for n in members if n <= minhash.PATIENCE)
+    assert large > 50_000 and sum(compared) <= small + 0.02 * large
+
+
 def test_near_duplicates_null_texts_only(spark):
     df = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()} == {(1, 0, 1, True), (2, 0, 2, True)}
