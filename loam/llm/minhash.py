@@ -7,8 +7,9 @@ become components. Pairs in a bucket are found by stars around three classes
 first, so that a group of near copies costs its size. Links between classes
 that stars have not joined are found bucket by bucket: in small buckets by
 comparison, in large ones by rare elements of each set's difference from what
-is usual in the bucket, which copies of one original share only if they are
-copies of each other.
+is usual there, which copies of one original share only if they are copies of
+each other. Large buckets of much the same members are one family and cost the
+work of one.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ GROUP, CELL = 256, 2048
 SALTS = 8
 #: Most members of a bucket that are all held against each other, and members that tell what is usual in a larger one.
 PATIENCE, TELLING = 64, 32
+#: Large buckets that the centres of two buckets share if the buckets fall into one family.
+ALIKE = 6
 #: 64-bit words of a difference's parities.
 PARITIES = 16
 
@@ -215,6 +218,28 @@ def cross_links(members: DataFrame, classes: DataFrame, sets: DataFrame, percent
     return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
+def families(members: DataFrame) -> DataFrame:
+    """members with the family of each bucket as key, each class once a family.
+
+    Near copies share many buckets, so most of a bucket's members are those of
+    others too. A bucket's centre is its class that is in most buckets, ties by
+    a hash; its family is the first centre in that order, of the buckets that
+    hold its own, with which that one shares ALIKE of them (its own centre
+    shares all). So two members of one bucket always meet in its family, and a
+    family is about one text.
+    """
+    known = members.groupBy("node").agg(F.struct((-F.count("*")).alias("few"), F.xxhash64("node").alias("hash"), "node").alias("one"))
+    led = stored(members.join(known, "node").groupBy("key").agg(F.min("one").alias("centre")), "centres")
+    own = members.join(led.select(F.col("centre.node").alias("node")).distinct(), "node", "left_semi").select("key", "node")
+    keys = own.groupBy("node").agg(F.collect_list("key").alias("keys"))
+    pairs = own.join(led, "key").select("node", "centre").distinct().join(keys, "node")
+    pairs = pairs.join(keys.select(F.col("node").alias("other"), F.col("keys").alias("others")), F.col("centre.node") == F.col("other"))
+    alike = (F.size(F.array_intersect("keys", "others")) >= ALIKE) | (F.col("node") == F.col("other"))
+    family = pairs.where(alike).groupBy("node").agg(F.min("centre").alias("first")).select("node", F.col("first.node").alias("family"))
+    named = led.select("key", F.col("centre.node").alias("node")).join(family, "node").select("key", "family")
+    return by_bucket(members, named).select(F.col("family").alias("key"), "node", "component").distinct()
+
+
 def usual(members: pa.Table) -> pa.Table:
     """key, told (rows), items that several rows of one bucket have, sorted, and counts of them."""
     items, counts = np.unique(members.column("items").combine_chunks().flatten().to_numpy(), return_counts=True)
@@ -273,7 +298,7 @@ def differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def rare_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join the components of a bucket, without comparing all its members.
+    """Links (a, b) that join the components of a family or bucket, key, without comparing all its members.
 
     Those whose z is at most the negative of the bucket's least one are linked
     with its owner and need no pair among themselves. Every other pair needs a
@@ -291,12 +316,14 @@ def rare_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     limit = F.greatest(1 - F.col("least"), "least")  # no z of a member apart is less
     n = F.size("drift")
     first = n - F.ceil((F.col("z") + F.when(apart, F.col("least")).otherwise(limit)) / step) + 1
-    places = told.select("key", "node", "component", "size", "z", "parities", n.alias("n"), apart.alias("apart"), limit.alias("limit"), F.posexplode(F.slice("drift", 1, F.greatest(first, F.lit(0)).cast("int"))).alias("place", "item"))
+    places = told.select("key", "node", "component", "z", n.alias("n"), apart.alias("apart"), limit.alias("limit"), F.posexplode(F.slice("drift", 1, F.greatest(first, F.lit(0)).cast("int"))).alias("place", "item"))
     # reach: the greatest z of a member with which this can be the first common element
     reach = step * (F.col("n") - F.col("place")) - F.col("z")
-    places = places.select(F.xxhash64("key", "item").alias("slot"), "node", "component", "size", "z", "parities", "apart", reach.alias("reach"), (reach >= F.col("limit")).alias("near"))
+    places = stored(places.select(F.xxhash64("key", "item").alias("slot"), "key", "node", "component", "z", "apart", reach.alias("reach"), (reach >= F.col("limit")).alias("near")), "rare")
     meeting = places.groupBy("slot").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("apart").alias("apart"), F.max("near").alias("near"))
-    places = stored(places.join(meeting.where("x <> y and apart and near").select("slot"), "slot", "left_semi"), "places")
+    met = places.join(meeting.where("x <> y and apart and near").select("slot"), "slot", "left_semi")
+    rare, places = places, stored(met.join(drifts.select("key", "node", "size", "parities"), ["key", "node"]), "places")
+    discard(rare)
     one, other = (places.where(c).select("slot", *[F.col(x).alias(f"{x}_{side}") for x in ("node", "component", "size", "z", "parities", "reach")]) for c, side in (("near", "a"), ("apart", "b")))
     odd = sum((F.bit_count(F.col("parities_a")[i].bitwiseXOR(F.col("parities_b")[i])) for i in range(PARITIES)), F.lit(0))
     allowed = odd * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent)
@@ -337,13 +364,14 @@ def linked(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int
 
     Stars first: each costs a bucket's size. Then all links between different
     components of a bucket, so that none is lost: by comparison of all members
-    of a small bucket, by rare elements in a large one.
+    of a small bucket, by rare elements in a family of large ones.
     """
     component = components(confirmed(stored(near_pairs(star_pairs(members), classes, percent, slack), "pairs"), sets, percent))
     held = stored(open_members(members, component), "open")
     large = held.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > PATIENCE).select("key")
+    family = stored(families(by_bucket(held, large, "left_semi")), "families")
     links = cross_links(by_bucket(held, large, "left_anti"), classes, sets, percent, slack)
-    links = stored(links.union(rare_links(by_bucket(held, large, "left_semi"), sets, percent)), "links")
+    links = stored(links.union(rare_links(family, sets, percent)), "links")
     discard(held)
     if links.isEmpty():
         return component

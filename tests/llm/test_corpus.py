@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loam.llm import blocks, katz, minhash, rlz
@@ -163,6 +164,55 @@ def test_look_alikes_are_not_all_compared(spark, monkeypatch):
     assert large > 50_000 and sum(compared) <= small + 0.02 * large
 
 
+def test_buckets_of_one_family_cost_one(spark, monkeypatch):
+    """Look-alikes of two texts, and some that are half of each: a class is told from its family once, not once a bucket."""
+    rng = random.Random(8)
+    first, second = ([f"{x}{i}" for i in range(120)] for x in "ab")
+
+    def edited(w, n):
+        w = list(w)
+        for i in rng.sample(range(len(w)), n):
+            w[i] = f"x{rng.randrange(10**9)}"
+        return w
+
+    texts = [edited(first, 4) for _ in range(120)] + [edited(second, 4) for _ in range(60)] + [edited(first[:60] + second[60:], 2) for _ in range(6)]
+    texts += [edited(rng.choice(texts), 1) for _ in range(20)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    rng.shuffle(rows)
+    buckets, told, stored = [], [], minhash.stored
+
+    def spy(df, name, *more):
+        out = stored(df, name, *more)
+        if name == "open":
+            large = out.groupBy("key").agg(F.count("*").alias("n")).where(f"n > {minhash.PATIENCE}")
+            buckets.extend((r.key, r.node) for r in out.join(large, "key").collect())
+        elif name == "drifts":
+            told.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "PATIENCE", 8)
+    monkeypatch.setattr(minhash, "stored", spy)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, 4).collect()}
+    assert got == near_by_force(rows, 4, 80)
+    classes = len({node for _, node in buckets})
+    assert len(buckets) > 4 * classes > 400 and sum(told) <= 1.5 * classes
+
+
+@pytest.mark.parametrize("alike", [0, 2, 25])
+def test_members_of_a_bucket_meet_in_its_family(spark, alike, monkeypatch):
+    monkeypatch.setattr(minhash, "ALIKE", alike)
+    rng = random.Random(alike)
+    rows = [(key, node, node % 5) for key in range(30) for node in rng.sample(range(40), rng.randint(2, 9))]
+    placed = defaultdict(set)
+    out = minhash.families(spark.createDataFrame(rows, "key long, node long, component long")).collect()
+    for r in out:
+        placed[r.key].add(r.node)
+        assert r.component == r.node % 5
+    assert sum(map(len, placed.values())) == len(out) <= len(rows)
+    assert all(any({node for k, node, _ in rows if k == key} <= family for family in placed.values()) for key in range(30))
+
+
 def test_near_duplicates_null_texts_only(spark):
     df = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()} == {(1, 0, 1, True), (2, 0, 2, True)}
