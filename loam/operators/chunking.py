@@ -137,8 +137,8 @@ CHAPTER = r"(?:Chapter|CHAPTER|Глава|ГЛАВА)\s+\d+|(?:Section|SECTION|
 
 
 def chapters(text: Column) -> Column:
-    """array<struct<title, content>>; a text without chapters is one without title."""
-    parts = F.filter(F.split(text, f"(?m)(?=^(?:{CHAPTER}))"), lambda p: p.rlike(f"^(?:{CHAPTER})"))
+    """array<struct<title, content>>; a text without chapters is one without title. Lines end at \\n alone."""
+    parts = F.filter(F.split(text, f"(?md)(?=^(?:{CHAPTER}))"), lambda p: p.rlike(f"^(?:{CHAPTER})"))
     made = F.transform(parts, lambda p: F.struct(F.trim(F.regexp_extract(p, f"^(?:{CHAPTER})", 0)).alias("title"), F.trim(p).alias("content")))
     return F.when(F.size(parts) > 0, made).otherwise(F.array(F.struct(F.lit("").alias("title"), text.alias("content"))))
 

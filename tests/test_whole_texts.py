@@ -70,3 +70,12 @@ def test_links_behind_the_start(asked):
 def test_questions_behind_the_start(asked):
     rows = asked("FUN61_questions", "", "a" * 150 + ". Где лежит ключ?")
     assert {r.doc_id: r.questions for r in rows}[1] == "Где лежит ключ?"
+
+
+def test_chapters_of_odd_rows(spark, tmp_path):
+    """A missing text has the two headings of every document, and so has one without a number or with a negative one."""
+    rows = [(1, None), (-2, "a\rChapter 3"), (None, "b"), (4, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/odd/documents.parquet")
+    got = [tuple(r) for r in registry.QUERIES["CHK10_chapters"](spark, f"{tmp_path}/odd").collect()]
+    wanted = [(i, title) for i, _ in rows for title in (None if i is None else f"Chapter {i}", "Section 2")]
+    assert sorted(got, key=str) == sorted(wanted, key=str)
