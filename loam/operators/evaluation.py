@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -323,3 +325,74 @@ def gate(metrics: DataFrame, thresholds: DataFrame, baseline: DataFrame | None =
     least = F.lit(1 if needs_baseline and baseline is None else 0)
     every = rows.agg(F.greatest(F.max("worst"), least).alias("all"))  # one row
     return rows.crossJoin(F.broadcast(every)).select("metric", "value", "passed", "delta", "regressed", named(F.col("worst")).alias("status"), named(F.col("all")).alias("overall"))
+
+
+#: Words of both sides whose n-grams are counted at once inside a Python worker.
+GRAM_WORDS = 500_000
+
+
+def gram_counts(group: np.ndarray, sides: tuple[pa.Array, pa.Array], orders: int) -> list[tuple[int, int, int]]:
+    """(n, hit, total) of pairs of word lists: clipped hits and n-grams of the first side; under n = 0 the words of either side.
+
+    Pairs of one group, which are neighbours, are counted as one. A group that
+    has n-grams on its second side alone has a total of 1. Only places whose
+    shorter gram is on both sides are looked at for the longer one.
+    """
+    lengths = [pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in sides]
+    groups = int(group[-1]) + 1 if len(group) else 0
+    out = [(0, *(int(x.sum()) for x in lengths))]
+    words = pa.concat_arrays([x.flatten() for x in sides]).dictionary_encode()
+    word, kinds = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(words.dictionary)
+    length = np.concatenate(lengths)
+    ends = np.repeat(np.cumsum(length), length)
+    second = np.arange(len(word)) >= lengths[0].sum()
+    place, gram = np.arange(len(word)), np.repeat(np.concatenate([group, group]), length)
+    for n in range(1, orders + 1):
+        grams = [np.bincount(group, np.maximum(x - n + 1, 0), groups).astype(np.int64) for x in lengths]
+        if any(x.any() for x in grams):
+            held = place + n <= ends[place]
+            place, gram = place[held], gram[held]
+            # a gram is the shorter one, or its group, and a word more
+            made, gram = np.unique(gram * kinds + word[place + n - 1], return_inverse=True)
+            counts = [np.bincount(gram[second[place] == x], minlength=len(made)) for x in (False, True)]
+            both = np.minimum(*counts)
+            out.append((n, int(both.sum()), int(np.maximum(grams[0], 1)[(grams[0] > 0) | (grams[1] > 0)].sum())))
+            kept = both[gram] > 0
+            place, gram = place[kept], gram[kept]
+    return out
+
+
+def bleu_counts(pairs: DataFrame, orders: int = 4) -> DataFrame:
+    """n, hit, total of parts of pairs (id, h, r: words of a hypothesis and its reference), to be summed by n; see gram_counts.
+
+    Pairs of one id are one. n-grams never leave the task of their pair.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(rows: pa.Table) -> pa.RecordBatch:
+            rows = rows.combine_chunks()
+            ids = rows.column("id").to_numpy()
+            group = np.cumsum(np.r_[0, ids[1:] != ids[:-1]])[: len(ids)]
+            sides = tuple(pa.concat_arrays(rows.column(x).chunks) for x in "hr")
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*gram_counts(group, sides, orders), strict=True)], names=["n", "hit", "total"])
+
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            if not rows.num_rows:
+                continue
+            ids = rows.column("id").to_numpy()
+            # parts of whole ids; the last id may go on in the next batch
+            first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+            sizes = sum(pc.fill_null(pc.list_value_length(rows.column(x)), 0).to_numpy().astype(np.int64) for x in "hr")
+            part = (np.cumsum(sizes) - sizes)[first] // GRAM_WORDS
+            edges = np.r_[first[np.r_[True, part[1:] != part[:-1]]], first[-1]]
+            for begin, end in zip(edges[:-1], edges[1:], strict=True):
+                if end > begin:
+                    yield counted(rows.slice(begin, end - begin))
+            held = rows.slice(first[-1])
+        if held is not None:
+            yield counted(held)
+
+    return pairs.select(F.col("id").cast("long").alias("id"), "h", "r").sortWithinPartitions("id").mapInArrow(run, "n long, hit long, total long")
