@@ -11,8 +11,10 @@ import ast
 import math
 import re
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -42,34 +44,65 @@ def heading_sections(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(*rest, F.posexplode(F.when(F.size(parts) > 0, made).otherwise(root)).alias("position", "s")).select(*rest, "position", "s.*")
 
 
+#: Bytes of headings and children in a batch that a Python worker gives back.
+OUT_BYTES = 8_000_000
+
+
 def heading_tree(df: DataFrame, headings: str = "headings") -> DataFrame:
     """One row per heading: position, level, heading, parent (position, -1 at the top) and children (their headings, in order).
 
     df has an array<struct<level:int,text:string>> in the order of the text; its
     other columns stay. A heading's parent is the nearest one before it of a
-    lower level, found by a fold that holds the open levels as an array; levels
-    may be of any depth and skip some. Of headings equal in level and text, all
-    have the children of the first.
+    lower level, found in one walk that holds the open levels; levels may be of
+    any depth and skip some. Of headings equal in level and text, all have the
+    children of the first. Time grows with the headings and the children listed.
     """
     rest = [c for c in df.columns if c != headings]
+    kind = "array<struct<level:int,text:string>>"
+    source = df.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.transform(headings, lambda h: F.struct(h["level"].cast("int").alias("level"), h["text"].cast("string").alias("text"))), F.array().cast(kind)).alias(headings))
+    schema = StructType([*(source.schema[c] for c in rest), *StructType.fromDDL("position int, level int, heading string, parent int, children array<string>").fields])
+    arrow = to_arrow_schema(schema)
 
-    def step(state: Column, h: Column) -> Column:
-        still = F.filter(state["open"], lambda o: o["level"] < h["level"])
-        at = F.size(state["parents"])
-        parent = F.when(F.size(still) > 0, F.element_at(still, -1)["at"]).otherwise(-1)
-        here = F.array(F.struct(h["level"].cast("int").alias("level"), at.alias("at")))
-        return F.struct(F.concat(still, here).alias("open"), F.concat(state["parents"], F.array(parent)).alias("parents"))
-
-    none = F.struct(F.array().cast("array<struct<level:int,at:int>>").alias("open"), F.array().cast("array<int>").alias("parents"))
-    found = df.withColumn("_parents", F.aggregate(F.coalesce(headings, F.array().cast("array<struct<level:int,text:string>>")), none, step)["parents"])
-
-    def under(i: Column) -> Column:
-        below = F.filter(F.arrays_zip(F.col("_parents").alias("p"), F.col(headings).alias("h")), lambda x: x["p"] == i)
-        return F.transform(below, lambda x: x["h"]["text"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(rest))
+            level, text = lists.flatten().flatten()
+            levels, chars = level.to_pylist(), pc.fill_null(pc.binary_length(text), 0).to_pylist()
+            codes = text.dictionary_encode().indices.to_pylist()
+            below: list[list[int]] = [[] for _ in levels]
+            parents, firsts, places = [], [], []
+            start = 0
+            for n in lists.value_lengths().to_pylist():
+                still: list[int] = []
+                first: dict = {}
+                for i in range(start, start + n):
+                    own = levels[i]
+                    while still and (own is None or levels[still[-1]] >= own):
+                        still.pop()
+                    parents.append(still[-1] - start if still else -1)
+                    if still:
+                        below[still[-1]].append(i)
+                    if own is not None:
+                        still.append(i)
+                    firsts.append(first.setdefault((own, codes[i]), i))
+                    places.append(i - start)
+                start += n
+            owner = pc.list_parent_indices(lists)
+            sizes = [sum(chars[j] for j in x) for x in below]
+            begin = size = 0
+            for i, f in enumerate(firsts):
+                size += chars[i] + sizes[f] + 8 * len(below[f]) + 64
+                if size < OUT_BYTES and i + 1 < len(firsts):
+                    continue
+                kids = [below[j] for j in firsts[begin : i + 1]]
+                offsets = pa.array([0, *accumulate(map(len, kids))], pa.int32())
+                children = pa.ListArray.from_arrays(offsets, text.take(pa.array([j for x in kids for j in x], pa.int64())))
+                span, of = slice(begin, i + 1), owner.slice(begin, i + 1 - begin)
+                columns = [*(batch.column(j).take(of) for j in range(len(rest))), pa.array(places[span], pa.int32()), level.slice(begin, len(of)), text.slice(begin, len(of)), pa.array(parents[span], pa.int32()), children]
+                yield pa.RecordBatch.from_arrays([x.cast(t.type) for x, t in zip(columns, arrow, strict=True)], schema=arrow)
+                begin, size = i + 1, 0
 
-    same = lambda h: F.array_position(F.transform(headings, lambda x: F.struct(x["level"], x["text"])), F.struct(h["level"], h["text"])).cast("int") - 1
-    nodes = F.transform(headings, lambda h, i: F.struct(i.alias("position"), h["level"].alias("level"), h["text"].alias("heading"), F.col("_parents")[i].alias("parent"), under(same(h)).alias("children")))
-    return found.select(*rest, F.explode(nodes).alias("_x")).select(*rest, "_x.*")
+    return source.mapInArrow(run, schema)
 
 
 def heading_chunks(df: DataFrame, title: Column, headings: str = "headings") -> DataFrame:

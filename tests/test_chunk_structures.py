@@ -1,6 +1,7 @@
 """Heading trees, chunk contexts, the mention sketch and the seeded split, against brute force."""
 
 import random
+import time
 import re
 from collections import Counter
 
@@ -99,3 +100,17 @@ def test_seeded_split(spark):
     same = analytics.seeded_split(spark.createDataFrame([(1,)] * 50, "id int"), "id", shares).groupBy("part").count().collect()
     assert {r.part: r["count"] for r in same} == {"train": 40, "validation": 5, "test": 5}
     assert analytics.seeded_split(df.limit(0), "id", shares).count() == 0
+
+
+def test_heading_tree_of_a_long_text(spark, monkeypatch):
+    """20,000 headings take seconds, in batches of any size; equal ones have the children of the first, missing levels close all."""
+    texts = [f"h{i % 9000}" for i in range(20_000)]
+    rows = [(1, [(i % 5 + 1, x) for i, x in enumerate(texts)]), (2, None), (3, []), (4, [(2, "a"), (None, "b"), (3, "c"), (2, None), (3, "d"), (2, None), (2, "a")])]
+    df = spark.createDataFrame(rows, "doc_id long, headings array<struct<level:int,text:string>>")
+    began = time.time()
+    got = {(r.doc_id, r.position): (r.level, r.heading, r.parent, r.children) for r in chunking.heading_tree(df).collect()}
+    assert time.time() - began < 60
+    assert len(got) == 20_007 and got[1, 19_999] == (5, "h1999", 19_998, []) and got[1, 9001] == (2, "h1", 9000, ["h2"])
+    assert [got[4, i] for i in range(7)] == [(2, "a", -1, []), (None, "b", -1, []), (3, "c", -1, []), (2, None, -1, ["d"]), (3, "d", 3, []), (2, None, -1, ["d"]), (2, "a", -1, [])]
+    monkeypatch.setattr(chunking, "OUT_BYTES", 1000)
+    assert got == {(r.doc_id, r.position): (r.level, r.heading, r.parent, r.children) for r in chunking.heading_tree(df).collect()}
