@@ -399,3 +399,116 @@ def similar_before(log: DataFrame, threshold: float = 0.95, ttl: float = 3600.0)
     found = met.mapInArrow(run, "id long, ts double, hit long, hit_ts double, score double")
     first = F.struct((-F.col("score")).alias("minus"), "hit_ts", "hit")
     return found.groupBy("id", "ts").agg(F.min(first).alias("x")).select("id", "ts", F.col("x.hit").alias("hit"), (-F.col("x.minus")).alias("score"))
+
+
+# ---- the first earlier vector that is near enough
+
+#: Blocks that meet one copy of their key's head.
+COPY = 16
+
+
+def vector_blocks(rows: DataFrame, most: int) -> DataFrame:
+    """key, width, first, last, n, ids, vectors, block: rows (key, width, id, embedding) in order of id, most of them in a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, ids, vectors = None, np.zeros(0, np.int64), np.zeros((0, 1), np.float32)
+
+        def block(n: int) -> pa.RecordBatch:
+            made = {"key": own[0], "width": own[1], "first": ids[0], "last": ids[n - 1], "n": n, "ids": ids[:n].tobytes(), "vectors": vectors[:n].tobytes()}
+            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(made.values(), kinds, strict=True)], names=list(made))
+
+        for batch in batches:
+            keys, widths = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            new, flat = batch.column(2).to_numpy(), batch.column(3).flatten().to_numpy()
+            spots = np.r_[0, np.cumsum(widths, dtype=np.int64)]
+            edges = [i for i in range(len(keys)) if i == 0 or (keys[i], widths[i]) != (keys[i - 1], widths[i - 1])] + [len(keys)]
+            for begin, end in zip(edges[:-1], edges[1:], strict=True):
+                this = keys[begin], int(widths[begin])
+                if this != own:
+                    if len(ids):
+                        yield block(len(ids))
+                    own, ids, vectors = this, ids[:0], np.zeros((0, this[1]), np.float32)
+                ids = np.concatenate([ids, new[begin:end]])
+                vectors = np.concatenate([vectors, flat[spots[begin] : spots[end]].reshape(-1, own[1])])
+                while len(ids) >= most:
+                    yield block(most)
+                    ids, vectors = ids[most:], vectors[most:]
+        if len(ids):
+            yield block(len(ids))
+
+    order = ["key", "width", "id"]
+    sorted_ = rows.select(*order, "embedding").repartitionByRange(*order).sortWithinPartitions(*order)
+    made = sorted_.mapInArrow(run, "key string, width int, first long, last long, n long, ids binary, vectors binary")
+    return stored(made.withColumn("block", F.monotonically_increasing_id()), "vector-blocks")
+
+
+def first_within(df: DataFrame, threshold: float, most: int = LOG) -> DataFrame:
+    """id, hit: for each row of df (id, key, embedding) the least smaller id of the same key with a dot product of at least threshold.
+
+    Products are rounded to six digits. Only rows with an answer are returned;
+    rows without id, key or a whole vector take no part, and vectors of
+    different widths do not meet.
+
+    Each key's rows lie in blocks by id. All blocks ask the key's head, its first
+    rows: what is found there is the answer, as all others have larger ids. Rows
+    that the head doesn't answer ask every later block, equal vectors once: time
+    grows with their square, memory doesn't.
+    """
+    bound = threshold - 0.5 * 10.0**-DIGITS
+    sound = F.col("id").isNotNull() & F.col("key").isNotNull() & F.coalesce((F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull()), F.lit(False))
+    rows = df.where(sound).select(F.col("id").cast("long").alias("id"), "key", F.size("embedding").alias("width"), F.col("embedding").cast("array<float>").alias("embedding"))
+    blocks = vector_blocks(rows, most)
+    keys = ["key", "width"]
+    w = Window.partitionBy(*keys)
+    before = F.sum("n").over(w.orderBy("first", "block")) - F.col("n")
+    places = blocks.select(*keys, "first", "n", "block").select("block", (before < most).alias("head"), F.ceil(F.count("*").over(w) / COPY).cast("int").alias("copies"))
+    placed = blocks.join(places, "block")
+    heads = placed.where("head").groupBy(*keys).agg(F.collect_list(F.struct("ids", "vectors")).alias("heads"), F.max("copies").alias("copies"))
+    heads = heads.select(*keys, "heads", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("place"))
+    met = placed.withColumn("place", F.pmod(F.xxhash64("block"), F.col("copies")).cast("int")).join(heads, [*keys, "place"])
+
+    def matrix(vectors: bytes, width: int) -> np.ndarray:
+        return np.frombuffer(vectors, np.float32).reshape(-1, width).astype(np.float64)
+
+    def ask_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key, width, ids, vectors, held = (batch.column(j)[i].as_py() for j in range(5))
+                ids, x = np.frombuffer(ids, np.int64), matrix(vectors, width)
+                own = np.concatenate([np.frombuffer(h["ids"], np.int64) for h in held])
+                order = np.argsort(own, kind="stable")
+                own, y = own[order], np.concatenate([matrix(h["vectors"], width) for h in held])[order]
+                near = ~(x @ y.T < bound) & (own[None] < ids[:, None])
+                at = near.argmax(axis=1)
+                hit = near[np.arange(len(ids)), at]
+                left = ~hit & (ids > own[-1])  # no other row has all the earlier ones in the head
+                told = np.flatnonzero(hit | left)
+                empty = np.where(left[told], width, 0)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(empty)], pa.int32()), pa.array(x[left].astype(np.float32).ravel()))
+                columns = [pa.array(ids[told]), pa.array(own[at[told]], mask=left[told]), pa.array([key] * len(told), pa.string()), pa.array([width] * len(told), pa.int32()), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "hit", "key", "width", "embedding"])
+
+    asked = met.select(*keys, "ids", "vectors", "heads").mapInArrow(ask_head, "id long, hit long, key string, width int, embedding array<float>")
+    asked = stored(asked, "asked-heads")
+    left = asked.where("hit is null").drop("hit")
+    # the first row near a vector is that of all its copies, if it comes before them
+    alike = left.groupBy(*keys, "embedding").agg(F.max("id").alias("id"))
+    asking = vector_blocks(alike, most).select(*keys, F.col("last").alias("until"), F.col("vectors").alias("own"))
+    met = asking.join(placed.where("not head"), keys).where("first < until").select(*keys, "own", "ids", "vectors")
+
+    def ask_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key, width, own, ids, vectors = (batch.column(j)[i].as_py() for j in range(5))
+                x, ids = np.frombuffer(own, np.float32).reshape(-1, width), np.frombuffer(ids, np.int64)
+                near = ~(x.astype(np.float64) @ matrix(vectors, width).T < bound)
+                hit = near.any(axis=1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(hit.sum() + 1) * width, pa.int32()), pa.array(x[hit].ravel()))
+                n = len(lists)
+                columns = [pa.array([key] * n, pa.string()), pa.array([width] * n, pa.int32()), lists, pa.array(ids[near[hit].argmax(axis=1)] if n else ids[:0])]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "width", "embedding", "hit"])
+
+    later = met.mapInArrow(ask_all, "key string, width int, embedding array<float>, hit long").groupBy(*keys, "embedding").agg(F.min("hit").alias("hit"))
+    late = left.join(later, [*keys, "embedding"]).where("hit < id").select("id", "hit")
+    return asked.where("hit is not null").select("id", "hit").unionByName(late).groupBy("id").agg(F.min("hit").alias("hit"))

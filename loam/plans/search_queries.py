@@ -91,9 +91,7 @@ query(
     """WITH k AS (SELECT vec_id, embedding, floor(embedding[1]::DOUBLE * 10)::INT || ',' || floor(embedding[2]::DOUBLE * 10)::INT AS key FROM embeddings)
     SELECT a.vec_id AS id, min(b.vec_id) AS hit FROM k a JOIN k b ON a.key = b.key AND b.vec_id < a.vec_id AND round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.2::DOUBLE GROUP BY 1""",
 )(
-    lambda t: (lambda k: k.alias("a").join(k.alias("b"), (c("a.key") == c("b.key")) & (c("b.id") < c("a.id"))).where(F.round(V.dot(c("a.embedding"), c("b.embedding")), 6) >= 0.2).groupBy(c("a.id").alias("id")).agg(F.min("b.id").alias("hit")))(
-        vectors(t).withColumn("key", F.concat_ws(",", *[F.floor(c("embedding")[i].cast("double") * 10).cast("string") for i in range(2)]))
-    )
+    lambda t: P.first_within(vectors(t).withColumn("key", F.concat(*[x for i in range(2) for x in (F.lit("," if i else ""), F.floor(F.get("embedding", F.lit(i)).cast("double") * 10).cast("string"))])), 0.2)
 )
 def asked_again(t: Tables) -> DataFrame:
     """A log of queries: every vector, one a minute, and each third one again later with one component turned round."""

@@ -194,3 +194,32 @@ def test_evidence_is_the_first_sentence_that_supports(spark):
         yes = [x for x in claims if supported(x, context)]
         assert list(got[i].supported) == yes and got[i].total == len(claims) and list(got[i].hallucinated) == [x for x in claims if x not in yes]
         assert list(got[i].evidence) == [next((s.strip() for s in re.split(r"(?<=[.!?])\s+", context) if supported(x, s)), "context") for x in yes]
+
+
+def test_first_within_against_force(spark):
+    """Small blocks, so that heads leave rows to the later blocks; copies, repeated and missing ids, odd vectors."""
+    rng = np.random.default_rng(5)
+    near = rng.normal(size=(300, 4)) / 3
+    rows = [(int(rng.integers(0, 250)), f"k{i % 3}", [float(x) for x in np.float32(v)]) for i, v in enumerate(near)]
+    # a key whose head points away from all later rows, with many copies of vectors near to nothing and to one another
+    rows += [(i, "far", [-1.0, 0.0, 0.0, 0.0]) for i in range(40)] + [(i, "far", [0.0, 1.0, 0.0, 0.0]) for i in range(40, 70)] + [(i, "far", [0.0, 0.0, 0.1, 0.0]) for i in range(60, 100)]
+    rows += [(1, "k0", None), (2, "k0", []), (3, None, [1.0] * 4), (None, "k0", [1.0] * 4), (4, "k0", [1.0, None, 1.0, 1.0]), (500, "k0", [1.0] * 3), (501, "k0", [1.0] * 3)]
+    sound = [(i, k, v) for i, k, v in rows if i is not None and k is not None and v and None not in v]
+    want = {}
+    for i, k, v in sound:
+        found = [j for j, other, u in sound if j < i and other == k and len(u) == len(v) and round(sum(a * b for a, b in zip(u, v)), 6) >= 0.2]
+        if found:
+            want[i] = min(found + [want.get(i, found[0])])
+    df = spark.createDataFrame(rows, "id long, key string, embedding array<float>").repartition(5)
+    for most in (8, 1024):
+        got = pruned.first_within(df, 0.2, most).collect()
+        assert len(got) == len(want) and {r.id: r.hit for r in got} == want
+    assert pruned.first_within(df.limit(0), 0.2).count() == 0
+
+
+def test_semantic_cache_has_no_pairs_of_rows(spark, sf):
+    """Only blocks are joined: no row of the plan is a pair of vectors."""
+    from loam.plans import registry
+
+    plan = registry.QUERIES["RET06_semantic_cache"](spark, sf)._jdf.queryExecution().toString()
+    assert "zip_with" not in plan
