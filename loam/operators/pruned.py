@@ -403,8 +403,8 @@ def similar_before(log: DataFrame, threshold: float = 0.95, ttl: float = 3600.0)
 
 # ---- the first earlier vector that is near enough
 
-#: Blocks that meet one copy of their key's head.
-COPY = 16
+#: Blocks of a key that meet at one place; who asks them is sent to every place of the key.
+COPY = 32
 
 
 def vector_blocks(rows: DataFrame, most: int) -> DataFrame:
@@ -463,10 +463,10 @@ def first_within(df: DataFrame, threshold: float, most: int = LOG) -> DataFrame:
     w = Window.partitionBy(*keys)
     before = F.sum("n").over(w.orderBy("first", "block")) - F.col("n")
     places = blocks.select(*keys, "first", "n", "block").select("block", (before < most).alias("head"), F.ceil(F.count("*").over(w) / COPY).cast("int").alias("copies"))
-    placed = blocks.join(places, "block")
+    placed = blocks.join(places, "block").withColumn("place", F.pmod(F.xxhash64("block"), F.col("copies")).cast("int"))
     heads = placed.where("head").groupBy(*keys).agg(F.collect_list(F.struct("ids", "vectors")).alias("heads"), F.max("copies").alias("copies"))
     heads = heads.select(*keys, "heads", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("place"))
-    met = placed.withColumn("place", F.pmod(F.xxhash64("block"), F.col("copies")).cast("int")).join(heads, [*keys, "place"])
+    met = placed.join(heads, [*keys, "place"])
 
     def matrix(vectors: bytes, width: int) -> np.ndarray:
         return np.frombuffer(vectors, np.float32).reshape(-1, width).astype(np.float64)
@@ -495,7 +495,8 @@ def first_within(df: DataFrame, threshold: float, most: int = LOG) -> DataFrame:
     # the first row near a vector is that of all its copies, if it comes before them
     alike = left.groupBy(*keys, "embedding").agg(F.max("id").alias("id"))
     asking = vector_blocks(alike, most).select(*keys, F.col("last").alias("until"), F.col("vectors").alias("own"))
-    met = asking.join(placed.where("not head"), keys).where("first < until").select(*keys, "own", "ids", "vectors")
+    asking = asking.join(placed.select(*keys, "place").distinct(), keys)
+    met = asking.join(placed.where("not head"), [*keys, "place"]).where("first < until").select(*keys, "own", "ids", "vectors")
 
     def ask_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -196,7 +196,7 @@ def test_evidence_is_the_first_sentence_that_supports(spark):
         assert list(got[i].evidence) == [next((s.strip() for s in re.split(r"(?<=[.!?])\s+", context) if supported(x, s)), "context") for x in yes]
 
 
-def test_first_within_against_force(spark):
+def test_first_within_against_force(spark, monkeypatch):
     """Small blocks, so that heads leave rows to the later blocks; copies, repeated and missing ids, odd vectors."""
     rng = np.random.default_rng(5)
     near = rng.normal(size=(300, 4)) / 3
@@ -211,7 +211,8 @@ def test_first_within_against_force(spark):
         if found:
             want[i] = min(found + [want.get(i, found[0])])
     df = spark.createDataFrame(rows, "id long, key string, embedding array<float>").repartition(5)
-    for most in (8, 1024):
+    for most, copy in ((8, 2), (1024, 32)):
+        monkeypatch.setattr(pruned, "COPY", copy)
         got = pruned.first_within(df, 0.2, most).collect()
         assert len(got) == len(want) and {r.id: r.hit for r in got} == want
     assert pruned.first_within(df.limit(0), 0.2).count() == 0
